@@ -118,11 +118,18 @@ def segments(parts: list[bytes]) -> dict[str, np.ndarray] | None:
     }
 
 
+def _bytes(column) -> list:
+    """The UTF-8 bytes of a string column, without decoding."""
+    import pyarrow as pa
+
+    return column.cast(pa.binary()).to_pylist()
+
+
 def _groups(keys: list, texts: list):
     """(key, first byte, bytes) of texts and pieces of long texts, about PIECE bytes a time."""
     group, size = [], 0
     for k, t in zip(keys, texts):
-        b = (t or "").encode("utf-8", "surrogatepass")
+        b = t or b""
         for at in range(0, max(1, len(b) - LENGTH + 1), PIECE):
             piece = b[at : at + PIECE + LENGTH - 1]
             group.append((k, at, piece))
@@ -138,16 +145,17 @@ def _scan(batches):
     """Batches (k, text) -> rows of segments."""
     import pyarrow as pa
 
-    names = ["k", "ah", "ch", "s", "a", "n"]
+    names = ["k", "ah", "ch", "p"]
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
-            for group in _groups(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for group in _groups(part.column(0).to_pylist(), _bytes(part.column(1))):
                 found = segments([b for _, _, b in group])
                 if found:
                     keys = np.array([k for k, _, _ in group], dtype=np.int64)[found["owner"]]
                     s = found["s"] + np.array([at for _, at, _ in group], dtype=np.int64)[found["owner"]]
-                    cols = [keys, found["ah"], found["ch"], s, found["a"], found["n"]]
+                    place = (s << 16) | (found["a"].astype(np.int64) << 8) | found["n"]
+                    cols = [keys, found["ah"], found["ch"], place]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
 
@@ -161,7 +169,7 @@ def _refine(block: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                texts = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                texts = _bytes(part.column(1))
                 lens = np.array([len(t) for t in texts])
                 at = np.concatenate(([0], np.cumsum(lens)))
                 lists = part.column(2)
@@ -194,28 +202,39 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__k", F.xxhash64("doc_id", "text"))
 
 
+#: A segment's place packed into one long: first start, offset of the anchor from it, number of starts.
+PLACE = ("p >> 16", "CAST((p >> 8) & 255 AS INT)", "CAST(p & 255 AS INT)")
+
+
+def _range(first, end):
+    """A byte range packed into one long: its first byte and its length (1,023 at most)."""
+    return first * 1024 + (end - first)
+
+
 def spans(keyed: DataFrame) -> DataFrame:
-    """(k, spans): byte ranges of every text that repeated strings cover; texts without any are left out."""
+    """(k, spans): packed byte ranges that repeated strings cover in every text; texts without any are left out."""
     spark = keyed.sparkSession
+    first, offset, n = (F.expr(x) for x in PLACE)
     text = keyed.select(F.col("__k").alias("k"), "text").where(F.col("text").isNotNull())
-    segs = materialise(text.mapInArrow(_scan, "k long, ah long, ch long, s long, a smallint, n smallint"), "repeat-segments")
+    segs = materialise(text.mapInArrow(_scan, "k long, ah long, ch long, p long"), "repeat-segments")
+    # What a join reads is written first: both sides are then dealt for the join, and Spark can split hot keys.
     same = segs.groupBy("ah").agg(F.count(F.lit(1)).alias("c"), F.min("ch").alias("x"), F.max("ch").alias("y")).where("c > 1")
-    found = materialise(
-        segs.join(same.select("ah", (F.col("x") != F.col("y")).alias("mixed")), "ah"), "repeat-anchors"
-    )
+    same = materialise(same.select("ah", (F.col("x") != F.col("y")).alias("mixed")), "repeat-anchors")
+    release(spark)
+    found = materialise(segs.join(same, "ah"), "repeat-found")
     drop_written(segs)
     release(spark)
 
     # One representative of each distinct segment of the anchors whose segments differ.
     mixed = found.where("mixed")
-    rep = F.min(F.struct("k", "s", "a", "n"))
+    rep = F.min(F.struct("k", "p"))
     classes = materialise(mixed.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("c"), rep.alias("r")).select("ah", "ch", "c", "r.*"), "repeat-classes")
-    todo = classes.select("k", "ah", "ch", "s", "a", (F.col("a") - F.col("n") + 1).alias("lo"), F.col("a").alias("hi"))
-    settled = classes.where("c > 1").select("ah", "ch", (F.col("a") - F.col("n") + 1).alias("lo"), F.col("a").alias("hi"))
+    offsets = [(offset - n + 1).alias("lo"), offset.alias("hi")]
+    todo = classes.select("k", "ah", "ch", first.alias("s"), offset.alias("a"), *offsets)
+    settled = classes.where("c > 1").select("ah", "ch", *offsets)
     for block in BLOCKS:
-        wanted = todo.groupBy(F.col("k").alias("tk")).agg(
-            F.collect_list(F.struct("ah", "ch", F.col("s").cast("long").alias("s"), F.col("a").cast("int").alias("a"), F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))).alias("parts")
-        )  # a list is as long as its text at most
+        part = F.struct("ah", "ch", "s", "a", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))
+        wanted = todo.groupBy(F.col("k").alias("tk")).agg(F.collect_list(part).alias("parts"))  # as long as the text at most
         level = text.join(wanted, F.col("k") == F.col("tk")).select("k", "text", "parts")
         level = materialise(
             level.mapInArrow(_refine(block), "ah long, ch long, k long, s long, a int, j smallint, lo smallint, hi smallint, core long, full long"),
@@ -223,7 +242,8 @@ def spans(keyed: DataFrame) -> DataFrame:
         )
         release(spark)
         cores = level.groupBy("ah", "j", "core").agg(F.count(F.lit(1)).alias("c"), F.min("full").alias("x"), F.max("full").alias("y"))
-        cores = cores.where("c > 1").select("ah", "j", "core", (F.col("x") != F.col("y")).alias("open"))
+        cores = materialise(cores.where("c > 1").select("ah", "j", "core", (F.col("x") != F.col("y")).alias("open")), f"repeat-cores{block}")
+        release(spark)
         judged = materialise(level.join(cores, ["ah", "j", "core"]).drop("core", "full", "j"), f"repeat-judged{block}")
         drop_written(level)
         release(spark)
@@ -231,33 +251,45 @@ def spans(keyed: DataFrame) -> DataFrame:
         todo = judged.where("open").select("k", "ah", "ch", "s", "a", "lo", "hi")
 
     # Back to every segment: offset o of a segment is the string that starts at s + a - o.
-    ranges = settled.groupBy("ah", "ch").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))  # offsets: 161 at most
-    starts = mixed.join(ranges, ["ah", "ch"]).select("k", (F.col("s") + F.col("a")).alias("anchor"), F.inline("ranges"))
-    covered = starts.select("k", (F.col("anchor") - F.col("hi")).alias("b"), (F.col("anchor") - F.col("lo") + LENGTH).alias("e"))
-    plain = found.where("not mixed").select("k", F.col("s").alias("b"), (F.col("s") + F.col("n") - 1 + LENGTH).alias("e"))
-    return covered.unionByName(plain).groupBy("k").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
-
-
-def merge(ranges: list) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for b, e in sorted(ranges):
-        if out and b <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([b, e])
-    return [(b, e) for b, e in out]
-
-
-def _cut(text: str | None, ranges) -> tuple[bytes, int, int, int]:
-    """(kept bytes, bytes, removed bytes, removed runs)."""
-    b = (text or "").encode("utf-8", "surrogatepass")
-    runs = merge([(r["b"], r["e"]) for r in ranges or []])
-    kept, at = [], 0
-    for x, y in runs:
-        kept.append(b[at:x])
-        at = y
-    kept.append(b[at:])
-    return b"".join(kept), len(b), sum(y - x for x, y in runs), len(runs)
+    both = F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))
+    ranges = materialise(settled.groupBy("ah", "ch").agg(F.collect_set(both).alias("ranges")), "repeat-ranges")  # 161 at most
+    release(spark)
+    starts = mixed.join(ranges, ["ah", "ch"]).select("k", (first + offset).alias("anchor"), F.inline("ranges"))
+    covered = starts.select("k", _range(F.col("anchor") - F.col("hi"), F.col("anchor") - F.col("lo") + LENGTH).alias("v"))
+    plain = found.where("not mixed").select("k", _range(first, first + n - 1 + LENGTH).alias("v"))
+    return covered.unionByName(plain).groupBy("k").agg(F.collect_list("v").alias("spans"))
+
+
+def runs_of(packed: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, first byte, end) of the maximal runs that packed ranges of several texts cover, in order."""
+    keys = np.sort((owner.astype(np.int64) << 48) | packed)
+    owner, v = keys >> 48, keys & ((1 << 48) - 1)
+    first = (owner << 40) | (v >> 10)
+    reach = np.maximum.accumulate(first + (v & 1023))
+    new = np.concatenate(([True], first[1:] > reach[:-1]))
+    last = np.concatenate((np.nonzero(new)[0][1:] - 1, [len(keys) - 1]))
+    low = (1 << 40) - 1
+    return owner[new], first[new] & low, reach[last] & low
+
+
+def _cut(texts: list, spans) -> list[tuple[bytes, int, int, int]]:
+    """(kept bytes, bytes, removed bytes, removed runs) of each text; spans: an Arrow list column of packed ranges."""
+    out = [(t or b"", len(t or b""), 0, 0) for t in texts]
+    values = spans.flatten().to_numpy(zero_copy_only=False)
+    if not len(values):
+        return out
+    counts = spans.fill_null([]).value_lengths().to_numpy(zero_copy_only=False)
+    owner, first, end = runs_of(values, np.repeat(np.arange(len(texts)), counts))
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for i in np.unique(owner).tolist():
+        b, kept, at = texts[i], [], 0
+        x, y = first[cuts[i] : cuts[i + 1]], end[cuts[i] : cuts[i + 1]]
+        for from_, to in zip(x.tolist(), y.tolist()):
+            kept.append(b[at:from_])
+            at = to
+        kept.append(b[at:])
+        out[i] = (b"".join(kept), len(b), int((y - x).sum()), len(x))
+    return out
 
 
 def _joined(docs: DataFrame) -> DataFrame:
@@ -275,7 +307,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                rows = [_cut(t, r) for t, r in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                rows = _cut(_bytes(part.column(1)), part.column(2))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -301,13 +333,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = part.column(at).to_pylist()
-                kept = [
-                    t if not r else _cut(t, r)[0].decode("utf-8", "ignore")
-                    for t, r in zip(texts, part.column(len(names)).to_pylist())
-                ]
+                texts = _bytes(part.column(at))
+                rows = _cut(texts, part.column(len(names)))
+                kept = [None if t is None else r[0] if not r[3] else r[0].decode("utf-8", "ignore").encode() for t, r in zip(texts, rows)]
                 columns = part.columns[: len(names)]
-                columns[at] = pa.array(kept, pa.string())
+                columns[at] = pa.array(kept, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return _joined(docs).select(*names, "__spans").mapInArrow(run, docs.schema)
