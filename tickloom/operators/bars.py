@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import ORDER, SERIES, cumsum_chunked, ordered
+from tickloom.operators.windows import END, SERIES, cumsum_chunked, ordered
 
 
 def unit_bars(ticks: DataFrame, measure: Column, unit: float, name: str = "volume_size") -> DataFrame:
@@ -18,3 +18,164 @@ def unit_bars(ticks: DataFrame, measure: Column, unit: float, name: str = "volum
     step = level.withColumn("__n", F.col("__b") - F.lag("__b").over(ordered()))
     bars = step.where("__n <> 0").groupBy(*SERIES, "ts").agg(F.sum("__n").cast("long").alias(name))
     return bars
+
+
+def time_bars(ticks: DataFrame, every: str, price: str = "price", size: str = "size") -> DataFrame:
+    """OHLC, volume and count per interval, left-closed and left-labelled; the same in batch and streaming."""
+    at = F.struct("ts", "seq")
+    return (
+        ticks.groupBy(*SERIES, F.window("ts", every).alias("w"))
+        .agg(
+            F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+            F.max_by(price, at).alias("close"), F.sum(size).alias("volume"), F.count(F.lit(1)).alias("n"),
+        )
+        .select(*SERIES, F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "n")
+    )
+
+
+def quote_bars(quotes: DataFrame, every: str, size_agg=F.max) -> DataFrame:
+    """OHLC of bid and ask per interval; the size aggregate is a parameter."""
+    at, out = F.struct("ts", "seq"), []
+    for s in ("bid", "ask"):
+        out += [
+            F.min_by(s, at).alias(f"{s}_open"), F.max(s).alias(f"{s}_high"), F.min(s).alias(f"{s}_low"),
+            F.max_by(s, at).alias(f"{s}_close"), size_agg(f"{s}_size").alias(f"{s}_size"),
+        ]
+    bars = quotes.groupBy(*SERIES, F.window("ts", every).alias("w")).agg(*out)
+    return bars.withColumn("ts", F.col("w.start")).drop("w")
+
+
+def last_filled(ticks: DataFrame, every: str, value: str) -> DataFrame:
+    """Last value per interval on a gapless spine of intervals, carried forward through empty ones."""
+    bars = time_bars(ticks, every, price=value).select(*SERIES, "ts", F.col("close").alias(value))
+    ends = bars.groupBy(*SERIES).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    spine = ends.select(*SERIES, F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {every}"))).alias("ts"))
+    from tickloom.operators.windows import ffill
+
+    return spine.join(bars, [*SERIES, "ts"], "left").withColumn(value, ffill(value, order=("ts",)))
+
+
+def price_bars(ticks: DataFrame, unit: float) -> DataFrame:
+    """Prices rounded half-even to a unit, rows where that price changed, the last of each ts."""
+    rounded = ticks.withColumn("p", F.bround(F.col("price").cast("double") / unit) * unit)
+    moved = rounded.withColumn("q", F.lag("p").over(ordered())).where("p <> q")
+    return moved.groupBy(*SERIES, "ts").agg(F.max_by("p", "seq").alias("price"))
+
+
+def dollar_bars(ticks: DataFrame, amount: float) -> DataFrame:
+    """One bar per whole `amount` of notional: OHLC, counts, sizes by side, notional."""
+    notional = (F.col("price") * F.col("size")).cast("decimal(28,4)")
+    total = cumsum_chunked(ticks.withColumn("notional", notional), F.col("notional"), "__m")
+    tick = total.withColumn("volume_tick", F.floor(F.col("__m") / F.lit(amount)).cast("long"))
+    at, buy = F.struct("ts", "seq"), F.col("side") > 0
+    return tick.groupBy(*SERIES, "volume_tick").agg(
+        F.max("ts").alias("ts"), F.min_by("price", at).alias("open"), F.max("price").alias("high"),
+        F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("n"),
+        F.sum("size").alias("volume"), F.sum(F.when(buy, F.col("size")).otherwise(0)).alias("volume_buy"),
+        F.sum(F.when(~buy, F.col("size")).otherwise(0)).alias("volume_sell"), F.count_if(buy).alias("count_buy"),
+        F.count_if(~buy).alias("count_sell"), F.sum("notional").alias("notional"),
+    )
+
+
+def counters(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Counts and sums of the non-zero, negative and positive values of a group."""
+    v = F.col(value)
+    return df.groupBy(*keys).agg(
+        F.count_if(v != 0).alias("count_non_zero"), F.count_if(v < 0).alias("count_lt_zero"),
+        F.count_if(v > 0).alias("count_gt_zero"), F.sum(F.when(v > 0, v).otherwise(0)).alias("sum_gt_zero"),
+        F.sum(F.when(v < 0, v).otherwise(0)).alias("sum_lt_zero"),
+    )
+
+
+def size_delta(price: str, size: str) -> Column:
+    """Change of the size at an unchanged best price, else 0."""
+    w = ordered()
+    return F.when(F.col(price) == F.lag(price).over(w), F.col(size) - F.lag(size).over(w)).otherwise(0)
+
+
+def imbalance_per_move(ticks: DataFrame, measure: Column) -> DataFrame:
+    """Flow between price changes: rows up to and with the one before a new price form a run; the last, open run is left out."""
+    w = ordered()
+    flagged = ticks.withColumn("m", measure).withColumn("last", F.coalesce((F.lead("price").over(w) != F.col("price")).cast("int"), F.lit(0)))
+    runs = flagged.withColumn("run", F.sum("last").over(w.rowsBetween(0, END)))
+    closed = runs.where("run > 0").groupBy(*SERIES, "run").agg(F.max("ts").alias("ts"), F.sum("m").alias("m"))
+    return closed.groupBy(*SERIES, "ts").agg(F.avg("m").cast("int").alias("imbalance"))
+
+
+def sequence_bars(ticks: DataFrame, measure: Column, unit: float) -> DataFrame:
+    """Run bars: two one-sided sums; the side that reaches the unit first emits +1 or -1 and both restart at that row.
+
+    The restart depends on both sides, so this is a fold over each series, fed in sorted Arrow batches; its state is two numbers.
+    """
+    import pandas as pd
+
+    def fold(key, batches):
+        up = down = 0.0
+        for pdf in batches:
+            out = []
+            for ts, m in zip(pdf["ts"], pdf["m"]):
+                if m > 0:
+                    up += m
+                else:
+                    down -= m
+                if up >= unit or down >= unit:
+                    out.append((key[0], ts, 1 if up >= unit else -1))
+                    up = down = 0.0
+            yield pd.DataFrame(out, columns=["symbol", "ts", "sequence"])
+
+    rows = ticks.select("symbol", "ts", "seq", measure.cast("double").alias("m")).groupBy("symbol")
+    made = rows.applyInPandas(_sorted(fold), "symbol string, ts timestamp, sequence int")
+    return made.groupBy("symbol", "ts").agg(F.sum("sequence").alias("sequence")).where("sequence <> 0")
+
+
+def delta_sampling(ticks: DataFrame, value: str, delta: float) -> DataFrame:
+    """Rows where the value has drifted `delta` or more from the last row kept (the first row is kept)."""
+    import pandas as pd
+
+    def fold(key, batches):
+        last = None
+        for pdf in batches:
+            out = []
+            for row in zip(pdf["ts"], pdf["seq"], pdf["v"]):
+                if last is None or abs(row[2] - last) >= delta:
+                    last = row[2]
+                    out.append((key[0], *row))
+            yield pd.DataFrame(out, columns=["symbol", "ts", "seq", value])
+
+    rows = ticks.where(F.col(value).isNotNull()).select("symbol", "ts", "seq", F.col(value).cast("double").alias("v"))
+    return rows.groupBy("symbol").applyInPandas(_sorted(fold), f"symbol string, ts timestamp, seq long, {value} double")
+
+
+def best_prices(l2: DataFrame) -> DataFrame:
+    """Best bid and ask after each level update of a day; crossed opposite levels are dropped."""
+    import pandas as pd
+
+    def fold(key, batches):
+        books: dict[int, set] = {1: set(), -1: set()}
+        for pdf in batches:
+            out = []
+            for ts, seq, price, size, count in zip(pdf["ts"], pdf["seq"], pdf["price"], pdf["size"], pdf["count"]):
+                side = 1 if size > 0 else -1
+                if count:
+                    books[side].add(price)
+                    other = books[-side]
+                    other -= {p for p in other if (p - price) * side <= 0}
+                else:
+                    books[side].discard(price)
+                out.append((key[0], ts, seq, max(books[1], default=None), min(books[-1], default=None)))
+            yield pd.DataFrame(out, columns=["symbol", "ts", "seq", "best_bid", "best_ask"])
+
+    rows = l2.select("symbol", F.to_date("ts").alias("d"), "ts", "seq", F.col("price").cast("double").alias("price"), "size", "count")
+    schema = "symbol string, ts timestamp, seq long, best_bid double, best_ask double"
+    return rows.groupBy("symbol", "d").applyInPandas(_sorted(fold), schema)
+
+
+def _sorted(fold):
+    """A grouped function over one sorted frame from a fold over batches."""
+
+    def run(key, pdf):
+        import pandas as pd
+
+        return pd.concat(list(fold(key, [pdf.sort_values(["ts", "seq"])])), ignore_index=True)
+
+    return run

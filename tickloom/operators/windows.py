@@ -56,3 +56,79 @@ def ffill(value: str | Column, series=SERIES, order=ORDER) -> Column:
 
 def bfill(value: str | Column, series=SERIES, order=ORDER) -> Column:
     return F.first(value, ignorenulls=True).over(ordered(series, order).rowsBetween(0, END))
+
+
+def upsample(df: DataFrame, value: str, windows: list[int], aggs=("sum", "avg", "max", "min")) -> DataFrame:
+    """Rolling aggregates over the last n non-null rows, null until there are n, for every n."""
+    named = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
+    rows = df.where(F.col(value).isNotNull())
+    cols = {f"{value}_{a}_{n}": full(F.col(value), named[a](value), n, trailing(n)) for n in windows for a in aggs}
+    return rows.withColumns(cols)
+
+
+def zscore(value: str, n: int) -> Column:
+    """Population z-score over n rows; 0 until there are n."""
+    w = trailing(n)
+    z = (F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0))
+    return F.when(F.count(value).over(w) == n, z).otherwise(0.0)
+
+
+def linear_scan(df: DataFrame, a: float, b: Column, name: str, chunk: Column | None = None, series=SERIES, order=ORDER) -> DataFrame:
+    """y_t = a * y_(t-1) + b_t with y before the first row 0; parallel inside one series.
+
+    Each chunk is folded from zero; what it carries on is (a^n, its end), an associative pair. A window over the
+    few chunk rows gives each chunk's carry-in c, and row k of a chunk gets a^k * c on top.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.types import DoubleType, LongType, StructType
+
+    chunk = F.to_date("ts") if chunk is None else chunk
+    keyed = df.withColumn("__b", b.cast("double")).withColumn("__c", chunk)
+    schema = StructType(list(keyed.schema.fields)).add("__y", DoubleType()).add("__k", LongType())
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order))
+        y, out = 0.0, np.empty(len(pdf))
+        for i, x in enumerate(pdf["__b"].to_numpy()):
+            y = a * y + x
+            out[i] = y
+        return pdf.assign(__y=out, __k=np.arange(1, len(pdf) + 1))
+
+    folded = keyed.groupBy(*series, "__c").applyInPandas(fold, schema)
+    ends = folded.groupBy(*series, "__c").agg(F.max_by("__y", "__k").alias("e"), F.max("__k").alias("n"))
+    before = ordered(series, ("__c",)).rowsBetween(START, -1)
+    past = F.collect_list(F.struct("e", "n")).over(before)
+    carry = F.aggregate(past, F.lit(0.0), lambda acc, x: acc * F.pow(F.lit(a), x["n"]) + x["e"])
+    carry = ends.select(*series, "__c", carry.alias("__in"))
+    out = folded.join(carry, [*series, "__c"]).withColumn(name, F.col("__y") + F.pow(F.lit(a), F.col("__k")) * F.col("__in"))
+    return out.drop("__b", "__c", "__y", "__k", "__in")
+
+
+def islands(df: DataFrame, flag: Column, series=SERIES, order=ORDER) -> DataFrame:
+    """Runs of rows where `flag` holds: first and last ts, rows."""
+    w = ordered(series, order)
+    marked = df.withColumn("__f", flag).withColumn("__g", F.row_number().over(w))
+    inside = Window.partitionBy(*series, "__f").orderBy(*order)
+    runs = marked.withColumn("__g", F.col("__g") - F.row_number().over(inside)).where("__f")
+    return runs.groupBy(*series, "__g").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n")).drop("__g")
+
+
+def interpolate(value: str, longest_s: int) -> Column:
+    """Linear in time inside gaps whose ends are `longest_s` seconds apart at most; null in longer gaps."""
+    at = F.when(F.col(value).isNotNull(), F.unix_micros("ts"))
+    t0, t1 = F.last(at, True).over(running()), F.first(at, True).over(ordered().rowsBetween(0, END))
+    x0, x1 = ffill(value), bfill(value)
+    line = x0 + (x1 - x0) * (F.unix_micros("ts") - t0) / F.nullif(t1 - t0, F.lit(0))
+    return F.coalesce(F.col(value), F.when(t1 - t0 <= longest_s * 1_000_000, line))
+
+
+def started(df: DataFrame, columns: list[str], series=SERIES) -> DataFrame:
+    """Rows from where every column has begun to where the first one ends."""
+    spans = df.groupBy(*series).agg(
+        F.greatest(*[F.min(F.when(F.col(c).isNotNull(), F.col("ts"))) for c in columns]).alias("__a")
+        if len(columns) > 1 else F.min(F.when(F.col(columns[0]).isNotNull(), F.col("ts"))).alias("__a"),
+        F.least(*[F.max(F.when(F.col(c).isNotNull(), F.col("ts"))) for c in columns]).alias("__z")
+        if len(columns) > 1 else F.max(F.when(F.col(columns[0]).isNotNull(), F.col("ts"))).alias("__z"),
+    )
+    return df.join(spans, list(series)).where("ts BETWEEN __a AND __z").drop("__a", "__z")

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from tickloom.plans import series  # noqa: F401  registers its queries
+from tickloom.plans.registry import ORACLES, QUERIES
 
-from tickloom import views
-from tickloom.operators import bars
 
+def queries() -> dict:
+    return dict(QUERIES)
 
-def g05_volume_bars(spark, sf_dir):
-    ticks = views.frame(spark, sf_dir, views.TICKS)
-    return bars.unit_bars(ticks, F.col("side") * F.col("size"), 5)
 
-
-def queries():
-    return {"g05_volume_bars": g05_volume_bars}
-
-
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
