@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.plans import series  # noqa: F401  registers its queries
+from tickloom.plans import features, series  # noqa: F401  register their queries
 from tickloom.plans.registry import ORACLES, QUERIES
 
 
