@@ -5,7 +5,7 @@ phrases that occur in a language's text; few phrases mean little cross entropy.
 normalised phrases, phrases * log2(size of its text) / length, wins (first in code point order on ties).
 
 The automaton is followed from its root only, so one table row per state holds all moves: the next state, or,
-where no phrase goes on, the root's move and a flag that a phrase ended. Texts are cut into BLOCK-character
+where no phrase goes on, the root's move and a flag that a phrase begins. Texts are cut into BLOCK-character
 blocks, each parsed from the root, and all blocks of a batch advance together, one numpy step a character.
 Every block of the whole text counts.
 
@@ -78,7 +78,10 @@ def encode(text: str | None, table: np.ndarray) -> np.ndarray:
 
 
 def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
-    """Moves [state * width + code] of the suffix automaton: next state, or FLAG and the root's move."""
+    """Moves [state * width + code] of the suffix automaton: next state, or FLAG and the root's move.
+
+    The last state is where parsing starts and where a symbol leads that the text lacks: each symbol there begins a phrase.
+    """
     moves, link, length, last = [{}], [-1], [0], 0
     for c in codes.tolist():
         cur = len(moves)
@@ -103,14 +106,15 @@ def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.zeros((len(moves), width), dtype=np.int32)
+    start = len(moves)
+    table = np.full((start + 1, width), start, dtype=np.int32)
     for c, s in moves[0].items():
         table[:, c] = s
     table |= FLAG
     for s, m in enumerate(moves):
         for c, t in m.items():
             table[s, c] = t
-    table[:, PAD] = np.arange(len(moves))
+    table[:, PAD] = np.arange(start + 1)
     return table.ravel()
 
 
@@ -125,7 +129,7 @@ def learn(texts: dict[str, str]):
 def phrases(blocks: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Phrases of each block; blocks: [position, block] codes."""
     width = OTHER + 1 + LETTERS
-    state = np.zeros(blocks.shape[1], dtype=np.int32)
+    state = np.full(blocks.shape[1], len(moves) // width - 1, dtype=np.int32)
     count = np.zeros(blocks.shape[1], dtype=np.int32)
     for row in blocks:
         state *= width
@@ -133,7 +137,7 @@ def phrases(blocks: np.ndarray, moves: np.ndarray) -> np.ndarray:
         step = moves.take(state)
         count += step >> 30
         state = step & (FLAG - 1)
-    return count + (blocks[0] != PAD)
+    return count
 
 
 def predict(texts: list[str | None], model) -> tuple[list[str], list[float]]:

@@ -54,6 +54,15 @@ def _strings(words: Column, n: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def _salted(j: int):
+    """The j-th hash function over shingle hashes, as a lambda body of one argument."""
+    return lambda x: F.xxhash64(x, F.lit(j))
+
+
+def _ranked(j: int):
+    return lambda x: F.struct(F.xxhash64(x, F.lit(j)).alias("m"), x.alias("x"))
+
+
 def _compile(spark, templates: dict[str, str]) -> list[dict]:
     """Shingles, band minima and the shingle hashes that give them, by the same expressions as for texts."""
     values = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in templates.items()])
@@ -61,8 +70,7 @@ def _compile(spark, templates: dict[str, str]) -> list[dict]:
     rows = rows.select("name", F.array_distinct(_strings(F.col("w"), F.size("w"))).alias("shingles"), F.size("w").alias("n_words"))
     rows = rows.withColumn("h", F.transform("shingles", lambda s: F.xxhash64(s)))
     for j in range(BANDS):
-        low = F.array_min(F.transform("h", lambda x, j=j: F.struct(F.xxhash64(x, F.lit(j)).alias("m"), x.alias("x"))))
-        rows = rows.withColumn(f"b{j}", low)
+        rows = rows.withColumn(f"b{j}", F.array_min(F.transform("h", _ranked(j))))
     return [
         {
             "name": r["name"],
@@ -94,7 +102,7 @@ def _match(t: dict) -> Column:
         def bands(window: Column) -> Column:
             found = F.lit(False)
             for j, m in enumerate(t["bands"]):
-                found = found | (F.array_min(F.transform(window, lambda x, j=j: F.xxhash64(x, F.lit(j)))) == m)
+                found = found | (F.array_min(F.transform(window, _salted(j))) == m)
             return found
 
         return let(F.slice(h, s + 1, n), bands)

@@ -117,7 +117,7 @@ def mix(docs: DataFrame) -> DataFrame:
     share = F.least(F.lit(1.0), F.col("at") / F.greatest(goal.cast("double"), F.lit(1.0)))
     straight = 1 - F.col("slope")
     root = (-straight + F.sqrt(straight * straight + 4 * F.col("slope") * share)) / (2 * F.col("slope"))
-    position = F.when(F.col("slope") == 0, share).otherwise(root) + 0.0
+    position = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.col("slope") == 0, share).otherwise(root) + 0.0))
     return placed.select(
         "doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), position.alias("position")
     ).orderBy("position", "doc_id")
