@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import END, SERIES, cumsum_chunked, ordered
+from tickloom.operators.windows import SERIES, backward, cumsum_chunked, ordered
 
 
 def unit_bars(ticks: DataFrame, measure: Column, unit: float, name: str = "volume_size") -> DataFrame:
@@ -97,7 +97,7 @@ def imbalance_per_move(ticks: DataFrame, measure: Column) -> DataFrame:
     """Flow between price changes: rows up to and with the one before a new price form a run; the last, open run is left out."""
     w = ordered()
     flagged = ticks.withColumn("m", measure).withColumn("last", F.coalesce((F.lead("price").over(w) != F.col("price")).cast("int"), F.lit(0)))
-    runs = flagged.withColumn("run", F.sum("last").over(w.rowsBetween(0, END)))
+    runs = flagged.withColumn("run", F.sum("last").over(backward()))
     closed = runs.where("run > 0").groupBy(*SERIES, "run").agg(F.max("ts").alias("ts"), F.sum("m").alias("m"))
     return closed.groupBy(*SERIES, "ts").agg(F.avg("m").cast("int").alias("imbalance"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import END, START
+from tickloom.operators.windows import START
 
 
 def outer_on_ts(parts: dict[str, DataFrame], value: str) -> DataFrame:
@@ -40,8 +40,8 @@ def interval_bin(rows: DataFrame, ends: DataFrame, by: list[str], label: str) ->
     """The label of the interval (previous end, end] that holds each row; rows after the last end are left out."""
     e = ends.select(*by, "ts", F.col(label).alias("__l")).withColumn("__o", F.lit(1))
     both = rows.withColumn("__o", F.lit(0)).unionByName(e, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("ts", "__o").rowsBetween(0, END)
-    out = both.withColumn(label, F.first("__l", ignorenulls=True).over(w))
+    w = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("__o")).rowsBetween(START, 0)
+    out = both.withColumn(label, F.last("__l", ignorenulls=True).over(w))
     return out.where(F.col("__o") == 0).where(F.col(label).isNotNull()).select(*rows.columns, label)
 
 

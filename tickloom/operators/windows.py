@@ -54,8 +54,13 @@ def ffill(value: str | Column, series=SERIES, order=ORDER) -> Column:
     return F.last(value, ignorenulls=True).over(running(series, order))
 
 
+def backward(series=SERIES, order=ORDER):
+    """From the current row to the last one, as a running frame of the reversed order: one pass, not one per row."""
+    return Window.partitionBy(*series).orderBy(*[F.desc(c) for c in order]).rowsBetween(START, 0)
+
+
 def bfill(value: str | Column, series=SERIES, order=ORDER) -> Column:
-    return F.first(value, ignorenulls=True).over(ordered(series, order).rowsBetween(0, END))
+    return F.last(value, ignorenulls=True).over(backward(series, order))
 
 
 def upsample(df: DataFrame, value: str, windows: list[int], aggs=("sum", "avg", "max", "min")) -> DataFrame:
@@ -117,7 +122,7 @@ def islands(df: DataFrame, flag: Column, series=SERIES, order=ORDER) -> DataFram
 def interpolate(value: str, longest_s: int) -> Column:
     """Linear in time inside gaps whose ends are `longest_s` seconds apart at most; null in longer gaps."""
     at = F.when(F.col(value).isNotNull(), F.unix_micros("ts"))
-    t0, t1 = F.last(at, True).over(running()), F.first(at, True).over(ordered().rowsBetween(0, END))
+    t0, t1 = F.last(at, True).over(running()), F.last(at, True).over(backward())
     x0, x1 = ffill(value), bfill(value)
     line = x0 + (x1 - x0) * (F.unix_micros("ts") - t0) / F.nullif(t1 - t0, F.lit(0))
     return F.coalesce(F.col(value), F.when(t1 - t0 <= longest_s * 1_000_000, line))

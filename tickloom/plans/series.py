@@ -6,19 +6,23 @@ from pyspark.sql import functions as F
 
 from tickloom import views
 from tickloom.operators import bars, joins, windows
-from tickloom.operators.windows import END, bfill, ffill, ordered, running, trailing
+from tickloom.operators.windows import bfill, ffill, ordered, running, trailing
 from tickloom.plans.registry import query, rounded, table_query
 
 W = "PARTITION BY symbol ORDER BY ts, seq"
 OHLC = """round(CAST(first({p} ORDER BY ts, seq) AS DOUBLE), 6) AS open, round(CAST(max({p}) AS DOUBLE), 6) AS high,
 round(CAST(min({p}) AS DOUBLE), 6) AS low, round(CAST(last({p} ORDER BY ts, seq) AS DOUBLE), 6) AS close"""
-FLOW = F.col("side") * F.col("size")
 
 
 def r(x: str, name: str) -> str:
     return f"round(CAST({x} AS DOUBLE), 6) + 0.0 AS {name}"
 
 
+def flow():
+    """Signed size."""
+    return F.col("side") * F.col("size")
+
+
 def with_price(df):
     return df.withColumn("p", F.col("price").cast("double"))
 
@@ -65,7 +69,7 @@ SELECT symbol, ts, CAST(sum(n) AS BIGINT) AS volume_size FROM d WHERE n <> 0 GRO
 
 @query("g05_volume_bars", "ticks", _unit_sql("side * size", 5))
 def g05(t):
-    return bars.unit_bars(t, FLOW, 5)
+    return bars.unit_bars(t, flow(), 5)
 
 
 @query("g05_volume_bars_buy", "ticks", _unit_sql("CASE WHEN side > 0 THEN size ELSE 0 END", 20))
@@ -75,12 +79,12 @@ def g05_buy(t):
 
 @query("g06_imbalance_bars", "ticks", _unit_sql("side * size * price", 1000))
 def g06(t):
-    return bars.unit_bars(t, FLOW * F.col("price"), 1000)
+    return bars.unit_bars(t, flow() * F.col("price"), 1000)
 
 
 @query("g07_sequence_bars", "ticks")
 def g07(t):
-    return bars.sequence_bars(t, FLOW, 20.0)
+    return bars.sequence_bars(t, flow(), 20.0)
 
 
 @query("g08_dollar_bars", "ticks", f"""WITH c AS (SELECT *, CAST(floor(sum(CAST(price * size AS DECIMAL(28,4))) OVER ({W}) / 5000) AS BIGINT) AS volume_tick FROM ticks)
@@ -96,7 +100,7 @@ def g08(t):
 count(*) FILTER (m > 0) AS count_gt_zero, {r('sum(CASE WHEN m > 0 THEN m ELSE 0 END)', 'sum_gt_zero')}, {r('sum(CASE WHEN m < 0 THEN m ELSE 0 END)', 'sum_lt_zero')}
 FROM (SELECT *, side * size AS m FROM ticks) GROUP BY symbol""")
 def g10(t):
-    return rounded(bars.counters(t.withColumn("m", FLOW), ["symbol"], "m"))
+    return rounded(bars.counters(t.withColumn("m", flow()), ["symbol"], "m"))
 
 
 @query("g11_size_delta", "quotes", f"""SELECT symbol, ts, seq, CAST(CASE WHEN bid = lag(bid) OVER ({W}) THEN bid_size - lag(bid_size) OVER ({W}) ELSE 0 END AS BIGINT) AS delta FROM quotes""")
@@ -117,7 +121,7 @@ b AS (SELECT *, sum(f) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWIN
 c AS (SELECT symbol, run, max(ts) AS ts, sum(m) AS m FROM b WHERE run > 0 GROUP BY symbol, run)
 SELECT symbol, ts, CAST(trunc(avg(m)) AS INT) AS imbalance FROM c GROUP BY symbol, ts""")
 def g13(t):
-    return bars.imbalance_per_move(t, FLOW)
+    return bars.imbalance_per_move(t, flow())
 
 
 @query("g14_last_per_level", "l2", """SELECT symbol, ts, CAST(sign(size) AS INT) AS side, CAST(price AS DOUBLE) AS price,
@@ -213,7 +217,7 @@ def b11(t):
     cols = []
     for n in _SIZES:
         w = trailing(n)
-        cols += [F.count_if(F.col("side") > 0).over(w).alias(f"buys_{n}"), F.sum("side").over(w).alias(f"net_count_{n}"), F.sum(FLOW).over(w).alias(f"net_size_{n}")]
+        cols += [F.count_if(F.col("side") > 0).over(w).alias(f"buys_{n}"), F.sum("side").over(w).alias(f"net_count_{n}"), F.sum(flow()).over(w).alias(f"net_size_{n}")]
     return rounded(t.select("symbol", "ts", "seq", *cols))
 
 
@@ -229,7 +233,7 @@ def b12(t):
 
 @query("w01_cumulative_sum", "ticks", f"SELECT symbol, ts, seq, {r(f'sum(side * size) OVER ({W})', 'total')} FROM ticks")
 def w01(t):
-    return rounded(windows.cumsum_chunked(t, FLOW, "total").select("symbol", "ts", "seq", "total"))
+    return rounded(windows.cumsum_chunked(t, flow(), "total").select("symbol", "ts", "seq", "total"))
 
 
 _UP = (1, 4, 16)
