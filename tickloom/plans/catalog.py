@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.plans import exits, features, series  # noqa: F401  register their queries
+from tickloom.plans import exits, features, series, training  # noqa: F401  register their queries
 from tickloom.plans.registry import ORACLES, QUERIES
 
 
