@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.windows import full, ordered, running, trailing
@@ -102,3 +102,21 @@ def ad_step(h: str, lo: str, c: str, volume: str) -> Column:
 
 def cumulative(step: str) -> Column:
     return F.sum(step).over(running())
+
+
+def with_mfi(df: DataFrame, h: str, lo: str, c: str, volume: str, n: int, name: str = "mfi") -> DataFrame:
+    """Money flow index: share of rising typical prices in the notional of n rows, in percent; the first row has no direction."""
+    w, typical = trailing(n), (F.col(h) + F.col(lo) + F.col(c)) / 3
+    x = df.withColumn("__t", typical).withColumn("__d", F.col("__t") - F.lag("__t").over(ordered()))
+    flow = F.when(F.col("__d") != 0, F.col("__t") * F.col(volume)).when(F.col("__d") == 0, 0.0)
+    up = F.when(F.col("__d") > 0, flow).when(F.col("__d").isNotNull(), 0.0)
+    value = F.when(F.count(flow).over(w) == n, F.coalesce(100 * F.sum(up).over(w) / F.nullif(F.sum(flow).over(w), F.lit(0.0)), F.lit(0.0)))
+    return x.withColumn(name, value).drop("__t", "__d")
+
+
+def regression(y: str, x: str, n: int) -> tuple[Column, Column]:
+    """Slope and fitted value at the current row of y on x over n rows."""
+    w = trailing(n)
+    ready = F.count(y).over(w) == n
+    slope, base = F.regr_slope(y, x).over(w), F.regr_intercept(y, x).over(w)
+    return F.when(ready, slope), F.when(ready, base + slope * F.col(x))

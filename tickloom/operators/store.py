@@ -58,3 +58,15 @@ def watermark(loaded: DataFrame, source: DataFrame, by: list[str], lag_hours: in
     there = source.groupBy(*by).agg(F.max("ts").alias("available"))
     gap = F.unix_timestamp("available") - F.unix_timestamp("loaded")
     return there.join(have, by, "left").where(F.col("loaded").isNull() | (gap >= lag_hours * 3600))
+
+
+def points(df: DataFrame, ids: list[str], fields: list[str], tags: dict[str, Column]) -> DataFrame:
+    """A wide frame as points (ts, value, tags): one for each field that is not null, the field's name among the tags."""
+    long = df.unpivot(ids, fields, "__f", "value").where(F.col("value").isNotNull())
+    pairs = [x for k, v in tags.items() for x in (F.lit(k), v)]
+    return long.select("ts", "value", F.create_map(*pairs, F.lit("field"), F.col("__f")).alias("tags"))
+
+
+def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once; must be empty before bars are stored."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
