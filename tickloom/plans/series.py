@@ -436,11 +436,11 @@ def j08(spark, sf_dir):
     return rounded(joins.pad_missing(q.select("symbol", "ts", "bid"), t, ["symbol"]))
 
 
-@query("j10_first_touch", "ticks", """WITH e AS (SELECT seq AS id, symbol, ts, ts + INTERVAL 2 HOUR AS "end", price AS p0, side FROM ticks WHERE seq % 97 = 0),
+@query("j10_first_touch", "ticks", """WITH e AS (SELECT seq AS id, symbol, ts, ts + INTERVAL 2 HOUR AS "end", price AS p0, side FROM ticks),
 h AS (SELECT id, c.ts, c.seq, row_number() OVER (PARTITION BY id ORDER BY c.ts, c.seq) AS i FROM e JOIN ticks c ON c.symbol = e.symbol AND c.ts > e.ts AND c.ts <= e."end" AND (c.price - p0) * e.side >= 20)
 SELECT e.id, e.symbol, e.ts, h.ts AS touch_ts, h.seq AS touch_seq FROM e LEFT JOIN h ON h.id = e.id AND i = 1""")
 def j10(t):
-    e = t.where("seq % 97 = 0").select(F.col("seq").alias("id"), "symbol", "ts", (F.col("ts") + F.expr("INTERVAL 2 HOUR")).alias("end"), F.col("price").alias("p0"), F.col("side").alias("direction"))
+    e = t.select(F.col("seq").alias("id"), "symbol", "ts", (F.col("ts") + F.expr("INTERVAL 2 HOUR")).alias("end"), F.col("price").alias("p0"), F.col("side").alias("direction"))
     rule = (F.col("price") - F.col("p0")) * F.col("direction") >= 20
     return joins.first_touch(e, t.select("symbol", "ts", "seq", "price"), rule, ["symbol"]).select("id", "symbol", "ts", "touch_ts", "touch_seq")
 

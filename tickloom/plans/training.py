@@ -162,10 +162,11 @@ def g24(t):
     return evaluation.dickey_fuller(x, ["symbol"], "d", "q").withColumn("t", F.round("t", 4))
 
 
-@query("g26_ensemble_average", "ticks", """SELECT symbol, date_trunc('hour', ts) AS ts, round(avg(CAST(price AS DOUBLE)), 6) AS mean, round(CAST(sum(price * size) AS DOUBLE) / CAST(sum(size) AS DOUBLE), 6) AS weighted FROM ticks GROUP BY 1, 2""")
+@query("g26_ensemble_average", "ticks", """SELECT symbol, date_trunc('hour', ts) AS ts, round(avg(CAST(price AS DOUBLE)), 9) AS mean, round(CAST(sum(price * size) AS DOUBLE) / CAST(sum(size) AS DOUBLE), 9) AS weighted FROM ticks GROUP BY 1, 2""")
 def g26(t):
     p, w = F.col("price").cast("double"), F.col("size").cast("double")
-    return rounded(t.groupBy("symbol", F.date_trunc("hour", "ts").alias("ts")).agg(F.avg(p).alias("mean"), (F.sum(p * w) / F.sum(w)).alias("weighted")))
+    mean, weighted = F.round(F.avg(p), 9).alias("mean"), F.round(F.sum(p * w) / F.sum(w), 9).alias("weighted")
+    return t.groupBy("symbol", F.date_trunc("hour", "ts").alias("ts")).agg(mean, weighted)
 
 
 # ---- joins for training frames ----------------------------------------------------------------------------
