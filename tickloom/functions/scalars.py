@@ -36,3 +36,37 @@ def interactions(columns: list[str]) -> dict[str, Column]:
 
 def synthetic_quotes(price: str, spread: float) -> dict[str, Column]:
     return {"bid": F.col(price) - spread / 2, "ask": F.col(price) + spread / 2}
+
+
+def precision_and_scale(x: str, digits: int = 14) -> tuple[Column, Column]:
+    """Decimal digits of a number, all and after the point, read at `digits` digits."""
+    whole = F.floor(F.abs(x)).cast("long")
+    magnitude = F.length(whole.cast("string"))
+    unit = F.pow(F.lit(10.0), F.greatest(digits - magnitude, F.lit(0)))
+    fraction = (unit + F.floor(unit * (F.abs(x) - whole) + 0.5)).cast("long").cast("string")
+    scale = F.when(magnitude >= digits, 0).otherwise(F.length(F.rtrim(fraction, F.lit("0"))) - 1)
+    return magnitude + scale, scale
+
+
+def lineage(name: str) -> tuple[Column, Column, Column]:
+    """Tags, window and aggregator of a curve name of `key-value` items joined by `|`; settings of the curve are no tags."""
+    settings = ["aggWindow", "aggAggregator", "levels", "unit_size", "alpha"]  # fixed values
+    item = lambda s: F.struct(F.substring_index(s, "-", 1).alias("key"), F.regexp_replace(F.regexp_extract(s, "-(.*)$", 1), "_(book|bars)$", " $1").alias("value"))
+    items = F.filter(F.split(name, r"\|"), lambda s: ~F.substring_index(s, "-", 1).isin(settings))
+    window = F.regexp_extract(name, r"aggWindow-(\d+)", 1).try_cast("int")
+    return F.map_from_entries(F.transform(items, item)), window, F.nullif(F.regexp_extract(name, r"aggAggregator-(\w+)", 1), F.lit(""))
+
+
+def at_seconds(day: Column, seconds: Column) -> Column:
+    """A day and seconds of it as a timestamp, to the millisecond, halves to even."""
+    return F.timestamp_millis(F.unix_millis(day.cast("timestamp")) + F.bround(seconds * 1000).cast("long"))
+
+
+def to_features(df, features: list[str]):
+    """The columns of a model in its order; a missing one is null."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in features])
+
+
+def relative(x: Column, base: Column) -> Column:
+    """Change relative to the base; null where that is 0."""
+    return x / F.nullif(base, F.lit(0.0)) - 1
