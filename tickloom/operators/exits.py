@@ -131,3 +131,112 @@ def portfolio_side(orders: DataFrame, strategy: str, order: str, direction: str,
     side = F.when(stopped, F.lit(0)).otherwise(F.col(direction))
     out = orders.withColumn("side", side).withColumn("__b", F.coalesce(F.lag(side).over(w), F.lit(0)))
     return out.withColumn("may_enter", F.col("__b") != F.col(direction)).drop("__b")
+
+
+def _bucketed(rows: DataFrame, n: int) -> DataFrame:
+    w = Window.partitionBy("id").orderBy("ts", "seq")
+    return rows.withColumn("ix", F.row_number().over(w) - 1).withColumn("__k", F.floor(F.col("ix") / n).cast("long"))
+
+
+def twin_peaks(curves: DataFrame, n: int, giveback_rel: float, price: str = "price") -> DataFrame:
+    """Per trade the first exit at a second peak worse than the one before it.
+
+    Peaks are those of the mean price of whole buckets of n rows, in the trade's direction: above the bucket before, not under the one
+    after. The exit is the first row after the bucket that confirms the peak, if the trade has given back over `giveback_rel`
+    of its entry price there. Trades without one have nulls.
+    """
+    rows = _bucketed(curves, n)
+    means = rows.groupBy("id", "__k").agg(F.avg(F.col(price) * F.col("direction")).alias("m"), F.count(F.lit(1)).alias("c")).where(F.col("c") == n)
+    w = Window.partitionBy("id").orderBy("__k")
+    peak = (F.col("m") > F.lag("m").over(w)) & (F.col("m") >= F.lead("m").over(w))
+    peaks = means.withColumn("__p", peak).where("__p").withColumn("__before", F.lag("m").over(w))
+    lower = peaks.where(F.col("m") < F.col("__before")).select("id", ((F.col("__k") + 2) * n).alias("ix"))
+    at = rows.where(F.col("giveback") > giveback_rel * F.col("p0")).join(lower, ["id", "ix"])
+    first = at.groupBy("id").agg(F.min(F.struct("ts", "seq")).alias("__e")).select("id", F.col("__e.ts").alias("exit_ts"), F.col("__e.seq").alias("exit_seq"))
+    return curves.select("id").distinct().join(first, "id", "left")
+
+
+def dip_and_return(rows: DataFrame, value: Column, level: Column, wait: int) -> DataFrame:
+    """Per trade: the first row whose value is under the level, the first row `wait` rows later or after that where it is above it again,
+    and the row of the least value from the dip up to there (the earliest on ties). Trades that do not return have no least row."""
+    r = _bucketed(rows, 1).withColumns({"__v": value, "__l": level}).select("id", "ts", "ix", "__v", "__l")
+    dip = r.groupBy("id").agg(F.min(F.when(F.col("__v") < F.col("__l"), F.col("ix"))).alias("dip_ix"))
+    r = r.join(dip, "id")
+    back = r.groupBy("id").agg(F.min(F.when((F.col("ix") >= F.col("dip_ix") + wait) & (F.col("__v") > F.col("__l")), F.col("ix"))).alias("back_ix"))
+    r = r.join(back, "id")
+    inside = (F.col("ix") >= F.col("dip_ix")) & (F.col("ix") < F.col("back_ix"))
+    return r.groupBy("id").agg(F.first("dip_ix").alias("dip_ix"), F.first("back_ix").alias("back_ix"), F.min_by("ix", F.when(inside, F.struct("__v", "ix"))).alias("least_ix"), F.min_by("ts", F.when(inside, F.struct("__v", "ix"))).alias("least_ts"))
+
+
+def peaks(rows: DataFrame, value: str, height: float, distance: int, prominence: float) -> DataFrame:
+    """Local maxima of each trade: strict against both sides, at least `height`, the higher of two closer than `distance` rows (the later
+    on ties), with a prominence of `prominence` or more. Prominence is the height over the higher of the two lowest values between the
+    peak and the next greater value on each side, or the end. One group is what one trade holds."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.types import StructType
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "seq"])
+        x = pdf["v"].to_numpy()
+        at = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:]) & (x[1:-1] >= height)) + 1
+        alive = np.ones(len(at), bool)
+        for i in np.lexsort((at, x[at]))[::-1]:
+            if alive[i]:
+                alive &= (np.abs(at - at[i]) >= distance) | (at == at[i])
+        at, out = at[alive], []
+        for p in at:
+            left, right = np.flatnonzero(x[:p] > x[p]), np.flatnonzero(x[p + 1 :] > x[p])
+            a, z = (left[-1] + 1 if len(left) else 0), (p + 1 + right[0] if len(right) else len(x))
+            out.append(x[p] - max(x[a : p + 1].min(), x[p:z].min()))
+        out = np.array(out, float)
+        return pdf.iloc[at][["id", "ts", "seq", "v"]].assign(prominence=out)[out >= prominence]
+
+    x = rows.where(F.col(value).isNotNull()).select("id", "ts", "seq", F.col(value).cast("double").alias("v"))
+    return x.groupBy("id").applyInPandas(find, StructType(list(x.schema.fields)).add("prominence", "double")).withColumnRenamed("v", value)
+
+
+def orders_of_executions(executions: DataFrame, by: str, order: list[str], passive: str) -> DataFrame:
+    """Executions as orders: passive buys enter, other sales exit; funding is left out.
+
+    Passive sales and other buys are left out too, unless a passive one follows a passive one: a reversal, which takes the quantity
+    of the execution before it and exits. A passive buy after a passive execution takes that one's quantity as well.
+    """
+    w = Window.partitionBy(by).orderBy(*order)
+    is_passive = F.coalesce(F.col("exec_inst") == passive, F.lit(False))
+    rows = executions.withColumns({"__p": is_passive, "__pp": F.coalesce(F.lag(is_passive).over(w), F.lit(False)), "__q": F.lag("quantity").over(w)})
+    again, buy = F.col("__p") & F.col("__pp"), F.col("side") == "Buy"
+    odd = F.col("__p") != buy
+    rows = rows.where(~F.coalesce(F.col("text") == "Funding", F.lit(False))).where(~odd | again)
+    entry = F.col("__p") & ~odd
+    rows = rows.withColumn("quantity", F.when(again, F.col("__q")).otherwise(F.col("quantity")))
+    return rows.withColumns({
+        "direction": F.when(buy, 1).otherwise(-1), "timing": F.when(entry, "entry").otherwise("exit"),
+        "fee": F.col("commission") * F.col("quantity") * F.col("price"), "quantity": F.when(buy, F.col("quantity")).otherwise(-F.col("quantity")),
+    }).drop("__p", "__pp", "__q")
+
+
+def not_overlapping(trades: DataFrame, by: list[str], mark: Column | None = None) -> DataFrame:
+    """The trades of a strategy that are taken one after another: each starts after the end of the last one taken; rows before
+    `mark` are left out.
+
+    Trades that overlap nothing before them start a new island (a window finds them); the ordered fold runs inside islands only, so
+    a strategy is as parallel as it has pauses.
+    """
+    import pandas as pd
+
+    rows = trades if mark is None else trades.where(F.col("ts") >= mark)
+    w = Window.partitionBy(*by).orderBy("ts", "id")
+    new = F.coalesce(F.col("ts") > F.max("end").over(w.rowsBetween(START, -1)), F.lit(True))
+    rows = rows.withColumn("__new", new.cast("int")).withColumn("__island", F.sum("__new").over(w.rowsBetween(START, 0))).drop("__new")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "id"])
+        keep, free = [], None
+        for ts, end in zip(pdf["ts"], pdf["end"]):
+            take = free is None or ts > free
+            keep.append(take)
+            free = end if take else free
+        return pdf[keep]
+
+    return rows.groupBy(*by, "__island").applyInPandas(fold, rows.schema).drop("__island")

@@ -75,3 +75,24 @@ def score_distinct(df: DataFrame, features: list[str], score: Column, name: str
     states = df.select(*features).distinct().select(*[F.col(c).alias(f"__{c}") for c in features], score.alias(name))
     on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in features]
     return df.join(states, on, "left").drop(*[f"__{c}" for c in features])
+
+
+def aligned(parts: dict[str, DataFrame], by: list[str]) -> DataFrame:
+    """Rows of many curves on the keys they share, with each part's number of rows; equal where no curve lacks a key. One union, one aggregation.
+
+    A key must be unique in each part: `ok` is false where one repeats.
+    """
+    out, aggs = None, []
+    for name, df in parts.items():
+        rows = df.select(*by, F.lit(name).alias("__p"), F.struct(*[c for c in df.columns if c not in by]).alias(f"__{name}"))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        aggs.append(F.first(f"__{name}", ignorenulls=True).alias(f"__{name}"))
+    joined = out.groupBy(*by).agg(F.count_distinct("__p").alias("__n"), F.count(F.lit(1)).alias("__m"), *aggs).where(F.col("__n") == len(parts))
+    cols = [F.col(f"__{name}.{c}").alias(c) for name, df in parts.items() for c in df.columns if c not in by]
+    return joined.select(*by, *cols, (F.col("__m") == len(parts)).alias("ok"))
+
+
+def stored_or(rows: DataFrame, stored: DataFrame, by: list[str], value: str, compute) -> DataFrame:
+    """Rows with their stored value; `compute` (a function of a DataFrame) scores only the rows that have none."""
+    known = rows.join(stored.select(*by, value), by).withColumn("stored", F.lit(True))
+    return known.unionByName(compute(rows.join(stored, by, "left_anti")).withColumn("stored", F.lit(False)))

@@ -63,7 +63,7 @@ def fill_spread(df: DataFrame) -> DataFrame:
 
 
 def from_trades(df: DataFrame) -> DataFrame:
-    """Ticks with one-sided trades and no quote take that side's quote prices and removed size from the trade."""
+    """Ticks with one-sided trades and no quote take that side's quote prices and removed size from the trade; its size is 0."""
     none = F.col("bid_close").isNull() & F.col("ask_close").isNull()
     sold = none & (F.col("volume_sell") > 0) & (F.col("volume_buy") == 0)
     bought = none & (F.col("volume_buy") > 0) & (F.col("volume_sell") == 0)
@@ -71,6 +71,27 @@ def from_trades(df: DataFrame) -> DataFrame:
     for side, test, volume in (("bid", sold, "volume_sell"), ("ask", bought, "volume_buy")):
         cols |= {f"{side}_{c}": F.when(test, F.col(c)).otherwise(F.col(f"{side}_{c}")) for c in ("open", "high", "low", "close")}
         cols[f"{side}_size_removed"] = F.when(test, F.col(volume)).otherwise(F.col(f"{side}_size_removed"))
+        cols[f"{side}_size"] = F.when(test, 0).otherwise(F.col(f"{side}_size"))
+    return df.withColumns(cols)
+
+
+ADDED = ("bid_size_added", "bid_size_added_count", "ask_size_added", "ask_size_added_count")
+
+
+def added_defaults(df: DataFrame) -> DataFrame:
+    """Added sizes and counts that are null are 0."""
+    return df.fillna({c: 0 for c in ADDED if c in df.columns})
+
+
+def removed_by_trades(df: DataFrame) -> DataFrame:
+    """Where there are trades and no quote, a buy's volume and count are removed from the ask, a sale's from the bid; quote sizes
+    are carried forward in ticks that have trades."""
+    trade, none = F.col("n").isNotNull(), F.col("bid_close").isNull() & F.col("ask_close").isNull()
+    cols = {}
+    for side, flow in (("ask", "buy"), ("bid", "sell")):
+        cols[f"{side}_size_removed"] = F.when(trade & none, F.col(f"volume_{flow}")).otherwise(F.col(f"{side}_size_removed"))
+        cols[f"{side}_size_removed_count"] = F.when(trade & none, F.col(f"count_{flow}")).otherwise(F.col(f"{side}_size_removed_count"))
+        cols[f"{side}_size"] = F.coalesce(f"{side}_size", F.when(trade, ffill(F.when(trade, F.col(f"{side}_size")), order=ORDER)))
     return df.withColumns(cols)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.plans import exits, features, selection, series, shaping, training  # noqa: F401  register their queries
+from tickloom.plans import exits, features, held, selection, series, shaping, training  # noqa: F401  register their queries
 from tickloom.plans.registry import ORACLES, QUERIES
 
 

@@ -42,6 +42,8 @@ def oracle(body: str) -> str:
     used = [f"{n} AS ({views.sql(v)})" for n, v in NAMED.items() if n in body]
     head = "WITH " + ", ".join(used) if used else ""
     body = body.strip()
+    if head and body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head[5:]}, {body[15:]}"
     if head and body.upper().startswith("WITH "):
         return f"{head}, {body[5:]}"
     return f"{head} {body}"

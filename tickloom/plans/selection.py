@@ -33,10 +33,11 @@ def g19(t):
     return selection.best_per_key(x, "key", [F.col("price"), F.col("seq")], (F.col("size") >= 3) & (F.col("price") > 150)).drop("key")
 
 
+CENTS = [p / 100 for p in range(1, 100)]
 USERS = "u AS (SELECT user_id, avg(value) AS a, CAST(count(*) AS DOUBLE) AS b FROM events GROUP BY user_id)"
 
 
-@table_query("g21_joint_percentile", f"""WITH {USERS}, p AS (SELECT unnest(range(1, 100)) AS p), q AS (SELECT quantile_cont(a, list_transform(range(1, 100), x -> x / 100)) AS qa, quantile_cont(b, list_transform(range(1, 100), x -> x / 100)) AS qb FROM u),
+@table_query("g21_joint_percentile", f"""WITH {USERS}, p AS (SELECT unnest(range(1, 100)) AS p), q AS (SELECT quantile_cont(a, {CENTS}) AS qa, quantile_cont(b, {CENTS}) AS qb FROM u),
 n AS (SELECT p, count(*) AS n FROM u, q, p WHERE a > qa[p] AND b > qb[p] GROUP BY p) SELECT CAST(coalesce(max(p) FILTER (n > 5), 1) AS INT) AS level FROM n""")
 def g21(spark, sf_dir):
     u = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.avg("value").alias("a"), F.count(F.lit(1)).cast("double").alias("b"))
