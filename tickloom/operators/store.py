@@ -70,3 +70,87 @@ def points(df: DataFrame, ids: list[str], fields: list[str], tags: dict[str, Col
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once; must be empty before bars are stored."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
+def without(df: DataFrame, predicate: Column, start, stop) -> DataFrame:
+    """Rows but those that match the predicate in [start, stop); a null predicate does not match."""
+    hit = F.coalesce(predicate, F.lit(False)) & (F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(stop).cast("timestamp"))
+    return df.where(~hit)
+
+
+def retagged(series: DataFrame, measurement: str, remove: list[str]) -> DataFrame:
+    """A measurement with fewer tags; points that then share a time and tags become one, the greatest."""
+    mine = F.col("tags")["measurement"] == measurement
+    fewer = series.where(mine).withColumn("tags", F.map_filter("tags", lambda k, v: ~k.isin(remove)))
+    one = fewer.withColumn("__id", series_id()).groupBy("__id", "ts").agg(F.max("value").alias("value"), F.first("tags").alias("tags"))
+    return series.where(~F.coalesce(mine, F.lit(False))).select("ts", "value", "tags").unionByName(one.select("ts", "value", "tags"))
+
+
+def prediction_points(df: DataFrame, model: str, fields: list[str]) -> DataFrame:
+    """Predictions as points, one series per model and field."""
+    return points(df, ["ts", model], fields, {"measurement": F.lit("prediction"), "model": F.col(model)})
+
+
+def label_points(df: DataFrame, label: str, asset: str) -> DataFrame:
+    """Labels above 0 as points."""
+    return points(df.where(F.col(label) > 0), ["ts", asset], [label], {"measurement": F.lit("label"), "asset": F.col(asset)})
+
+
+def write_experiment(predictions: DataFrame, path: str) -> None:
+    """Predictions by experiment and stage; a stage that is written again replaces what was there."""
+    predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ex", "stage").parquet(path)
+
+
+def between(df: DataFrame, start, stop) -> DataFrame:
+    return df.where(F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(stop).cast("timestamp")))
+
+
+def snapshots(df: DataFrame, by: str, member: str) -> DataFrame:
+    """Sorted members of each date."""
+    return df.groupBy(by).agg(F.array_sort(F.collect_set(member)).alias("members"))
+
+
+def memberships(df: DataFrame, by: str, member: str) -> DataFrame:
+    """Dated rows of members as spells: from the first to the last of the dates, of all there are, that follow each other."""
+    from pyspark.sql import Window
+
+    dates = df.select(by).distinct().withColumn("__d", F.row_number().over(Window.orderBy(by)))  # one row a date
+    rows = df.select(by, member).distinct().join(F.broadcast(dates), by)
+    rows = rows.withColumn("__g", F.col("__d") - F.row_number().over(Window.partitionBy(member).orderBy(by)))
+    return rows.groupBy(member, "__g").agg(F.min(by).alias("since"), F.max(by).alias("until")).drop("__g")
+
+
+def factor_rows(df: DataFrame, by: str, date: str, factor: str, last_date: str) -> DataFrame:
+    """Factors of series that are not flat, each closed by a row of factor 1 at a late date."""
+    w = df.groupBy(by).agg(F.min(factor).alias("__a"), F.max(factor).alias("__z")).where("__a <> __z").select(by)
+    rows = df.select(by, date, factor).join(w, by, "left_semi")
+    return rows.unionByName(w.select(by, F.lit(last_date).cast("date").alias(date), F.lit(1.0).alias(factor)))
+
+
+def first_per_key(pages: list[DataFrame], key: str) -> DataFrame:
+    """All rows of the pages, the first of each key by page, then by the whole row."""
+    out = None
+    for i, page in enumerate(pages):
+        rows = page.withColumn("__p", F.lit(i))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    rest = [c for c in out.columns if c not in (key, "__p")]
+    best = out.groupBy(key).agg(F.min(F.struct("__p", *rest)).alias("__b"))
+    return best.select(key, *[F.col(f"__b.{c}").alias(c) for c in rest])
+
+
+def aliased_copy(df: DataFrame, symbol: str, alias: str) -> DataFrame:
+    """The rows, and a symbol's rows under its alias for the days on which the alias has none."""
+    have = df.where(F.col("symbol") == alias).select(F.to_date("ts").alias("__d")).distinct()
+    copy = df.where(F.col("symbol") == symbol).withColumns({"__d": F.to_date("ts"), "symbol": F.lit(alias)}).join(have, "__d", "left_anti")
+    return df.unionByName(copy.drop("__d"))
+
+
+def normaliser(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Smallest and largest value of each column, one row each, in one pass."""
+    long = df.agg(F.array(*[F.struct(F.lit(c).alias("col"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in columns]).alias("__x"))
+    return long.select(F.inline("__x"))
+
+
+def widened(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A stored normaliser brought up to date with new extremes."""
+    return old.unionByName(new).groupBy("col").agg(F.min("min").alias("min"), F.max("max").alias("max"))
