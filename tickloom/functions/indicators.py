@@ -120,3 +120,67 @@ def regression(y: str, x: str, n: int) -> tuple[Column, Column]:
     ready = F.count(y).over(w) == n
     slope, base = F.regr_slope(y, x).over(w), F.regr_intercept(y, x).over(w)
     return F.when(ready, slope), F.when(ready, base + slope * F.col(x))
+
+
+def with_directional(df: DataFrame, h: str, lo: str, c: str, n: int, chunk: Column | None = None) -> DataFrame:
+    """Directional movement by smoothing with 1/n from 0: plus_dm, minus_dm, plus_di, minus_di, dx, adx, adxr; null in the first n rows.
+
+    Each smoothing is a chunked linear scan, so a long series is folded in parallel.
+    """
+    from tickloom.operators.windows import linear_scan
+
+    w = ordered()
+    up, down = F.col(h) - F.lag(h).over(w), F.lag(lo).over(w) - F.col(lo)
+    x = df.withColumns({"__up": up, "__down": down, "__i": F.row_number().over(w)})
+    steps = {
+        "plus_dm": F.when((F.col("__up") > F.col("__down")) & (F.col("__up") > 0), F.col("__up")).otherwise(0.0),
+        "minus_dm": F.when((F.col("__down") > F.col("__up")) & (F.col("__down") > 0), F.col("__down")).otherwise(0.0),
+        "__tr": F.coalesce(true_range(h, lo, c), F.lit(0.0)),
+    }
+    x = x.withColumns(steps)
+    keep = (n - 1) / n
+    for name in steps:
+        x = linear_scan(x, keep, F.col(name), f"{name}_s", chunk)
+    share = lambda a: 100 * F.col(a) / F.nullif(F.col("__tr_s"), F.lit(0.0))
+    x = x.withColumns({"plus_di": share("plus_dm_s"), "minus_di": share("minus_dm_s")})
+    both = F.col("plus_di") + F.col("minus_di")
+    x = x.withColumn("dx", F.coalesce(100 * F.abs(F.col("plus_di") - F.col("minus_di")) / F.nullif(both, F.lit(0.0)), F.lit(0.0)))
+    x = linear_scan(x, keep, F.col("dx") / n, "adx", chunk)
+    x = x.withColumn("adxr", (F.col("adx") + F.lag("adx", n - 1).over(w)) / 2).drop("plus_dm", "minus_dm")
+    x = x.withColumnsRenamed({"plus_dm_s": "plus_dm", "minus_dm_s": "minus_dm"})
+    names = ("plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx", "adxr")
+    return x.withColumns({k: F.when(F.col("__i") > n, F.col(k)) for k in names}).drop("__up", "__down", "__i", "__tr", "__tr_s")
+
+
+def with_sar(df: DataFrame, h: str, lo: str, step: float = 0.02, most: float = 0.2, signed: bool = False, name: str = "sar") -> DataFrame:
+    """Parabolic stop: it moves towards the extreme by a share that grows with each new one, never past the last two bars, and turns where
+    it is touched. With `signed` it is negative while short. It turns on its own past, so this is a fold per series."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.types import DoubleType, StructType
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "seq"])
+        bars = pdf[[lo, h]].to_numpy(float)
+        out = np.full(len(bars), np.nan)
+        if len(bars) > 1:
+            fall, rise = bars[0, 0] - bars[1, 0], bars[1, 1] - bars[0, 1]
+            side = -1 if fall > max(rise, 0) else 1
+            near = lambda i: bars[i, 0] if side > 0 else -bars[i, 1]  # noqa: E731  the end of a bar that can touch the stop
+            far = lambda i: bars[i, 1] if side > 0 else -bars[i, 0]
+            stop, best, share = near(0), far(1), step
+            for i in range(1, len(bars)):
+                before = max(i - 1, 1)
+                turned = near(i) <= stop
+                if turned:
+                    side = -side
+                    stop = min(-best, near(before), near(i))
+                    best, share = far(i), step
+                out[i] = stop if signed else stop * side
+                if not turned and far(i) > best:
+                    best, share = far(i), min(share + step, most)
+                stop = min(stop + share * (best - stop), near(before), near(i))
+        return pdf.assign(**{name: out})
+
+    schema = StructType(list(df.schema.fields)).add(name, DoubleType())
+    return df.groupBy("symbol").applyInPandas(fold, schema).withColumn(name, F.nanvl(name, F.lit(None).cast("double")))

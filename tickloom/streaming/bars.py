@@ -47,3 +47,76 @@ def publish(stream: DataFrame, subscriptions: DataFrame, sink):
     """Rows of subscribed symbols as JSON, handed to `sink(batch, epoch)`."""
     rows = stream.join(F.broadcast(subscriptions.select("symbol").distinct()), "symbol")
     return rows.select("symbol", F.to_json(F.struct(*rows.columns)).alias("json")).writeStream.foreachBatch(sink)
+
+
+def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of a series in one micro-batch in their total order."""
+    return pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"])
+
+
+def sequence_bars(ticks: DataFrame, measure: str, unit: float) -> DataFrame:
+    """Run bars, one row each (not summed by ts); the state of a series is its two one-sided sums. Micro-batches must come in order."""
+
+    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        up, down = state.get if state.exists else (0.0, 0.0)
+        out = []
+        for ts, m in _ordered(batches)[["ts", "m"]].itertuples(index=False):
+            up, down = up + max(m, 0.0), down + max(-m, 0.0)
+            if up >= unit or down >= unit:
+                out.append((key[0], ts, 1 if up >= unit else -1))
+                up = down = 0.0
+        state.update((up, down))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "sequence"])
+
+    rows = ticks.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", F.expr(measure).cast("double").alias("m"))
+    return rows.groupBy("symbol").applyInPandasWithState(fold, "symbol string, ts timestamp, sequence int", "up double, down double", "append", GroupStateTimeout.NoTimeout)
+
+
+def delta_sampling(ticks: DataFrame, value: str, delta: float) -> DataFrame:
+    """Rows where the value has drifted `delta` or more from the last row kept; the state is that row's value."""
+
+    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        out = []
+        for ts, seq, v in _ordered(batches)[["ts", "seq", "v"]].itertuples(index=False):
+            if last is None or abs(v - last) >= delta:
+                last = v
+                out.append((key[0], ts, seq, v))
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "seq", value])
+
+    rows = ticks.where(F.col(value).isNotNull()).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", F.col(value).cast("double").alias("v"))
+    return rows.groupBy("symbol").applyInPandasWithState(fold, f"symbol string, ts timestamp, seq long, {value} double", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def best_prices(l2: DataFrame) -> DataFrame:
+    """Best bid and ask after each level update; the state is the day and its price levels by side, which start anew each day."""
+
+    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        day, bids, asks = state.get if state.exists else (None, [], [])
+        book = {1: set(bids), -1: set(asks)}
+        out = []
+        for ts, seq, price, size, count in _ordered(batches)[["ts", "seq", "price", "size", "count"]].itertuples(index=False):
+            if str(ts.date()) != day:
+                day, book = str(ts.date()), {1: set(), -1: set()}
+            side = 1 if size > 0 else -1
+            if count:
+                book[side].add(price)
+                book[-side] = {p for p in book[-side] if (p - price) * side > 0}
+            else:
+                book[side].discard(price)
+            out.append((key[0], ts, seq, max(book[1], default=None), min(book[-1], default=None)))
+        state.update((day, sorted(book[1]), sorted(book[-1])))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "seq", "best_bid", "best_ask"]).astype({"best_bid": "float64", "best_ask": "float64"})
+
+    rows = l2.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), F.col("count").cast("int").alias("count"))
+    schema = "symbol string, ts timestamp, seq long, best_bid double, best_ask double"
+    return rows.groupBy("symbol").applyInPandasWithState(fold, schema, "day string, bids array<double>, asks array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def scored(ticks: DataFrame, every: str, late: str, edges: dict[str, list[float]], model, out: str = "prediction") -> DataFrame:
+    """Time bars, their columns as bin codes, and a fitted pyspark.ml model's prediction for each; stateless after the bars."""
+    from tickloom.operators.binning import coded
+
+    bars = time_bars(ticks, every, late)
+    return model.transform(coded(bars, edges)).select("symbol", "ts", *edges, out)
