@@ -184,3 +184,13 @@ def with_sar(df: DataFrame, h: str, lo: str, step: float = 0.02, most: float = 0
 
     schema = StructType(list(df.schema.fields)).add(name, DoubleType())
     return df.groupBy("symbol").applyInPandas(fold, schema).withColumn(name, F.nanvl(name, F.lit(None).cast("double")))
+
+
+def with_ultosc(df: DataFrame, h: str, lo: str, c: str, periods: tuple[int, int, int], name: str = "ultosc") -> DataFrame:
+    """Buying pressure by true range over three periods, the shorter weighing 4 and 2; null until the longest is full, the first row has neither."""
+    prev = F.lag(c).over(ordered())
+    pressure = F.when(prev.isNotNull(), F.col(c) - F.least(F.col(lo), prev))
+    x = df.withColumns({"__bp": pressure, "__tr": F.when(prev.isNotNull(), true_range(h, lo, c))})
+    part = lambda n: F.sum("__bp").over(trailing(n)) / F.nullif(F.sum("__tr").over(trailing(n)), F.lit(0.0))
+    value = 100 * (4 * part(periods[0]) + 2 * part(periods[1]) + part(periods[2])) / 7
+    return x.withColumn(name, F.when(F.count("__bp").over(trailing(periods[2])) == periods[2], value)).drop("__bp", "__tr")

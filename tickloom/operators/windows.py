@@ -137,3 +137,22 @@ def started(df: DataFrame, columns: list[str], series=SERIES) -> DataFrame:
         if len(columns) > 1 else F.max(F.when(F.col(columns[0]).isNotNull(), F.col("ts"))).alias("__z"),
     )
     return df.join(spans, list(series)).where("ts BETWEEN __a AND __z").drop("__a", "__z")
+
+
+def filled_bars(bars: DataFrame, every: str) -> DataFrame:
+    """Bars on a gapless spine: a missing one has the last close in all four prices and volume 0."""
+    ends = bars.groupBy(*SERIES).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    spine = ends.select(*SERIES, F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {every}"))).alias("ts"))
+    x = spine.join(bars, [*SERIES, "ts"], "left").withColumn("close", ffill("close", order=("ts",)))
+    return x.withColumns({c: F.coalesce(c, "close") for c in ("open", "high", "low")} | {"volume": F.coalesce("volume", F.lit(0))})
+
+
+def touches_ahead(value: str, n: int, move: float) -> Column:
+    """1 where one of the next n rows is `move` or more above this one, else 0; rows after the last count for nothing."""
+    ahead = ordered().rowsBetween(1, n)
+    return F.coalesce((F.max(value).over(ahead) >= F.col(value) + move).cast("int"), F.lit(0))
+
+
+def extended(entry: Column, n: int) -> Column:
+    """True at an entry and at the n - 1 rows after it."""
+    return F.max(F.coalesce(entry, F.lit(False))).over(trailing(n))

@@ -167,3 +167,30 @@ def j13(spark, sf_dir):
     per = both.groupBy("symbol", F.date_trunc("minute", "ts").alias("m")).agg(last("price"), last("bid")).withColumnRenamed("m", "ts")
     order = ("ts",)
     return rounded(per.withColumns({c: F.coalesce(windows.bfill(c, order=order), windows.ffill(c, order=order)) for c in ("price", "bid")}))
+
+
+@query("f04_filled_bars", "ticks", f"""WITH h AS (SELECT symbol, date_trunc('hour', ts) AS ts, arg_min({P}, (ts, seq)) AS open, max({P}) AS high, min({P}) AS low, arg_max({P}, (ts, seq)) AS close, CAST(sum(size) AS DOUBLE) AS volume FROM ticks GROUP BY 1, 2),
+s AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM h GROUP BY symbol), f AS (SELECT symbol, ts, open, high, low, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts) AS close, volume FROM s LEFT JOIN h USING (symbol, ts))
+SELECT symbol, ts, coalesce(open, close) AS open, coalesce(high, close) AS high, coalesce(low, close) AS low, close, coalesce(volume, 0) AS volume FROM f""")
+def f04(t):
+    h = bars.time_bars(t, "1 hour").select("symbol", "ts", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")])
+    return rounded(windows.filled_bars(h, "1 hour"))
+
+
+@query("p05_mid_bars", "quotes", """WITH h AS (SELECT symbol, date_trunc('hour', ts) AS ts, (arg_max(CAST(bid AS DOUBLE), (ts, seq)) + arg_max(CAST(ask AS DOUBLE), (ts, seq))) / 2 AS close, (max(CAST(bid AS DOUBLE)) + max(CAST(ask AS DOUBLE))) / 2 AS high FROM quotes GROUP BY 1, 2)
+SELECT symbol, ts, round(close, 6) AS close, round(high, 6) AS high, round(close / first_value(close) OVER (PARTITION BY symbol ORDER BY ts), 6) AS "return" FROM h""")
+def p05(q):
+    """Mid prices of quote bars (P05), relative to a series' first (P06)."""
+    x = bars.quote_bars(q.withColumns({c: F.col(c).cast("double") for c in ("bid", "ask")}), "1 hour")
+    x = x.select("symbol", "ts", *[((F.col(f"bid_{c}") + F.col(f"ask_{c}")) / 2).alias(c) for c in ("close", "high")])
+    return rounded(x.withColumn("return", F.col("close") / F.first("close").over(windows.running(order=("ts",)))))
+
+
+@query("w12_touches_ahead", "ticks", f"SELECT symbol, ts, seq, CAST(coalesce(max({P}) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) >= {P} + 50, false) AS INT) AS touched FROM ticks")
+def w12(t):
+    return priced(t).select("symbol", "ts", "seq", windows.touches_ahead("price", 20, 50.0).alias("touched"))
+
+
+@query("w21_extended_entries", "ticks", f"SELECT symbol, ts, seq FROM (SELECT *, max(CAST(price >= 280 AS INT)) OVER ({W} ROWS 4 PRECEDING) AS k FROM ticks) WHERE k = 1")
+def w21(t):
+    return t.withColumn("__k", windows.extended(F.col("price") >= 280, 5)).where("__k").select("symbol", "ts", "seq")
