@@ -63,7 +63,7 @@ def fill_spread(df: DataFrame) -> DataFrame:
 
 
 def from_trades(df: DataFrame) -> DataFrame:
-    """Ticks with one-sided trades and no quote take that side's quote prices and removed size from the trade; its size is 0."""
+    """Ticks with one-sided trades and no quote take that side's quote prices and removed size from the trade; its size, where the frame has one, is 0."""
     none = F.col("bid_close").isNull() & F.col("ask_close").isNull()
     sold = none & (F.col("volume_sell") > 0) & (F.col("volume_buy") == 0)
     bought = none & (F.col("volume_buy") > 0) & (F.col("volume_sell") == 0)
@@ -71,7 +71,8 @@ def from_trades(df: DataFrame) -> DataFrame:
     for side, test, volume in (("bid", sold, "volume_sell"), ("ask", bought, "volume_buy")):
         cols |= {f"{side}_{c}": F.when(test, F.col(c)).otherwise(F.col(f"{side}_{c}")) for c in ("open", "high", "low", "close")}
         cols[f"{side}_size_removed"] = F.when(test, F.col(volume)).otherwise(F.col(f"{side}_size_removed"))
-        cols[f"{side}_size"] = F.when(test, 0).otherwise(F.col(f"{side}_size"))
+        if f"{side}_size" in df.columns:
+            cols[f"{side}_size"] = F.when(test, 0).otherwise(F.col(f"{side}_size"))
     return df.withColumns(cols)
 
 
