@@ -203,6 +203,14 @@ def test_html(spark):
     assert got[1]["n_chars"] == len(got[1]["text"])
 
 
+def test_html_blocks_inside_the_article():
+    advert = "<div class='ad'>" + "<p>buy <a href=x>this</a> now</p>" * 200 + "</div>"
+    comments = "<section class='comments'>" + "<p>I do not agree with any of it</p>" * 60 + "</section>"
+    page = f"<nav>Menu {PROSE}</nav><article><h1>A short title</h1>{advert}<p>First part.</p>{comments}<p>Last part.</p>{'<img src=x>' * 300}<p>End.</p></article><footer>{PROSE * 3}</footer>"
+    for weights in ({}, {"word": 0.1, "<p>": -2.0, "<a>": -2.0}):
+        assert html.main_text(page, weights) == "A short title\nFirst part.\nLast part.\nEnd."
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(1)
     parts = ["<|im_end|>", "<|im_start|>", "assistant", "\n", "<", "\\", "|", "été", " ", "%0A", "🙂", "<\\|"]

@@ -3,8 +3,9 @@
 A page is a sequence of text chunks and tags. Words score positive and tags negative; weights are log odds of
 standing inside the main element (`article` or `main`), counted on Spark over pages that have one, from at most
 SAMPLE pages (by hash of page_id). Words in links have their own weight. On a page that marks its main element
-words outside of it score negative; words in boilerplate elements (navigation, page header and footer, asides,
-forms, adverts, notices, comments ...) always do and are never part of the text. One linear scan finds the contiguous
+words outside of it score negative, and so do words in boilerplate elements (navigation, page header and footer,
+asides, forms, adverts, notices, comments ...) outside of it; those inside score 0, and tags inside it do too, so
+no block within the main element cuts it. Boilerplate is never part of the text. One linear scan finds the contiguous
 region with the highest sum (the first on ties); its blocks are decoded, spaces joined, and put together by line feeds.
 
 Defined results: null, empty and tag-only pages give the empty text; broken markup is read leniently (unclosed
@@ -157,10 +158,12 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     for i, (kind, value, boiler, main, linked) in enumerate(tokens):
         if kind == "tag":
             gain = weights.get(f"<{value}>" if value in KNOWN else "<other>", 0.0)
-            gain = -LEAST if marked and main else min(-LEAST, max(-MOST, gain))
+            gain = 0.0 if marked and main else min(-LEAST, max(-MOST, gain))
         else:
             n = len(value.split())
-            if boiler or marked and not main:
+            if boiler and marked and main:
+                gain = 0.0
+            elif boiler or marked and not main:
                 gain = -word * n
             else:
                 gain = n * (link if linked and not marked else word)
