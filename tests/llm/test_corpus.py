@@ -239,6 +239,26 @@ def test_mixing(spark, odd):
     assert targets["a"][0] == 200 and abs(sum(t for t, _ in targets.values()) - 1665) < 1e-6
 
 
+def test_mixing_places_every_pass(spark, odd):
+    for docs in (table(spark, SF, "documents"), odd):
+        mixed = mixing.mix(docs)
+        rows, each = mixed.collect(), mixing.passes(mixed).collect()
+        slopes = {s: slope for s, (_, slope) in mixing.plan({r["source"]: r["source_size"] for r in rows}).items()}
+        assert any(len(r["positions"]) == 2 for r in rows)
+        for r in rows:
+            assert len(r["positions"]) == (-(-r["taken"] // r["size"]) if r["size"] else 0)
+            assert not r["positions"] or r["positions"][0] == r["position"]
+        assert sum(e["words"] for e in each) == sum(r["taken"] for r in rows)
+        assert [e["position"] for e in each] == sorted(e["position"] for e in each)
+        # At each place, the words of a source's earlier passes are its integrated weight.
+        for s, slope in slopes.items():
+            before, goal = 0, sum(e["words"] for e in each if e["source"] == s)
+            for e in (e for e in each if e["source"] == s):
+                t = e["position"]
+                assert abs(goal * ((1 - slope) * t + slope * t * t) - before) < 1e-6 * goal + 1e-6
+                before += e["words"]
+
+
 def test_empty_tables(spark, odd, labels, benchmark):
     none = odd.limit(0)
     for df in (

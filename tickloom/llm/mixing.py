@@ -6,8 +6,10 @@ exceeds REPEAT times its source (the excess is shared again by weight until none
 A source's weight over training time t in [0, 1] is linear, w(t) = target * (1 + slope * (2 t - 1)); slopes go
 from -TILT to +TILT through the ordered sources, so early sources lead and late ones close the run. Its
 integral W(t) = target * ((1 - slope) t + slope t^2) is the source's cumulative demand. A word at cumulative
-place x of what is taken from a source trains at the t with W(t) = x; a document is placed by its first word,
-and the result is range-sorted by that position.
+place x of what is taken from a source trains at the t with W(t) = x. A document is placed by its first word, once
+for each pass that takes words of it: `positions` holds one place a pass, in order, and all passes but the last take
+the whole document. `position` is the place of the first pass (1 where nothing is taken, with no `positions`); the
+rows of `mix` are range-sorted by it, and `passes` gives one row a document and pass, range-sorted by its own place.
 
 Inside a source, documents come in the order of a hash. Each pass takes whole documents until the target is
 reached; the document on the boundary gives what is left. So the words taken equal the target, rounded.
@@ -57,7 +59,7 @@ def plan(sizes: dict, weights=WEIGHTS, rate: float = RATE, repeat: int = REPEAT)
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, position; range-sorted by position."""
+    """doc_id, size, source, source_size, target, taken, position, positions; range-sorted by position."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = materialise(
@@ -84,7 +86,7 @@ def mix(docs: DataFrame) -> DataFrame:
     if not rows:
         return sized.select(
             "doc_id", "size", "source", F.col("size").alias("source_size"), F.lit(0.0).alias("target"),
-            F.col("size").alias("taken"), F.lit(0.0).alias("position"),
+            F.col("size").alias("taken"), F.lit(0.0).alias("position"), F.array().cast("array<double>").alias("positions"),
         )
     targets = spark.range(1).select(F.inline(F.array(*[F.expr(x) for x in rows])))
 
@@ -107,17 +109,24 @@ def mix(docs: DataFrame) -> DataFrame:
         .withColumn("at", F.col("before") + F.col("inner"))
     )
     goal = F.round("target").cast("long")
-    taken = sum(
-        (
-            F.greatest(F.lit(0), F.least(F.col("size"), goal - p * F.col("source_size") - F.col("at")))
-            for p in range(1, REPEAT)
-        ),
-        F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("at"))),
-    )
-    share = F.least(F.lit(1.0), F.col("at") / F.greatest(goal.cast("double"), F.lit(1.0)))
+    starts = [p * F.col("source_size") + F.col("at") for p in range(REPEAT)]
+    taken = [F.greatest(F.lit(0), F.least(F.col("size"), goal - x)) for x in starts]
     straight = 1 - F.col("slope")
-    root = (-straight + F.sqrt(straight * straight + 4 * F.col("slope") * share)) / (2 * F.col("slope"))
-    position = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.col("slope") == 0, share).otherwise(root) + 0.0))
+
+    def place(start):
+        share = F.least(F.lit(1.0), start / F.greatest(goal.cast("double"), F.lit(1.0)))
+        root = (-straight + F.sqrt(straight * straight + 4 * F.col("slope") * share)) / (2 * F.col("slope"))
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.col("slope") == 0, share).otherwise(root) + 0.0))
+
+    positions = F.array_compact(F.array(*[F.when(n > 0, place(x)) for n, x in zip(taken, starts)]))
     return placed.select(
-        "doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), position.alias("position")
-    ).orderBy("position", "doc_id")
+        "doc_id", "size", "source", "source_size", "target", sum(taken[1:], taken[0]).cast("long").alias("taken"),
+        place(starts[0]).alias("position"), positions.alias("positions"),
+    ).orderBy("position", "doc_id")
+
+
+def passes(mixed: DataFrame) -> DataFrame:
+    """doc_id, source, pass, position, words of every pass over a document of `mix`; range-sorted by position."""
+    each = mixed.select("doc_id", "source", "size", "taken", F.posexplode("positions").alias("pass", "position"))
+    words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
+    return each.select("doc_id", "source", "pass", "position", words.alias("words")).orderBy("position", "doc_id", "pass")
