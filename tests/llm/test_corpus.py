@@ -172,6 +172,39 @@ def test_language_parse_equals_brute_force():
             assert langid.phrases(block, moves)[0] == n
 
 
+def many_scripts(seed):
+    """Texts of invented words: two languages over each of five alphabets, with own word lists."""
+    rng = random.Random(seed)
+    out = {}
+    for script, (first, n, size) in {"latin": (97, 26, 6), "cyrillic": (0x430, 32, 6), "greek": (0x3B1, 17, 6), "han": (0x4E00, 3000, 2), "hangul": (0xAC00, 900, 3)}.items():
+        for k in (1, 2):
+            own = random.Random(f"{script}{k}")
+            listed = ["".join(chr(first + own.randrange(n)) for _ in range(size)) for _ in range(300)]
+            out[f"{script}{k}"] = " ".join(rng.choice(listed) for _ in range(2000))
+    return out
+
+
+def test_language_of_many_scripts():
+    model = langid.learn(many_scripts(1))
+    assert [a[4] is None for a in model[2]] == [not lang.startswith("han") for lang in model[0]]
+    texts = many_scripts(2)
+    got, score = langid.predict([*texts.values(), "\u0e01\u0e02", "12 !"], model)
+    assert got[:-2] == list(texts) and min(score[:-2]) > 0.3 and got[-1] == "und"
+
+
+def test_sparse_moves_equal_full_tables(monkeypatch):
+    texts = many_scripts(3)
+    wanted = [t[i : i + 400] for t in many_scripts(4).values() for i in (0, 801)] + ["\u0e01\u0e02 abc", "", None]
+    found = []
+    for wide in (0, 10_000):
+        monkeypatch.setattr(langid, "WIDE", wide)
+        small = {lang: t[:3000] for lang, t in texts.items()}
+        model = langid.learn(small)
+        assert all((a[4] is None) == bool(wide) for a in model[2])
+        found.append(langid.predict(wanted, model))
+    assert found[0] == found[1]
+
+
 def test_language_id(spark, odd):
     got = langid.identify(table(spark, SF, "documents").select("doc_id", "text", "lang")).where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)

@@ -4,8 +4,12 @@ Labelled text of each language becomes a suffix automaton. A text is parsed from
 phrases that occur in a language's text; few phrases mean little cross entropy. The language with the fewest
 normalised phrases, phrases * log2(size of its text) / length, wins (first in code point order on ties).
 
+Each distinct letter of the learning texts has its own code; letters that none of them holds share OTHER. An
+automaton knows the letters of its own language and takes all others as OTHER, which its text never holds.
+
 The automaton is followed from its root only, so one table row per state holds all moves: the next state, or,
-where no phrase goes on, the root's move and a flag that a phrase begins. Texts are cut into BLOCK-character
+where no phrase goes on, the root's move and a flag that a phrase begins. For languages of more than WIDE letters
+the moves that go on are kept as sorted keys instead, with the same result. Texts are cut into BLOCK-character
 blocks, each parsed from the root, and all blocks of a batch advance together, one numpy step a character.
 Every block of the whole text counts.
 
@@ -33,7 +37,8 @@ ROWS = 64
 ROW_CHARS = 2_000
 TEXT_CHARS = 40_000
 MAX_LANGS = 200
-LETTERS = 60
+#: Letters up to which an automaton is a full table.
+WIDE = 128
 BLOCK = 256
 FLAG = 1 << 30
 PAD, GAP, OTHER = 0, 1, 2
@@ -59,11 +64,11 @@ def labelled_text(docs: DataFrame) -> dict[str, str]:
 
 
 def alphabet(texts: dict[str, str]) -> np.ndarray:
-    """Code of every code point: GAP for what is no letter, OTHER for rare letters, one for each frequent letter."""
-    table = np.full(sys.maxunicode + 1, GAP, dtype=np.uint8)
+    """Code of every code point: GAP for what is no letter, OTHER for letters never seen, one for each letter of `texts`."""
+    seen = sorted({c for t in texts.values() for c in t.lower() if c.isalpha()})
+    table = np.full(sys.maxunicode + 1, GAP, dtype=np.min_scalar_type(OTHER + len(seen)))
     table[[i for i in range(sys.maxunicode + 1) if chr(i).isalpha()]] = OTHER
-    seen = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
-    for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
+    for k, c in enumerate(seen):
         table[ord(c)] = OTHER + 1 + k
     return table
 
@@ -71,17 +76,25 @@ def alphabet(texts: dict[str, str]) -> np.ndarray:
 def encode(text: str | None, table: np.ndarray) -> np.ndarray:
     """Codes of the lower-cased text, runs of GAP as one."""
     if not text:
-        return np.zeros(0, dtype=np.uint8)
+        return np.zeros(0, dtype=table.dtype)
     codes = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")]
     gap = codes == GAP
     return codes[np.concatenate(([True], ~(gap[1:] & gap[:-1])))]
 
 
-def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
-    """Moves [state * width + code] of the suffix automaton: next state, or FLAG and the root's move.
+def suffix_automaton(codes: np.ndarray, n_codes: int) -> tuple:
+    """(own code of each code, width, root's moves, moves, keys) of the suffix automaton of `codes`.
 
+    Without keys, moves[state * width + own code] is the next state, or FLAG and the root's move. With keys, moves[i]
+    is the next state of keys[i] = state * width + own code; where there is no key, FLAG and the root's move hold.
     The last state is where parsing starts and where a symbol leads that the text lacks: each symbol there begins a phrase.
     """
+    letters = np.unique(codes[codes > OTHER])
+    width = OTHER + 1 + len(letters)
+    own = np.full(n_codes, OTHER, dtype=np.min_scalar_type(width))
+    own[[PAD, GAP]] = PAD, GAP
+    own[letters] = np.arange(OTHER + 1, width)
+    codes = own[codes]
     moves, link, length, last = [{}], [-1], [0], 0
     for c in codes.tolist():
         cur = len(moves)
@@ -107,36 +120,54 @@ def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
                 link[q] = link[cur] = clone
         last = cur
     start = len(moves)
-    table = np.full((start + 1, width), start, dtype=np.int32)
+    root = np.full(width, start, dtype=np.int32)
     for c, s in moves[0].items():
-        table[:, c] = s
-    table |= FLAG
+        root[c] = s
+    root |= FLAG
+    if len(letters) > WIDE:
+        on = sorted((s * width + c, t) for s, m in enumerate(moves) for c, t in m.items())
+        return own, width, root, np.array([t for _, t in on], dtype=np.int32), np.array([k for k, _ in on], dtype=np.int64)
+    table = np.tile(root, (start + 1, 1))
     for s, m in enumerate(moves):
         for c, t in m.items():
             table[s, c] = t
     table[:, PAD] = np.arange(start + 1)
-    return table.ravel()
+    return own, width, root, table.ravel(), None
 
 
 def learn(texts: dict[str, str]):
     """(languages, alphabet table, automata, log2 sizes)."""
     langs, table = sorted(texts), alphabet(texts)
     coded = [encode(texts[x], table) for x in langs]
-    width = OTHER + 1 + LETTERS
-    return langs, table, [suffix_automaton(c, width) for c in coded], [float(np.log2(max(2, len(c)))) for c in coded]
+    n_codes = int(table.max()) + 1 if langs else 0
+    return langs, table, [suffix_automaton(c, n_codes) for c in coded], [float(np.log2(max(2, len(c)))) for c in coded]
 
 
-def phrases(blocks: np.ndarray, moves: np.ndarray) -> np.ndarray:
+def phrases(blocks: np.ndarray, automaton: tuple) -> np.ndarray:
     """Phrases of each block; blocks: [position, block] codes."""
-    width = OTHER + 1 + LETTERS
-    state = np.full(blocks.shape[1], len(moves) // width - 1, dtype=np.int32)
+    own, width, root, moves, keys = automaton
+    blocks = own.take(blocks)
+    start = int(root[OTHER]) & (FLAG - 1)
     count = np.zeros(blocks.shape[1], dtype=np.int32)
-    for row in blocks:
-        state *= width
-        state += row
-        step = moves.take(state)
-        count += step >> 30
-        state = step & (FLAG - 1)
+    if keys is None:
+        state = np.full(blocks.shape[1], start, dtype=np.int32)
+        for row in blocks:
+            state *= width
+            state += row
+            step = moves.take(state)
+            count += step >> 30
+            state = step & (FLAG - 1)
+        return count
+    state = np.full(blocks.shape[1], start, dtype=np.int64)
+    for code in blocks:
+        step = root.take(code)
+        at = np.flatnonzero((code != PAD) & (code != OTHER) & (state != start))
+        wanted = state[at] * width + code[at]
+        found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[found] == wanted
+        step[at[hit]] = moves[found[hit]]
+        state = np.where(code == PAD, state, step & (FLAG - 1))
+        count += np.where(code == PAD, 0, step >> 30)
     return count
 
 
@@ -148,7 +179,7 @@ def predict(texts: list[str | None], model) -> tuple[list[str], list[float]]:
     total = int(n_blocks.sum())
     if not langs or not total:
         return ["und"] * len(texts), [0.0] * len(texts)
-    flat = np.zeros(total * BLOCK, dtype=np.uint8)
+    flat = np.zeros(total * BLOCK, dtype=table.dtype)
     first = np.concatenate(([0], np.cumsum(n_blocks)))
     for c, k, n in zip(codes, first, n_blocks):
         if n:
