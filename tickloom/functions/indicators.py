@@ -33,6 +33,27 @@ def wma(x: str, n: int) -> Column:
     return F.when(F.count(x).over(w) == n, weighted / (n * (n + 1) / 2))
 
 
+def trima(x: str, n: int) -> Column:
+    """Triangularly weighted mean: the middle of n rows weighs most."""
+    w = trailing(n)
+    weight = lambda i: F.least(i + 1, n - i)
+    weighted = F.aggregate(F.transform(F.collect_list(x).over(w), lambda v, i: v * weight(i)), F.lit(0.0), lambda a, v: a + v)
+    return F.when(F.count(x).over(w) == n, weighted / sum(min(i + 1, n - i) for i in range(n)))
+
+
+def midprice(h: str, lo: str, n: int) -> Column:
+    w = trailing(n)
+    return F.when(F.count(F.lit(1)).over(w) == n, (F.max(h).over(w) + F.min(lo).over(w)) / 2)
+
+
+def extreme_rows(x: str, row: str, n: int) -> tuple[Column, Column]:
+    """`row` of the largest and of the smallest of n values, the latest on ties."""
+    w = trailing(n)
+    top, low = F.max(F.struct(x, row)).over(w)[row], -F.min(F.struct(F.col(x), (-F.col(row)).alias("r"))).over(w)["r"]
+    ready = F.count(x).over(w) == n
+    return F.when(ready, top), F.when(ready, low)
+
+
 def midpoint(x: str, n: int) -> Column:
     w = trailing(n)
     return F.when(F.count(x).over(w) == n, (F.max(x).over(w) + F.min(x).over(w)) / 2)
@@ -77,6 +98,15 @@ def stoch_k(h: str, lo: str, c: str, n: int) -> Column:
     return 100 + willr(h, lo, c, n)
 
 
+def with_stochastics(df: DataFrame, h: str, lo: str, c: str, n: int, smooth: int) -> DataFrame:
+    """fast_k of n rows (0 where they are flat), fast_d and slow_k, its mean of `smooth` rows, and slow_d, the mean of slow_k."""
+    w = trailing(n)
+    top, low = F.max(h).over(w), F.min(lo).over(w)
+    k = F.when(F.count(F.lit(1)).over(w) == n, F.when(top != low, 100 * (F.col(c) - low) / (top - low)).otherwise(0.0))
+    x = df.withColumn("fast_k", k).withColumn("fast_d", sma("fast_k", smooth)).withColumn("slow_k", F.col("fast_d"))
+    return x.withColumn("slow_d", sma("slow_k", smooth))
+
+
 def true_range(h: str, lo: str, c: str) -> Column:
     prev = F.lag(c).over(ordered())
     return F.greatest(F.col(h) - F.col(lo), F.abs(F.col(h) - prev), F.abs(F.col(lo) - prev))

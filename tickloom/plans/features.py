@@ -73,6 +73,40 @@ indicator("t18_average_prices", f"SELECT {DAY}, round((o + h + l + c) / 4, 6) AS
           avgprice=lambda: (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4, wclprice=lambda: (F.col("high") + F.col("low") + 2 * F.col("close")) / 4)
 
 
+indicator("t01_ratios", f"SELECT {DAY}, round(c / lag(c, 10) OVER ({D}) - 1, 6) + 0.0 AS rocp, round(100 * c / lag(c, 10) OVER ({D}), 6) + 0.0 AS rocr100 FROM a",
+          rocp=lambda: F.col("close") / F.lag("close", 10).over(ordered()) - 1, rocr100=lambda: 100 * F.col("close") / F.lag("close", 10).over(ordered()))
+indicator("t02_triangular_and_midprice", f"SELECT {DAY}, {ready(20, f'avg(s) {win(10)}')} AS trima, {ready(14, f'(max(h) {win(14)} + min(l) {win(14)}) / 2')} AS midprice FROM (SELECT *, avg(c) {win(11)} AS s FROM a)",
+          trima=lambda: ta.trima("close", 20), midprice=lambda: ta.midprice("high", "low", 14))
+indicator("t05_aroon_oscillator", f"""SELECT {DAY}, CASE WHEN n = 15 THEN round(100.0 * (list_max(list_filter(range(1, 16), lambda k: hs[k] = list_max(hs))) - list_max(list_filter(range(1, 16), lambda k: ls[k] = list_min(ls)))) / 14, 6) + 0.0 END AS aroonosc
+FROM (SELECT day, list(h) {win(15)} AS hs, list(l) {win(15)} AS ls, count(*) {win(15)} AS n FROM a)""",
+          aroonosc=lambda: ta.aroon("high", "low", 14)[0] - ta.aroon("high", "low", 14)[1])
+
+
+@query("t03_extreme_indexes", "daily", f"""WITH {DAYS}, b AS (SELECT day, row_number() OVER ({D}) - 1 AS i, list(c) {win(30)} AS cs FROM a)
+SELECT {DAY}, CASE WHEN len(cs) = 30 THEN i - 30 + list_max(list_filter(range(1, 31), lambda k: cs[k] = list_max(cs))) END AS maxindex, CASE WHEN len(cs) = 30 THEN i - 30 + list_max(list_filter(range(1, 31), lambda k: cs[k] = list_min(cs))) END AS minindex FROM b""")
+def t03_indexes(d):
+    x = day_series(d).withColumn("i", (F.row_number().over(ordered()) - 1).cast("long"))
+    top, low = ta.extreme_rows("close", "i", 30)
+    return x.select(F.col("day").cast("string").alias("day"), top.alias("maxindex"), low.alias("minindex"))
+
+
+@query("t08_smoothed_stochastics", "daily", f"""WITH {DAYS}, k AS (SELECT day, CASE WHEN count(*) {win(5)} = 5 THEN coalesce(100 * (c - min(l) {win(5)}) / nullif(max(h) {win(5)} - min(l) {win(5)}, 0), 0) END AS k FROM a),
+s AS (SELECT day, k, CASE WHEN count(k) {win(3)} = 3 THEN avg(k) {win(3)} END AS s FROM k)
+SELECT {DAY}, round(k, 6) + 0.0 AS fast_k, round(s, 6) + 0.0 AS fast_d, round(s, 6) + 0.0 AS slow_k, CASE WHEN count(s) {win(3)} = 3 THEN round(avg(s) {win(3)}, 6) + 0.0 END AS slow_d FROM s""")
+def t08_smoothed(d):
+    x = ta.with_stochastics(day_series(d), "high", "low", "close", 5, 3)
+    return rounded(x.select(F.col("day").cast("string").alias("day"), "fast_k", "fast_d", "slow_k", "slow_d"))
+
+
+@query("t17_angle_and_beta", "daily", f"""WITH {DAYS}, b AS (SELECT *, row_number() OVER ({D}) AS i, h / lag(h) OVER ({D}) - 1 AS x, l / lag(l) OVER ({D}) - 1 AS y FROM a)
+SELECT {DAY}, {ready(14, f'degrees(atan(regr_slope(c, i) {win(14)}))')} AS angle, CASE WHEN count(x) {win(5)} = 5 THEN round(covar_pop(x, y) {win(5)} / nullif(var_pop(x) {win(5)}, 0), 6) + 0.0 END AS beta FROM b""")
+def t17_more(d):
+    gain = lambda c: F.col(c) / F.lag(c).over(ordered()) - 1
+    x = day_series(d).withColumns({"i": F.row_number().over(ordered()), "x": gain("high"), "y": gain("low")})
+    beta = windows.full(F.col("x"), F.regr_slope("y", "x"), 5, windows.trailing(5))
+    return rounded(x.select(F.col("day").cast("string").alias("day"), F.degrees(F.atan(ta.regression("close", "i", 14)[0])).alias("angle"), beta.alias("beta")))
+
+
 @query("t13_volume_flow", "daily", f"""WITH {DAYS}, s AS (SELECT day, CASE WHEN h <> l THEN ((c - l) - (h - c)) / (h - l) * v ELSE 0 END AS ad, coalesce(sign(c - lag(c) OVER ({D})) * v, v) AS ob FROM a)
 SELECT {DAY}, round(sum(ad) OVER ({D}), 6) + 0.0 AS ad, round(sum(ob) OVER ({D}), 6) + 0.0 AS obv FROM s""")
 def t13(d):
