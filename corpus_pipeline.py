@@ -12,9 +12,9 @@ _OWN = "__pipeline_"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text or no letter) go."""
+    """Documents without a language (no text or no letter) go, whether or not a language could be learned."""
     found = langid.identify(docs, prefix=_OWN)
-    return found.where(F.col(f"{_OWN}lang_pred") != "und").select(docs.columns)
+    return found.where(f"{_OWN}has_letter").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import chat, decontaminate, html, langid, licenses, mixing, quality, queries, repeats, simhash, toxicity
 from tickloom.llm.common import table
@@ -213,6 +214,22 @@ def test_language_id(spark, odd):
     assert {r["own_lang_pred"] for r in rows if r["doc_id"] in (3, 4, 5, 8)} == {"und"}
 
 
+def test_language_learning_on_skew(spark):
+    rows = [(1, "xx", "again and again " + str(i)) for i in range(3000)] + [(i, "yy", f"{chr(0x430 + i % 32)}{chr(0x430 + i // 32)} " * 1000) for i in range(2, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(7)
+    texts = langid.labelled_text(docs)
+    assert texts["xx"] == " again and again 0"
+    assert len(set(texts["yy"].split())) >= langid.ROWS and len(texts["yy"]) <= langid.TEXT_CHARS
+    assert langid.even_share([5, 100, 100], 65) == 30 and langid.even_share([5, 6], 65) == 6
+
+
+def test_pipeline_keeps_documents_where_no_language_is_known(spark, odd):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.language_id(spark, odd.withColumn("lang", F.lit(None).cast("string")), SF)
+    assert sorted(r[0] or 0 for r in kept.select("doc_id").collect()) == [0, 0, 1, 2, 2, 6, 7, 9, 10] and kept.columns == odd.columns
+
+
 def test_toxicity(spark, odd, labels):
     sf = "/root/testdata/sf0.01"
     marks = table(spark, sf, "labels")

@@ -13,18 +13,18 @@ the moves that go on are kept as sorted keys instead, with the same result. Text
 blocks, each parsed from the root, and all blocks of a batch advance together, one numpy step a character.
 Every block of the whole text counts.
 
-Learning is bounded by documented parameters: ROWS rows per language (by hash of doc_id, from rows that are not
-held out), ROW_CHARS characters of each, TEXT_CHARS a language, MAX_LANGS languages.
+Learning is bounded by documented parameters: ROWS documents per language (by hash of doc_id, from rows that are not
+held out; the least text of a repeated doc_id), ROW_CHARS characters of each, TEXT_CHARS a language, shared evenly
+over its documents, MAX_LANGS languages.
 
 Defined results: null text and text without a letter give `und` and score 0; with nothing learned every text is
-`und`; repeated rows give repeated rows; lang and source are never read for predictions; an empty table gives
+`und` (has_letter tells the two apart); repeated rows give repeated rows; lang and source are never read for predictions; an empty table gives
 no rows. score = 1 - best / second best normalised phrase count (1 where one language is known).
 """
 
 from __future__ import annotations
 
 import sys
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -46,21 +46,32 @@ PAD, GAP, OTHER = 0, 1, 2
 
 def labelled_text(docs: DataFrame) -> dict[str, str]:
     """language -> bounded labelled text, from rows that are not held out."""
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROWS)
+    chosen = rows.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROWS)
     ids = chosen.select("doc_id", "lang").limit(ROWS * MAX_LANGS + 1).collect()
     if len(ids) > ROWS * MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not ids:
         return {}
-    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in ids], "doc_id long, lang string").distinct()
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in ids], "doc_id long, lang string")
     texts = rows.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi")
-    sample = texts.select("lang", "doc_id", F.substring("text", 1, ROW_CHARS).alias("t")).limit(2 * len(ids)).collect()
-    out: dict[str, str] = {}
-    for r in sorted(sample, key=lambda r: (r["lang"], r["doc_id"], r["t"])):
-        out[r["lang"]] = (out.get(r["lang"], "") + " " + r["t"])[:TEXT_CHARS]
-    return out
+    sample = texts.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, ROW_CHARS)).alias("t")).collect()
+    by_lang: dict[str, list[str]] = {}
+    for r in sorted(sample, key=lambda r: (r["lang"], r["doc_id"])):
+        by_lang.setdefault(r["lang"], []).append(" " + r["t"])
+    return {lang: "".join(t[: even_share([len(t) for t in own], TEXT_CHARS)] for t in own) for lang, own in by_lang.items()}
+
+
+def even_share(lengths: list[int], most: int) -> int:
+    """The length at which to cut so that all together are `most` at most."""
+    left = most
+    for i, n in enumerate(sorted(lengths)):
+        share = left // (len(lengths) - i)
+        if n > share:
+            return share
+        left -= n
+    return max(lengths)
 
 
 def alphabet(texts: dict[str, str]) -> np.ndarray:
@@ -172,13 +183,18 @@ def phrases(blocks: np.ndarray, automaton: tuple) -> np.ndarray:
 
 
 def predict(texts: list[str | None], model) -> tuple[list[str], list[float]]:
+    return parse(texts, model)[:2]
+
+
+def parse(texts: list[str | None], model) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score, and whether there is a letter, of each text."""
     langs, table, automata, logs = model
     codes = [encode(t, table) for t in texts]
     letters = [bool((c > GAP).any()) for c in codes]
     n_blocks = np.array([-(-len(c) // BLOCK) if ok else 0 for c, ok in zip(codes, letters)])
     total = int(n_blocks.sum())
     if not langs or not total:
-        return ["und"] * len(texts), [0.0] * len(texts)
+        return ["und"] * len(texts), [0.0] * len(texts), letters
     flat = np.zeros(total * BLOCK, dtype=table.dtype)
     first = np.concatenate(([0], np.cumsum(n_blocks)))
     for c, k, n in zip(codes, first, n_blocks):
@@ -193,13 +209,12 @@ def predict(texts: list[str | None], model) -> tuple[list[str], list[float]]:
     return (
         [langs[i] if ok else "und" for i, ok in zip(order[0], letters)],
         [float(min(1.0, max(0.0, s))) if ok else 0.0 for s, ok in zip(score, letters)],
+        letters,
     )
 
 
 def identify(docs: DataFrame, prefix: str = "") -> DataFrame:
-    """All columns of `docs`, held_out, lang_pred and score (the last three with `prefix`)."""
+    """All columns of `docs`, held_out, lang_pred, score and has_letter (the last four with `prefix`)."""
     model = docs.sparkSession.sparkContext.broadcast(learn(labelled_text(docs)))
-    found = append(
-        docs, lambda texts: predict(texts, model.value), [(f"{prefix}lang_pred", "string"), (f"{prefix}score", "double")]
-    )
-    return found.withColumn(f"{prefix}held_out", held_out(F.col("doc_id")))
+    fields = [(f"{prefix}lang_pred", "string"), (f"{prefix}score", "double"), (f"{prefix}has_letter", "boolean")]
+    return append(docs, lambda texts: parse(texts, model.value), fields).withColumn(f"{prefix}held_out", held_out(F.col("doc_id")))
