@@ -134,13 +134,15 @@ def test_quality_equals_sql(spark, odd, labels):
 
 def test_quality_cutoffs_hold_their_bound(spark):
     scores = spark.range(4000).selectExpr(
-        "id AS doc_id", "'x' AS stratum", "false AS base_failed", "IF(id < 2000, 500, id % 20) AS symbols", "0L AS dup_lines", "0L AS repeats", "0L AS shout"
+        "id AS doc_id", "'x' AS stratum", "CAST(id AS STRING) AS digest", "false AS base_failed", "IF(id < 2000, 500, id % 20) AS symbols", "0L AS dup_lines", "0L AS repeats", "0L AS shout"
     )
     marks = spark.range(4000).selectExpr("id AS doc_id", "IF(id < 2000, 0, 1) AS quality")
     cut = quality.cutoffs(scores, marks).first()
-    assert cut["cut_symbols"] == 500 or 20 <= cut["cut_symbols"] <= 500
+    assert cut["cut_symbols"] == 500  # the most lenient that rejects every bad text: none stricter leads by more
     assert cut["cut_shout"] is None
     assert quality.cutoffs(scores.limit(50), marks).where("cut_symbols IS NOT NULL").isEmpty()
+    copies = scores.withColumn("digest", F.when(F.col("doc_id") >= 2000, F.lit("one text")).otherwise(F.col("digest")))
+    assert quality.cutoffs(copies, marks).where("cut_symbols IS NOT NULL").isEmpty()
 
 
 def test_licenses(spark, odd):
@@ -153,24 +155,34 @@ def test_licenses(spark, odd):
     assert got[1][0] == "mit-grant" and 0.8 <= got[1][1] < 1 and got[2][0] == got[3][0] == ""
 
 
-def test_language_parse_equals_brute_force():
-    model = langid.learn({"en": PROSE * 3, "xx": "zu der die und ein lich keit ung ach sch " * 8})
+def brute_phrases(codes, known):
+    """Phrases of the longest-match parse of `codes` by occurrence in `known` (bytes of one byte a code)."""
+    n, i = 0, 0
+    while i < len(codes):
+        j = i + 1
+        while j < len(codes) and codes[i : j + 1].tobytes() in known:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
+@pytest.mark.parametrize("block", [4, 32, 512])
+def test_language_parse_equals_brute_force(monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(langid, "BLOCK", block)
+    learned = {"en": PROSE * 3, "xx": "zu der die und ein lich keit ung ach sch " * 8}
+    model = langid.learn(learned)
     table_, automata = model[1], model[2]
-    for text in (PROSE[5:60], "die keit qq the fox", "a"):
+    for text in (PROSE[5:60], "die keit qq the fox", "a", PROSE * 2 + "und " * 90 + PROSE[::-1] + "z" * 700):
         codes = langid.encode(text, table_)
-        for lang, moves in zip(("en", "xx"), automata):
-            known = langid.encode({"en": PROSE * 3, "xx": "zu der die und ein lich keit ung ach sch " * 8}[lang], table_).tobytes()
-            n, i = 0, 0
-            while i < len(codes):
-                j = i + 1
-                while j < len(codes) and codes[i : j + 1].tobytes() in known:
-                    j += 1
-                n, i = n + 1, j
-            import numpy as np
-
-            block = np.zeros((langid.BLOCK, 1), dtype=np.uint8)
-            block[: len(codes), 0] = codes
-            assert langid.phrases(block, moves)[0] == n
+        n = -(-len(codes) // block)
+        padded = np.zeros(n * block, dtype=table_.dtype)
+        padded[: len(codes)] = codes
+        blocks = np.ascontiguousarray(padded.reshape(n, block).T)
+        for lang, automaton in zip(sorted(learned), automata):
+            want = brute_phrases(codes, langid.encode(learned[lang], table_).tobytes())
+            assert langid.phrases(blocks, automaton, np.arange(n) > 0).sum() == want
 
 
 def many_scripts(seed):
@@ -215,12 +227,13 @@ def test_language_id(spark, odd):
 
 
 def test_language_learning_on_skew(spark):
-    rows = [(1, "xx", "again and again " + str(i)) for i in range(3000)] + [(i, "yy", f"{chr(0x430 + i % 32)}{chr(0x430 + i // 32)} " * 1000) for i in range(2, 120)]
-    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(7)
-    texts = langid.labelled_text(docs)
-    assert texts["xx"] == " again and again 0"
-    assert len(set(texts["yy"].split())) >= langid.ROWS and len(texts["yy"]) <= langid.TEXT_CHARS
-    assert langid.even_share([5, 100, 100], 65) == 30 and langid.even_share([5, 6], 65) == 6
+    rows = [("1", "xx", "again and again " + str(i)) for i in range(3000)] + [(str(i), "yy", f"{chr(0x430 + i % 32)}{chr(0x430 + i // 32)} " * 1000) for i in range(2, 120)]
+    rows += [(str(i), "zz", "lange " * 2000) for i in range(200, 204)]
+    docs = spark.createDataFrame(rows, "doc_id string, lang string, text string")
+    texts = langid.labelled_text(docs.repartition(7))
+    assert texts == langid.labelled_text(docs.repartition(3))
+    assert re.fullmatch(r"again and again \d+", texts["xx"]) and texts["zz"] == "lange " * 2000
+    assert 30_000 < len(texts["yy"]) <= langid.TEXT_CHARS + langid.ROWS and set(map(len, texts["yy"].split())) == {2}
 
 
 def test_pipeline_keeps_documents_where_no_language_is_known(spark, odd):
@@ -231,12 +244,13 @@ def test_pipeline_keeps_documents_where_no_language_is_known(spark, odd):
 
 
 def test_toxicity(spark, odd, labels):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # the smaller ones have 6 toxic held-out documents or fewer
     marks = table(spark, sf, "labels")
     got = toxicity.score(table(spark, sf, "documents"), marks).join(marks, "doc_id").where("held_out").collect()
     good = [r["score"] for r in got if r["toxic"] == 0]
     bad = [r["score"] for r in got if r["toxic"] == 1]
-    assert sum(x > y for x in bad for y in good) > 0.6 * len(good) * len(bad)
+    assert sum(x > y for x in bad for y in good) > 0.95 * len(good) * len(bad)
+    assert sum(x >= 0.5 for x in bad) > 0.85 * len(bad) and sum(x >= 0.5 for x in good) < 0.02 * len(good)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     assert {r["score"] for r in toxicity.score(odd, labels).collect()} == {0.0}
 

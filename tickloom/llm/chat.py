@@ -9,8 +9,9 @@ texts: the loss mask. In the formatted string, control strings in contents are e
 The vocabulary file is a parameter; the driver reads it and ships its bytes (under MAX_VOCAB) to executors.
 
 Defined results: null role or text is empty; turns are ordered by turn, then role and text, null first; rows
-with a null conv_id form one conversation; repeated rows are repeated turns; empty tables give no rows. One
-conversation is one output row, so it is gathered in one task by nature.
+with a null conv_id form one conversation; repeated rows are repeated turns; very long texts are encoded whole; columns
+other than these four are ignored, whatever their names; empty tables give no rows. One conversation is one output row,
+so it is gathered in one task by nature.
 """
 
 from __future__ import annotations
@@ -91,15 +92,20 @@ def read_loss(ids: list[int], spans, decode_bytes) -> list[str]:
     return [unescape(decode_bytes(ids[a:b]).decode("utf-8", "surrogatepass")) for a, b in spans]
 
 
+def read_vocabulary(path: str) -> bytes:
+    """The bytes of a local file of the driver, which go to the executors; an error beyond MAX_VOCAB."""
+    with open(path, "rb") as f:
+        data = f.read(MAX_VOCAB + 1)
+    if len(data) > MAX_VOCAB:
+        raise ValueError("the vocabulary file is too large to ship")
+    return data
+
+
 def format_conversations(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """conv_id, formatted, tokens, loss_spans (pairs of first and last + 1 token under the loss mask), n_turns."""
     import pyarrow as pa
 
-    with open(vocabulary, "rb") as f:  # a local file of the driver; its bytes go to the executors
-        data = f.read(MAX_VOCAB + 1)
-    if len(data) > MAX_VOCAB:
-        raise ValueError("the vocabulary file is too large to ship")
-    shared = conversations.sparkSession.sparkContext.broadcast(data)
+    shared = conversations.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
@@ -132,8 +138,7 @@ def digests(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """What can be read back from the formatted strings and masked tokens, as digests."""
     import pyarrow as pa
 
-    with open(vocabulary, "rb") as f:
-        shared = formatted.sparkSession.sparkContext.broadcast(f.read(MAX_VOCAB))
+    shared = formatted.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches):
         encoding, _ = encoder(shared.value)

@@ -17,22 +17,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where the session names none (tests)."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share. A local one is made only on a local master whose session names none, as in tests."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-tickloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders that `materialise` wrote and nothing has deleted yet.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage is cut, lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(name)
+
+
+def drop_written(*frames: DataFrame) -> None:
+    """Delete the files of frames made by `materialise` once nothing reads them any more."""
+    for df in frames:
+        own = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+        _delete(df.sparkSession, [p for p in _WRITTEN if p.rpartition("/")[2] in own])
+
+
+def clear(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
+    """Delete all that `materialise` wrote since it had written `since` folders, but for the frame `keep`.
+
+    A result that is still to be computed may read such files: clear once it is written.
+    """
+    own = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
+    _delete(spark, [p for p in _WRITTEN[since:] if p.rpartition("/")[2] not in own])
+
+
+def written() -> int:
+    """How many folders are written and not deleted."""
+    return len(_WRITTEN)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate `value` once and hand it to `body` as a lambda variable."""
     return F.transform(F.array(value), body)[0]
@@ -72,16 +107,6 @@ def append(docs: DataFrame, fn, fields: list[tuple[str, str]]) -> DataFrame:
 SLICE = 256
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a frame made by `materialise` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if folder.startswith(shared_dir(spark).replace("file://", "file:")) or folder.startswith(shared_dir(spark)):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
     import gc

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialise
+from tickloom.llm.common import drop_written, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,4 +30,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select("v", "m").union(low)
-        now = materialise(small.toDF("u", "v").distinct(), "edges")
+        past, now = now, materialise(small.toDF("u", "v").distinct(), "edges")
+        drop_written(past)

@@ -1,16 +1,21 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a sequence of text chunks and tags. Words score positive and tags negative; weights are log odds of
+A page is a sequence of text chunks and tags. Words score positive and tags negative; the weights are log odds of
 standing inside the main element (`article` or `main`), counted on Spark over pages that have one, from at most
-SAMPLE pages (by hash of page_id). Words in links have their own weight. On a page that marks its main element
-words outside of it score negative, and so do words in boilerplate elements (navigation, page header and footer,
-asides, forms, adverts, notices, comments ...) outside of it; those inside score 0, and tags inside it do too, so
-no block within the main element cuts it. Boilerplate is never part of the text. One linear scan finds the contiguous
-region with the highest sum (the first on ties); its blocks are decoded, spaces joined, and put together by line feeds.
+SAMPLE pages (by hash of page_id). Words are told apart by the block they stand in and the chunk's length, links
+have their own weight, and a run of boilerplate (navigation, page header and footer, asides, forms, adverts,
+notices, comments ...: elements or names) costs RUN at most, so text on both sides of it stays together. One linear
+scan finds the contiguous region with the highest sum (the first on ties). Boilerplate in it is left out; the rest is
+decoded, spaces joined, blocks put together by line feeds.
+
+A page's own main element counts if it holds TRUST or more of the words of the best region found without it; then
+words outside of it have the learned weight of such words, and tags and boilerplate inside it score 0. A teaser in
+an `article` so does not hide the text beside it.
 
 Defined results: null, empty and tag-only pages give the empty text; broken markup is read leniently (unclosed
-comments and scripts run to the end); repeated rows give repeated rows; other columns are ignored; an empty table
-gives no rows.
+comments and scripts run to the end, a `<` that no `>` follows is text, and after a quotation that swallows the rest of
+the page quotes no longer count), in time linear in the page's length; very long pages are read whole; repeated rows
+give repeated rows; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 
 SAMPLE = 2_000
 LEAST, MOST = 0.05, 2.0
+#: What a run of boilerplate costs at most, and the share of words that makes a main element count.
+RUN, TRUST = 8.0, 0.3
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,95 +38,185 @@ RAW = frozenset("script style noscript template iframe svg textarea title select
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li td dd dt figcaption".split())
 MAIN = frozenset(("article", "main"))
 BOILERPLATE = frozenset("nav footer aside form button menu dialog head".split())
-# Words in class, id and role that mark what is not the article, and words that mark what is.
-MARKED = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promoted promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside rail footer bottom masthead topbar header comment comments commentlist disqus reply replies respond discussion feedback cookie cookies consent notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register search share sharing social related recommended recommendations more widget widgets toolbar pagination pager hidden gdpr privacy legal copyright complementary contentinfo skip".split()
-)
-CONTENT = frozenset("content article main post entry story body text page container wrapper".split())
 KNOWN = BLOCKS | VOID | RAW | frozenset("a b i em strong span u small sub sup code img q cite mark abbr time label".split())
-
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+# Words in class, id and role. STRONG ones mark boilerplate anywhere, TALK ones even around a main element,
+# WEAK ones only containers outside of the main element; LAYOUT words before one say that a page has it, not that this is it.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promoted promotion nav navbar navigation menubar breadcrumb breadcrumbs sidebar footer masthead topbar cookie cookies consent newsletter subscribe subscription signup login share sharing social popup modal overlay gdpr toolbar pagination pager widget widgets contentinfo".split()
 )
+TALK = frozenset("comment comments commentlist disqus reply replies respond related recommended recommendations".split())
+WEAK = frozenset(
+    "banner menu side aside rail bottom header discussion feedback notice notices notification alert register search more hidden privacy legal copyright complementary skip".split()
+)
+LAYOUT = frozenset("has with no is without page site layout body".split())
+
+_OPEN = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s/]|$))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+_CLOSE = {name: re.compile(f"</{name}(?![a-zA-Z0-9:-])", re.I) for name in RAW}
 
 
-def _is_marked(name: str, attributes: str) -> bool:
-    if name in BOILERPLATE:
-        return True
+def marks(page: str):
+    """(kind, value, attributes) in page order; kind is "text", "open", "close" or "void". One pass, linear."""
+    at, n, quoted = 0, len(page), True
+    text_from, last = 0, page.rfind(">")
+    while True:
+        i = page.find("<", at)
+        if i < 0 or i > last:
+            break
+        m = _OPEN.match(page, i + 2 if page.startswith("</", i) else i + 1)
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            end = n if end < 0 else end + 3
+            found = None
+        elif m is None:
+            if not page.startswith(("<!", "<?", "</"), i):
+                at = i + 1  # a plain "<"
+                continue
+            end, found = page.find(">", i) + 1, None
+        else:
+            end, found = m.end(), m
+            while quoted:
+                stop = _STOP.search(page, end)
+                if stop is None:
+                    quoted = False
+                elif page[stop.start()] == ">":
+                    end = stop.start() + 1
+                    break
+                else:
+                    end = page.find(stop[0], stop.end()) + 1
+                    quoted = end > 0
+            if not quoted:
+                end = page.find(">", m.end()) + 1
+        if i > text_from:
+            yield "text", page[text_from:i], ""
+        at = text_from = end
+        if found is None:
+            continue
+        name = found[0].lower()
+        if page[i + 1] == "/":
+            yield "close", name, ""
+            continue
+        attributes = page[found.end() : end - 1]
+        if name in RAW:
+            if not attributes.endswith("/"):
+                close = _CLOSE[name].search(page, at)
+                end = page.find(">", close.end()) + 1 if close else 0
+                at = text_from = end or n
+            continue
+        yield "void" if name in VOID or attributes.endswith("/") and name not in BLOCKS else "open", name, attributes
+    if n > text_from:
+        yield "text", page[text_from:], ""
+
+
+def _mark(name: str, attributes: str) -> int:
+    """How an element is marked: 0 not, 1 WEAK, 2 STRONG, 3 TALK or by its element name, 4 hidden."""
+    found = 3 if name in BOILERPLATE and name != "form" else 2 if name == "form" else 1 if name == "header" else 0
     if not attributes or name in ("html", "body", "main"):
-        return False
-    words: set[str] = set()
+        return found
     for key, value in _NAMES.findall(attributes):
         key = key.lower()
         if key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if key != "style":
-            words.update(_SPLIT.split(value.strip("\"'").lower()))
-    return bool(words & MARKED) and not words & CONTENT
+            return 4
+        if key == "style":
+            continue
+        for one in value.strip("\"'").lower().split():
+            words = [w for w in _SPLIT.split(one) if w]
+            for i, w in enumerate(words):
+                if i and words[i - 1] in LAYOUT:
+                    continue
+                if w in TALK:
+                    found = max(found, 3)
+                elif w in STRONG:
+                    found = max(found, 2)
+                elif w in WEAK and name not in PROSE:
+                    found = max(found, 1)
+    return found
 
 
 def items(page: str | None):
-    """(kind, value, boilerplate, main, link): kind "text", or "tag" with the element's name."""
-    page = page or ""
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, boilerplate, main, link
-    top, at, n = ("", False, False, False), 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        end = m.start() if m else n
-        if end > at:
-            yield "text", page[at:end], *top[1:]
-        if not m:
-            return
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if name not in BLOCKS and stack[i][0] in BLOCKS:
-                    break
-            top = stack[-1] if stack else ("", False, False, False)
-            yield "tag", name, *top[1:]
+    """(kind, value, boilerplate, main, link, block): kind "text", or "tag" with the element's name."""
+    parent, names, level, holds, depth_block = [-1], [""], [0], [False], [0]
+    tokens: list[tuple[str, str, int]] = []  # kind, value, element
+    stack, open_names = [0], {}
+
+    def close_to(k: int) -> None:
+        for e in stack[k:]:
+            open_names[names[e]] -= 1
+        del stack[k:]
+
+    for kind, value, attributes in marks(page or ""):
+        if kind == "text":
+            tokens.append((kind, value, stack[-1]))
             continue
-        if name in RAW:
-            if m[3].endswith("/"):
-                continue
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+        if kind == "close":
+            if open_names.get(value):
+                low = 0 if value in BLOCKS else depth_block[stack[-1]]
+                k = len(stack) - 1
+                while k > low and names[stack[k]] != value:
+                    k -= 1
+                if k > 0 and names[stack[k]] == value:
+                    close_to(k)
+            tokens.append(("tag", value, stack[-1]))
             continue
-        if name in BLOCKS and name != "br":
-            for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                if stack[i][0] == "p" or name == "li" and stack[i][0] == "li":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-            top = stack[-1] if stack else ("", False, False, False)
-        if name in VOID or m[3].endswith("/") and name not in BLOCKS:
-            yield "tag", name, *top[1:]
+        if value in BLOCKS and value != "br":  # a block ends an open paragraph
+            k = depth_block[stack[-1]]
+            if k and (names[stack[k]] == "p" or value == "li" and names[stack[k]] == "li"):
+                close_to(k)
+        if kind == "void":
+            tokens.append(("tag", value, stack[-1]))
             continue
-        marked = _is_marked(name, m[3]) or name == "header" and not top[2]
-        top = (name, top[1] or marked, top[2] or name in MAIN and not (top[1] or marked), top[3] or name == "a")
-        stack.append(top)
-        yield "tag", name, *top[1:]
+        e = len(names)
+        parent.append(stack[-1])
+        names.append(value)
+        level.append(_mark(value, attributes))
+        holds.append(False)
+        depth_block.append(len(stack) if value in BLOCKS else depth_block[stack[-1]])
+        stack.append(e)
+        open_names[value] = open_names.get(value, 0) + 1
+        tokens.append(("tag", value, e))
+    for e, name in enumerate(names):  # which elements hold a main element or a top heading
+        if name == "h1" or name in MAIN and level[e] < 2:
+            up = parent[e]
+            while up > 0 and not holds[up]:
+                holds[up] = True
+                up = parent[up]
+    boiler, main, link = [False] * len(names), [False] * len(names), [False] * len(names)
+    block = [""] * len(names)
+    for e in range(1, len(names)):
+        p, mark = parent[e], level[e]
+        boiler[e] = boiler[p] or mark >= 3 or mark == 2 and not holds[e] or mark == 1 and not main[p] and not (holds[e] and names[e] != "header")
+        main[e] = main[p] or names[e] in MAIN and not boiler[e]
+        link[e] = link[p] or names[e] == "a"
+        block[e] = names[e] if names[e] in BLOCKS else block[p]
+    return [(kind, value, boiler[e], main[e], link[e], block[e]) for kind, value, e in tokens]
+
+
+def _kind(kind: str, value: str, boiler: bool, link: bool, block: str, n: int) -> str:
+    """The token kind that has a weight of its own."""
+    if boiler:
+        return "boilerplate" if kind == "text" else "<boilerplate>"
+    if kind != "text":
+        return f"<{value}>" if value in KNOWN else "<other>"
+    if link:
+        return "link"
+    place = "heading" if block in HEADINGS else block if block in PROSE else "other"
+    return f"{place} {'short' if n < 4 else 'middle' if n < 12 else 'long'}"
 
 
 def counts(page: str | None) -> dict[tuple[str, bool], int]:
     """(token kind, inside main) -> tokens, of a page that marks its main element; else empty."""
     out: dict[tuple[str, bool], int] = {}
-    for kind, value, boiler, main, link in items(page):
-        if kind == "text":
-            key, k = ("link" if link else "word", main and not boiler), len(value.split())
-        else:
-            key, k = (f"<{value}>" if value in KNOWN else "<other>", main and not boiler), 1
-        out[key] = out.get(key, 0) + k
+    for kind, value, boiler, main, link, block in items(page):
+        n = len(value.split()) if kind == "text" else 1
+        inside = main and not boiler
+        for key in (_kind(kind, value, boiler, link, block, n), *(() if main else ("outside" if kind == "text" else "<outside>",))):
+            out[key, inside] = out.get((key, inside), 0) + n
     return out if any(inside for _, inside in out) else {}
 
 
@@ -145,37 +242,64 @@ def learn(pages: DataFrame) -> dict[str, float]:
     seen: dict[str, list[int]] = {}
     for r in chosen.mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect():
         seen.setdefault(r["kind"], [0, 0])[r["inside"]] += r["n"]
+    return log_odds(seen)
+
+
+def log_odds(seen: dict[str, list[int]]) -> dict[str, float]:
+    """kind -> log odds of the inside, from kind -> [outside, inside] counts."""
     out, into = (sum(v[i] for v in seen.values()) + 1 for i in (0, 1))
     return {k: math.log((v[1] + 0.5) / into) - math.log((v[0] + 0.5) / out) for k, v in seen.items()}
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    tokens = list(items(page))
-    marked = any(main and not boiler for _, _, boiler, main, _ in tokens)
-    word = min(MOST, max(0.5, weights.get("word", 1.0)))
+def gains(tokens: list, weights: dict[str, float], trusted: bool) -> list[float]:
+    """The score of every token; `trusted`: the page's main element counts."""
+    out, run = [], 0.0
     link = min(-LEAST, max(-MOST, weights.get("link", -1.0)))
-    best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
-    for i, (kind, value, boiler, main, linked) in enumerate(tokens):
-        if kind == "tag":
-            gain = weights.get(f"<{value}>" if value in KNOWN else "<other>", 0.0)
-            gain = 0.0 if marked and main else min(-LEAST, max(-MOST, gain))
+    outside = min(-LEAST, max(-MOST, weights.get("outside", -1.0)))
+    for kind, value, boiler, main, linked, block in tokens:
+        n = len(value.split()) if kind == "text" else 1
+        inside = trusted and main
+        if not boiler:
+            run = 0.0
+        if boiler:
+            gain = 0.0 if inside else -min(n * (1.0 if kind == "text" else 0.5), RUN - run)
+            run -= gain
+        elif trusted and not main:
+            gain = outside * n
+        elif kind == "tag":
+            gain = 0.0 if inside else min(-LEAST, max(-MOST, weights.get(_kind(kind, value, boiler, linked, block, n), -0.3)))
+        elif linked and not inside:
+            gain = link * n
         else:
-            n = len(value.split())
-            if boiler and marked and main:
-                gain = 0.0
-            elif boiler or marked and not main:
-                gain = -word * n
-            else:
-                gain = n * (link if linked and not marked else word)
+            gain = n * min(MOST, max(LEAST if linked else 0.3, weights.get(_kind(kind, value, boiler, linked, block, n), 1.0)))
+        out.append(gain)
+    return out
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """First and end of the contiguous region with the highest sum; the first such on ties, (0, 0) if none is positive."""
+    best, region, total, start = 0.0, (0, 0), 0.0, 0
+    for i, gain in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
         total += gain
         if total > best:
-            best, best_from, best_to = total, start, i + 1
+            best, region = total, (start, i + 1)
+    return region
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    tokens = items(page)
+    size = lambda some: sum(len(t[1].split()) for t in some if t[0] == "text" and not t[2] and not t[4])
+    first, end = best_region(gains(tokens, weights, False))
+    own = size(t for t in tokens if t[3])
+    trusted = own > 0 and own >= TRUST * size(tokens[first:end])
+    if trusted:
+        first, end = best_region(gains(tokens, weights, True))
     blocks, block = [], []
-    for kind, value, boiler, main, _ in tokens[best_from:best_to]:
+    for kind, value, boiler, main, *_ in tokens[first:end]:
         if kind == "text":
-            if not boiler and (main or not marked):
+            if not boiler and (main or not trusted):
                 block.append(entities.unescape(value))
         elif value in BLOCKS:
             blocks.append("".join(block))

@@ -9,13 +9,19 @@ only windows around such shingles are hashed; this skips no collision. A retriev
 shingle strings of the window and a stride around it: containment = shared distinct template shingles /
 template shingles must reach CONTAINMENT.
 
-Defined results: null, empty and very short texts match nothing; repeated rows give repeated rows; other
-columns of the input are ignored; an empty table gives no rows. The template list is fixed and small, so what
-is shipped with the plan does not grow with the data.
+Templates are a table (name, text; the notices in TEMPLATES by default). They are compiled by the same expressions as
+texts and stand in the query as one constant, so the plan is the same for ten templates and for thousands; more than
+MAX_SHINGLES shingles of all templates together are refused, so what is shipped is bounded.
+
+Defined results: null, empty and very short texts match nothing, and so do templates without SHINGLE words or a name; very
+long texts are read whole; every template that reaches CONTAINMENT is named once, in code point order; repeated rows
+give repeated rows; other columns of the input are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +31,7 @@ SHINGLE = 5
 BANDS = 12
 CONTAINMENT = 0.8
 STRIDE_PART = 8
+MAX_SHINGLES = 200_000
 
 # License notices in common use.
 TEMPLATES = {
@@ -54,107 +61,80 @@ def _strings(words: Column, n: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def _salted(j: int):
-    """The j-th hash function over shingle hashes, as a lambda body of one argument."""
-    return lambda x: F.xxhash64(x, F.lit(j))
-
-
 def _ranked(j: int):
     return lambda x: F.struct(F.xxhash64(x, F.lit(j)).alias("m"), x.alias("x"))
 
 
-def _compile(spark, templates: dict[str, str]) -> list[dict]:
-    """Shingles, band minima and the shingle hashes that give them, by the same expressions as for texts."""
-    values = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in templates.items()])
-    rows = spark.range(1).select(F.inline(values)).select("name", _words(F.col("text")).alias("w"))
-    rows = rows.select("name", F.array_distinct(_strings(F.col("w"), F.size("w"))).alias("shingles"), F.size("w").alias("n_words"))
+def _compile(templates: DataFrame) -> tuple[list[dict], list[dict]]:
+    """(templates as name, shingles, number of them, stride and band minima; the shingle hashes that give the minima)."""
+    rows = templates.where("name IS NOT NULL AND text IS NOT NULL").groupBy("name").agg(F.min("text").alias("text"))
+    rows = rows.select("name", _words(F.col("text")).alias("w"))
+    rows = rows.select("name", F.array_distinct(_strings(F.col("w"), F.size("w"))).alias("shingles")).where(F.size("shingles") > 0)
+    total = rows.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    if total > MAX_SHINGLES:
+        raise ValueError(f"templates of {total} shingles; scan for {MAX_SHINGLES} at most at once")
     rows = rows.withColumn("h", F.transform("shingles", lambda s: F.xxhash64(s)))
-    for j in range(BANDS):
-        rows = rows.withColumn(f"b{j}", F.array_min(F.transform("h", _ranked(j))))
-    return [
-        {
-            "name": r["name"],
-            "shingles": r["shingles"],
-            "n": len(r["shingles"]),
-            "bands": [r[f"b{j}"]["m"] for j in range(BANDS)],
-            "args": sorted({r[f"b{j}"]["x"] for j in range(BANDS)}),
-        }
-        for r in rows.collect()
-        if r["shingles"]
-    ]
-
-
-def _match(t: dict) -> Column:
-    """Best containment of one template over its retrieved windows; null where no window is retrieved."""
-    n, stride = t["n"], max(1, t["n"] // STRIDE_PART)
-    h, words, size = F.col("h"), F.col("words"), F.size("h")
-    own = F.filter(F.col("hits"), lambda p: p["x"].isin(t["args"]))
-
-    def starts(p: Column) -> Column:
-        first = F.ceil(F.greatest(p["i"] - (n - 1), F.lit(0)) / stride).cast("int") * stride
-        last = F.greatest(size - n, F.lit(0))
-        return F.concat(
-            F.when(first <= p["i"], F.sequence(first, p["i"], F.lit(stride))).otherwise(F.array().cast("array<int>")),
-            F.when(last <= p["i"], F.array(last)).otherwise(F.array().cast("array<int>")),
-        )
-
-    def retrieved(s: Column) -> Column:
-        def bands(window: Column) -> Column:
-            found = F.lit(False)
-            for j, m in enumerate(t["bands"]):
-                found = found | (F.array_min(F.transform(window, _salted(j))) == m)
-            return found
+    rows = rows.select("name", "shingles", *[F.array_min(F.transform("h", _ranked(j))).alias(f"b{j}") for j in range(BANDS)])
+    made, args = [], []
+    for t, r in enumerate(rows.orderBy("name").collect()):
+        n = len(r["shingles"])
+        bands = [r[f"b{j}"] for j in range(BANDS)]
+        made.append({"name": r["name"], "shingles": r["shingles"], "n": n, "stride": max(1, n // STRIDE_PART), "bands": [b["m"] for b in bands]})
+        args += [{"x": x, "t": t} for x in sorted({b["x"] for b in bands})]
+    return made, args
 
-        return let(F.slice(h, s + 1, n), bands)
 
-    def containment(s: Column) -> Column:
-        begin = F.greatest(s - stride, F.lit(0))
-        piece = F.slice(words, begin + 1, n + 2 * stride + SHINGLE - 1)
-        text = F.array_intersect(let(piece, lambda w: _strings(w, F.size(w))), F.array(*[F.lit(x) for x in t["shingles"]]))
-        return F.size(text) / float(n)
+def _starts(i: Column, n: Column, stride: Column, size: Column) -> Column:
+    """Starts of the windows of n shingles that hold place i, of all windows a stride apart and the last one."""
+    first = F.ceil(F.greatest(i - (n - 1), F.lit(0)) / stride).cast("int") * stride
+    last = F.greatest(size - n, F.lit(0))
+    none = F.array().cast("array<int>")
+    return F.concat(F.when(first <= i, F.sequence(first, i, stride)).otherwise(none), F.when(last <= i, F.array(last)).otherwise(none))
 
-    candidates = F.filter(F.array_distinct(F.flatten(F.transform(own, starts))), retrieved)
-    return F.array_max(F.transform(candidates, containment))
 
-
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def license_scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """doc_id, n_licenses, licenses (names in order, comma-joined, empty if none), best_containment."""
-    compiled = _compile(docs.sparkSession, templates or TEMPLATES)
-    args = sorted({a for t in compiled for a in t["args"]})
+    spark = docs.sparkSession
+    if templates is None:
+        listed = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in TEMPLATES.items()])
+        templates = spark.range(1).select(F.inline(listed))
+    compiled, args = _compile(templates)
+    known = F.from_json(F.lit(json.dumps(compiled)), "array<struct<name:string,shingles:array<string>,n:int,stride:int,bands:array<bigint>>>")
+    pairs = F.from_json(F.lit(json.dumps(args)), "array<struct<x:bigint,t:int>>")
+    among = ", ".join(sorted({f"{a['x']}L" for a in args})) or "NULL"
     words = docs.select("doc_id", _words(F.coalesce("text", F.lit(""))).alias("words"))
-    hashed = words.select(
-        "doc_id",
-        "words",
-        F.when(
-            F.size("words") >= SHINGLE,
-            F.transform(
-                F.sequence(F.lit(1), F.size("words") - (SHINGLE - 1)),
-                lambda i: F.xxhash64(F.array_join(F.slice("words", i, SHINGLE), " ")),
-            ),
+    hashed = words.select("doc_id", "words", F.transform(_strings(F.col("words"), F.size("words")), lambda s: F.xxhash64(s)).alias("h"))
+    places = F.expr(f"IF(exists(h, x -> x IN ({among})), filter(transform(h, (x, i) -> struct(x, i)), p -> p.x IN ({among})), NULL)")
+    hits = hashed.select("doc_id", "words", "h", places.alias("hits"))
+
+    def around(p: Column) -> Column:
+        def of(q: Column) -> Column:
+            t = F.get(known, q["t"])
+            return F.transform(_starts(p["i"], t["n"], t["stride"], F.size("h")), lambda s: F.struct(q["t"].alias("t"), s.alias("s")))
+
+        return F.flatten(F.transform(F.filter(pairs, lambda q: q["x"] == p["x"]), of))
+
+    def retrieved(c: Column) -> Column:
+        t = F.get(known, c["t"])
+        band = lambda window: F.exists(
+            F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.array_min(F.transform(window, lambda x: F.xxhash64(x, j))) == F.get(t["bands"], j)
         )
-        .otherwise(F.array().cast("array<bigint>"))
-        .alias("h"),
-    )
-    hits = hashed.select(
-        "doc_id",
-        "words",
-        "h",
-        F.when(
-            F.exists("h", lambda x: x.isin(args)),
-            F.filter(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: p["x"].isin(args)),
-        ).alias("hits"),
-    )
-    scores = hits.select(
-        "doc_id",
-        F.when(
-            F.col("hits").isNotNull(),
-            F.array(*[F.struct(F.lit(t["name"]).alias("name"), _match(t).alias("c")) for t in compiled]),
-        ).alias("found"),
-    )
-    kept = scores.select("doc_id", F.filter("found", lambda m: m["c"] >= CONTAINMENT).alias("found"))
-    return kept.select(
+        return let(F.slice("h", c["s"] + 1, t["n"]), band)
+
+    def verified(c: Column) -> Column:
+        t = F.get(known, c["t"])
+        begin = F.greatest(c["s"] - t["stride"], F.lit(0))
+        piece = F.slice("words", begin + 1, t["n"] + 2 * t["stride"] + (SHINGLE - 1))
+        shared = F.array_intersect(let(piece, lambda w: _strings(w, F.size(w))), t["shingles"])
+        return F.struct(t["name"].alias("name"), (F.size(shared) / t["n"].cast("double")).alias("c"))
+
+    candidates = F.filter(F.array_distinct(F.flatten(F.transform("hits", around))), retrieved)
+    found = hits.select("doc_id", F.when(F.col("hits").isNotNull(), F.transform(candidates, verified)).alias("found"))
+    kept = found.select("doc_id", F.filter("found", lambda m: m["c"] >= CONTAINMENT).alias("found"))
+    named = kept.select("doc_id", F.array_sort(F.array_distinct(F.transform("found", lambda m: m["name"]))).alias("names"), F.array_max(F.transform("found", lambda m: m["c"])).alias("best_containment"))
+    return named.select(
         "doc_id",
-        F.coalesce(F.size("found"), F.lit(0)).alias("n_licenses"),
-        F.coalesce(F.array_join(F.array_sort(F.transform("found", lambda m: m["name"])), ","), F.lit("")).alias("licenses"),
-        F.array_max(F.transform("found", lambda m: m["c"])).alias("best_containment"),
+        F.coalesce(F.size("names"), F.lit(0)).alias("n_licenses"),
+        F.coalesce(F.array_join("names", ","), F.lit("")).alias("licenses"),
+        "best_containment",
     )

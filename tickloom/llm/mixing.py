@@ -22,6 +22,8 @@ documents; other columns of the input are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,8 +69,7 @@ def mix(docs: DataFrame) -> DataFrame:
             "doc_id",
             "source",
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(F.col("doc_id"), F.lit("mix"), F.col("source")).alias("h"),
-            F.xxhash64(text).alias("h2"),
+            F.xxhash64(F.col("doc_id"), F.lit("mix"), F.col("source"), F.col("text")).alias("h"),
         ),
         "mix-sizes",
     )
@@ -78,21 +79,16 @@ def mix(docs: DataFrame) -> DataFrame:
         raise ValueError(f"more than {MAX_SOURCES} sources; mix over a coarser column")
     planned = plan({r["source"]: r["source_size"] for r in found})
     chunks = max(1, sum(r["rows"] for r in found) // CHUNK_ROWS)
-    quote = lambda s: "CAST(NULL AS STRING)" if s is None else "decode(unhex('" + s.encode().hex() + "'), 'utf-8')"
-    rows = [
-        f"struct({quote(r['source'])} AS s, {r['source_size']}L AS source_size, CAST({planned[r['source']][0]!r} AS DOUBLE) AS target, CAST({planned[r['source']][1]!r} AS DOUBLE) AS slope)"
-        for r in found
-    ]
-    if not rows:
-        return sized.select(
-            "doc_id", "size", "source", F.col("size").alias("source_size"), F.lit(0.0).alias("target"),
-            F.col("size").alias("taken"), F.lit(0.0).alias("position"), F.array().cast("array<double>").alias("positions"),
-        )
-    targets = spark.range(1).select(F.inline(F.array(*[F.expr(x) for x in rows])))
+    # One text literal holds the plan of all sources (MAX_SOURCES rows at most), so the query does not grow with them.
+    listed = json.dumps([{"s": r["source"], "source_size": r["source_size"], "target": planned[r["source"]][0], "slope": planned[r["source"]][1]} for r in found])
+    kind = "array<struct<s:string,source_size:bigint,target:double,slope:double>>"
+    targets = spark.range(1).select(F.inline(F.from_json(F.lit(listed), kind)))
 
     # Level one: words of each chunk (a range of the hash order), then the words before it.
     rank = F.shiftrightunsigned("h", 33).cast("double") / float(1 << 31)
+    # Rows alike in doc_id, source and text are one row with a count until they are placed: no chunk holds them all.
     sized = sized.withColumn("chunk", F.floor(rank * chunks).cast("int"))
+    alike = sized.groupBy("source", "chunk", "h", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
     by_chunk = sized.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     before = by_chunk.select(
         F.col("source").alias("s"),
@@ -100,13 +96,17 @@ def mix(docs: DataFrame) -> DataFrame:
         (F.sum("words").over(Window.partitionBy("source").orderBy("chunk")) - F.col("words")).alias("before"),
     )
     # Level two: words before each document inside its chunk.
-    inside = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "h2").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    some = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1), F.lit(CHUNK_ROWS)))
+    each = F.explode(F.sequence("from", F.least(F.col("n"), F.col("from") + CHUNK_ROWS) - 1))
     placed = (
-        sized.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        alike.withColumn("inner", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
         .join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
         .drop("s", "c")
         .join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("at", F.col("before") + F.col("inner"))
+        .withColumn("from", some)
+        .withColumn("copy", each)
+        .withColumn("at", F.col("before") + F.col("inner") + F.col("copy") * F.col("size"))
     )
     goal = F.round("target").cast("long")
     starts = [p * F.col("source_size") + F.col("at") for p in range(REPEAT)]

@@ -9,10 +9,12 @@ first failure. All admissible cutoffs hold together, so one may be picked freely
 lead of the rejection rate of labelled bad documents over that of good ones, if there is a lead; the more
 lenient on ties. A stratum with too few labels gets no cutoff: nothing is rejected there without evidence.
 With probability 1 - DELTA, at most ALPHA of the good documents of every
-stratum that pass the base rules are rejected.
+stratum that pass the base rules are rejected. A draw of the holdout is a distinct text: copies of one text and
+rows of a repeated doc_id (whose label is the lowest given) are not independent and count once.
 
 Defined results: null or empty text has no words (base_failed, not kept); null lang is its own stratum;
-repeated rows give repeated rows; other columns of the input are ignored; an empty table gives no rows.
+repeated rows give repeated rows; very long texts are counted whole; a score equal to a cutoff is rejected; other
+columns of the input are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WORD, let, materialise
+from tickloom.llm.common import WORD, drop_written, let, materialise
 
 ALPHA = 0.08
 DELTA = 0.10
@@ -74,6 +76,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("lines"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit("[A-Z!]")).cast("long").alias("n_shout"),
+        F.md5(F.encode(text, "utf-8")).alias("digest"),
     )
     return split.select(
         "doc_id",
@@ -85,6 +88,7 @@ def features(docs: DataFrame) -> DataFrame:
         _repeat_words(F.col("words"), F.size("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         "n_shout",
+        "digest",
     )
 
 
@@ -92,7 +96,7 @@ def scored(feats: DataFrame) -> DataFrame:
     mille = lambda x, y: F.expr(f"(1000 * {x}) div greatest({y}, 1)")
     return feats.select(
         *[c for c in feats.columns if c not in ("n_lines", "n_shout", "lang")],
-        F.coalesce("lang", F.lit("(null)")).alias("stratum"),
+        F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("stratum"),
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
         mille("n_symbols", "word_chars").alias("symbols"),
         mille("n_dup_lines", "n_lines").alias("dup_lines"),
@@ -114,10 +118,14 @@ def _binomial_cdf(k, n, p: float):
 
 
 def cutoffs(scores: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum: the cutoff of each rule, null where none is admissible and useful. `labels`: doc_id, quality."""
+    """One row per stratum: the cutoff of each rule, null where none is admissible and useful. `labels`: doc_id, quality.
+
+    Rows of `scores` with one digest are one draw, labelled with the lowest label any of them has.
+    """
     rate = alpha / len(RULES)
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = scores.where(~F.col("base_failed")).join(marks, "doc_id")
+    labelled = labelled.groupBy("stratum", "digest").agg(F.min("quality").alias("quality"), *[F.max(r).alias(r) for r in RULES])
     good, bad = F.col("quality") == 1, F.col("quality") == 0
     counts = labelled.groupBy("stratum").agg(
         F.count_if(good).alias("n"),
@@ -125,7 +133,7 @@ def cutoffs(scores: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
         *[F.count_if(good & (F.col(r) >= c)).alias(f"{r}_{c}") for r in RULES for c in CUTOFFS],
         *[F.count_if(bad & (F.col(r) >= c)).alias(f"{r}_{c}_bad") for r in RULES for c in CUTOFFS],
     )
-    counts = materialise(counts.coalesce(1), "quality-counts")
+    counts = materialise(counts, "quality-counts")
     level = delta / max(1, counts.where("n > 0").count() * len(RULES))
 
     def best(rule: str):
@@ -168,7 +176,8 @@ def oracle() -> str:
     """The same result in DuckDB SQL."""
     rate = ALPHA / len(RULES)
     grid = ", ".join(f"({c}, {i})" for i, c in enumerate(CUTOFFS))
-    scores = " UNION ALL ".join(f"SELECT doc_id, stratum, quality, '{r}' AS rule, {r} AS score FROM good" for r in RULES)
+    scores = " UNION ALL ".join(f"SELECT stratum, quality, '{r}' AS rule, {r} AS score FROM good" for r in RULES)
+    most = ", ".join(f"max({r}) AS {r}" for r in RULES)
     first = "coalesce(" + ", ".join(f"CASE WHEN s.{r} >= c_{r}.cut THEN '{r}' END" for r in RULES) + ")"
     joins = " ".join(f"LEFT JOIN cuts c_{r} ON c_{r}.stratum = s.stratum AND c_{r}.rule = '{r}'" for r in RULES)
     return rf"""
@@ -182,12 +191,12 @@ w AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS win
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM w) WHERE c > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM dup) GROUP BY rid),
 f AS (
-  SELECT d.doc_id, coalesce(lang, '(null)') AS stratum, len(words) AS n_words,
+  SELECT d.doc_id, coalesce('=' || lang, '') AS stratum, len(words) AS n_words,
          length(array_to_string(words, '')) AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(rep.n, 0) AS n_repeat_words, len(lines) AS n_lines,
-         len(regexp_extract_all(text, '[A-Z!]')) AS n_shout
+         len(regexp_extract_all(text, '[A-Z!]')) AS n_shout, md5(text) AS digest
   FROM d LEFT JOIN rep USING (rid)),
 s AS (
   SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
@@ -197,7 +206,7 @@ s AS (
          (1000 * n_shout) // greatest(word_chars, 1) AS shout
   FROM f),
 marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
-good AS (SELECT s.*, quality FROM s JOIN marks USING (doc_id) WHERE NOT base_failed),
+good AS (SELECT stratum, digest, min(quality) AS quality, {most} FROM s JOIN marks USING (doc_id) WHERE NOT base_failed GROUP BY stratum, digest),
 strata AS (SELECT count(DISTINCT stratum) AS m FROM good WHERE quality = 1),
 counts AS (
   SELECT stratum, rule, cut, step, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 0) AS n_bad,

@@ -16,10 +16,11 @@ the README). What is kept of the method is its core, induction from a sorted sam
 
 No pair of documents or segments is ever formed; hot anchors are split by aggregation before the shuffle and
 by skewed-join handling. Strings are told apart by two independent 64-bit hashes (of the gram, and of the
-covered bytes).
+covered bytes), not byte by byte: the result is exact but for a collision of both at once.
 
 Defined results: null and empty texts have no bytes and one digest of nothing; repeated rows are copies of each other;
-other columns are ignored; an empty table gives no rows. Bytes are judged on the input, overlaps count.
+very long texts are read whole, in pieces of PIECE bytes that overlap; other columns are ignored, whatever their names (but for
+`__repeats_*`); an empty table gives no rows. Bytes are judged on the input, overlaps count.
 """
 
 from __future__ import annotations
@@ -198,8 +199,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """`docs` with a 64-bit row key k: doc_id where it names rows, else a hash of doc_id and text."""
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named"), F.countDistinct("doc_id").alias("ids")).first()
     if ids["n"] == ids["named"] == ids["ids"] and dict(docs.dtypes)["doc_id"] in ("bigint", "int"):
-        return docs.withColumn("__k", F.col("doc_id").cast("long"))
-    return docs.withColumn("__k", F.xxhash64("doc_id", "text"))
+        return docs.withColumn("__repeats_row", F.col("doc_id").cast("long"))
+    return docs.withColumn("__repeats_row", F.xxhash64("doc_id", "text"))
 
 
 #: A segment's place packed into one long: first start, offset of the anchor from it, number of starts.
@@ -215,14 +216,14 @@ def spans(keyed: DataFrame) -> DataFrame:
     """(k, spans): packed byte ranges that repeated strings cover in every text; texts without any are left out."""
     spark = keyed.sparkSession
     first, offset, n = (F.expr(x) for x in PLACE)
-    text = keyed.select(F.col("__k").alias("k"), "text").where(F.col("text").isNotNull())
+    text = keyed.select(F.col("__repeats_row").alias("k"), "text").where(F.col("text").isNotNull())
     segs = materialise(text.mapInArrow(_scan, "k long, ah long, ch long, p long"), "repeat-segments")
     # What a join reads is written first: both sides are then dealt for the join, and Spark can split hot keys.
     same = segs.groupBy("ah").agg(F.count(F.lit(1)).alias("c"), F.min("ch").alias("x"), F.max("ch").alias("y")).where("c > 1")
     same = materialise(same.select("ah", (F.col("x") != F.col("y")).alias("mixed")), "repeat-anchors")
     release(spark)
     found = materialise(segs.join(same, "ah"), "repeat-found")
-    drop_written(segs)
+    drop_written(segs, same)
     release(spark)
 
     # One representative of each distinct segment of the anchors whose segments differ.
@@ -245,7 +246,7 @@ def spans(keyed: DataFrame) -> DataFrame:
         cores = materialise(cores.where("c > 1").select("ah", "j", "core", (F.col("x") != F.col("y")).alias("open")), f"repeat-cores{block}")
         release(spark)
         judged = materialise(level.join(cores, ["ah", "j", "core"]).drop("core", "full", "j"), f"repeat-judged{block}")
-        drop_written(level)
+        drop_written(level, cores)
         release(spark)
         settled = settled.unionByName(judged.where("not open").select("ah", "ch", "lo", "hi"))
         todo = judged.where("open").select("k", "ah", "ch", "s", "a", "lo", "hi")
@@ -296,7 +297,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     found = materialise(spans(keyed), "repeat-spans")
     release(docs.sparkSession)
-    return keyed.join(found.withColumnRenamed("k", "__sk").withColumnRenamed("spans", "__spans"), F.col("__k") == F.col("__sk"), "left")
+    return keyed.join(found.withColumnRenamed("k", "__repeats_of").withColumnRenamed("spans", "__repeats_spans"), F.col("__repeats_row") == F.col("__repeats_of"), "left")
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
@@ -318,7 +319,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    joined = _joined(docs.select("doc_id", "text")).select("doc_id", "text", "__spans")
+    joined = _joined(docs.select("doc_id", "text")).select("doc_id", "text", "__repeats_spans")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -340,4 +341,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 columns[at] = pa.array(kept, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _joined(docs).select(*names, "__spans").mapInArrow(run, docs.schema)
+    return _joined(docs).select(*names, "__repeats_spans").mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import append, materialise
+from tickloom.llm.common import append, drop_written, materialise
 from tickloom.llm.components import components
 
 RADIUS = 2
@@ -53,10 +53,10 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (signed) of every document."""
-    made = append(docs.select("doc_id", "text"), lambda texts: [[fingerprint(t) for t in texts]], [("fp", "long")])
-    return made.select("doc_id", "fp")
+def fingerprints(docs: DataFrame, row=()) -> DataFrame:
+    """doc_id, fp (signed) and the columns `row` of every document."""
+    made = append(docs.select("doc_id", "text", *row), lambda texts: [[fingerprint(t) for t in texts]], [("fp", "long")])
+    return made.drop("text")
 
 
 def _bit_counts(fps: DataFrame) -> np.ndarray:
@@ -176,25 +176,40 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return direct.union(star).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    fps = materialise(fingerprints(docs), "simhash-fp")
+def grouped(docs: DataFrame, row=()) -> DataFrame:
+    """doc_id, fp, component_id, the columns `row`, and `label`, which names the component, of every document."""
+    fps = materialise(fingerprints(docs, row), "simhash-fp")
     classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     parts = components(links(classes.select("fp")))
     labelled = classes.join(parts, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("label", "fp").alias("label")
     )
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = labelled.join(smallest, "label").select("fp", "component_id")
-    return fps.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    named = materialise(labelled.join(smallest, "label").select("fp", "label", "component_id"), "simhash-named")
+    drop_written(classes, parts)
+    return fps.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document of each group whose doc_id is the smallest. Rows without a doc_id can't be named and stay."""
-    found = materialise(near_duplicates(docs).where("doc_id = component_id").select("doc_id"), "simhash-kept")
-    kept = docs.join(found, "doc_id", "left_semi").select(docs.columns)
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group: that of the smallest doc_id (rows without one come last), the least row hash on ties.
+
+    Rows are told apart by doc_id and a hash of all their columns, so of repeated rows one stays too.
+    """
+    key = F.xxhash64(*[f.name for f in docs.schema.fields if f.dataType.typeName() != "map"])
+    found = grouped(docs.withColumn("__simhash_row", key), ["__simhash_row"])
+    alike = found.groupBy("label", "doc_id", "__simhash_row").agg(F.count(F.lit(1)).alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__simhash_row")
+    best = alike.groupBy("label").agg(F.min(F.struct(first.alias("at"), "n")).alias("b"))
+    best = materialise(best.select(F.col("b.at.doc_id").alias("__simhash_id"), F.col("b.at.__simhash_row").alias("__simhash_key"), F.col("b.n").alias("__simhash_n")), "simhash-kept")
+    same = (F.col("__simhash_row") == F.col("__simhash_key")) & F.col("doc_id").eqNullSafe(F.col("__simhash_id"))
+    kept = docs.withColumn("__simhash_row", key).join(best, same)
+    once = kept.where("__simhash_n = 1").select(docs.columns)
+    if best.where("__simhash_n > 1").isEmpty():
+        return once
+    many = kept.where("__simhash_n > 1").dropDuplicates(["__simhash_row", "__simhash_id"])
+    return once.unionByName(many.select(docs.columns))

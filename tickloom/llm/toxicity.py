@@ -2,7 +2,8 @@
 
 Labelled rows that are not held out are dealt by crc32(doc_id) mod 5: remainders 1 and 2 give the lexicon,
 3 the trees, 4 the calibration, so no step is fitted on what another has already seen. Each may use
-FIT_ROWS rows (by hash of doc_id) at most.
+FIT_ROWS documents (by hash of doc_id; the least text of a repeated doc_id) at most. Where remainder 3 lacks one
+kind of label, all three steps use all these rows.
 
 Lexicon: words and word beginnings (3, 5 and 7 letters) seen in MIN_DOCS documents or more, by smoothed log odds
 of toxic against other documents; the LEXICON strongest above LEAST_ODDS. Words are compared after undoing
@@ -12,8 +13,9 @@ nearness of second-person words to hits, capitals, punctuation and obfuscation r
 score is the calibrated value, with a thousandth part of the trees' probability to keep the order inside
 a calibration step.
 
-Defined results: null and empty texts get the score of all-zero features; without labels of both kinds every
-score is 0; repeated rows give repeated rows; labels, lang and source are never read for scores; an empty table
+Defined results: null and empty texts get the score of all-zero features; with fewer than LEAST_LABELS
+labelled documents of either kind every score is 0; a doc_id with both labels is toxic; very long texts are scored whole; equal texts get equal scores; a score of
+exactly 0.5 is predicted toxic; repeated rows give repeated rows; labels, lang and source are never read for scores, other columns are ignored, whatever their names; an empty table
 gives no rows.
 """
 
@@ -29,10 +31,11 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import append, held_out, materialise
+from tickloom.llm.common import append, drop_written, held_out, materialise
 
 FIT_ROWS = 20_000
 LEXICON = 3_000
+LEAST_LABELS = 5
 MIN_DOCS = 3
 LEAST_ODDS = 1.5
 NEAR = 6
@@ -74,6 +77,15 @@ def terms(text: str | None) -> list[str]:
     return sorted(words | {f"{n}:{w[:n]}" for w in words for n in HEADS if len(w) > n})
 
 
+#: The capitals beyond ASCII, as one class; str.isupper tells them, over all code points.
+_CAPITALS = re.compile("[A-Z" + "".join(map(re.escape, filter(str.isupper, map(chr, range(128, 0x20000))))) + "]")
+
+
+def capitals(text: str) -> int:
+    """Capital letters of a text, of any alphabet."""
+    return len(_CAPITALS.findall(text))
+
+
 def features(text: str | None, lexicon: dict[str, float], heads: tuple[dict[str, float], ...]) -> list[float]:
     text = text or ""
     words = tokens(text)
@@ -93,10 +105,9 @@ def features(text: str | None, lexicon: dict[str, float], heads: tuple[dict[str,
         while j < len(you) and you[j] < i - NEAR:
             j += 1
         near += j < len(you) and you[j] <= i + NEAR
-    letters = sum(map(str.isupper, text)) / chars if hits or begun else len(re.findall("[A-Z]", text)) / chars
     return [
         len(hits) / n, math.log1p(len(hits)), begun / n, math.log1p(begun), sum(odds) / n, max(odds, default=0.0),
-        near / max(1, len(hits)), len(you) / n, letters, text.count("!") / n,
+        near / max(1, len(hits)), len(you) / n, capitals(text) / chars, text.count("!") / n,
         sum(text.count(c) for c in ".,;:?-") / n, len(_MIXED.findall(text)) / n, len(_SPACED.findall(text)) / n,
         math.log1p(len(words)),
     ]
@@ -107,10 +118,11 @@ def _fold(doc_id):
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic, fold of at most FIT_ROWS labelled rows of each use; never a held-out row."""
+    """text, toxic, fold of at most FIT_ROWS labelled documents of each use; never a held-out row."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.withColumn("fold", _fold(F.col("doc_id"))).where("fold > 0")
-    known = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    # A merge join: neither side is shipped whole, however few labels there seem to be.
+    known = marks.hint("merge").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     use = {1: 0, 2: 0, 3: 1, 4: 2}
     picked = None
     for k in range(3):
@@ -118,7 +130,10 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
         part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
         picked = part if picked is None else picked.unionByName(part)
     picked = materialise(picked, "toxic-labels")  # 3 * FIT_ROWS small rows at most
-    return materialise(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic", "fold"), "toxic-rows")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = materialise(found.groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text")), "toxic-rows")
+    drop_written(picked)
+    return rows
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
@@ -144,11 +159,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select("doc_id", "text")
     rows = _labelled(own, labels)
-    kinds = {(r["use"], r["toxic"]) for r in rows.select(F.least("fold", F.lit(3)).alias("use"), "toxic").distinct().collect()}
+    found = rows.groupBy("fold", "toxic").count().collect()
+    kinds = {(r["fold"], r["toxic"]) for r in found}
     base = own.select("doc_id", held_out(F.col("doc_id")).alias("held_out"))
-    if not {(3, 0), (3, 1)} <= kinds:
+    if any(sum(r["count"] for r in found if r["toxic"] == toxic) < LEAST_LABELS for toxic in (0, 1)):
         return base.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    lexicon = learn_lexicon(rows.where("fold < 3"))
+    dealt = {(3, 0), (3, 1)} <= kinds
+    use = (lambda *folds: F.col("fold").isin(*folds)) if dealt else (lambda *folds: F.lit(True))
+    lexicon = learn_lexicon(rows.where(use(1, 2)))
     whole = {t: o for t, o in lexicon.items() if ":" not in t}
     heads = tuple({t[2:]: o for t, o in lexicon.items() if t.startswith(f"{n}:")} for n in HEADS)
     shared = spark.sparkContext.broadcast((whole, heads))
@@ -160,11 +178,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     fit = materialise(vectors(rows), "toxic-vectors").withColumn("y", F.col("toxic").cast("double")).coalesce(8)
     trees = GBTClassifier(featuresCol="v", labelCol="y", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=3, stepSize=0.2, seed=7)
-    model = trees.fit(fit.where("fold = 3"))
+    model = trees.fit(fit.where(use(3)))
     p = vector_to_array("probability")[1]
-    ranked = model.transform(fit.where("fold = 4")).select("y", p.alias("p"))
+    ranked = model.transform(fit.where(use(4))).select("y", p.alias("p"))
     if ranked.isEmpty():
-        ranked = model.transform(fit.where("fold = 3")).select("y", p.alias("p"))
+        ranked = model.transform(fit.where(use(3))).select("y", p.alias("p"))
     steps = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="c").fit(ranked)
     made = model.transform(vectors(own)).select("doc_id", p.alias("p"))
     made = steps.transform(made)
