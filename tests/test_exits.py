@@ -33,21 +33,21 @@ def test_null_predicates_do_not_enter_and_null_vetoes_do_not_hold(spark):
 
 
 def test_limit_order_on_the_limit_waits_when_late(spark):
-    orders = spark.createDataFrame([(1, "a", at(0), at(60), 1, 10.0)], "id long, symbol string, ts timestamp, end timestamp, direction int, limit double")
+    orders = spark.createDataFrame([(1, "X", "a", at(0), at(60), 1, 10.0)], "id long, exchange string, symbol string, ts timestamp, end timestamp, direction int, limit double")
     bars = spark.createDataFrame(
-        [("a", at(1), 10.0, 12.0, 10.0, 12.0, 9.9), ("a", at(2), 9.5, 9.8, 9.6, 9.8, 9.4)],
-        "symbol string, ts timestamp, low double, high double, ask_low double, ask_high double, bid_high double",
+        [("X", "a", at(1), 10.0, 12.0, 10.0, 12.0, 9.9), ("X", "a", at(2), 9.5, 9.8, 9.6, 9.8, 9.4)],
+        "exchange string, symbol string, ts timestamp, low double, high double, ask_low double, ask_high double, bid_high double",
     ).withColumn("bid_low", F.col("bid_high"))
-    late = exits.limit_fills(orders, bars, ["symbol"], 0.5).first()
-    soon = exits.limit_fills(orders, bars, ["symbol"], 0.5, late=False).first()
+    late = exits.limit_fills(orders, bars, ["exchange", "symbol"], 0.5).first()
+    soon = exits.limit_fills(orders, bars, ["exchange", "symbol"], 0.5, late=False).first()
     assert (late.fill_ts, late.fill_price) == (at(2), 9.8)
     assert (soon.fill_ts, soon.fill_price) == (at(1), 10.0)
 
 
 def test_gap_takes_next_open_and_equal_parts(spark):
     bars = spark.createDataFrame(
-        [("a", 1, at(1), 5.0, 5.0, 5.0, 5.0, 4, 0, 4, 0), ("a", 4, at(2), 7.0, 7.0, 7.0, 7.0, 9, 3, 2, 1)],
-        "symbol string, volume_tick long, ts timestamp, open double, high double, low double, close double, volume_buy long, volume_sell long, count_buy long, count_sell long",
+        [("X", "a", 1, at(1), 5.0, 5.0, 5.0, 5.0, 4, 0, 4, 0), ("X", "a", 4, at(2), 7.0, 7.0, 7.0, 7.0, 9, 3, 2, 1)],
+        "exchange string, symbol string, volume_tick long, ts timestamp, open double, high double, low double, close double, volume_buy long, volume_sell long, count_buy long, count_sell long",
     )
     got = [(r.volume_tick, r.open, r.volume_buy, r.volume_sell, r.n) for r in padding.pad(bars).orderBy("volume_tick").collect()]
     assert got == [(1, 5.0, 4, 0, 4), (2, 7.0, 3, 1, 2), (3, 7.0, 3, 1, 2), (4, 7.0, 3, 1, 2)]

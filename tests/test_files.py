@@ -12,14 +12,14 @@ def test_zipped_bars_of_a_range_of_days(spark, tmp_path):
     for day, rows in {"20240101": "0,1,2,0.5,1.5,10\n60000,1.5,3,1,2,5\n", "20240102": "1000,7,7,7,7,1\n", "20240103": "0,9,9,9,9,9\n"}.items():
         with zipfile.ZipFile(tmp_path / f"{day}_trade.zip", "w") as z:
             z.writestr("bars.csv", rows)
-    got = files.bar_table(spark, str(tmp_path / "*.zip"), "trade", "2024-01-01", "2024-01-02").orderBy("ts").collect()
+    got = files.bar_table(spark, str(tmp_path / "*.zip"), "deal", "2024-01-01", "2024-01-02").orderBy("ts").collect()
     assert [(r["ts"], r["close"]) for r in got] == [(dt.datetime(2024, 1, 1), 1.5), (dt.datetime(2024, 1, 1, 0, 1), 2.0), (dt.datetime(2024, 1, 2, 0, 0, 1), 7.0)]
-    assert files.bar_table(spark, str(tmp_path / "*.zip"), "trade", "2025-01-01", "2025-01-02").isEmpty()
+    assert files.bar_table(spark, str(tmp_path / "*.zip"), "deal", "2025-01-01", "2025-01-02").isEmpty()
 
 
 def test_kinds_of_columns():
     assert files.series_columns("ask", ["ts", "bid_open", "ask_open", "close"]) == ["ts", "ask_open"]
-    assert files.series_columns("trade", ["ts", "bid_open", "ask_open", "close"]) == ["ts", "close"]
+    assert files.series_columns("deal", ["ts", "bid_open", "ask_open", "close"]) == ["ts", "close"]
 
 
 def test_epoch_trades(spark, tmp_path):
@@ -38,7 +38,7 @@ def test_statistics_and_executions(spark, tmp_path):
 
 
 def test_a_day_written_again_replaces_only_itself(spark, tmp_path):
-    day = lambda d, v: spark.createDataFrame([("A", dt.datetime(2024, 1, d, 1), v)], "symbol string, ts timestamp, v int")
+    day = lambda d, v: spark.createDataFrame([("X", "A", dt.datetime(2024, 1, d, 1), v)], "exchange string, symbol string, ts timestamp, v int")
     for df in (day(1, 1), day(2, 2), day(2, 3)):
         files.write_by_day(df, str(tmp_path / "out"))
     assert sorted((str(r["date"]), r["ms"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("2024-01-01", 3600000, 1), ("2024-01-02", 3600000, 3)]

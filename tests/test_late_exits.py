@@ -52,7 +52,7 @@ def test_twin_peaks_and_missing_exit(spark):
 
 
 def test_reversals_take_the_quantity_before(spark):
-    rows = [(1, 1, "Buy", "P", "Trade", 10.0), (1, 2, "Sell", "P", "Trade", 3.0), (1, 3, "Sell", None, "Trade", 4.0), (1, 4, "Buy", None, "Trade", 5.0), (1, 5, "Sell", "P", "Trade", 6.0), (1, 6, "Sell", None, "Funding", 7.0)]
+    rows = [(1, 1, "Buy", "P", "Deal", 10.0), (1, 2, "Sell", "P", "Deal", 3.0), (1, 3, "Sell", None, "Deal", 4.0), (1, 4, "Buy", None, "Deal", 5.0), (1, 5, "Sell", "P", "Deal", 6.0), (1, 6, "Sell", None, "Funding", 7.0)]
     df = spark.createDataFrame(rows, "k int, n int, side string, exec_inst string, text string, quantity double").withColumns({"price": F.lit(2.0), "commission": F.lit(0.5)})
     got = [(r["n"], r["timing"], r["direction"], r["quantity"]) for r in exits.orders_of_executions(df, "k", ["n"], "P").orderBy("n").collect()]
     assert got == [(1, "entry", 1, 10.0), (2, "exit", -1, -10.0), (3, "exit", -1, -4.0)]
@@ -66,12 +66,12 @@ def test_trades_in_turn(spark):
 
 
 def test_chunk_order_of_25_rows_is_the_transposed_square(spark):
-    rows = spark.createDataFrame([("a", i) for i in range(25)], "symbol string, seq long").withColumn("ts", F.lit(T0))
+    rows = spark.createDataFrame([("X", "a", i) for i in range(25)], "exchange string, symbol string, seq long").withColumn("ts", F.lit(T0))
     got = [r["ix"] for r in selection.chunk_order(rows, 5).orderBy("new_ix").collect()]
     assert got == [5 * (i % 5) + i // 5 for i in range(25)]
 
 
 def test_summaries_of_a_line(spark):
-    rows = spark.createDataFrame([("a", i, None if i < 2 else float(i)) for i in range(6)], "symbol string, i int, p double")
-    got = selection.summaries(rows, "p", ["symbol"], ["i"]).first()
+    rows = spark.createDataFrame([("X", "a", i, None if i < 2 else float(i)) for i in range(6)], "exchange string, symbol string, i int, p double")
+    got = selection.summaries(rows, "p", ["exchange", "symbol"], ["i"]).first()
     assert (got["n"], got["leading_nulls"], round(got["r2"], 9), got["return"], got["sortino"]) == (4, 2, 1.0, 1.5, None)

@@ -13,8 +13,8 @@ T0 = dt.datetime(2024, 1, 1)
 
 
 def frame(spark, values, name="m", step=60):
-    rows = [("A", T0 + dt.timedelta(seconds=step * i), i, float(v)) for i, v in enumerate(values)]
-    return spark.createDataFrame(rows, f"symbol string, ts timestamp, seq long, {name} double")
+    rows = [("X", "A", T0 + dt.timedelta(seconds=step * i), i, float(v)) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, f"exchange string, symbol string, ts timestamp, seq long, {name} double")
 
 
 def test_first_tick_never_emits_and_floor_is_signed(spark):
@@ -45,10 +45,13 @@ def test_chunked_sum_and_scan_equal_plain_ones(spark):
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
 
 
-def test_barrier_touched_on_both_sides_is_flat(spark):
+def test_barriers_by_hand(spark):
     df = frame(spark, [100, 100, 130, 70], "p").withColumn("v", F.lit(0.1))
     got = {r["seq"]: r["label"] for r in labels.triple_barrier(df, "p", "v", 2, 2.0, 2.0).collect()}
-    assert got == {0: 1, 1: 1} or got[1] == 1
+    assert got == {0: 1, 1: 1}  # the long target comes first
+    wide = frame(spark, [100, 100, 100], "p").withColumn("v", F.when(F.col("seq") > 0, -0.1).otherwise(0.1))
+    got = {r["seq"]: r["label"] for r in labels.triple_barrier(wide, "p", "v", 1, 2.0, 2.0).collect()}
+    assert got == {0: 0, 1: 0}  # both sides are touched on one row
 
 
 def test_purge_counts(spark):
@@ -60,8 +63,8 @@ def test_upsert_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "series")
     rows = frame(spark, range(5)).withColumn("day", F.to_date("ts").cast("string"))
     for _ in range(2):
-        store.write_upsert(rows, path, ["symbol", "ts"], "day")
-    store.write_upsert(rows.where("seq = 3").withColumn("m", F.lit(9.0)), path, ["symbol", "ts"], "day")
+        store.write_upsert(rows, path, ["exchange", "symbol", "ts"], "day")
+    store.write_upsert(rows.where("seq = 3").withColumn("m", F.lit(9.0)), path, ["exchange", "symbol", "ts"], "day")
     got = spark.read.parquet(path)
     assert got.count() == 5 and got.where("seq = 3").first()["m"] == 9.0
 
@@ -69,10 +72,10 @@ def test_upsert_is_idempotent(spark, tmp_path):
 def test_trades_reader_drops_corrupt_rows(spark, tmp_path):
     with gzip.open(tmp_path / "20240102_trade.csv.gz", "wt") as f:
         f.write("1.2345,100.5,-2,Sell\nbad,1,1,Buy\n2.0,101,3,Buy\n12345678901.0,1,1,Buy\n")
-    got = sources.trades(spark, str(tmp_path / "*trade*"), "A", "2024-01-01", "2024-01-02").orderBy("seq").collect()
+    got = sources.trades(spark, str(tmp_path / "*_trade*"), "A", "2024-01-01", "2024-01-02").orderBy("seq").collect()
     assert [(r["side"], float(r["size"])) for r in got] == [(-1, 2.0), (1, 3.0)]
     assert got[0]["ts"] == dt.datetime(2024, 1, 2, 0, 0, 1, 234000)
-    assert sources.trades(spark, str(tmp_path / "*trade*"), "A", "2025-01-01", "2025-01-02").isEmpty()
+    assert sources.trades(spark, str(tmp_path / "*_trade*"), "A", "2025-01-01", "2025-01-02").isEmpty()
 
 
 def test_streaming_unit_bars_equal_batch(spark, tmp_path):

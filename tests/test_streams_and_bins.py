@@ -12,8 +12,8 @@ T0 = dt.datetime(2024, 1, 1)
 
 
 def frame(spark, n=90, step=3600):
-    rows = [(s, T0 + dt.timedelta(seconds=step * i), i, float((i * 7 + j) % 11 - 5), 100.0 + (i * 5 + j) % 9, float((i % 5 + 1) * (1 if (i * 5 + j) % 9 < 4 else -1)), i % 4) for j, s in enumerate("AB") for i in range(n)]
-    return spark.createDataFrame(rows, "symbol string, ts timestamp, seq long, m double, price double, size double, count int")
+    rows = [("X", s, T0 + dt.timedelta(seconds=step * i), i, float((i * 7 + j) % 11 - 5), 100.0 + (i * 5 + j) % 9, float((i % 5 + 1) * (1 if (i * 5 + j) % 9 < 4 else -1)), i % 4) for j, s in enumerate("AB") for i in range(n)]
+    return spark.createDataFrame(rows, "exchange string, symbol string, ts timestamp, seq long, m double, price double, size double, count int")
 
 
 def run(spark, tmp_path, df, make, name):
@@ -52,17 +52,17 @@ def test_scored_bars(spark, tmp_path):
     from pyspark.ml.regression import LinearRegression
 
     df = frame(spark)
-    batch = bars.time_bars(df, "2 hours").select("symbol", "ts", "open", "close")
-    edges = binning.kmeans_edges(batch.withColumn("key", F.concat("symbol", "ts")), ["open", "close"], "key", 3)
+    batch = bars.time_bars(df, "2 hours").select("exchange", "symbol", "ts", "open", "close")
+    edges = binning.kmeans_edges(batch.withColumn("key", F.concat("exchange", "symbol", "ts")), ["open", "close"], "key", 3)
     model = Pipeline(stages=[VectorAssembler(inputCols=["open"], outputCol="features"), LinearRegression(labelCol="close")]).fit(binning.coded(batch, edges))
     got = run(spark, tmp_path, df, lambda s: stream.scored(s, "2 hours", "0 seconds", edges, model), "scored_rows")
-    want = {(r["symbol"], r["ts"]): r["prediction"] for r in model.transform(binning.coded(batch, edges)).collect()}
-    assert len(got) >= 80 and all(abs(want[r["symbol"], r["ts"]] - r["prediction"]) < 1e-9 for r in got)
+    want = {(r["exchange"], r["symbol"], r["ts"]): r["prediction"] for r in model.transform(binning.coded(batch, edges)).collect()}
+    assert len(got) >= 80 and all(abs(want[r["exchange"], r["symbol"], r["ts"]] - r["prediction"]) < 1e-9 for r in got)
 
 
 def test_parabolic_stop_of_a_rise_and_a_fall(spark):
     highs = [10, 11, 12, 13, 14, 9, 8]
-    df = spark.createDataFrame([("A", T0 + dt.timedelta(days=i), i, float(h), float(h - 1)) for i, h in enumerate(highs)], "symbol string, ts timestamp, seq long, h double, l double")
+    df = spark.createDataFrame([("X", "A", T0 + dt.timedelta(days=i), i, float(h), float(h - 1)) for i, h in enumerate(highs)], "exchange string, symbol string, ts timestamp, seq long, h double, l double")
     got = [r["sar"] for r in ta.with_sar(df, "h", "l").orderBy("seq").collect()]
     # worked by hand: start at the low of the first bar, shares .02, .04, .06, .08; the fall at bar 5 turns it to the highest high
     second = 9 + 0.02 * (11 - 9)

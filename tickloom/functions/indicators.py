@@ -1,11 +1,11 @@
-"""Technical indicators as columns over (symbol) series ordered by (ts, seq)."""
+"""Technical indicators as columns over (exchange, symbol) series ordered by (ts, seq)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import full, ordered, running, trailing
+from tickloom.operators.windows import SERIES, fold_ordered, full, ordered, running, trailing
 
 
 def _roll(agg: Column, value: str, n: int) -> Column:
@@ -152,68 +152,270 @@ def regression(y: str, x: str, n: int) -> tuple[Column, Column]:
     return F.when(ready, slope), F.when(ready, base + slope * F.col(x))
 
 
-def with_directional(df: DataFrame, h: str, lo: str, c: str, n: int, chunk: Column | None = None) -> DataFrame:
-    """Directional movement by smoothing with 1/n from 0: plus_dm, minus_dm, plus_di, minus_di, dx, adx, adxr; null in the first n rows.
+def with_directional(df: DataFrame, h: str, lo: str, c: str, n: int) -> DataFrame:
+    """Directional movement by smoothing with 1/n from 0: plus_dm, minus_dm, plus_di, minus_di, dx, adx, adxr; null in the first n rows."""
 
-    Each smoothing is a chunked linear scan, so a long series is folded in parallel.
+    def new():
+        keep, before, kept, past = (n - 1) / n, [None], [0.0, 0.0, 0.0, 0.0], []
+
+        def row(high, low, close):
+            last, before[0] = before[0], (high, low, close)
+            up, down, reach = (high - last[0], last[1] - low, max(high - low, abs(high - last[2]), abs(low - last[2]))) if last else (0.0, 0.0, 0.0)
+            for i, x in enumerate((up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0, reach)):
+                kept[i] = keep * kept[i] + x
+            plus, minus, total, _ = kept
+            dx = 100 * abs(plus - minus) / (plus + minus) if total and plus + minus else 0.0
+            kept[3] = keep * kept[3] + dx / n
+            past.append(kept[3])
+            old = past.pop(0) if len(past) == n else None
+            if len(past) < n - 1 or row.count < n:
+                row.count += 1
+                return (None,) * 7
+            share = (100 * plus / total, 100 * minus / total) if total else (None, None)
+            return plus, minus, *share, dx, kept[3], None if old is None else (kept[3] + old) / 2
+
+        row.count = 0
+        return row
+
+    return recursive(df, [h, lo, c], _doubles("plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx", "adxr"), new)
+
+
+class Mean:
+    """Exponential mean of the values pushed, None until there are `start` (n unless told otherwise).
+
+    It starts with the mean of the n values up to there; then y = a * y + (1 - a) * x with a = 1 - 2 / (n + 1), or 1 - 1 / n
+    with `wilder`. None is no value.
+    """
+
+    def __init__(self, n: int, wilder: bool = False, start: int = 0, seed: int = 0):
+        self.a, self.start, self.seed = 1 - (1 / n if wilder else 2 / (n + 1)), start or n, seed or n
+        self.first: list[float] = []
+        self.y: float | None = None
+
+    def push(self, x: float | None) -> float | None:
+        if x is None:
+            return None
+        if self.y is not None:
+            self.y = self.a * self.y + (1 - self.a) * x
+            return self.y
+        self.first.append(x)
+        if len(self.first) == self.start:
+            self.y = sum(self.first[-self.seed :]) / len(self.first[-self.seed :])
+            self.first = []
+        return self.y
+
+
+def recursive(df: DataFrame, inputs: list[str], made: dict[str, str], new) -> DataFrame:
+    """Columns `made` (name -> type) of an ordered fold: `new()` gives a function of the `inputs` of a row, with what it remembers.
+
+    For recurrences of recurrences, which have no short associative form. Rows stream through in the order Spark's shuffle
+    sorted them, so memory is what the function remembers; a series is one task, so it is meant for bars.
     """
-    from tickloom.operators.windows import linear_scan
-
-    w = ordered()
-    up, down = F.col(h) - F.lag(h).over(w), F.lag(lo).over(w) - F.col(lo)
-    x = df.withColumns({"__up": up, "__down": down, "__i": F.row_number().over(w)})
-    steps = {
-        "plus_dm": F.when((F.col("__up") > F.col("__down")) & (F.col("__up") > 0), F.col("__up")).otherwise(0.0),
-        "minus_dm": F.when((F.col("__down") > F.col("__up")) & (F.col("__down") > 0), F.col("__down")).otherwise(0.0),
-        "__tr": F.coalesce(true_range(h, lo, c), F.lit(0.0)),
-    }
-    x = x.withColumns(steps)
-    keep = (n - 1) / n
-    for name in steps:
-        x = linear_scan(x, keep, F.col(name), f"{name}_s", chunk)
-    share = lambda a: 100 * F.col(a) / F.nullif(F.col("__tr_s"), F.lit(0.0))
-    x = x.withColumns({"plus_di": share("plus_dm_s"), "minus_di": share("minus_dm_s")})
-    both = F.col("plus_di") + F.col("minus_di")
-    x = x.withColumn("dx", F.coalesce(100 * F.abs(F.col("plus_di") - F.col("minus_di")) / F.nullif(both, F.lit(0.0)), F.lit(0.0)))
-    x = linear_scan(x, keep, F.col("dx") / n, "adx", chunk)
-    x = x.withColumn("adxr", (F.col("adx") + F.lag("adx", n - 1).over(w)) / 2).drop("plus_dm", "minus_dm")
-    x = x.withColumnsRenamed({"plus_dm_s": "plus_dm", "minus_dm_s": "minus_dm"})
-    names = ("plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx", "adxr")
-    return x.withColumns({k: F.when(F.col("__i") > n, F.col(k)) for k in names}).drop("__up", "__down", "__i", "__tr", "__tr_s")
+    at = [df.columns.index(c) for c in inputs]
+
+    def step(state, row):
+        state = state or new()
+        return state, (*row, *state(*(row[i] for i in at)))
+
+    return fold_ordered(df, list(SERIES), step, ", ".join([df.schema.toDDL(), *(f"{k} {v}" for k, v in made.items())]))
+
+
+def _doubles(*names: str) -> dict[str, str]:
+    return dict.fromkeys(names, "double")
+
+
+def with_mean(df: DataFrame, x: str, n: int, name: str) -> DataFrame:
+    def new():
+        mean = Mean(n)
+        return lambda v: (mean.push(v),)
+
+    return recursive(df, [x], _doubles(name), new)
+
+
+def with_ema_family(df: DataFrame, x: str, n: int) -> DataFrame:
+    """ema, dema, tema, trix and t3 (factor 0.7) of n rows: means of means, up to six deep."""
+    v = 0.7
+    weights = (1 + 3 * v + v**3 + 3 * v**2, -6 * v**2 - 3 * v - 3 * v**3, 3 * v**2 + 3 * v**3, -(v**3))
+
+    def new():
+        means, before = [Mean(n) for _ in range(6)], [None]
+
+        def row(value):
+            e = []
+            for m in means:
+                value = m.push(value)
+                e.append(value)
+            last, before[0] = before[0], e[2]
+            return (
+                e[0], None if e[1] is None else 2 * e[0] - e[1], None if e[2] is None else 3 * e[0] - 3 * e[1] + e[2],
+                None if last is None else 100 * (e[2] / last - 1), None if e[5] is None else sum(w * y for w, y in zip(weights, e[2:])),
+            )
+
+        return row
+
+    return recursive(df, [x], _doubles("ema", "dema", "tema", "trix", "t3"), new)
+
+
+def with_macd(df: DataFrame, x: str, fast: int, slow: int, signal: int) -> DataFrame:
+    """macd (fast mean less slow mean, both from row `slow` on), its `signal` mean and their difference `hist`."""
+
+    def new():
+        quick, long, mean = Mean(fast, start=slow), Mean(slow), Mean(signal)
+
+        def row(value):
+            a, b = quick.push(value), long.push(value)
+            macd = None if b is None else a - b
+            s = mean.push(macd)
+            return macd, s, None if s is None else macd - s
+
+        return row
+
+    return recursive(df, [x], _doubles("macd", "signal", "hist"), new)
+
+
+def with_kama(df: DataFrame, x: str, n: int, fast: int = 2, slow: int = 30, name: str = "kama") -> DataFrame:
+    """Adaptive mean: it moves towards the price by the square of a share between those of the fast and the slow mean, by how
+    straight the last n steps are. It starts at the price of row n and is null up to there."""
+    hi, lo = 2 / (fast + 1), 2 / (slow + 1)
+
+    def new():
+        past, y = [], [None]
+
+        def row(value):
+            past.append(value)
+            if len(past) <= n:
+                y[0] = value
+                return (None,)
+            way = sum(abs(b - a) for a, b in zip(past, past[1:]))
+            share = ((abs(value - past.pop(0)) / way if way else 1.0) * (hi - lo) + lo) ** 2
+            y[0] += share * (value - y[0])
+            return (y[0],)
+
+        return row
+
+    return recursive(df, [x], _doubles(name), new)
+
+
+def with_rsi(df: DataFrame, x: str, n: int) -> DataFrame:
+    """rsi and cmo of n rows: Wilder means of gains and losses, null in the first n rows; 0 where nothing moves."""
+
+    def new():
+        gains, losses, before = Mean(n, wilder=True), Mean(n, wilder=True), [None]
+
+        def row(value):
+            d, before[0] = None if before[0] is None else value - before[0], value
+            up, down = gains.push(None if d is None else max(d, 0.0)), losses.push(None if d is None else max(-d, 0.0))
+            if up is None:
+                return None, None
+            return (100 * up / (up + down), 100 * (up - down) / (up + down)) if up + down else (0.0, 0.0)
+
+        return row
+
+    return recursive(df, [x], _doubles("rsi", "cmo"), new)
+
+
+def with_stochrsi(df: DataFrame, x: str, n: int, k: int, d: int) -> DataFrame:
+    """stochrsi_k: where the rsi stands between its extremes of k rows, in percent; stochrsi_d, its mean of d rows."""
+    rows, w = with_rsi(df, x, n).drop("cmo"), trailing(k)
+    top, low = F.max("rsi").over(w), F.min("rsi").over(w)
+    value = F.when(top != low, 100 * (F.col("rsi") - low) / (top - low)).otherwise(0.0)
+    rows = rows.withColumn("stochrsi_k", F.when(F.count("rsi").over(w) == k, value))
+    return rows.withColumn("stochrsi_d", full(F.col("stochrsi_k"), F.avg("stochrsi_k"), d, trailing(d)))
+
+
+def with_atr(df: DataFrame, h: str, lo: str, c: str, n: int) -> DataFrame:
+    """atr, the Wilder mean of the true range from the second row on, and natr, in percent of the close."""
+
+    def new():
+        mean, before = Mean(n, wilder=True), [None]
+
+        def row(high, low, close):
+            last, before[0] = before[0], close
+            atr = mean.push(None if last is None else max(high - low, abs(high - last), abs(low - last)))
+            return atr, None if atr is None else 100 * atr / close
+
+        return row
+
+    return recursive(df, [h, lo, c], _doubles("atr", "natr"), new)
+
+
+def with_adosc(df: DataFrame, h: str, lo: str, c: str, volume: str, fast: int, slow: int) -> DataFrame:
+    """Fast less slow exponential mean of the accumulation line, both starting at its first value; null until the slow one is full."""
+
+    def new():
+        means, seen = (Mean(fast, start=1), Mean(slow, start=1)), [0, 0.0]
+
+        def row(high, low, close, v):
+            seen[0] += 1
+            seen[1] += ((close - low) - (high - close)) / (high - low) * v if high != low else 0.0
+            a, b = (m.push(seen[1]) for m in means)
+            return (a - b if seen[0] >= slow else None,)
+
+        return row
+
+    return recursive(df, [h, lo, c, volume], _doubles("adosc"), new)
+
+
+def with_ewm_std(df: DataFrame, x: str, span: int, name: str) -> DataFrame:
+    """Exponentially weighted standard deviation, weights by age (the first row weighs too) and without bias; null for one value.
+
+    It remembers the sums of weights and of squared weights, the mean and the squared deviations. A null value has no weight
+    but ages the others.
+    """
+    a = 1 - 2 / (span + 1)
+
+    def new():
+        kept = [0.0, 0.0, 0.0, 0.0]
+
+        def row(value):
+            w, w2, mean, dev = kept[0] * a, kept[1] * a * a, kept[2], kept[3] * a
+            if value is not None:
+                w, w2 = w + 1.0, w2 + 1.0
+                step = value - mean
+                mean += step / w
+                dev += step * (value - mean)
+            kept[:] = w, w2, mean, dev
+            free = w * w - w2
+            return (None if value is None or free <= 1e-12 * w * w else (dev / w * w * w / free) ** 0.5,)
+
+        return row
+
+    return recursive(df, [x], _doubles(name), new)
 
 
 def with_sar(df: DataFrame, h: str, lo: str, step: float = 0.02, most: float = 0.2, signed: bool = False, name: str = "sar") -> DataFrame:
     """Parabolic stop: it moves towards the extreme by a share that grows with each new one, never past the last two bars, and turns where
-    it is touched. With `signed` it is negative while short. It turns on its own past, so this is a fold per series."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.types import DoubleType, StructType
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"])
-        bars = pdf[[lo, h]].to_numpy(float)
-        out = np.full(len(bars), np.nan)
-        if len(bars) > 1:
-            fall, rise = bars[0, 0] - bars[1, 0], bars[1, 1] - bars[0, 1]
+    it is touched. With `signed` it is negative while short. It turns on its own past, so this is an ordered fold whose state is the
+    last two bars, side, stop, extreme and share."""
+    names = df.columns
+    high, low = names.index(h), names.index(lo)
+
+    def fold(state, row):
+        bar = (row[low], row[high])
+        if state is None:
+            return (bar,), (*row, None)
+        before = state[0]
+        if len(state) == 1:
+            fall, rise = before[0] - bar[0], bar[1] - before[1]
             side = -1 if fall > max(rise, 0) else 1
-            near = lambda i: bars[i, 0] if side > 0 else -bars[i, 1]  # noqa: E731  the end of a bar that can touch the stop
-            far = lambda i: bars[i, 1] if side > 0 else -bars[i, 0]
-            stop, best, share = near(0), far(1), step
-            for i in range(1, len(bars)):
-                before = max(i - 1, 1)
-                turned = near(i) <= stop
-                if turned:
-                    side = -side
-                    stop = min(-best, near(before), near(i))
-                    best, share = far(i), step
-                out[i] = stop if signed else stop * side
-                if not turned and far(i) > best:
-                    best, share = far(i), min(share + step, most)
-                stop = min(stop + share * (best - stop), near(before), near(i))
-        return pdf.assign(**{name: out})
-
-    schema = StructType(list(df.schema.fields)).add(name, DoubleType())
-    return df.groupBy("symbol").applyInPandas(fold, schema).withColumn(name, F.nanvl(name, F.lit(None).cast("double")))
+            stop, best, share, older = (before[0] if side > 0 else -before[1]), (bar[1] if side > 0 else -bar[0]), step, bar
+        else:
+            _, side, stop, best, share = state
+            older = before
+        near_ = lambda b: b[0] if side > 0 else -b[1]  # noqa: E731  the end of a bar that can touch the stop
+        far = lambda b: b[1] if side > 0 else -b[0]
+        turned = near_(bar) <= stop
+        if turned:
+            side = -side
+            stop = min(-best, near_(older), near_(bar))
+            best, share = far(bar), step
+        out = stop if signed else stop * side
+        if not turned and far(bar) > best:
+            best, share = far(bar), min(share + step, most)
+        stop = min(stop + share * (best - stop), near_(older), near_(bar))
+        return (bar, side, stop, best, share), (*row, out)
+
+    return fold_ordered(df, list(SERIES), fold, f"{df.schema.toDDL()}, {name} double")
 
 
 def with_ultosc(df: DataFrame, h: str, lo: str, c: str, periods: tuple[int, int, int], name: str = "ultosc") -> DataFrame:

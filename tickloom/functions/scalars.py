@@ -6,6 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def measurable(unit: str, symbol: str = "sym", price: str = "price", size: str = "size", side: str = "side", home: str | None = None) -> Column:
+    """What a bar sums: `tick` the side, the symbol's own unit the signed size, `usd` the signed notional, `xbt` the signed home notional
+    (notional by price where the source has none)."""
+    signed = F.col(side) * F.col(size)
+    if unit == "tick":
+        return F.col(side)
+    if unit == "usd":
+        return signed * F.col(price)
+    if unit == "xbt":
+        return F.col(side) * (F.col(home) if home else F.col(size).cast("double") / F.col(price).cast("double"))
+    if unit == symbol:
+        return signed
+    raise ValueError(f"no measure {unit}")
+
+
+def numbers(texts: str) -> Column:
+    """The numbers among a list of texts, in order; what is no number is left out."""
+    return F.filter(F.transform(F.col(texts), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+
+
 def aliased(symbol: str, names: dict[str, str]) -> Column:
     """A symbol by its alias; others stay."""
     pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import SERIES, backward, cumsum_chunked, ordered
+from tickloom.operators.windows import ORDER, SERIES, carried, filled, fold_ordered, near, ordered
+
+
+#: Sums that are floored: sizes have up to eight decimals, notionals ten.
+EXACT = "decimal(38,10)"
+
+
+def whole(total: Column, unit: float) -> Column:
+    """How many whole units a decimal holds, floored, without a rounding division."""
+    u = F.lit(Decimal(str(unit)))
+    return ((total - F.pmod(total, u)) / u).cast("long")
 
 
-def unit_bars(ticks: DataFrame, measure: Column, unit: float, name: str = "volume_size") -> DataFrame:
+def unit_bars(ticks: DataFrame, measure: Column, unit: float, name: str = "volume_size", series=SERIES) -> DataFrame:
     """Bars of a fixed amount: whole units that the running sum of `measure` passes at each row, summed per ts.
 
-    The sum is exact (decimal) and floored, so signed flows may give negative bars. The first row never emits.
+    The sum is exact (decimal) and floored, so signed flows may give negative bars. The first row of a series never emits.
     """
-    total = cumsum_chunked(ticks, measure.cast("decimal(18,2)"), "__m")
-    level = total.withColumn("__b", F.floor(F.col("__m") / F.lit(unit)))
-    step = level.withColumn("__n", F.col("__b") - F.lag("__b").over(ordered()))
-    bars = step.where("__n <> 0").groupBy(*SERIES, "ts").agg(F.sum("__n").cast("long").alias(name))
-    return bars
+    value = F.coalesce(measure.cast(EXACT), F.lit(0).cast(EXACT))
+    total = carried(ticks, {"__m": ("sum", value), "__i": ("sum", F.lit(1))}, series=series).withColumn("__x", value)
+    step = total.where("__i > 1").withColumn("__n", whole(F.col("__m"), unit) - whole(F.col("__m") - F.col("__x"), unit))
+    return step.where("__n <> 0").groupBy(*series, "ts").agg(F.sum("__n").cast("long").alias(name))
 
 
 def time_bars(ticks: DataFrame, every: str, price: str = "price", size: str = "size") -> DataFrame:
@@ -50,25 +61,28 @@ def last_filled(ticks: DataFrame, every: str, value: str) -> DataFrame:
     bars = time_bars(ticks, every, price=value).select(*SERIES, "ts", F.col("close").alias(value))
     ends = bars.groupBy(*SERIES).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     spine = ends.select(*SERIES, F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {every}"))).alias("ts"))
-    from tickloom.operators.windows import ffill
-
-    return spine.join(bars, [*SERIES, "ts"], "left").withColumn(value, ffill(value, order=("ts",)))
+    rows = spine.join(bars, [*SERIES, "ts"], "left")
+    return carried(rows, {value: ("last", F.col(value))}, order=("ts",))
 
 
 def price_bars(ticks: DataFrame, unit: float) -> DataFrame:
     """Prices rounded half-even to a unit, rows where that price changed, the last of each ts."""
     rounded = ticks.withColumn("p", F.bround(F.col("price").cast("double") / unit) * unit)
-    moved = rounded.withColumn("q", F.lag("p").over(ordered())).where("p <> q")
+    moved = near(rounded, lambda rows, key: rows.withColumn("q", F.lag("p").over(ordered(key))), 1).where("p <> q")
     return moved.groupBy(*SERIES, "ts").agg(F.max_by("p", "seq").alias("price"))
 
 
+def with_volume_tick(ticks: DataFrame, amount: float) -> DataFrame:
+    """`notional` and the number of whole amounts of it reached at each row."""
+    value = (F.col("price") * F.col("size")).cast(EXACT)
+    total = carried(ticks.withColumn("notional", value), {"__m": ("sum", F.col("notional"))})
+    return total.withColumn("volume_tick", whole(F.col("__m"), amount)).drop("__m")
+
+
 def dollar_bars(ticks: DataFrame, amount: float) -> DataFrame:
     """One bar per whole `amount` of notional: OHLC, counts, sizes by side, notional."""
-    notional = (F.col("price") * F.col("size")).cast("decimal(28,4)")
-    total = cumsum_chunked(ticks.withColumn("notional", notional), F.col("notional"), "__m")
-    tick = total.withColumn("volume_tick", F.floor(F.col("__m") / F.lit(amount)).cast("long"))
     at, buy = F.struct("ts", "seq"), F.col("side") > 0
-    return tick.groupBy(*SERIES, "volume_tick").agg(
+    return with_volume_tick(ticks, amount).groupBy(*SERIES, "volume_tick").agg(
         F.max("ts").alias("ts"), F.min_by("price", at).alias("open"), F.max("price").alias("high"),
         F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("n"),
         F.sum("size").alias("volume"), F.sum(F.when(buy, F.col("size")).otherwise(0)).alias("volume_buy"),
@@ -87,95 +101,93 @@ def counters(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def size_delta(price: str, size: str) -> Column:
+def size_delta(price: str, size: str, series=SERIES) -> Column:
     """Change of the size at an unchanged best price, else 0."""
-    w = ordered()
+    w = ordered(series)
     return F.when(F.col(price) == F.lag(price).over(w), F.col(size) - F.lag(size).over(w)).otherwise(0)
 
 
 def imbalance_per_move(ticks: DataFrame, measure: Column) -> DataFrame:
     """Flow between price changes: rows up to and with the one before a new price form a run; the last, open run is left out."""
-    w = ordered()
-    flagged = ticks.withColumn("m", measure).withColumn("last", F.coalesce((F.lead("price").over(w) != F.col("price")).cast("int"), F.lit(0)))
-    runs = flagged.withColumn("run", F.sum("last").over(backward()))
-    closed = runs.where("run > 0").groupBy(*SERIES, "run").agg(F.max("ts").alias("ts"), F.sum("m").alias("m"))
+    last = lambda rows, key: rows.withColumn("last", F.coalesce(F.lead("price").over(ordered(key)) != F.col("price"), F.lit(False)))
+    flagged = near(ticks.withColumn("m", measure), last, 0, 1)
+    runs = carried(flagged, {"run": ("next", F.when(F.col("last"), F.struct(*ORDER)))})
+    closed = runs.where("run IS NOT NULL").groupBy(*SERIES, "run").agg(F.max("ts").alias("ts"), F.sum("m").alias("m"))
     return closed.groupBy(*SERIES, "ts").agg(F.avg("m").cast("int").alias("imbalance"))
 
 
+KEYS = "exchange string, symbol string"
+
+
 def sequence_bars(ticks: DataFrame, measure: Column, unit: float) -> DataFrame:
     """Run bars: two one-sided sums; the side that reaches the unit first emits +1 or -1 and both restart at that row.
 
-    The restart depends on both sides, so this is a fold over each series, fed in sorted Arrow batches; its state is two numbers.
+    The restart depends on both sides, so this is an ordered fold over each series; its state is two numbers.
     """
-    import pandas as pd
-
-    def fold(key, batches):
-        up = down = 0.0
-        for pdf in batches:
-            out = []
-            for ts, m in zip(pdf["ts"], pdf["m"]):
-                if m > 0:
-                    up += m
-                else:
-                    down -= m
-                if up >= unit or down >= unit:
-                    out.append((key[0], ts, 1 if up >= unit else -1))
-                    up = down = 0.0
-            yield pd.DataFrame(out, columns=["symbol", "ts", "sequence"])
-
-    rows = ticks.select("symbol", "ts", "seq", measure.cast("double").alias("m")).groupBy("symbol")
-    made = rows.applyInPandas(_sorted(fold), "symbol string, ts timestamp, sequence int")
-    return made.groupBy("symbol", "ts").agg(F.sum("sequence").alias("sequence")).where("sequence <> 0")
+
+    def step(state, row):
+        up, down = state or (0.0, 0.0)
+        up, down = up + max(row[4], 0.0), down + max(-row[4], 0.0)
+        if up >= unit or down >= unit:
+            return (0.0, 0.0), (*row[:3], 1 if up >= unit else -1)
+        return (up, down), None
+
+    rows = ticks.select(*SERIES, *ORDER, F.coalesce(measure.cast("double"), F.lit(0.0)).alias("m"))
+    made = fold_ordered(rows, list(SERIES), step, f"{KEYS}, ts timestamp, sequence int")
+    return made.groupBy(*SERIES, "ts").agg(F.sum("sequence").alias("sequence")).where("sequence <> 0")
 
 
 def delta_sampling(ticks: DataFrame, value: str, delta: float) -> DataFrame:
     """Rows where the value has drifted `delta` or more from the last row kept (the first row is kept)."""
-    import pandas as pd
 
-    def fold(key, batches):
-        last = None
-        for pdf in batches:
-            out = []
-            for row in zip(pdf["ts"], pdf["seq"], pdf["v"]):
-                if last is None or abs(row[2] - last) >= delta:
-                    last = row[2]
-                    out.append((key[0], *row))
-            yield pd.DataFrame(out, columns=["symbol", "ts", "seq", value])
+    def step(last, row):
+        keep = last is None or abs(row[4] - last) >= delta
+        return (row[4], row) if keep else (last, None)
 
-    rows = ticks.where(F.col(value).isNotNull()).select("symbol", "ts", "seq", F.col(value).cast("double").alias("v"))
-    return rows.groupBy("symbol").applyInPandas(_sorted(fold), f"symbol string, ts timestamp, seq long, {value} double")
+    rows = ticks.where(F.col(value).isNotNull()).select(*SERIES, *ORDER, F.col(value).cast("double").alias("v"))
+    return fold_ordered(rows, list(SERIES), step, f"{KEYS}, ts timestamp, seq long, {value} double")
 
 
-def best_prices(l2: DataFrame) -> DataFrame:
-    """Best bid and ask after each level update of a day; crossed opposite levels are dropped."""
-    import pandas as pd
+def clean_book(l2: DataFrame) -> DataFrame:
+    """Each level update of a day with what it does to the book: the levels of both sides after it.
 
-    def fold(key, batches):
-        books: dict[int, set] = {1: set(), -1: set()}
-        for pdf in batches:
-            out = []
-            for ts, seq, price, size, count in zip(pdf["ts"], pdf["seq"], pdf["price"], pdf["size"], pdf["count"]):
-                side = 1 if size > 0 else -1
-                if count:
-                    books[side].add(price)
-                    other = books[-side]
-                    other -= {p for p in other if (p - price) * side <= 0}
-                else:
-                    books[side].discard(price)
-                out.append((key[0], ts, seq, max(books[1], default=None), min(books[-1], default=None)))
-            yield pd.DataFrame(out, columns=["symbol", "ts", "seq", "best_bid", "best_ask"])
+    An update with a count sets its level (size > 0: bid) and drops crossed levels of the other side; without, it removes it.
+    """
+
+    def step(state, row):
+        bids, asks = state or ({}, {})
+        price, size, count = row[5:]
+        own, other, sign = (bids, asks, 1) if size > 0 else (asks, bids, -1)
+        if count:
+            own[price] = abs(size)
+            for p in [p for p in other if (p - price) * sign <= 0]:
+                del other[p]
+        else:
+            own.pop(price, None)
+        named = lambda book: [{"price": p, "size": s} for p, s in sorted(book.items())]
+        return (bids, asks), (*row[:2], *row[3:5], named(bids), named(asks))
 
-    rows = l2.select("symbol", F.to_date("ts").alias("d"), "ts", "seq", F.col("price").cast("double").alias("price"), "size", "count")
-    schema = "symbol string, ts timestamp, seq long, best_bid double, best_ask double"
-    return rows.groupBy("symbol", "d").applyInPandas(_sorted(fold), schema)
+    level = "array<struct<price:double,size:double>>"
+    return fold_ordered(_updates(l2), [*SERIES, "d"], step, f"{KEYS}, ts timestamp, seq long, bids {level}, asks {level}")
 
 
-def _sorted(fold):
-    """A grouped function over one sorted frame from a fold over batches."""
+def _updates(l2: DataFrame) -> DataFrame:
+    cols = [F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), F.col("count").cast("int").alias("count")]
+    return l2.select(*SERIES, F.to_date("ts").alias("d"), *ORDER, *cols)
 
-    def run(key, pdf):
-        import pandas as pd
 
-        return pd.concat(list(fold(key, [pdf.sort_values(["ts", "seq"])])), ignore_index=True)
+def best_prices(l2: DataFrame) -> DataFrame:
+    """Best bid and ask after each level update of a day; crossed opposite levels are dropped."""
 
-    return run
+    def step(state, row):
+        bids, asks = state or (set(), set())
+        price, size, count = row[5:]
+        own, other, sign = (bids, asks, 1) if size > 0 else (asks, bids, -1)
+        if count:
+            own.add(price)
+            other -= {p for p in other if (p - price) * sign <= 0}
+        else:
+            own.discard(price)
+        return (bids, asks), (*row[:2], *row[3:5], max(bids, default=None), min(asks, default=None))
+
+    return fold_ordered(_updates(l2), [*SERIES, "d"], step, f"{KEYS}, ts timestamp, seq long, best_bid double, best_ask double")

@@ -80,6 +80,23 @@ def class_f1(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     return sides.select("label", (F.col("tp") / F.nullif("np", F.lit(0))).alias("precision"), (F.col("tp") / F.nullif("na", F.lit(0))).alias("recall"), (2 * F.col("tp") / (F.col("np") + F.col("na"))).alias("f1"))
 
 
+def classifier_scores(df: DataFrame, actual: str, predicted: str, by: list[str], order: list[str]) -> DataFrame:
+    """Counts of predictions, accuracy, precision, recall, F1, and the precision of first predictions: those that follow no other
+    in the order inside a part (`by`). One window over parts and one aggregation."""
+    from pyspark.sql import Window
+
+    y, hit = F.col(actual), F.col(predicted)
+    before = F.coalesce(F.lag(predicted).over(Window.partitionBy(*by).orderBy(*order)), F.lit(False))
+    n = {"tp": y & hit, "fp": ~y & hit, "fn": y & ~hit, "tn": ~y & ~hit, "ff": hit & ~F.col("__b"), "ftp": y & hit & ~F.col("__b")}
+    s = df.withColumn("__b", before).agg(*[F.count_if(test).alias(k) for k, test in n.items()])
+    share = lambda a, b: a / F.nullif(b, F.lit(0))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return s.select(
+        (tp + fp).alias("positives"), (fn + tn).alias("negatives"), share(tp + tn, tp + fp + fn + tn).alias("accuracy"), share(tp, tp + fp).alias("precision"),
+        share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), F.col("ff").alias("first_positives"), share(F.col("ftp"), F.col("ff")).alias("first_precision"),
+    )
+
+
 def low_variance(long: DataFrame, feature: str, value: str) -> DataFrame:
     """Features (long form) with their variance; kept where it is half the median variance or more."""
     var = long.groupBy(feature).agg(F.var_samp(value).alias("variance"))
@@ -87,10 +104,10 @@ def low_variance(long: DataFrame, feature: str, value: str) -> DataFrame:
     return var.join(F.broadcast(mid), F.lit(True)).withColumn("kept", F.col("variance") >= F.col("__m")).drop("__m")
 
 
-def coverage(indexed: DataFrame, feature: str, ix: str, value: str) -> DataFrame:
+def coverage(indexed: DataFrame, feature: list[str], ix: str, value: str) -> DataFrame:
     """Rows between the first and the last value of each feature; kept where that is the mean of all features or more."""
     at = F.when(F.col(value).isNotNull(), F.col(ix))
-    span = indexed.groupBy(feature).agg(F.coalesce(F.max(at) - F.min(at), F.lit(0)).alias("span"))
+    span = indexed.groupBy(*feature).agg(F.coalesce(F.max(at) - F.min(at), F.lit(0)).alias("span"))
     mid = span.agg(F.avg("span").alias("__m"))
     return span.join(F.broadcast(mid), F.lit(True)).withColumn("kept", F.col("span") >= F.col("__m")).drop("__m")
 

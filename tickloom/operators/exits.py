@@ -12,7 +12,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import START
+from tickloom.operators.windows import START, carried, fold_ordered, near, ordered
 
 
 def select_entries(rows: DataFrame, strategies: dict[str, tuple[int, dict[str, list[Column]]]], minutes: int) -> DataFrame:
@@ -52,7 +52,7 @@ def held_rows(entries: DataFrame, curve: DataFrame, by: list[str], bucket_s: int
 
 
 def trade_curves(held: DataFrame, price: str = "price") -> DataFrame:
-    """Profit, relative profit, best profit so far, distance to it and minutes held, for each row a trade holds."""
+    """Profit, relative profit, best profit so far, distance to it and minutes held, for each row a deal holds."""
     w = Window.partitionBy("id").orderBy("ts", "seq").rowsBetween(START, 0)
     rows = held.withColumn("profit", (F.col(price) - F.col("p0")) * F.col("direction"))
     return rows.withColumns({
@@ -64,9 +64,9 @@ def trade_curves(held: DataFrame, price: str = "price") -> DataFrame:
 
 
 def first_exits(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Per trade the first (ts, seq) of each rule, and the earliest of all with its reason; one aggregation.
+    """Per deal the first (ts, seq) of each rule, and the earliest of all with its reason; one aggregation.
 
-    Ties go to the rule listed first. A trade that no rule ends leaves at its last row, for the reason `timeout`.
+    Ties go to the rule listed first. A deal that no rule ends leaves at its last row, for the reason `timeout`.
     """
     at = F.struct("ts", "seq")
     hits = rows.groupBy("id").agg(*[F.min(F.when(rule, at)).alias(f"__{name}") for name, rule in rules.items()], F.max(at).alias("__timeout"))
@@ -81,20 +81,20 @@ def vetoed(rows: DataFrame, veto: Column) -> DataFrame:
 
 
 def never_negative_again(curves: DataFrame) -> Column:
-    """True from the row after which a trade's profit stays at 0 or above to the end of its window."""
+    """True from the row after which a deal's profit stays at 0 or above to the end of its window."""
     back = Window.partitionBy("id").orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(START, 0)
     return F.min("profit").over(back) >= 0
 
 
 def market_fill(bars: DataFrame, direction: Column) -> Column:
-    """Worst of quote and trade in the bar: highest ask or trade for a buy, lowest bid or trade for a sale."""
+    """Worst of quote and deal in the bar: highest ask or deal for a buy, lowest bid or deal for a sale."""
     return F.when(direction > 0, F.greatest("ask_high", "high")).otherwise(F.least("bid_low", "low"))
 
 
 def limit_fills(orders: DataFrame, bars: DataFrame, by: list[str], tick: float, late: bool = True) -> DataFrame:
     """Fill of limit orders (id, ts, end, direction, limit) on later bars, and whether they are cancelled before.
 
-    A buy fills at the first bar whose lowest ask or trade is under the limit (at it, unless `late`), at min(highest ask, limit); a
+    A buy fills at the first bar whose lowest ask or deal is under the limit (at it, unless `late`), at min(highest ask, limit); a
     sale likewise. Without such a bar it fills at the last one at its limit. It is cancelled at the first bar before the fill
     where the near side (bid high of a buy, ask low of a sale) is two ticks or more away from the limit.
     """
@@ -115,7 +115,7 @@ def limit_fills(orders: DataFrame, bars: DataFrame, by: list[str], tick: float,
 
 
 def sweep(rows: DataFrame, params: list[float], exit_rule) -> DataFrame:
-    """Total profit of every parameter: each trade leaves at the first row of its rule, else at its last row.
+    """Total profit of every parameter: each deal leaves at the first row of its rule, else at its last row.
 
     All parameters are evaluated in one aggregation over the same rows; nothing is multiplied by their number.
     """
@@ -139,10 +139,10 @@ def _bucketed(rows: DataFrame, n: int) -> DataFrame:
 
 
 def twin_peaks(curves: DataFrame, n: int, giveback_rel: float, price: str = "price") -> DataFrame:
-    """Per trade the first exit at a second peak worse than the one before it.
+    """Per deal the first exit at a second peak worse than the one before it.
 
-    Peaks are those of the mean price of whole buckets of n rows, in the trade's direction: above the bucket before, not under the one
-    after. The exit is the first row after the bucket that confirms the peak, if the trade has given back over `giveback_rel`
+    Peaks are those of the mean price of whole buckets of n rows, in the deal's direction: above the bucket before, not under the one
+    after. The exit is the first row after the bucket that confirms the peak, if the deal has given back over `giveback_rel`
     of its entry price there. Trades without one have nulls.
     """
     rows = _bucketed(curves, n)
@@ -157,7 +157,7 @@ def twin_peaks(curves: DataFrame, n: int, giveback_rel: float, price: str = "pri
 
 
 def dip_and_return(rows: DataFrame, value: Column, level: Column, wait: int) -> DataFrame:
-    """Per trade: the first row whose value is under the level, the first row `wait` rows later or after that where it is above it again,
+    """Per deal: the first row whose value is under the level, the first row `wait` rows later or after that where it is above it again,
     and the row of the least value from the dip up to there (the earliest on ties). Trades that do not return have no least row."""
     r = _bucketed(rows, 1).withColumns({"__v": value, "__l": level}).select("id", "ts", "ix", "__v", "__l")
     dip = r.groupBy("id").agg(F.min(F.when(F.col("__v") < F.col("__l"), F.col("ix"))).alias("dip_ix"))
@@ -169,9 +169,9 @@ def dip_and_return(rows: DataFrame, value: Column, level: Column, wait: int) ->
 
 
 def peaks(rows: DataFrame, value: str, height: float, distance: int, prominence: float) -> DataFrame:
-    """Local maxima of each trade: strict against both sides, at least `height`, the higher of two closer than `distance` rows (the later
+    """Local maxima of each deal: strict against both sides, at least `height`, the higher of two closer than `distance` rows (the later
     on ties), with a prominence of `prominence` or more. Prominence is the height over the higher of the two lowest values between the
-    peak and the next greater value on each side, or the end. One group is what one trade holds."""
+    peak and the next greater value on each side, or the end. One group is what one deal holds."""
     import numpy as np
     import pandas as pd
     from pyspark.sql.types import StructType
@@ -216,27 +216,22 @@ def orders_of_executions(executions: DataFrame, by: str, order: list[str], passi
     }).drop("__p", "__pp", "__q")
 
 
-def not_overlapping(trades: DataFrame, by: list[str], mark: Column | None = None) -> DataFrame:
-    """The trades of a strategy that are taken one after another: each starts after the end of the last one taken; rows before
-    `mark` are left out.
+def not_overlapping(rows: DataFrame, by: list[str], mark: Column | None = None) -> DataFrame:
+    """The deals of a strategy (ts, id, end) that are taken one after another: each starts after the end of the last one taken;
+    rows before `mark` are left out.
 
-    Trades that overlap nothing before them start a new island (a window finds them); the ordered fold runs inside islands only, so
-    a strategy is as parallel as it has pauses.
+    Deals that overlap nothing before them start a new island; the ordered fold runs inside islands only and holds one time,
+    so a strategy is as parallel as it has pauses and a long island costs no memory.
     """
-    import pandas as pd
-
-    rows = trades if mark is None else trades.where(F.col("ts") >= mark)
-    w = Window.partitionBy(*by).orderBy("ts", "id")
-    new = F.coalesce(F.col("ts") > F.max("end").over(w.rowsBetween(START, -1)), F.lit(True))
-    rows = rows.withColumn("__new", new.cast("int")).withColumn("__island", F.sum("__new").over(w.rowsBetween(START, 0))).drop("__new")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"])
-        keep, free = [], None
-        for ts, end in zip(pdf["ts"], pdf["end"]):
-            take = free is None or ts > free
-            keep.append(take)
-            free = end if take else free
-        return pdf[keep]
-
-    return rows.groupBy(*by, "__island").applyInPandas(fold, rows.schema).drop("__island")
+    rows = rows if mark is None else rows.where(F.col("ts") >= mark)
+    order, names = ("ts", "id"), rows.columns
+    top = carried(rows, {"__top": ("max", F.col("end"))}, series=tuple(by), order=order)
+    before = near(top, lambda x, key: x.withColumn("__before", F.lag("__top").over(ordered(key, order))), 1, series=tuple(by))
+    new = F.coalesce(F.col("ts") > F.col("__before"), F.lit(True)).cast("int")
+    island = carried(before, {"__island": ("sum", new)}, series=tuple(by), order=order).select(*names, "__island")
+    ts, end = names.index("ts"), names.index("end")
+
+    def step(free, row):
+        return (row[end], row[: len(names)]) if free is None or row[ts] > free else (free, None)
+
+    return fold_ordered(island, [*by, "__island"], step, rows.schema.toDDL(), order)

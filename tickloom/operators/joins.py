@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import START
+from tickloom.operators.windows import block_plan, carried, hour_of
 
 
 def outer_on_ts(parts: dict[str, DataFrame], value: str) -> DataFrame:
@@ -26,13 +26,13 @@ def common_ts(df: DataFrame, by: str) -> DataFrame:
 def asof(left: DataFrame, right: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Each left row with the latest right row at or before it (the later `seq` on equal ts).
 
-    A union and one window by key: no range join, one shuffle. Right rows sort before left rows of the same ts.
+    A union and what each day carries on: no range join, and no window over a whole series. Right rows sort before left
+    rows of the same ts.
     """
     r = right.groupBy(*by, "ts").agg(F.max_by(F.struct(*columns), "seq").alias("__r"))
     names = left.columns
     both = left.withColumn("__o", F.lit(1)).unionByName(r.withColumn("__o", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("ts", "__o").rowsBetween(START, 0)
-    out = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where("__o = 1")
+    out = carried(both, {"__m": ("last", F.col("__r"))}, series=tuple(by), order=("ts", "__o")).where("__o = 1")
     return out.select(*names, *[F.col(f"__m.{c}").alias(c) for c in columns])
 
 
@@ -40,8 +40,7 @@ def interval_bin(rows: DataFrame, ends: DataFrame, by: list[str], label: str) ->
     """The label of the interval (previous end, end] that holds each row; rows after the last end are left out."""
     e = ends.select(*by, "ts", F.col(label).alias("__l")).withColumn("__o", F.lit(1))
     both = rows.withColumn("__o", F.lit(0)).unionByName(e, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("__o")).rowsBetween(START, 0)
-    out = both.withColumn(label, F.last("__l", ignorenulls=True).over(w))
+    out = carried(both, {label: ("next", F.col("__l"))}, series=tuple(by), order=("ts", "__o"))
     return out.where(F.col("__o") == 0).where(F.col(label).isNotNull()).select(*rows.columns, label)
 
 
@@ -51,23 +50,55 @@ def pad_missing(quotes: DataFrame, trades: DataFrame, by: list[str]) -> DataFram
     return quotes.unionByName(lacking, allowMissingColumns=True)
 
 
-def first_touch(entries: DataFrame, curve: DataFrame, rule: Column, by: list[str], bucket_s: int = 3600) -> DataFrame:
-    """For each entry (id, ts, end) the first curve row in (ts, end] where `rule` holds; null where none does.
+def first_touch(entries: DataFrame, curve: DataFrame, by: list[str], value: str) -> DataFrame:
+    """For each entry (id, series, ts, end, level, up) the first curve row in (ts, end] whose value is at `level` or beyond it
+    (above if `up`, else below); null where there is none.
 
-    Both sides get coarse time buckets, so the range join becomes an equi-join on (key, bucket); an entry is listed in
-    each bucket its window meets, and only the first touch of a bucket and entry goes on.
+    The curve is cut into blocks of rows. The extremes of the blocks tell in which one a touch can be: the entry's own or the
+    first later one that reaches the level. Only these are searched, by doubling maxima, so the work of an entry is one
+    row for each hour of its window and log2 of a block's rows, however dense the curve is.
     """
-    bucket = lambda c: F.floor(F.unix_timestamp(c) / bucket_s)
-    spread = entries.select("id", *by, F.col("ts").alias("__from"), "end", *[c for c in entries.columns if c not in ("id", "ts", "end", *by)])
-    spread = spread.withColumn("__b", F.explode(F.sequence(bucket("__from"), bucket("end"))))
-    hits = (
-        spread.join(curve.withColumn("__b", bucket("ts")), [*by, "__b"])
-        .where((F.col("ts") > F.col("__from")) & (F.col("ts") <= F.col("end")) & rule)
-        .groupBy("id")
-        .agg(F.min(F.struct("ts", "seq")).alias("__h"))
-        .select("id", F.col("__h.ts").alias("touch_ts"), F.col("__h.seq").alias("touch_seq"))
-    )
-    return entries.join(hits, "id", "left")
+    import numpy as np
+    import pandas as pd
+
+    plan = block_plan(curve, series=tuple(by)).drop("__own")
+    placed = curve.withColumn("__c", hour_of("ts")).join(plan, [*by, "__c"]).drop("__c")
+    tops = placed.groupBy(*by, "__block").agg(F.max(value).alias("__top"), F.min(value).alias("__low"))
+    hours = F.explode(F.sequence(hour_of("ts"), hour_of("end"))).alias("__c")
+    reach = F.when(F.col("up"), F.col("__top") >= F.col("level")).otherwise(F.col("__low") <= F.col("level"))
+    met = entries.select("id", *by, "level", "up", hours).join(plan, [*by, "__c"]).select("id", *by, "level", "up", "__block").distinct()
+    met = met.join(tops, [*by, "__block"]).where(reach).groupBy("id").agg(F.slice(F.array_sort(F.collect_set("__block")), 1, 2).alias("__at"))
+    wanted = entries.join(met, "id").select("id", *by, F.col("ts").alias("from"), "end", F.col("level").cast("double").alias("level"), "up", F.explode("__at").alias("__block"))
+
+    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(["ts", "seq"])
+        ts, x, n = right["ts"].to_numpy(), right["x"].to_numpy(dtype=float), len(right)
+        start = np.searchsorted(ts, left["from"].to_numpy(), side="right")
+        up, level, found = left["up"].to_numpy(dtype=bool), left["level"].to_numpy(dtype=float), np.full(len(left), n)
+        for side in (up, ~up):
+            if not side.any() or not n:
+                continue
+            sign = 1.0 if side is up else -1.0
+            tops = [np.where(np.isnan(x), -np.inf, sign * x)]
+            while 1 << len(tops) <= n:
+                last, k = tops[-1], 1 << (len(tops) - 1)
+                tops.append(np.maximum(last, np.append(last[k:], np.full(k, -np.inf))))
+            at, goal = start[side].copy(), sign * level[side]
+            for k in range(len(tops) - 1, -1, -1):
+                inside = at < n
+                skip = inside & (tops[k][np.minimum(at, n - 1)] < goal)
+                at = np.where(skip, at + (1 << k), at)
+            found[side] = np.minimum(at, n)
+        hit = found < n
+        out = pd.DataFrame({"id": left["id"].to_numpy()[hit], "touch_ts": ts[found[hit]], "touch_seq": right["seq"].to_numpy()[found[hit]]})
+        return out[out["touch_ts"].to_numpy() <= left["end"].to_numpy()[hit]]
+
+    rows = placed.select(*by, "__block", "ts", "seq", F.col(value).cast("double").alias("x"))
+    rows = rows.toDF(*rows.columns)  # names of its own: both sides may come from one table
+    kind = dict(entries.dtypes)["id"]
+    hits = wanted.groupBy(*by, "__block").cogroup(rows.groupBy(*by, "__block")).applyInPandas(search, f"id {kind}, touch_ts timestamp, touch_seq long")
+    first = hits.groupBy("id").agg(F.min(F.struct("touch_ts", "touch_seq")).alias("__h")).select("id", "__h.*")
+    return entries.join(first, "id", "left")
 
 
 def score_distinct(df: DataFrame, features: list[str], score: Column, name: str = "score") -> DataFrame:

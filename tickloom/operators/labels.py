@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import leading, ordered
+from tickloom.operators.windows import SERIES, leading, ordered
 
 
 def triple_barrier(df: DataFrame, price: str, vol: str, n: int, target: float, stop: float) -> DataFrame:
@@ -54,15 +54,15 @@ def decayed_return(ret: str, span: int) -> Column:
 
 def event_sample(df: DataFrame, value: str, k: float, most: int) -> DataFrame:
     """Rows beyond k sample deviations; none of a series that has more than `most` of them."""
-    dev = df.groupBy("symbol").agg(F.stddev_samp(value).alias("__sd"))
-    hits = df.join(dev, "symbol").where(F.abs(value) >= k * F.col("__sd")).drop("__sd")
-    few = hits.groupBy("symbol").count().where(F.col("count") <= most).select("symbol")
-    return hits.join(few, "symbol", "left_semi")
+    dev = df.groupBy("exchange", "symbol").agg(F.stddev_samp(value).alias("__sd"))
+    hits = df.join(dev, list(SERIES)).where(F.abs(value) >= k * F.col("__sd")).drop("__sd")
+    few = hits.groupBy("exchange", "symbol").count().where(F.col("count") <= most).select("exchange", "symbol")
+    return hits.join(few, list(SERIES), "left_semi")
 
 
 def indexed(df: DataFrame, series: list[str] | None = None) -> DataFrame:
     """Row index `ix` from 0 and rows `n` of each series."""
-    series = series or ["symbol"]
+    series = series or ["exchange", "symbol"]
     w = Window.partitionBy(*series)
     return df.withColumn("ix", F.row_number().over(w.orderBy("ts", "seq")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
 
@@ -82,7 +82,7 @@ def purged_folds(df: DataFrame, k: int, purge: int) -> DataFrame:
     base, extra = F.floor(F.col("n") / k), F.col("n") % k
     begin = F.col("fold") * base + F.least(F.col("fold"), extra)
     end = begin + base + F.when(F.col("fold") < extra, 1).otherwise(0)
-    out = rows.select("symbol", "ix", "n", fold).withColumn("b", begin).withColumn("e", end)
+    out = rows.select("exchange", "symbol", "ix", "n", fold).withColumn("b", begin).withColumn("e", end)
     before = F.when((F.col("fold") > 0) & (F.col("fold") < k - 1), purge + 1).otherwise(purge)
     role = (
         F.when((F.col("ix") >= F.col("b")) & (F.col("ix") < F.col("e")), "test")
@@ -90,7 +90,7 @@ def purged_folds(df: DataFrame, k: int, purge: int) -> DataFrame:
         .when((F.col("ix") >= F.col("e")) & (F.col("ix") < F.col("e") + purge), "purged")
         .otherwise("train")
     )
-    return out.select("symbol", "ix", "fold", role.alias("role"))
+    return out.select("exchange", "symbol", "ix", "fold", role.alias("role"))
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Gapless volume bars: values of ticks that a single large trade skipped.
+"""Gapless volume bars: values of ticks that a single large deal skipped.
 
 A gap and the bar that ends it form an island, named by that bar's number; a gap's neighbours are the bar before and the bar after.
 All steps are running frames or aggregates over islands, in the order of `pad`.
@@ -16,9 +16,9 @@ ORDER = ("volume_tick",)
 
 def spine(bars: DataFrame) -> DataFrame:
     """Every tick number from the first to the last of a symbol; bars where there are some, nulls in gaps."""
-    ends = bars.groupBy("symbol").agg(F.min("volume_tick").alias("a"), F.max("volume_tick").alias("z"))
-    every = ends.select("symbol", F.explode(F.sequence("a", "z")).alias("volume_tick"))
-    full = every.join(bars.withColumn("__bar", F.col("volume_tick")), ["symbol", "volume_tick"], "left")
+    ends = bars.groupBy("exchange", "symbol").agg(F.min("volume_tick").alias("a"), F.max("volume_tick").alias("z"))
+    every = ends.select("exchange", "symbol", F.explode(F.sequence("a", "z")).alias("volume_tick"))
+    full = every.join(bars.withColumn("__bar", F.col("volume_tick")), ["exchange", "symbol", "volume_tick"], "left")
     return full.withColumn("gap", F.col("__bar").isNull()).withColumn("island", bfill("__bar", order=ORDER)).drop("__bar")
 
 
@@ -37,7 +37,7 @@ def open_then_close(df: DataFrame) -> DataFrame:
 
 def spread_totals(df: DataFrame, totals: list[str], counts: list[str]) -> DataFrame:
     """The ending bar's totals in equal whole parts over its island; counts are 1 at least where they are not 0."""
-    inside = Window.partitionBy("symbol", "island")
+    inside = Window.partitionBy("exchange", "symbol", "island")
     ticks = F.count(F.lit(1)).over(inside)
     whole = lambda c: F.max(c).over(inside)  # noqa: E731  one bar of an island has a value
     parts = {c: F.floor(whole(c) / ticks).cast("long") for c in totals}
@@ -63,7 +63,7 @@ def fill_spread(df: DataFrame) -> DataFrame:
 
 
 def from_trades(df: DataFrame) -> DataFrame:
-    """Ticks with one-sided trades and no quote take that side's quote prices and removed size from the trade; its size, where the frame has one, is 0."""
+    """Ticks with one-sided trades and no quote take that side's quote prices and removed size from the deal; its size, where the frame has one, is 0."""
     none = F.col("bid_close").isNull() & F.col("ask_close").isNull()
     sold = none & (F.col("volume_sell") > 0) & (F.col("volume_buy") == 0)
     bought = none & (F.col("volume_buy") > 0) & (F.col("volume_sell") == 0)
@@ -87,12 +87,12 @@ def added_defaults(df: DataFrame) -> DataFrame:
 def removed_by_trades(df: DataFrame) -> DataFrame:
     """Where there are trades and no quote, a buy's volume and count are removed from the ask, a sale's from the bid; quote sizes
     are carried forward in ticks that have trades."""
-    trade, none = F.col("n").isNotNull(), F.col("bid_close").isNull() & F.col("ask_close").isNull()
+    deal, none = F.col("n").isNotNull(), F.col("bid_close").isNull() & F.col("ask_close").isNull()
     cols = {}
     for side, flow in (("ask", "buy"), ("bid", "sell")):
-        cols[f"{side}_size_removed"] = F.when(trade & none, F.col(f"volume_{flow}")).otherwise(F.col(f"{side}_size_removed"))
-        cols[f"{side}_size_removed_count"] = F.when(trade & none, F.col(f"count_{flow}")).otherwise(F.col(f"{side}_size_removed_count"))
-        cols[f"{side}_size"] = F.coalesce(f"{side}_size", F.when(trade, ffill(F.when(trade, F.col(f"{side}_size")), order=ORDER)))
+        cols[f"{side}_size_removed"] = F.when(deal & none, F.col(f"volume_{flow}")).otherwise(F.col(f"{side}_size_removed"))
+        cols[f"{side}_size_removed_count"] = F.when(deal & none, F.col(f"count_{flow}")).otherwise(F.col(f"{side}_size_removed_count"))
+        cols[f"{side}_size"] = F.coalesce(f"{side}_size", F.when(deal, ffill(F.when(deal, F.col(f"{side}_size")), order=ORDER)))
     return df.withColumns(cols)
 
 
@@ -103,7 +103,7 @@ def totals(df: DataFrame) -> DataFrame:
 
 
 def pad(bars: DataFrame) -> DataFrame:
-    """Trade bars without gaps."""
+    """Deal bars without gaps."""
     rows = next_open(spine(bars))
     rows = spread_totals(rows, ["volume_buy", "volume_sell"], ["count_buy", "count_sell"])
     return totals(rows.withColumns({"n": F.lit(None).cast("long"), "volume": F.lit(None).cast("long")}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import ordered
+from tickloom.operators.windows import SERIES, ordered
 
 
 def summaries(df: DataFrame, price: str, by: list[str], order: list[str], compat: bool = False) -> DataFrame:
@@ -65,7 +65,7 @@ def mean_importance(scores: DataFrame, model: str, feature: str, score: str, bel
     return out.withColumn("kept", F.col("running") < below)
 
 
-def chunk_order(df: DataFrame, k: int, by=("symbol",), order=("ts", "seq")) -> DataFrame:
+def chunk_order(df: DataFrame, k: int, by=SERIES, order=("ts", "seq")) -> DataFrame:
     """A series in k * k consecutive chunks, the first ones a row longer; chunk i goes to place i // k + k * (i mod k).
 
     So each k-th of the new order has a chunk from the start, the middle and the end. `ix` is a row's old, `new_ix` its new position.
@@ -108,15 +108,21 @@ def cut_where_many(df: DataFrame, columns: list[str], more_than: int, bins: int)
     return df.join(F.broadcast(stats), F.lit(True)).withColumns(cols).select(df.columns)
 
 
-def cointegration(df: DataFrame, a: str, b: str, order: list[str]) -> DataFrame:
-    """Correlation and regression of a on b, and the t statistic of the residual's level in its change (no further lags).
+def pairs_of(df: DataFrame, by: list[str], name: str, value: str) -> DataFrame:
+    """Rows (by, a, b, x, y) of every two names, in order, that share a key; one row for each pair and key, so `df` is to be bars."""
+    left = df.select(*by, F.col(name).alias("a"), F.col(value).alias("x"))
+    right = df.select(*by, F.col(name).alias("b"), F.col(value).alias("y"))
+    return left.join(right, by).where(F.col("a") < F.col("b"))
+
+
+def cointegration(df: DataFrame, a: str, b: str, by: list[str], order: list[str]) -> DataFrame:
+    """Per pair: correlation and regression of a on b, and the t statistic of the residual's level in its change (no further lags).
 
     Second and later sums come from aggregates; rows are only put in order to take differences, so `df` is to be bars, not ticks.
     """
-    line = df.agg(F.corr(a, b).alias("corr"), F.regr_slope(a, b).alias("beta"), F.regr_intercept(a, b).alias("alpha"))
-    rows = df.join(F.broadcast(line), F.lit(True)).withColumn("__r", F.col(a) - F.col("alpha") - F.col("beta") * F.col(b))
-    w = Window.orderBy(*order)
-    rows = rows.withColumn("__b", F.lag("__r").over(w)).withColumn("__c", F.col("__r") - F.col("__b"))
     from tickloom.operators.evaluation import dickey_fuller
 
-    return dickey_fuller(rows, ["corr", "alpha", "beta"], "__c", "__b", -3.34)  # 5 % value of two series with a constant
+    line = df.groupBy(*by).agg(F.corr(a, b).alias("corr"), F.regr_slope(a, b).alias("beta"), F.regr_intercept(a, b).alias("alpha"))
+    rows = df.join(line, by).withColumn("__r", F.col(a) - F.col("alpha") - F.col("beta") * F.col(b))
+    rows = rows.withColumn("__b", F.lag("__r").over(Window.partitionBy(*by).orderBy(*order))).withColumn("__c", F.col("__r") - F.col("__b"))
+    return dickey_fuller(rows, [*by, "corr", "alpha", "beta"], "__c", "__b", -3.34)  # 5 % value of two series with a constant

@@ -36,20 +36,92 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+def has_table(spark, path: str) -> bool:
+    """Whether a folder is there, by the file system of its path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_upsert(new: DataFrame, path: str, keys: list[str], partition: str) -> None:
-    """Upsert into a partitioned parquet table; only the partitions that `new` touches are rewritten."""
+    """Upsert into a partitioned parquet table; only the partitions that `new` touches are read and rewritten."""
     spark = new.sparkSession
-    touched = [r[0] for r in new.select(partition).distinct().collect()]
-    try:
-        old = spark.read.parquet(path).where(F.col(partition).isin(touched))
-    except Exception as e:  # a first write has no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = new.limit(0)
-    merged = upsert(old.select(new.columns), new, keys).persist()
-    merged.count()
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    merged.unpersist()
+    merged = new
+    if has_table(spark, path):
+        old = spark.read.parquet(path).join(new.select(partition).distinct(), partition, "left_semi")
+        merged = upsert(old.select(new.columns), new, keys)
+    _rewrite(merged, path, partition)
+
+
+def _rewrite(rows: DataFrame, path: str, partition: str) -> None:
+    """Put rows made from a table in place of its partitions that they belong to: staged beside it, so that reads come first."""
+    import uuid
+
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    rows.write.parquet(staged)
+    spark = rows.sparkSession
+    spark.read.schema(rows.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_without(spark, path: str, partition: str, predicate: Column, start, stop) -> None:
+    """Delete the rows that match in [start, stop) from a partitioned table; a partition that loses all its rows keeps none.
+
+    Only partitions that lose rows are rewritten.
+    """
+    table = spark.read.parquet(path)
+    hit = F.coalesce(predicate, F.lit(False)) & (F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(stop).cast("timestamp"))
+    touched = table.where(hit).select(partition).distinct()
+    left = table.join(touched, partition, "left_semi").where(~hit)
+    gone = [r[0] for r in touched.join(left.select(partition).distinct(), partition, "left_anti").limit(100_000).collect()]
+    _rewrite(left.select(table.columns), path, partition)
+    for value in gone:  # names of emptied partitions
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{partition}={value}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(series: DataFrame, want: dict[str, str] | None = None, key: str | None = None) -> DataFrame:
+    """All series but those whose tags are exactly `want`, or whose id is `key`."""
+    if want is not None:
+        pairs = [F.lit(x) for k in sorted(want) for x in (k, want[k])]
+        key_of = F.md5(F.to_json(F.create_map(*pairs)))
+        return series.where(series_id() != key_of)
+    return series.where(series_id() != key)
+
+
+def registered(registry: DataFrame | None, series: DataFrame) -> DataFrame:
+    """(id, tags) of the registry and of all series, each id once."""
+    new = series.select(series_id().alias("id"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("tags")))).alias("tags"))
+    return (new if registry is None else registry.unionByName(new)).dropDuplicates(["id"])
+
+
+def deregistered(registry: DataFrame, ids: DataFrame) -> DataFrame:
+    """The registry without the ids of `ids`."""
+    return registry.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def wide(series: DataFrame, want: dict[str, str], more: bool = False, name: str | None = None, most: int = 10_000) -> DataFrame:
+    """Matching series as columns by ts, named `tag-value|tag-value` (or `name` for a single one).
+
+    An error if more than one series matches and `more` is not set, or if there are more than `most`.
+    """
+    label = F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat_ws("-", e["key"], e["value"])), "|")
+    found = matching(series, want).withColumn("__n", label)
+    names = sorted(r[0] for r in found.select("__n").distinct().limit(most + 1).collect())
+    if len(names) > 1 and not more:
+        raise ValueError("more than one series; give more tags")
+    if len(names) > most:
+        raise ValueError(f"more than {most} series do not make one wide table")
+    out = found.groupBy("ts").pivot("__n", names or [""]).agg(F.first("value"))
+    return out.withColumnRenamed(names[0], name) if name and len(names) == 1 else out
+
+
+def keep_if_better(stored: DataFrame, new: DataFrame, keys: list[str], profit: str) -> DataFrame:
+    """Stored rows, and new ones whose profit exceeds that stored under their keys (or that have none); the stored one stays on ties."""
+    rows = stored.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    rest = [c for c in stored.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(profit), -F.col("__new"), *[F.hash(c) for c in rest])).alias("__b"))
+    return best.select(*keys, *[F.col(f"__b.{c}").alias(c) for c in rest])
 
 
 def watermark(loaded: DataFrame, source: DataFrame, by: list[str], lag_hours: int) -> DataFrame:
@@ -120,11 +192,11 @@ def memberships(df: DataFrame, by: str, member: str) -> DataFrame:
     return rows.groupBy(member, "__g").agg(F.min(by).alias("since"), F.max(by).alias("until")).drop("__g")
 
 
-def factor_rows(df: DataFrame, by: str, date: str, factor: str, last_date: str) -> DataFrame:
+def factor_rows(df: DataFrame, by: list[str], date: str, factor: str, last_date: str) -> DataFrame:
     """Factors of series that are not flat, each closed by a row of factor 1 at a late date."""
-    w = df.groupBy(by).agg(F.min(factor).alias("__a"), F.max(factor).alias("__z")).where("__a <> __z").select(by)
-    rows = df.select(by, date, factor).join(w, by, "left_semi")
-    return rows.unionByName(w.select(by, F.lit(last_date).cast("date").alias(date), F.lit(1.0).alias(factor)))
+    w = df.groupBy(*by).agg(F.min(factor).alias("__a"), F.max(factor).alias("__z")).where("__a <> __z").select(*by)
+    rows = df.select(*by, date, factor).join(w, by, "left_semi")
+    return rows.unionByName(w.select(*by, F.lit(last_date).cast("date").alias(date), F.lit(1.0).alias(factor)))
 
 
 def first_per_key(pages: list[DataFrame], key: str) -> DataFrame:
@@ -139,9 +211,9 @@ def first_per_key(pages: list[DataFrame], key: str) -> DataFrame:
 
 
 def aliased_copy(df: DataFrame, symbol: str, alias: str) -> DataFrame:
-    """The rows, and a symbol's rows under its alias for the days on which the alias has none."""
-    have = df.where(F.col("symbol") == alias).select(F.to_date("ts").alias("__d")).distinct()
-    copy = df.where(F.col("symbol") == symbol).withColumns({"__d": F.to_date("ts"), "symbol": F.lit(alias)}).join(have, "__d", "left_anti")
+    """The rows, and a symbol's rows under its alias for the days on which the alias has none on that exchange."""
+    have = df.where(F.col("symbol") == alias).select("exchange", F.to_date("ts").alias("__d")).distinct()
+    copy = df.where(F.col("symbol") == symbol).withColumns({"__d": F.to_date("ts"), "symbol": F.lit(alias)}).join(have, ["exchange", "__d"], "left_anti")
     return df.unionByName(copy.drop("__d"))
 
 

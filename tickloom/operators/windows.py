@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES = ("symbol",)
+SERIES = ("exchange", "symbol")
 ORDER = ("ts", "seq")
 START, END = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -34,20 +34,96 @@ def full(value: Column, agg: Column, n: int, w) -> Column:
     return F.when(F.count(value).over(w) == n, agg.over(w))
 
 
-def cumsum_chunked(df: DataFrame, value: Column, name: str, chunk: Column | None = None, series=SERIES, order=ORDER) -> DataFrame:
-    """Running sum, parallel inside one series.
+#: Rows of a series that a block of `blocked` holds, about.
+BLOCK_ROWS = 1 << 16
+
+
+def _small_join(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """`df` with the columns of `small`, which has a row or a few for each of the keys; null keys are keys too."""
+    named = small.withColumnsRenamed({k: f"__j_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__j_{k}")) for k in keys]
+    return df.join(named, on).drop(*[f"__j_{k}" for k in keys])
+
+
+def carried(df: DataFrame, specs: dict[str, tuple[str, Column]], chunk: Column | None = None, series=SERIES, order=ORDER) -> DataFrame:
+    """Running values from the start of a series to each row, parallel inside one series.
 
-    The series is cut into chunks of time (days unless told otherwise). Each chunk's sum is one row; a window over those few
-    rows gives what each chunk carries in; rows are then summed inside their chunk only.
+    `specs`: name -> (kind, column); kinds are sum, max, min, last (the last non-null value) and next (the first non-null
+    value from the row on). A series is cut into chunks of time (days unless told otherwise). Each chunk is aggregated to one
+    row; a window over those few rows gives what each chunk carries in; rows then look at their own chunk only.
     """
     chunk = F.to_date("ts") if chunk is None else chunk
-    keyed = df.withColumn("__v", value).withColumn("__c", chunk)
-    carry = keyed.groupBy(*series, "__c").agg(F.sum("__v").alias("__s"))
-    before = ordered(series, ("__c",)).rowsBetween(START, -1)
-    carry = carry.withColumn("__in", F.sum("__s").over(before)).drop("__s")
-    inside = Window.partitionBy(*series, "__c").orderBy(*order).rowsBetween(START, 0)
-    out = keyed.join(carry, [*series, "__c"]).withColumn(name, F.sum("__v").over(inside) + F.coalesce("__in", F.lit(0)))
-    return out.drop("__v", "__c", "__in")
+    at, keys = F.struct(*order), [*series, "__c"]
+    agg = {
+        "sum": F.sum, "max": F.max, "min": F.min,
+        "last": lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), at)), "next": lambda v: F.min_by(v, F.when(F.col(v).isNotNull(), at)),
+    }
+    past = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda v: F.last(v, True), "next": lambda v: F.last(v, True)}
+    both = {
+        "sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least,
+        "last": lambda own, before: F.coalesce(own, before), "next": lambda own, after: F.coalesce(own, after),
+    }
+    keyed = df.withColumns({f"__v{i}": column for i, (_, column) in enumerate(specs.values())}).withColumn("__c", chunk)
+    small = keyed.groupBy(*keys).agg(*[agg[kind](f"__v{i}").alias(f"__a{i}") for i, (kind, _) in enumerate(specs.values())])
+    back = [F.desc(c) for c in order]
+    carry, inside = {}, {}
+    for i, (kind, _) in enumerate(specs.values()):
+        ahead = kind == "next"
+        over = Window.partitionBy(*series).orderBy(F.desc("__c") if ahead else "__c").rowsBetween(START, -1)
+        carry[f"__in{i}"] = past[kind](f"__a{i}").over(over)
+        own = Window.partitionBy(*keys).orderBy(*(back if ahead else order)).rowsBetween(START, 0)
+        inside[list(specs)[i]] = both[kind](past[kind](f"__v{i}").over(own), F.col(f"__in{i}"))
+    names = [f"__in{i}" for i in range(len(specs))]
+    out = _small_join(keyed, small.withColumns(carry).select(*keys, *names), keys).withColumns(inside)
+    return out.drop("__c", *names, *[f"__v{i}" for i in range(len(specs))])
+
+
+def cumsum_chunked(df: DataFrame, value: Column, name: str, chunk: Column | None = None, series=SERIES, order=ORDER) -> DataFrame:
+    """Running sum, parallel inside one series."""
+    return carried(df, {name: ("sum", value)}, chunk, series, order)
+
+
+def block_plan(df: DataFrame, before: int = 0, after: int = 0, series=SERIES, rows: int = 0) -> DataFrame:
+    """(series, __c, __block, __own): which blocks the rows of an hour go to, with halos of `before` and `after` rows.
+
+    Blocks are runs of whole hours of about BLOCK_ROWS rows, or of the halo if that is longer, so a halo meets the two
+    blocks next to it at most. One row an hour is counted and ordered here, never the rows themselves.
+    """
+    size = max(rows or BLOCK_ROWS, before, after)
+    w = Window.partitionBy(*series).orderBy("__c")
+    hours = df.withColumn("__c", hour_of("ts")).groupBy(*series, "__c").agg(F.count(F.lit(1)).alias("__n"))
+    hours = hours.withColumn("__first", F.coalesce(F.sum("__n").over(w.rowsBetween(START, -1)), F.lit(0)))
+    hours = hours.withColumn("__block", F.floor(F.col("__first") / size))
+    if not before and not after:
+        return hours.select(*series, "__c", "__block", F.lit(True).alias("__own"))
+    v = Window.partitionBy(*series).orderBy("__block")
+    blocks = hours.groupBy(*series, "__block").agg(F.min("__first").alias("__from"), F.max(F.col("__first") + F.col("__n")).alias("__to"))
+    near_by = {}
+    for k in (1, 2):
+        near_by |= {f"__up{k}": F.lead(F.struct("__block", "__from"), k).over(v), f"__down{k}": F.lag(F.struct("__block", "__to"), k).over(v)}
+    hours = _small_join(hours, blocks.withColumns(near_by).drop("__from", "__to"), [*series, "__block"])
+    goes = [F.struct("__block", F.lit(True).alias("__own"))]
+    for k in (1, 2):
+        up, down = F.col(f"__up{k}"), F.col(f"__down{k}")
+        if before:
+            goes.append(F.when(F.col("__first") + F.col("__n") > up["__from"] - before, F.struct(up["__block"].alias("__block"), F.lit(False).alias("__own"))))
+        if after:
+            goes.append(F.when(F.col("__first") < down["__to"] + after, F.struct(down["__block"].alias("__block"), F.lit(False).alias("__own"))))
+    return hours.select(*series, "__c", F.inline(F.array_compact(F.array(*goes))))
+
+
+def hour_of(ts: str | Column) -> Column:
+    return F.floor(F.unix_timestamp(ts) / 3600)
+
+
+def near(df: DataFrame, fn, before: int = 0, after: int = 0, series=SERIES, rows: int = 0) -> DataFrame:
+    """`fn(rows, key)` over blocks of a series instead of whole series; rows see `before` rows before and `after` rows after them.
+
+    `fn` adds columns by windows partitioned by `key`. Frames are to stay within the halo; results are then those over
+    the whole series, and a long series is spread over many tasks.
+    """
+    placed = _small_join(df.withColumn("__c", hour_of("ts")), block_plan(df, before, after, series, rows), [*series, "__c"])
+    return fn(placed.drop("__c"), (*series, "__block")).where("__own").drop("__block", "__own")
 
 
 def ffill(value: str | Column, series=SERIES, order=ORDER) -> Column:
@@ -64,50 +140,115 @@ def bfill(value: str | Column, series=SERIES, order=ORDER) -> Column:
 
 
 def upsample(df: DataFrame, value: str, windows: list[int], aggs=("sum", "avg", "max", "min")) -> DataFrame:
-    """Rolling aggregates over the last n non-null rows, null until there are n, for every n."""
-    named = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
-    rows = df.where(F.col(value).isNotNull())
-    cols = {f"{value}_{a}_{n}": full(F.col(value), named[a](value), n, trailing(n)) for n in windows for a in aggs}
-    return rows.withColumns(cols)
+    """Rolling aggregates over the last n non-null rows, null until there are n, for every n (powers of two).
 
-
-def zscore(value: str, n: int) -> Column:
+    Frames double: that of 2k rows is that of k rows and the one k rows before, so a row costs log2(n) steps, not n.
+    """
+    if any(n & (n - 1) for n in windows):
+        raise ValueError("windows must be powers of two")
+    most = max(windows)
+
+    def doubled(rows: DataFrame, key) -> DataFrame:
+        w, k = ordered(key), 1
+        rows = rows.withColumns({"__sum": F.col(value).cast("double"), "__max": F.col(value), "__min": F.col(value)})
+        while True:
+            if k in windows:
+                made = {"sum": F.col("__sum"), "avg": F.col("__sum") / k, "max": F.col("__max"), "min": F.col("__min")}
+                rows = rows.withColumns({f"{value}_{a}_{k}": made[a] for a in aggs})
+            if k == most:
+                return rows.drop("__sum", "__max", "__min")
+            past = {c: F.lag(c, k).over(w) for c in ("__sum", "__max", "__min")}
+            full_now = past["__sum"].isNotNull()
+            rows = rows.withColumns({
+                "__sum": F.col("__sum") + past["__sum"], "__max": F.when(full_now, F.greatest("__max", past["__max"])),
+                "__min": F.when(full_now, F.least("__min", past["__min"])),
+            })
+            k *= 2
+
+    return near(df.where(F.col(value).isNotNull()), doubled, most - 1)
+
+
+def zscore(value: str, n: int, series=SERIES) -> Column:
     """Population z-score over n rows; 0 until there are n."""
-    w = trailing(n)
+    w = trailing(n, series)
     z = (F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0))
     return F.when(F.count(value).over(w) == n, z).otherwise(0.0)
 
 
-def linear_scan(df: DataFrame, a: float, b: Column, name: str, chunk: Column | None = None, series=SERIES, order=ORDER) -> DataFrame:
-    """y_t = a * y_(t-1) + b_t with y before the first row 0; parallel inside one series.
+def chunks_of(df: DataFrame, chunk: Column | None = None, series=SERIES) -> int:
+    """The most chunks that a series has."""
+    own = df.select(*series, (F.to_date("ts") if chunk is None else chunk).alias("__c")).distinct().groupBy(*series).count()
+    return own.agg(F.max("count")).first()[0] or 1
 
-    Each chunk is folded from zero; what it carries on is (a^n, its end), an associative pair. A window over the
-    few chunk rows gives each chunk's carry-in c, and row k of a chunk gets a^k * c on top.
+
+def linear_scan(df: DataFrame, a: float | Column, b: Column, name: str, chunk: Column | None = None, series=SERIES, order=ORDER, most: int = 0) -> DataFrame:
+    """y_t = a_t * y_(t-1) + b_t with y before the first row 0; parallel inside one series.
+
+    Each chunk is folded from zero, by doubling steps over arrays; what it carries on is (product of a, its end), an
+    associative pair. Pairs of the few chunk rows are combined by doubling too, which gives each chunk's carry-in c, and a
+    row gets c times the product of a up to it on top. `most` is the most chunks a series has (counted if not given).
     """
     import numpy as np
     import pandas as pd
     from pyspark.sql.types import DoubleType, LongType, StructType
 
     chunk = F.to_date("ts") if chunk is None else chunk
-    keyed = df.withColumn("__b", b.cast("double")).withColumn("__c", chunk)
-    schema = StructType(list(keyed.schema.fields)).add("__y", DoubleType()).add("__k", LongType())
+    keys = [*series, "__c"]
+    most = most or chunks_of(df, chunk, series)
+    keyed = df.withColumns({"__a": a if isinstance(a, Column) else F.lit(float(a)), "__b": b.cast("double"), "__c": chunk})
+    schema = StructType(list(keyed.schema.fields)).add("__y", DoubleType()).add("__q", DoubleType()).add("__k", LongType())
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order))
-        y, out = 0.0, np.empty(len(pdf))
-        for i, x in enumerate(pdf["__b"].to_numpy()):
-            y = a * y + x
-            out[i] = y
-        return pdf.assign(__y=out, __k=np.arange(1, len(pdf) + 1))
-
-    folded = keyed.groupBy(*series, "__c").applyInPandas(fold, schema)
-    ends = folded.groupBy(*series, "__c").agg(F.max_by("__y", "__k").alias("e"), F.max("__k").alias("n"))
-    before = ordered(series, ("__c",)).rowsBetween(START, -1)
-    past = F.collect_list(F.struct("e", "n")).over(before)
-    carry = F.aggregate(past, F.lit(0.0), lambda acc, x: acc * F.pow(F.lit(a), x["n"]) + x["e"])
-    carry = ends.select(*series, "__c", carry.alias("__in"))
-    out = folded.join(carry, [*series, "__c"]).withColumn(name, F.col("__y") + F.pow(F.lit(a), F.col("__k")) * F.col("__in"))
-    return out.drop("__b", "__c", "__y", "__k", "__in")
+        y, q, k = pdf["__b"].to_numpy(copy=True), pdf["__a"].to_numpy(copy=True), 1
+        while k < len(y):
+            y[k:] += q[k:] * y[:-k]
+            q[k:] *= q[:-k].copy()
+            k *= 2
+        return pdf.assign(__y=y, __q=q, __k=np.arange(1, len(pdf) + 1))
+
+    folded = keyed.groupBy(*keys).applyInPandas(fold, schema)
+    small = folded.groupBy(*keys).agg(F.max_by("__y", "__k").alias("__e"), F.max_by("__q", "__k").alias("__p"))
+    w, k = ordered(series, ("__c",)), 1
+    while k < most:
+        e, p = F.lag("__e", k).over(w), F.lag("__p", k).over(w)
+        small = small.withColumns({"__e": F.col("__e") + F.col("__p") * F.coalesce(e, F.lit(0.0)), "__p": F.col("__p") * F.coalesce(p, F.lit(1.0))})
+        k *= 2
+    carry = small.select(*keys, F.coalesce(F.lag("__e").over(w), F.lit(0.0)).alias("__in"))
+    out = _small_join(folded, carry, keys).withColumn(name, F.col("__y") + F.col("__q") * F.col("__in"))
+    return out.drop("__a", "__b", "__c", "__y", "__q", "__k", "__in")
+
+
+def fold_ordered(df: DataFrame, keys: list[str], step, schema: str, order=ORDER) -> DataFrame:
+    """An ordered fold over each group: `step(state, row)` returns (state, row or None); state is None at a group's start.
+
+    Rows are sorted by Spark's spilling shuffle and come in Arrow batches, so only the state is held, never a group. For
+    recurrences that have no associative form; a group is one task.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    names, n = df.columns, len(keys)
+    at = [names.index(k) for k in keys]
+
+    def run(batches):
+        key, state = object(), None
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                own = tuple(row[i] for i in at)
+                if own != key:
+                    key, state = own, None
+                state, made = step(state, row)
+                if made is not None:
+                    out.append(made)
+            columns = list(zip(*out)) if out else [[] for _ in target]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+
+    assert n
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def islands(df: DataFrame, flag: Column, series=SERIES, order=ORDER) -> DataFrame:
@@ -119,13 +260,19 @@ def islands(df: DataFrame, flag: Column, series=SERIES, order=ORDER) -> DataFram
     return runs.groupBy(*series, "__g").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n")).drop("__g")
 
 
-def interpolate(value: str, longest_s: int) -> Column:
+def filled(df: DataFrame, forward: dict[str, str], backward_: dict[str, str] | None = None) -> DataFrame:
+    """Columns filled forward and backward (name -> source column), chunk by chunk."""
+    specs = {k: ("last", F.col(v)) for k, v in forward.items()} | {k: ("next", F.col(v)) for k, v in (backward_ or {}).items()}
+    return carried(df, specs)
+
+
+def interpolate(df: DataFrame, value: str, longest_s: int) -> DataFrame:
     """Linear in time inside gaps whose ends are `longest_s` seconds apart at most; null in longer gaps."""
-    at = F.when(F.col(value).isNotNull(), F.unix_micros("ts"))
-    t0, t1 = F.last(at, True).over(running()), F.last(at, True).over(backward())
-    x0, x1 = ffill(value), bfill(value)
+    known = F.when(F.col(value).isNotNull(), F.struct(F.unix_micros("ts").alias("t"), F.col(value).alias("x")))
+    rows = carried(df, {"__a": ("last", known), "__z": ("next", known)})
+    t0, t1, x0, x1 = F.col("__a.t"), F.col("__z.t"), F.col("__a.x"), F.col("__z.x")
     line = x0 + (x1 - x0) * (F.unix_micros("ts") - t0) / F.nullif(t1 - t0, F.lit(0))
-    return F.coalesce(F.col(value), F.when(t1 - t0 <= longest_s * 1_000_000, line))
+    return rows.withColumn(value, F.coalesce(F.col(value), F.when(t1 - t0 <= longest_s * 1_000_000, line))).drop("__a", "__z")
 
 
 def started(df: DataFrame, columns: list[str], series=SERIES) -> DataFrame:
@@ -147,12 +294,12 @@ def filled_bars(bars: DataFrame, every: str) -> DataFrame:
     return x.withColumns({c: F.coalesce(c, "close") for c in ("open", "high", "low")} | {"volume": F.coalesce("volume", F.lit(0))})
 
 
-def touches_ahead(value: str, n: int, move: float) -> Column:
+def touches_ahead(value: str, n: int, move: float, series=SERIES) -> Column:
     """1 where one of the next n rows is `move` or more above this one, else 0; rows after the last count for nothing."""
-    ahead = ordered().rowsBetween(1, n)
+    ahead = ordered(series).rowsBetween(1, n)
     return F.coalesce((F.max(value).over(ahead) >= F.col(value) + move).cast("int"), F.lit(0))
 
 
-def extended(entry: Column, n: int) -> Column:
+def extended(entry: Column, n: int, series=SERIES) -> Column:
     """True at an entry and at the n - 1 rows after it."""
-    return F.max(F.coalesce(entry, F.lit(False))).over(trailing(n))
+    return F.max(F.coalesce(entry, F.lit(False))).over(trailing(n, series))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.plans import exits, features, fitted, held, selection, series, shaping, storing, training  # noqa: F401  register their queries
+from tickloom.plans import exits, features, fitted, held, more, recursive, selection, series, shaping, storing, training  # noqa: F401  register their queries
 from tickloom.plans.registry import ORACLES, QUERIES
 
 

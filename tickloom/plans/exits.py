@@ -12,38 +12,38 @@ from tickloom.plans.registry import query, rounded, table_query
 
 #: Two strategies on the canonical ticks, whose prices start at 100 and thin out upwards.
 LOW, HIGH = 102, 280
-ENTRIES = f"""e AS (SELECT seq AS id, symbol, ts, ts + INTERVAL 2 HOUR AS "end", CAST(price AS DOUBLE) AS p0,
+ENTRIES = f"""e AS (SELECT seq AS id, exchange, symbol, ts, ts + INTERVAL 2 HOUR AS "end", CAST(price AS DOUBLE) AS p0,
 CASE WHEN price <= {LOW} THEN 1 ELSE -1 END AS direction FROM ticks WHERE price <= {LOW} OR price >= {HIGH})"""
-HELD = ENTRIES + """, h AS (SELECT e.id, e.symbol, e.p0, e.direction, e.ts AS entry_ts, c.ts, c.seq, c.side, c.size,
-(CAST(c.price AS DOUBLE) - p0) * e.direction AS profit FROM e JOIN ticks c ON c.symbol = e.symbol AND c.ts > e.ts AND c.ts <= e."end"),
+HELD = ENTRIES + """, h AS (SELECT e.id, e.exchange, e.symbol, e.p0, e.direction, e.ts AS entry_ts, c.ts, c.seq, c.side, c.size,
+(CAST(c.price AS DOUBLE) - p0) * e.direction AS profit FROM e JOIN ticks c ON c.exchange = e.exchange AND c.symbol = e.symbol AND c.ts > e.ts AND c.ts <= e."end"),
 c AS (SELECT *, greatest(max(profit) OVER w, 0.0) AS best, greatest(max(profit) OVER w, 0.0) - profit AS giveback FROM h WINDOW w AS (PARTITION BY id ORDER BY ts, seq))"""
 
 
 def entries(t):
     p = F.col("price")
     found = exits.select_entries(t, {"dip": (1, {"all": [p <= LOW]}), "peak": (-1, {"all": [p >= HIGH]})}, 120)
-    return found.select(F.col("seq").alias("id"), "symbol", "ts", "end", p.cast("double").alias("p0"), "direction")
+    return found.select(F.col("seq").alias("id"), "exchange", "symbol", "ts", "end", p.cast("double").alias("p0"), "direction")
 
 
 def curves(t):
-    curve = t.select("symbol", "ts", "seq", F.col("price").cast("double").alias("price"), "side", "size")
-    return exits.trade_curves(exits.held_rows(entries(t), curve, ["symbol"]))
+    curve = t.select("exchange", "symbol", "ts", "seq", F.col("price").cast("double").alias("price"), "side", "size")
+    return exits.trade_curves(exits.held_rows(entries(t), curve, ["exchange", "symbol"]))
 
 
-@query("x01_entries", "ticks", """WITH a AS (SELECT symbol, ts, seq, price <= 105 AS low, size >= 4 AS big, side > 0 AS buy, price >= 250 AS high FROM ticks),
-s AS (SELECT symbol, ts, seq, 'big-dip' AS strategy, 1 AS direction FROM a WHERE low AND big UNION ALL SELECT symbol, ts, seq, 'extreme', 1 FROM a WHERE (low OR high) UNION ALL SELECT symbol, ts, seq, 'sold-peak', -1 FROM a WHERE high AND NOT buy)
-SELECT symbol, ts, seq, strategy, direction FROM s""")
+@query("x01_entries", "ticks", """WITH a AS (SELECT exchange, symbol, ts, seq, price <= 105 AS low, size >= 4 AS big, side > 0 AS buy, price >= 250 AS high FROM ticks),
+s AS (SELECT exchange, symbol, ts, seq, 'big-dip' AS strategy, 1 AS direction FROM a WHERE low AND big UNION ALL SELECT exchange, symbol, ts, seq, 'extreme', 1 FROM a WHERE (low OR high) UNION ALL SELECT exchange, symbol, ts, seq, 'sold-peak', -1 FROM a WHERE high AND NOT buy)
+SELECT exchange, symbol, ts, seq, strategy, direction FROM s""")
 def x01(t):
     low, high, big, buy = F.col("price") <= 105, F.col("price") >= 250, F.col("size") >= 4, F.col("side") > 0
     rules = {"big-dip": (1, {"all": [low, big]}), "extreme": (1, {"any": [low, high]}), "sold-peak": (-1, {"all": [high], "none": [buy]})}
-    return exits.select_entries(t, rules, 120).select("symbol", "ts", "seq", "strategy", "direction")
+    return exits.select_entries(t, rules, 120).select("exchange", "symbol", "ts", "seq", "strategy", "direction")
 
 
-@query("j11_merged_entries", "ticks", """WITH a AS (SELECT symbol, ts, seq, price <= 105 AS low, size >= 4 AS big FROM ticks)
-SELECT symbol, ts, seq, CASE WHEN low AND big THEN 'big,dip' WHEN low THEN 'dip' ELSE 'big' END AS strategies FROM a WHERE low OR big""")
+@query("j11_merged_entries", "ticks", """WITH a AS (SELECT exchange, symbol, ts, seq, price <= 105 AS low, size >= 4 AS big FROM ticks)
+SELECT exchange, symbol, ts, seq, CASE WHEN low AND big THEN 'big,dip' WHEN low THEN 'dip' ELSE 'big' END AS strategies FROM a WHERE low OR big""")
 def j11(t):
     rules = {"dip": (1, {"all": [F.col("price") <= 105]}), "big": (1, {"all": [F.col("size") >= 4]})}
-    found = exits.merged_entries(exits.select_entries(t, rules, 120), ["symbol", "ts", "seq"])
+    found = exits.merged_entries(exits.select_entries(t, rules, 120), ["exchange", "symbol", "ts", "seq"])
     return found.withColumn("strategies", F.array_join("strategies", ","))
 
 
@@ -65,7 +65,7 @@ def x03(t):
 @query("x04_vetoed_exits", "ticks", f"""WITH {HELD}, v AS (SELECT * FROM c WHERE NOT (side = direction AND size >= 5))
 SELECT id, min(ts) FILTER (profit <= -25) AS stop_ts, coalesce(min(ts) FILTER (profit <= -25), max(ts)) AS exit_ts FROM v GROUP BY id""")
 def x04(t):
-    """Large flow in the trade's direction vetoes an exit at its row."""
+    """Large flow in the deal's direction vetoes an exit at its row."""
     rows = exits.vetoed(curves(t), (F.col("side") == F.col("direction")) & (F.col("size") >= 5))
     return exits.first_exits(rows, {"stop": F.col("profit") <= -25}).select("id", "stop_ts", "exit_ts")
 
@@ -80,41 +80,41 @@ def x05(t):
 
 
 def _minute_bars(spark, sf_dir):
-    """Trade and quote bars of 10 minutes where both exist."""
+    """Deal and quote bars of 10 minutes where both exist."""
     t, q = (views.frame(spark, sf_dir, v) for v in (views.TICKS, views.QUOTES))
-    both = bars.time_bars(t, "10 minutes").join(bars.quote_bars(q, "10 minutes"), ["symbol", "ts"])
+    both = bars.time_bars(t, "10 minutes").join(bars.quote_bars(q, "10 minutes"), ["exchange", "symbol", "ts"])
     doubles = ["high", "low", "close", "bid_high", "bid_low", "bid_close", "ask_high", "ask_low", "ask_close"]
-    return both.select("symbol", "ts", *[F.col(c).cast("double").alias(c) for c in doubles])
+    return both.select("exchange", "symbol", "ts", *[F.col(c).cast("double").alias(c) for c in doubles])
 
 
-BARS = """tb AS (SELECT symbol, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, CAST(max(price) AS DOUBLE) AS high, CAST(min(price) AS DOUBLE) AS low, CAST(last(price ORDER BY ts, seq) AS DOUBLE) AS close FROM ticks GROUP BY 1, 2),
-qb AS (SELECT symbol, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, CAST(max(bid) AS DOUBLE) AS bid_high, CAST(min(bid) AS DOUBLE) AS bid_low, CAST(last(bid ORDER BY ts, seq) AS DOUBLE) AS bid_close,
-CAST(max(ask) AS DOUBLE) AS ask_high, CAST(min(ask) AS DOUBLE) AS ask_low, CAST(last(ask ORDER BY ts, seq) AS DOUBLE) AS ask_close FROM quotes GROUP BY 1, 2), b AS (SELECT * FROM tb JOIN qb USING (symbol, ts))"""
+BARS = """tb AS (SELECT exchange, symbol, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, CAST(max(price) AS DOUBLE) AS high, CAST(min(price) AS DOUBLE) AS low, CAST(last(price ORDER BY ts, seq) AS DOUBLE) AS close FROM ticks GROUP BY 1, 2, 3),
+qb AS (SELECT exchange, symbol, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, CAST(max(bid) AS DOUBLE) AS bid_high, CAST(min(bid) AS DOUBLE) AS bid_low, CAST(last(bid ORDER BY ts, seq) AS DOUBLE) AS bid_close,
+CAST(max(ask) AS DOUBLE) AS ask_high, CAST(min(ask) AS DOUBLE) AS ask_low, CAST(last(ask ORDER BY ts, seq) AS DOUBLE) AS ask_close FROM quotes GROUP BY 1, 2, 3), b AS (SELECT * FROM tb JOIN qb USING (exchange, symbol, ts))"""
 
 
-@table_query("x10_market_fills", f"WITH {BARS} SELECT symbol, ts, round(greatest(ask_high, high), 6) + 0.0 AS buy, round(least(bid_low, low), 6) + 0.0 AS sell FROM b")
+@table_query("x10_market_fills", f"WITH {BARS} SELECT exchange, symbol, ts, round(greatest(ask_high, high), 6) + 0.0 AS buy, round(least(bid_low, low), 6) + 0.0 AS sell FROM b")
 def x10(spark, sf_dir):
     b = _minute_bars(spark, sf_dir)
-    return rounded(b.select("symbol", "ts", exits.market_fill(b, F.lit(1)).alias("buy"), exits.market_fill(b, F.lit(-1)).alias("sell")))
+    return rounded(b.select("exchange", "symbol", "ts", exits.market_fill(b, F.lit(1)).alias("buy"), exits.market_fill(b, F.lit(-1)).alias("sell")))
 
 
-@table_query("x11_limit_fills", f"""WITH {BARS}, o AS (SELECT symbol, ts, ts + INTERVAL 6 HOUR AS "end", d AS direction, CASE WHEN d > 0 THEN bid_close - bid_close * 0.02 ELSE ask_close + ask_close * 0.02 END AS lim, epoch_us(ts) // 1000000 * 10 + CASE WHEN d > 0 THEN 1 ELSE 0 END AS k FROM b, (SELECT unnest([1, -1]) AS d)),
-r AS (SELECT o.symbol, k, direction, lim, b.*, CASE WHEN direction > 0 THEN least(ask_low, low) < lim ELSE greatest(bid_high, high) > lim END AS touch,
+@table_query("x11_limit_fills", f"""WITH {BARS}, o AS (SELECT exchange, symbol, ts, ts + INTERVAL 6 HOUR AS "end", d AS direction, CASE WHEN d > 0 THEN bid_close - bid_close * 0.02 ELSE ask_close + ask_close * 0.02 END AS lim, epoch_us(ts) // 1000000 * 10 + CASE WHEN d > 0 THEN 1 ELSE 0 END AS k FROM b, (SELECT unnest([1, -1]) AS d)),
+r AS (SELECT o.exchange, o.symbol, k, direction, lim, b.*, CASE WHEN direction > 0 THEN least(ask_low, low) < lim ELSE greatest(bid_high, high) > lim END AS touch,
 CASE WHEN direction > 0 THEN least(ask_high, lim) ELSE greatest(bid_low, lim) END AS p, CASE WHEN direction > 0 THEN bid_high >= lim + 1.0 ELSE ask_low <= lim - 1.0 END AS away
-FROM o JOIN b ON b.symbol = o.symbol AND b.ts > o.ts AND b.ts <= o."end"),
-f AS (SELECT symbol, k, min(ts) FILTER (touch) AS ft, arg_min(p, ts) FILTER (touch) AS fp, max(ts) AS lt, any_value(lim) AS lp, min(ts) FILTER (away) AS c FROM r GROUP BY symbol, k)
-SELECT symbol || '-' || k AS id, coalesce(ft, lt) AS fill_ts, round(coalesce(fp, lp), 6) + 0.0 AS fill_price, ft IS NOT NULL AS touched, CASE WHEN c < coalesce(ft, lt) THEN c END AS cancel_ts FROM f""")
+FROM o JOIN b ON b.exchange = o.exchange AND b.symbol = o.symbol AND b.ts > o.ts AND b.ts <= o."end"),
+f AS (SELECT exchange, symbol, k, min(ts) FILTER (touch) AS ft, arg_min(p, ts) FILTER (touch) AS fp, max(ts) AS lt, any_value(lim) AS lp, min(ts) FILTER (away) AS c FROM r GROUP BY exchange, symbol, k)
+SELECT exchange || '-' || symbol || '-' || k AS id, coalesce(ft, lt) AS fill_ts, round(coalesce(fp, lp), 6) + 0.0 AS fill_price, ft IS NOT NULL AS touched, CASE WHEN c < coalesce(ft, lt) THEN c END AS cancel_ts FROM f""")
 def x11(spark, sf_dir):
     """A buy and a sale limit order at every bar, 2 % from the near side, alive for 6 hours; cancellation is X13."""
     b = _minute_bars(spark, sf_dir)
     d = F.col("direction")
-    o = b.select("symbol", "ts", "bid_close", "ask_close", F.explode(F.array(F.lit(1), F.lit(-1))).alias("direction"))
+    o = b.select("exchange", "symbol", "ts", "bid_close", "ask_close", F.explode(F.array(F.lit(1), F.lit(-1))).alias("direction"))
     o = o.select(
-        F.concat("symbol", F.lit("-"), F.unix_timestamp("ts") * 10 + F.when(d > 0, 1).otherwise(0)).alias("id"), "symbol", "ts",
+        F.concat("exchange", F.lit("-"), "symbol", F.lit("-"), F.unix_timestamp("ts") * 10 + F.when(d > 0, 1).otherwise(0)).alias("id"), "exchange", "symbol", "ts",
         (F.col("ts") + F.expr("INTERVAL 6 HOUR")).alias("end"), "direction",
         F.when(d > 0, F.col("bid_close") - F.col("bid_close") * 0.02).otherwise(F.col("ask_close") + F.col("ask_close") * 0.02).alias("limit"),
     )
-    return rounded(exits.limit_fills(o, b, ["symbol"], 0.5))
+    return rounded(exits.limit_fills(o, b, ["exchange", "symbol"], 0.5))
 
 
 @table_query("x15_running_profit", f"WITH {TRIPS} SELECT o_custkey, n, round(sum(profit) OVER (PARTITION BY o_custkey ORDER BY n), 6) + 0.0 AS total FROM t WHERE n % 2 = 0")

@@ -11,13 +11,13 @@ from tickloom.operators import labels, store, trades, windows
 from tickloom.operators.windows import ordered
 from tickloom.plans.registry import query, rounded, table_query
 
-W = "PARTITION BY symbol ORDER BY ts, seq"
+W = "PARTITION BY exchange, symbol ORDER BY ts, seq"
 D = "ORDER BY day"
 
 
 def day_series(d):
     """The daily table as a series."""
-    out = d.select(F.lit("orders").alias("symbol"), F.col("day").cast("timestamp").alias("ts"), F.lit(0).alias("seq"), "day", "volume",
+    out = d.select(F.lit("").alias("exchange"), F.lit("orders").alias("symbol"), F.col("day").cast("timestamp").alias("ts"), F.lit(0).alias("seq"), "day", "volume",
                    *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")])
     return out
 
@@ -114,57 +114,40 @@ def t13(d):
     return rounded(x.select(F.col("day").cast("string").alias("day"), ta.cumulative("s").alias("ad"), ta.cumulative("b").alias("obv")))
 
 
-@query("t14_ema_and_macd", "daily")
-def t14(d):
-    x = day_series(d)
-    for n in (12, 26):
-        x = windows.linear_scan(x, 1 - 2 / (n + 1), F.col("close") * (2 / (n + 1)), f"ema{n}", chunk=F.year("ts"))
-    return rounded(x.select(F.col("day").cast("string").alias("day"), "ema12", "ema26", (F.col("ema12") - F.col("ema26")).alias("macd")))
-
-
-@query("t11_rsi", "daily")
-def t11(d):
-    x = day_series(d).withColumn("d", F.coalesce(F.col("close") - F.lag("close").over(ordered()), F.lit(0.0)))
-    for name, gain in (("up", F.greatest("d", F.lit(0.0))), ("down", F.greatest(-F.col("d"), F.lit(0.0)))):
-        x = windows.linear_scan(x, 13 / 14, gain / 14, name, chunk=F.year("ts"))
-    rsi = 100 * F.col("up") / F.nullif(F.col("up") + F.col("down"), F.lit(0.0))
-    return rounded(x.select(F.col("day").cast("string").alias("day"), rsi.alias("rsi")))
-
-
 # ---- scalars ----------------------------------------------------------------------------------------------
 
 
-@query("p01_measurable", "ticks", """SELECT symbol, ts, seq, side AS tick, round(CAST(side * size AS DOUBLE), 6) AS sym, round(CAST(side * size * price AS DOUBLE), 6) AS usd FROM ticks""")
+@query("p01_measurable", "ticks", """SELECT exchange, symbol, ts, seq, side AS tick, round(CAST(side * size AS DOUBLE), 6) AS sym, round(CAST(side * size * price AS DOUBLE), 6) AS usd FROM ticks""")
 def p01(t):
     flow = F.col("side") * F.col("size")
-    return rounded(t.select("symbol", "ts", "seq", F.col("side").alias("tick"), flow.alias("sym"), (flow * F.col("price")).alias("usd")))
+    return rounded(t.select("exchange", "symbol", "ts", "seq", F.col("side").alias("tick"), flow.alias("sym"), (flow * F.col("price")).alias("usd")))
 
 
-@query("p02_split_sides", "ticks", "SELECT symbol, ts, seq, CAST(CASE WHEN side > 0 THEN size ELSE 0 END AS DOUBLE) AS buy, CAST(CASE WHEN side > 0 THEN 0 ELSE size END AS DOUBLE) AS sell, CAST(side > 0 AS INT) AS is_buy FROM ticks")
+@query("p02_split_sides", "ticks", "SELECT exchange, symbol, ts, seq, CAST(CASE WHEN side > 0 THEN size ELSE 0 END AS DOUBLE) AS buy, CAST(CASE WHEN side > 0 THEN 0 ELSE size END AS DOUBLE) AS sell, CAST(side > 0 AS INT) AS is_buy FROM ticks")
 def p02(t):
     buy = F.col("side") > 0
-    return rounded(t.select("symbol", "ts", "seq", F.when(buy, F.col("size")).otherwise(0).alias("buy"), F.when(buy, 0).otherwise(F.col("size")).alias("sell"), buy.cast("int").alias("is_buy")))
+    return rounded(t.select("exchange", "symbol", "ts", "seq", F.when(buy, F.col("size")).otherwise(0).alias("buy"), F.when(buy, 0).otherwise(F.col("size")).alias("sell"), buy.cast("int").alias("is_buy")))
 
 
-@query("p04_spread_and_mid", "quotes", "SELECT symbol, ts, seq, round_even(CAST((ask - bid) / 0.05 AS DOUBLE), 0) AS ticks_wide, round(CAST((bid + ask) / 2 AS DOUBLE), 6) AS mid FROM quotes")
+@query("p04_spread_and_mid", "quotes", "SELECT exchange, symbol, ts, seq, round_even(CAST((ask - bid) / 0.05 AS DOUBLE), 0) AS ticks_wide, round(CAST((bid + ask) / 2 AS DOUBLE), 6) AS mid FROM quotes")
 def p04(q):
-    return rounded(q.select("symbol", "ts", "seq", F.bround(((F.col("ask") - F.col("bid")) / 0.05).cast("double")).alias("ticks_wide"), ((F.col("bid") + F.col("ask")) / 2).alias("mid")))
+    return rounded(q.select("exchange", "symbol", "ts", "seq", F.bround(((F.col("ask") - F.col("bid")) / 0.05).cast("double")).alias("ticks_wide"), ((F.col("bid") + F.col("ask")) / 2).alias("mid")))
 
 
-@query("p07_min_max_scale", "ticks", "SELECT symbol, ts, seq, round((p - mn) / nullif(mx - mn, 0), 6) AS x, CAST(trunc((p - mn) / nullif(mx - mn, 0) * 1000) AS BIGINT) AS code FROM (SELECT *, CAST(price AS DOUBLE) AS p FROM ticks), (SELECT CAST(min(price) AS DOUBLE) AS mn, CAST(max(price) AS DOUBLE) AS mx FROM ticks)")
+@query("p07_min_max_scale", "ticks", "SELECT exchange, symbol, ts, seq, round((p - mn) / nullif(mx - mn, 0), 6) AS x, CAST(trunc((p - mn) / nullif(mx - mn, 0) * 1000) AS BIGINT) AS code FROM (SELECT *, CAST(price AS DOUBLE) AS p FROM ticks), (SELECT CAST(min(price) AS DOUBLE) AS mn, CAST(max(price) AS DOUBLE) AS mx FROM ticks)")
 def p07(t):
     b = t.agg(F.min("price").cast("double").alias("mn"), F.max("price").cast("double").alias("mx"))
     x = (F.col("price").cast("double") - F.col("mn")) / F.nullif(F.col("mx") - F.col("mn"), F.lit(0.0))
-    return rounded(t.join(F.broadcast(b)).select("symbol", "ts", "seq", x.alias("x"), (x * 1000).cast("long").alias("code")))
+    return rounded(t.join(F.broadcast(b)).select("exchange", "symbol", "ts", "seq", x.alias("x"), (x * 1000).cast("long").alias("code")))
 
 
 @query("p09_equal_width_bins", "ticks", """WITH b AS (SELECT CAST(min(price) AS DOUBLE) AS mn, CAST(max(price) AS DOUBLE) AS mx FROM ticks)
-SELECT symbol, ts, seq, len(list_filter(range(0, 21), lambda i: mn + i * ((mx - mn) / 20.1) < CAST(price AS DOUBLE))) AS code FROM ticks, b""")
+SELECT exchange, symbol, ts, seq, len(list_filter(range(0, 21), lambda i: mn + i * ((mx - mn) / 20.1) < CAST(price AS DOUBLE))) AS code FROM ticks, b""")
 def p09(t):
     b = t.agg(F.min("price").cast("double").alias("mn"), F.max("price").cast("double").alias("mx"))
     edges = b.select(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.col("mn") + i * ((F.col("mx") - F.col("mn")) / 20.1)).alias("edges"))
     code = F.size(F.filter("edges", lambda e: e < F.col("price").cast("double")))
-    return t.join(F.broadcast(edges)).select("symbol", "ts", "seq", code.cast("long").alias("code"))
+    return t.join(F.broadcast(edges)).select("exchange", "symbol", "ts", "seq", code.cast("long").alias("code"))
 
 
 @query("p13_pair_features", "daily", f"WITH {DAYS} SELECT {DAY}, round(o - c, 6) + 0.0 AS open_close, round(h - l, 6) AS high_low, CASE WHEN o > c THEN 1 WHEN o < c THEN -1 ELSE 0 END AS open_gt_close FROM a")
@@ -174,70 +157,70 @@ def p13(d):
     return rounded(x.select(F.col("day").cast("string").alias("day"), (F.col("open") - F.col("close")).alias("open_close"), (F.col("high") - F.col("low")).alias("high_low"), sign.alias("open_gt_close")))
 
 
-@query("p14_round_to_multiple", "ticks", "SELECT symbol, ts, seq, floor(CAST(price AS DOUBLE) / 0.25 + 0.5) * 0.25 AS x FROM ticks")
+@query("p14_round_to_multiple", "ticks", "SELECT exchange, symbol, ts, seq, floor(CAST(price AS DOUBLE) / 0.25 + 0.5) * 0.25 AS x FROM ticks")
 def p14(t):
-    return rounded(t.select("symbol", "ts", "seq", (F.floor(F.col("price").cast("double") / 0.25 + 0.5) * 0.25).alias("x")))
+    return rounded(t.select("exchange", "symbol", "ts", "seq", (F.floor(F.col("price").cast("double") / 0.25 + 0.5) * 0.25).alias("x")))
 
 
-@query("p19_three_classes", "ticks", f"""SELECT symbol, ts, seq, CASE WHEN x < -0.1 THEN 0 WHEN x > 0.1 THEN 2 ELSE 1 END AS label FROM (SELECT *, CAST(lead(price) OVER ({W}) AS DOUBLE) / CAST(price AS DOUBLE) - 1 AS x FROM ticks) WHERE x IS NOT NULL""")
+@query("p19_three_classes", "ticks", f"""SELECT exchange, symbol, ts, seq, CASE WHEN x < -0.1 THEN 0 WHEN x > 0.1 THEN 2 ELSE 1 END AS label FROM (SELECT *, CAST(lead(price) OVER ({W}) AS DOUBLE) / CAST(price AS DOUBLE) - 1 AS x FROM ticks) WHERE x IS NOT NULL""")
 def p19(t):
     x = t.withColumn("x", F.lead("price").over(ordered()).cast("double") / F.col("price").cast("double") - 1).where("x IS NOT NULL")
-    return x.select("symbol", "ts", "seq", F.when(F.col("x") < -0.1, 0).when(F.col("x") > 0.1, 2).otherwise(1).alias("label"))
+    return x.select("exchange", "symbol", "ts", "seq", F.when(F.col("x") < -0.1, 0).when(F.col("x") > 0.1, 2).otherwise(1).alias("label"))
 
 
-@query("p22_weekday_elapsed", "ticks", f"SELECT symbol, ts, seq, CAST(isodow(ts) - 1 AS INT) AS weekday, epoch_us(ts) - epoch_us(first_value(ts) OVER ({W})) AS elapsed_us FROM ticks")
+@query("p22_weekday_elapsed", "ticks", f"SELECT exchange, symbol, ts, seq, CAST(isodow(ts) - 1 AS INT) AS weekday, epoch_us(ts) - epoch_us(first_value(ts) OVER ({W})) AS elapsed_us FROM ticks")
 def p22(t):
-    return t.select("symbol", "ts", "seq", F.weekday("ts").alias("weekday"), (F.unix_micros("ts") - F.unix_micros(F.first("ts").over(ordered()))).alias("elapsed_us"))
+    return t.select("exchange", "symbol", "ts", "seq", F.weekday("ts").alias("weekday"), (F.unix_micros("ts") - F.unix_micros(F.first("ts").over(ordered()))).alias("elapsed_us"))
 
 
 # ---- labels, splits, evaluation ---------------------------------------------------------------------------
 
 
-@query("l01_triple_barrier", "ticks", f"""WITH a AS (SELECT symbol, ts, seq, CAST(price AS DOUBLE) AS p0, list(CAST(price AS DOUBLE)) OVER ({W} ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) AS ps FROM ticks),
-f AS (SELECT symbol, ts, seq, coalesce(list_position(list_transform(ps[2:11], lambda x: x / p0 >= 1 + 0.2 * 1.5), true), 11) AS lt, coalesce(list_position(list_transform(ps[2:11], lambda x: x / p0 <= 1 - 0.2 * 1.0), true), 11) AS ls,
+@query("l01_triple_barrier", "ticks", f"""WITH a AS (SELECT exchange, symbol, ts, seq, CAST(price AS DOUBLE) AS p0, list(CAST(price AS DOUBLE)) OVER ({W} ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) AS ps FROM ticks),
+f AS (SELECT exchange, symbol, ts, seq, coalesce(list_position(list_transform(ps[2:11], lambda x: x / p0 >= 1 + 0.2 * 1.5), true), 11) AS lt, coalesce(list_position(list_transform(ps[2:11], lambda x: x / p0 <= 1 - 0.2 * 1.0), true), 11) AS ls,
 coalesce(list_position(list_transform(ps[2:11], lambda x: x / p0 <= 1 - 0.2 * 1.5), true), 11) AS st, coalesce(list_position(list_transform(ps[2:11], lambda x: x / p0 >= 1 + 0.2 * 1.0), true), 11) AS ss FROM a WHERE len(ps) = 11)
-SELECT symbol, ts, seq, CASE WHEN st < ss AND st < lt THEN -1 WHEN lt < ls AND lt < st THEN 1 ELSE 0 END AS label FROM f""".replace("coalesce(list_position", "coalesce(nullif(list_position").replace(", true), 11)", ", true), 0), 11)"))
+SELECT exchange, symbol, ts, seq, CASE WHEN st < ss AND st < lt THEN -1 WHEN lt < ls AND lt < st THEN 1 ELSE 0 END AS label FROM f""".replace("coalesce(list_position", "coalesce(nullif(list_position").replace(", true), 11)", ", true), 0), 11)"))
 def l01(t):
-    x = t.select("symbol", "ts", "seq", F.col("price").cast("double").alias("p"), F.lit(0.2).alias("v"))
-    return labels.triple_barrier(x, "p", "v", 10, 1.5, 1.0).select("symbol", "ts", "seq", "label")
+    x = t.select("exchange", "symbol", "ts", "seq", F.col("price").cast("double").alias("p"), F.lit(0.2).alias("v"))
+    return labels.triple_barrier(x, "p", "v", 10, 1.5, 1.0).select("exchange", "symbol", "ts", "seq", "label")
 
 
-@query("l02_label_changes", "ticks", f"SELECT symbol, ts, seq, side FROM (SELECT *, coalesce(lag(side) OVER ({W}), 0) AS b FROM ticks) WHERE side <> b")
+@query("l02_label_changes", "ticks", f"SELECT exchange, symbol, ts, seq, side FROM (SELECT *, coalesce(lag(side) OVER ({W}), 0) AS b FROM ticks) WHERE side <> b")
 def l02(t):
-    return labels.changes(t, "side").select("symbol", "ts", "seq", "side")
+    return labels.changes(t, "side").select("exchange", "symbol", "ts", "seq", "side")
 
 
 @query("l03_decayed_return", "ticks", f"""WITH a AS (SELECT *, (CAST(price AS DOUBLE) - lag(CAST(price AS DOUBLE)) OVER ({W})) / CAST(price AS DOUBLE) / 100 AS ret FROM ticks)
-SELECT symbol, ts, seq, CASE WHEN len(rs) = 4 THEN round((1 + rs[1]) * (1 + rs[2] * power(1 - 2 / 5.0, 1)) * (1 + rs[3] * power(1 - 2 / 5.0, 2)) * (1 + rs[4] * power(1 - 2 / 5.0, 3)), 6) END AS forward
+SELECT exchange, symbol, ts, seq, CASE WHEN len(rs) = 4 THEN round((1 + rs[1]) * (1 + rs[2] * power(1 - 2 / 5.0, 1)) * (1 + rs[3] * power(1 - 2 / 5.0, 2)) * (1 + rs[4] * power(1 - 2 / 5.0, 3)), 6) END AS forward
 FROM (SELECT *, list(ret) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS rs FROM a)""")
 def l03(t):
     p = F.col("price").cast("double")
     x = t.withColumn("ret", (p - F.lag(p).over(ordered())) / p / 100)
-    return rounded(x.select("symbol", "ts", "seq", labels.decayed_return("ret", 4).alias("forward")))
+    return rounded(x.select("exchange", "symbol", "ts", "seq", labels.decayed_return("ret", 4).alias("forward")))
 
 
-@query("l05_event_sample", "ticks", """WITH s AS (SELECT symbol, stddev_samp(CAST(price AS DOUBLE) - 100) AS sd FROM ticks GROUP BY symbol),
-h AS (SELECT t.symbol, ts, seq FROM ticks t JOIN s USING (symbol) WHERE abs(CAST(price AS DOUBLE) - 100) >= 2 * sd)
-SELECT * FROM h WHERE symbol IN (SELECT symbol FROM h GROUP BY symbol HAVING count(*) <= 100000)""")
+@query("l05_event_sample", "ticks", """WITH s AS (SELECT exchange, symbol, stddev_samp(CAST(price AS DOUBLE) - 100) AS sd FROM ticks GROUP BY exchange, symbol),
+h AS (SELECT t.exchange, t.symbol, ts, seq FROM ticks t JOIN s USING (exchange, symbol) WHERE abs(CAST(price AS DOUBLE) - 100) >= 2 * sd)
+SELECT * FROM h WHERE (exchange, symbol) IN (SELECT (exchange, symbol) FROM h GROUP BY exchange, symbol HAVING count(*) <= 100000)""")
 def l05(t):
-    return labels.event_sample(t.withColumn("x", F.col("price").cast("double") - 100), "x", 2.0, 100_000).select("symbol", "ts", "seq")
+    return labels.event_sample(t.withColumn("x", F.col("price").cast("double") - 100), "x", 2.0, 100_000).select("exchange", "symbol", "ts", "seq")
 
 
-@query("l08_class_weights", "ticks", "SELECT symbol, ts, seq, round(CASE WHEN c = 0 THEN 0.5 ELSE 0.25 END / count(*) OVER (PARTITION BY c), 9) AS weight FROM (SELECT *, seq % 3 - 1 AS c FROM ticks)")
+@query("l08_class_weights", "ticks", "SELECT exchange, symbol, ts, seq, round(CASE WHEN c = 0 THEN 0.5 ELSE 0.25 END / count(*) OVER (PARTITION BY c), 9) AS weight FROM (SELECT *, seq % 3 - 1 AS c FROM ticks)")
 def l08(t):
     x = labels.class_weights(t.withColumn("c", F.col("seq") % 3 - 1), "c")
-    return x.select("symbol", "ts", "seq", F.round("weight", 9).alias("weight"))
+    return x.select("exchange", "symbol", "ts", "seq", F.round("weight", 9).alias("weight"))
 
 
-@query("l10_holdout", "ticks", f"SELECT symbol, ts, seq, i >= n - CAST(floor(n * 0.3) AS BIGINT) AS held_out FROM (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ticks)")
+@query("l10_holdout", "ticks", f"SELECT exchange, symbol, ts, seq, i >= n - CAST(floor(n * 0.3) AS BIGINT) AS held_out FROM (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY exchange, symbol) AS n FROM ticks)")
 def l10(t):
-    return labels.holdout(t).select("symbol", "ts", "seq", "held_out")
+    return labels.holdout(t).select("exchange", "symbol", "ts", "seq", "held_out")
 
 
-@query("l11_purged_folds", "ticks", f"""WITH x AS (SELECT symbol, row_number() OVER ({W}) - 1 AS ix, count(*) OVER (PARTITION BY symbol) AS n FROM ticks),
+@query("l11_purged_folds", "ticks", f"""WITH x AS (SELECT exchange, symbol, row_number() OVER ({W}) - 1 AS ix, count(*) OVER (PARTITION BY exchange, symbol) AS n FROM ticks),
 f AS (SELECT *, fold * (n // 5) + least(fold, n % 5) AS b FROM x, (SELECT unnest(range(0, 5)) AS fold)),
 g AS (SELECT *, b + n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS e, CASE WHEN fold > 0 AND fold < 4 THEN 251 ELSE 250 END AS before FROM f)
-SELECT symbol, ix, CAST(fold AS INT) AS fold, CASE WHEN ix >= b AND ix < e THEN 'test' WHEN ix < b AND ix >= b - before THEN 'purged' WHEN ix >= e AND ix < e + 250 THEN 'purged' ELSE 'train' END AS role FROM g""")
+SELECT exchange, symbol, ix, CAST(fold AS INT) AS fold, CASE WHEN ix >= b AND ix < e THEN 'test' WHEN ix < b AND ix >= b - before THEN 'purged' WHEN ix >= e AND ix < e + 250 THEN 'purged' ELSE 'train' END AS role FROM g""")
 def l11(t):
     return labels.purged_folds(t, 5, 250)
 
@@ -305,66 +288,61 @@ def x16(spark, sf_dir):
     return h.select("o_custkey", "n", (F.round("cash", 6) + 0.0).alias("cash"), "holding", (F.round("value", 6) + 0.0).alias("value"))
 
 
-@table_query("x18_position_sizes")
-def x18(spark, sf_dir):
-    return trades.position_sizes(ledger(spark, sf_dir), "o_custkey", "n", "direction", "timing")
-
-
-@query("x19_opportunity", "ticks", f"SELECT symbol, ts, seq, round(CAST(max(price) OVER w - price AS DOUBLE), 6) + 0.0 AS to_high, round(CAST(price - min(price) OVER w AS DOUBLE), 6) + 0.0 AS to_low FROM ticks WINDOW w AS ({W} ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)")
+@query("x19_opportunity", "ticks", f"SELECT exchange, symbol, ts, seq, round(CAST(max(price) OVER w - price AS DOUBLE), 6) + 0.0 AS to_high, round(CAST(price - min(price) OVER w AS DOUBLE), 6) + 0.0 AS to_low FROM ticks WINDOW w AS ({W} ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)")
 def x19(t):
-    return rounded(trades.opportunity(t, "price", 50).select("symbol", "ts", "seq", "to_high", "to_low"))
+    return rounded(windows.near(t, lambda d, s: trades.opportunity(d, "price", 50, s), 50).select("exchange", "symbol", "ts", "seq", "to_high", "to_low"))
 
 
-@query("x21_best_threshold", "ticks", """WITH c AS (SELECT *, sum(side * size) OVER (PARTITION BY symbol ORDER BY price DESC, seq) AS c FROM ticks)
-SELECT symbol, CAST(arg_max(price, (c, -seq)) AS DOUBLE) AS threshold, CAST(max(c) AS DOUBLE) AS total FROM c GROUP BY symbol""")
+@query("x21_best_threshold", "ticks", """WITH c AS (SELECT *, sum(side * size) OVER (PARTITION BY exchange, symbol ORDER BY price DESC, seq) AS c FROM ticks)
+SELECT exchange, symbol, CAST(arg_max(price, (c, -seq)) AS DOUBLE) AS threshold, CAST(max(c) AS DOUBLE) AS total FROM c GROUP BY exchange, symbol""")
 def x21(t):
-    return rounded(trades.best_threshold(t.withColumn("pnl", F.col("side") * F.col("size")), "price", "pnl", "symbol"))
+    return rounded(trades.best_threshold(t.withColumn("pnl", F.col("side") * F.col("size")), "price", "pnl", ["exchange", "symbol"]))
 
 
 # ---- store, sets, arrays ----------------------------------------------------------------------------------
 
 
 def hourly(t):
-    h = t.groupBy("symbol", "side", F.date_trunc("hour", "ts").alias("ts")).agg(F.sum("size").cast("double").alias("value"))
-    tags = F.create_map(F.lit("measurement"), F.lit("bars"), F.lit("asset"), F.col("symbol"), F.lit("side"), F.col("side").cast("string"))
+    h = t.groupBy("exchange", "symbol", "side", F.date_trunc("hour", "ts").alias("ts")).agg(F.sum("size").cast("double").alias("value"))
+    tags = F.create_map(F.lit("measurement"), F.lit("bars"), F.lit("asset"), F.col("symbol"), F.lit("exchange"), F.col("exchange"), F.lit("side"), F.col("side").cast("string"))
     return h.select("ts", "value", tags.alias("tags"))
 
 
-HOURLY = "h AS (SELECT symbol, CAST(side AS VARCHAR) AS side, date_trunc('hour', ts) AS ts, CAST(sum(size) AS DOUBLE) AS value FROM ticks GROUP BY ALL)"
+HOURLY = "h AS (SELECT exchange, symbol, CAST(side AS VARCHAR) AS side, date_trunc('hour', ts) AS ts, CAST(sum(size) AS DOUBLE) AS value FROM ticks GROUP BY ALL)"
 
 
-@query("s18_tag_query", "ticks", f"""WITH {HOURLY} SELECT ts, max(value) FILTER (symbol = 'S0') AS "S0", max(value) FILTER (symbol = 'S1') AS "S1", max(value) FILTER (symbol = 'S2') AS "S2", max(value) FILTER (symbol = 'S3') AS "S3", max(value) FILTER (symbol = 'S4') AS "S4" FROM h WHERE side = '1' GROUP BY ts""")
+@query("s18_tag_query", "ticks", f"""WITH {HOURLY} SELECT ts, max(value) FILTER (symbol = 'S0') AS "S0", max(value) FILTER (symbol = 'S1') AS "S1", max(value) FILTER (symbol = 'S2') AS "S2", max(value) FILTER (symbol = 'S3') AS "S3", max(value) FILTER (symbol = 'S4') AS "S4" FROM h WHERE side = '1' AND exchange = 'X' GROUP BY ts""")
 def s18(t):
-    found = store.matching(hourly(t), {"measurement": "bars", "side": "1"})
+    found = store.matching(hourly(t), {"measurement": "bars", "exchange": "X", "side": "1"})
     named = found.withColumn("a", F.col("tags")["asset"])
     return named.groupBy("ts").pivot("a", [f"S{i}" for i in range(5)]).agg(F.first("value"))
 
 
-@query("s19_column_names", "ticks", f"""WITH {HOURLY} SELECT DISTINCT symbol || '-bars-' || side AS name, md5('{{"asset":"' || symbol || '","measurement":"bars","side":"' || side || '"}}') AS id FROM h""")
+@query("s19_column_names", "ticks", f"""WITH {HOURLY} SELECT DISTINCT symbol || '-' || exchange || '-bars-' || side AS name, md5('{{"asset":"' || symbol || '","exchange":"' || exchange || '","measurement":"bars","side":"' || side || '"}}') AS id FROM h""")
 def s19(t):
     return hourly(t).select(store.column_name("tags", ["asset"]).alias("name"), store.series_id().alias("id")).distinct()
 
 
-@query("s21_upsert", "ticks", f"""SELECT symbol, ts, seq, round(CAST(price + CASE WHEN seq % 4 = 0 THEN 1 ELSE 0 END AS DOUBLE), 6) AS price FROM ticks""")
+@query("s21_upsert", "ticks", f"""SELECT exchange, symbol, ts, seq, round(CAST(price + CASE WHEN seq % 4 = 0 THEN 1 ELSE 0 END AS DOUBLE), 6) AS price FROM ticks""")
 def s21(t):
-    rows = t.select("symbol", "ts", "seq", "price")
+    rows = t.select("exchange", "symbol", "ts", "seq", "price")
     new = rows.where("seq % 4 = 0").withColumn("price", (F.col("price") + 1).cast("decimal(18,2)"))
-    return rounded(store.upsert(rows, new, ["symbol", "ts", "seq"]))
+    return rounded(store.upsert(rows, new, ["exchange", "symbol", "ts", "seq"]))
 
 
-@query("s23_window_aggregate", "ticks", f"""WITH {HOURLY} SELECT md5('{{"asset":"' || symbol || '","measurement":"bars","side":"' || side || '"}}') AS id, date_trunc('day', ts) AS ts, sum(value) AS value FROM h GROUP BY ALL""")
+@query("s23_window_aggregate", "ticks", f"""WITH {HOURLY} SELECT md5('{{"asset":"' || symbol || '","exchange":"' || exchange || '","measurement":"bars","side":"' || side || '"}}') AS id, date_trunc('day', ts) AS ts, sum(value) AS value FROM h GROUP BY ALL""")
 def s23(t):
     return store.window_aggregate(hourly(t), "1 day", F.sum)
 
 
-@query("s36_lifetimes", "ticks", "SELECT symbol, min(ts) AS first, max(ts) AS last, count(*) AS n FROM ticks GROUP BY symbol")
+@query("s36_lifetimes", "ticks", "SELECT exchange, symbol, min(ts) AS first, max(ts) AS last, count(*) AS n FROM ticks GROUP BY exchange, symbol")
 def s36(t):
-    return t.groupBy("symbol").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
+    return t.groupBy("exchange", "symbol").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-@query("o03_latest_per_key", "ticks", "SELECT symbol, max(seq) AS seq, round(CAST(arg_max(price, seq) AS DOUBLE), 6) AS price FROM ticks GROUP BY symbol")
+@query("o03_latest_per_key", "ticks", "SELECT exchange, symbol, max(seq) AS seq, round(CAST(arg_max(price, seq) AS DOUBLE), 6) AS price FROM ticks GROUP BY exchange, symbol")
 def o03(t):
-    return rounded(t.groupBy("symbol").agg(F.max("seq").alias("seq"), F.max_by("price", "seq").alias("price")))
+    return rounded(t.groupBy("exchange", "symbol").agg(F.max("seq").alias("seq"), F.max_by("price", "seq").alias("price")))
 
 
 @query("o05_set_operations", "ticks", """(SELECT seq % 1000 AS k FROM ticks WHERE symbol = 'S0' INTERSECT SELECT seq % 1000 FROM ticks WHERE side > 0) EXCEPT SELECT seq % 1000 FROM ticks WHERE price > 550""")

@@ -10,26 +10,26 @@ from tickloom.operators.windows import ordered
 from tickloom.plans.features import DAY, DAYS, D, day_series
 from tickloom.plans.registry import query, rounded, table_query
 
-W = "PARTITION BY symbol ORDER BY ts, seq"
+W = "PARTITION BY exchange, symbol ORDER BY ts, seq"
 P = "CAST(price AS DOUBLE)"
-HOURS = f"h AS (SELECT symbol, date_trunc('hour', ts) AS ts, arg_max({P}, (ts, seq)) AS close FROM ticks GROUP BY 1, 2)"
+HOURS = f"h AS (SELECT exchange, symbol, date_trunc('hour', ts) AS ts, arg_max({P}, (ts, seq)) AS close FROM ticks GROUP BY 1, 2, 3)"
 
 
 def hours(t):
-    return bars.time_bars(t, "1 hour").select("symbol", "ts", F.col("close").cast("double").alias("close"))
+    return bars.time_bars(t, "1 hour").select("exchange", "symbol", "ts", F.col("close").cast("double").alias("close"))
 
 
-@query("g18_summaries", "ticks", f"""WITH {HOURS}, s AS (SELECT *, row_number() OVER w AS i, coalesce(close - lag(close) OVER w, 0.0) AS d FROM h WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-r AS (SELECT symbol, count(*) AS n, arg_min(close, i) AS a, arg_max(close, i) AS z, corr(close, i) AS k, avg(d) AS m, stddev_pop(d) AS sd, avg(least(d, 0)) AS lm, stddev_pop(least(d, 0)) AS ls FROM s GROUP BY symbol)
-SELECT symbol, n, CAST(0 AS BIGINT) AS leading_nulls, round((z - a) / a, 6) + 0.0 AS "return", round(k * k, 6) AS r2, round(m / sd * sqrt(n), 6) + 0.0 AS sharpe, round(lm / ls * sqrt(n), 6) + 0.0 AS sortino FROM r""")
+@query("g18_summaries", "ticks", f"""WITH {HOURS}, s AS (SELECT *, row_number() OVER w AS i, coalesce(close - lag(close) OVER w, 0.0) AS d FROM h WINDOW w AS (PARTITION BY exchange, symbol ORDER BY ts)),
+r AS (SELECT exchange, symbol, count(*) AS n, arg_min(close, i) AS a, arg_max(close, i) AS z, corr(close, i) AS k, avg(d) AS m, stddev_pop(d) AS sd, avg(least(d, 0)) AS lm, stddev_pop(least(d, 0)) AS ls FROM s GROUP BY exchange, symbol)
+SELECT exchange, symbol, n, CAST(0 AS BIGINT) AS leading_nulls, round((z - a) / a, 6) + 0.0 AS "return", round(k * k, 6) AS r2, round(m / sd * sqrt(n), 6) + 0.0 AS sharpe, round(lm / ls * sqrt(n), 6) + 0.0 AS sortino FROM r""")
 def g18(t):
-    return rounded(selection.summaries(hours(t), "close", ["symbol"], ["ts"]))
+    return rounded(selection.summaries(hours(t), "close", ["exchange", "symbol"], ["ts"]))
 
 
-@query("g19_screen", "ticks", f"SELECT symbol, ts, seq, {P} AS price, CAST(size AS DOUBLE) AS size FROM (SELECT *, row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY price DESC, seq DESC) AS r FROM ticks) WHERE r = 1 AND size >= 3 AND price > 150")
+@query("g19_screen", "ticks", f"SELECT exchange, symbol, ts, seq, {P} AS price, CAST(size AS DOUBLE) AS size FROM (SELECT *, row_number() OVER (PARTITION BY exchange, symbol, CAST(ts AS DATE) ORDER BY price DESC, seq DESC) AS r FROM ticks) WHERE r = 1 AND size >= 3 AND price > 150")
 def g19(t):
     """The best tick of each symbol's day, where it is large and dear."""
-    x = t.select(F.concat_ws("|", "symbol", F.to_date("ts")).alias("key"), "symbol", "ts", "seq", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"))
+    x = t.select(F.concat_ws("|", "exchange", "symbol", F.to_date("ts")).alias("key"), "exchange", "symbol", "ts", "seq", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"))
     return selection.best_per_key(x, "key", [F.col("price"), F.col("seq")], (F.col("size") >= 3) & (F.col("price") > 150)).drop("key")
 
 
@@ -44,14 +44,15 @@ def g21(spark, sf_dir):
     return selection.joint_percentile(u, ["a", "b"], 5)
 
 
-@query("g25_pairs", "ticks", f"""WITH {HOURS}, j AS (SELECT x.ts, x.close AS a, y.close AS b FROM h x JOIN h y USING (ts) WHERE x.symbol = 'S0' AND y.symbol = 'S1'),
-l AS (SELECT corr(a, b) AS corr, regr_slope(a, b) AS beta, regr_intercept(a, b) AS alpha FROM j), r AS (SELECT ts, a - alpha - beta * b AS r FROM j, l),
-d AS (SELECT r - lag(r) OVER (ORDER BY ts) AS c, lag(r) OVER (ORDER BY ts) AS b FROM r), s AS (SELECT regr_slope(c, b) AS slope, regr_sxx(c, b) AS sxx, regr_syy(c, b) AS syy, regr_count(c, b) AS n FROM d)
-SELECT round(corr, 6) + 0.0 AS corr, round(alpha, 4) + 0.0 AS alpha, round(beta, 6) + 0.0 AS beta, round(slope / sqrt((syy - slope * slope * sxx) / (n - 2) / sxx), 5) + 0.0 AS t, slope / sqrt((syy - slope * slope * sxx) / (n - 2) / sxx) <= -3.34 AS stationary FROM l, s""")
+@query("g25_pairs", "ticks", f"""WITH {HOURS}, j AS (SELECT x.exchange, x.symbol AS s, y.symbol AS z, x.ts, x.close AS a, y.close AS b FROM h x JOIN h y ON x.exchange = y.exchange AND x.ts = y.ts AND x.symbol < y.symbol),
+l AS (SELECT exchange, s, z, corr(a, b) AS corr, regr_slope(a, b) AS beta, regr_intercept(a, b) AS alpha FROM j GROUP BY exchange, s, z HAVING count(*) > 9), r AS (SELECT exchange, s, z, ts, a - alpha - beta * b AS r FROM j JOIN l USING (exchange, s, z)),
+d AS (SELECT exchange, s, z, r - lag(r) OVER w AS c, lag(r) OVER w AS b FROM r WINDOW w AS (PARTITION BY exchange, s, z ORDER BY ts)), k AS (SELECT exchange, s, z, regr_slope(c, b) AS slope, regr_sxx(c, b) AS sxx, regr_syy(c, b) AS syy, regr_count(c, b) AS n FROM d GROUP BY exchange, s, z)
+SELECT exchange, s AS a, z AS b, round(corr, 6) + 0.0 AS corr, round(alpha, 4) + 0.0 AS alpha, round(beta, 6) + 0.0 AS beta, round(slope / sqrt((syy - slope * slope * sxx) / (n - 2) / sxx), 5) + 0.0 AS t, slope / sqrt((syy - slope * slope * sxx) / (n - 2) / sxx) <= -3.34 AS stationary FROM l JOIN k USING (exchange, s, z)""")
 def g25(t):
-    h = hours(t)
-    pair = h.where("symbol = 'S0'").select("ts", F.col("close").alias("a")).join(h.where("symbol = 'S1'").select("ts", F.col("close").alias("b")), "ts")
-    out = selection.cointegration(pair, "a", "b", ["ts"])
+    """Every two symbols of an exchange that share ten hours or more."""
+    pairs = selection.pairs_of(hours(t), ["exchange", "ts"], "symbol", "close")
+    enough = pairs.groupBy("exchange", "a", "b").count().where("count > 9").drop("count")
+    out = selection.cointegration(pairs.join(enough, ["exchange", "a", "b"]), "x", "y", ["exchange", "a", "b"], ["ts"])
     return rounded(out.withColumns({"t": F.round("t", 5), "alpha": F.round("alpha", 4)}))
 
 
@@ -77,39 +78,39 @@ def l23(spark, sf_dir):
     return rounded(selection.mean_importance(scores(spark, sf_dir), "model", "feature", "score", 0.8))
 
 
-@query("l13_chunk_order", "ticks", f"""WITH a AS (SELECT symbol, ts, seq, row_number() OVER ({W}) - 1 AS ix, count(*) OVER (PARTITION BY symbol) AS n FROM ticks),
+@query("l13_chunk_order", "ticks", f"""WITH a AS (SELECT exchange, symbol, ts, seq, row_number() OVER ({W}) - 1 AS ix, count(*) OVER (PARTITION BY exchange, symbol) AS n FROM ticks),
 c AS (SELECT *, CASE WHEN ix < (n % 25) * (n // 25 + 1) THEN ix // (n // 25 + 1) ELSE n % 25 + (ix - (n % 25) * (n // 25 + 1)) // (n // 25) END AS chunk FROM a), p AS (SELECT *, chunk // 5 + 5 * (chunk % 5) AS place FROM c)
-SELECT symbol, seq, ix, chunk, place, row_number() OVER (PARTITION BY symbol ORDER BY place, ix) - 1 AS new_ix FROM p""")
+SELECT exchange, symbol, seq, ix, chunk, place, row_number() OVER (PARTITION BY exchange, symbol ORDER BY place, ix) - 1 AS new_ix FROM p""")
 def l13(t):
-    return selection.chunk_order(t, 5).select("symbol", "seq", "ix", "chunk", "place", "new_ix")
+    return selection.chunk_order(t, 5).select("exchange", "symbol", "seq", "ix", "chunk", "place", "new_ix")
 
 
-@query("l22_confident_signals", "ticks", f"""WITH a AS (SELECT symbol, seq, size, {P} / 500 AS p, lead({P}) OVER ({W}) / {P} - 1 AS r FROM ticks), q AS (SELECT symbol, quantile_cont(p, 0.9) AS q FROM a GROUP BY symbol)
-SELECT symbol, count(*) FILTER (p >= 0.5) AS signals, round(avg(r) FILTER (p >= 0.5), 6) + 0.0 AS "return", round(q, 6) AS top, round(avg(r) FILTER (p >= q), 6) + 0.0 AS top_return FROM a JOIN q USING (symbol) GROUP BY symbol, q""")
+@query("l22_confident_signals", "ticks", f"""WITH a AS (SELECT exchange, symbol, seq, size, {P} / 500 AS p, lead({P}) OVER ({W}) / {P} - 1 AS r FROM ticks), q AS (SELECT exchange, symbol, quantile_cont(p, 0.9) AS q FROM a GROUP BY exchange, symbol)
+SELECT exchange, symbol, count(*) FILTER (p >= 0.5) AS signals, round(avg(r) FILTER (p >= 0.5), 6) + 0.0 AS "return", round(q, 6) AS top, round(avg(r) FILTER (p >= q), 6) + 0.0 AS top_return FROM a JOIN q USING (exchange, symbol) GROUP BY exchange, symbol, q""")
 def l22(t):
     """Returns after signals over a probability, and after the most confident tenth of each symbol."""
     price = F.col("price").cast("double")
-    a = t.select("symbol", (price / 500).alias("p"), (F.lead(price).over(ordered()) / price - 1).alias("r"))
-    q = a.groupBy("symbol").agg(F.percentile("p", 0.9).alias("top"))
-    g = a.join(F.broadcast(q), "symbol").groupBy("symbol", "top").agg(F.count_if(F.col("p") >= 0.5).alias("signals"), F.avg(F.when(F.col("p") >= 0.5, F.col("r"))).alias("return"), F.avg(F.when(F.col("p") >= F.col("top"), F.col("r"))).alias("top_return"))
+    a = t.select("exchange", "symbol", (price / 500).alias("p"), (F.lead(price).over(ordered()) / price - 1).alias("r"))
+    q = a.groupBy("exchange", "symbol").agg(F.percentile("p", 0.9).alias("top"))
+    g = a.join(q, ["exchange", "symbol"]).groupBy("exchange", "symbol", "top").agg(F.count_if(F.col("p") >= 0.5).alias("signals"), F.avg(F.when(F.col("p") >= 0.5, F.col("r"))).alias("return"), F.avg(F.when(F.col("p") >= F.col("top"), F.col("r"))).alias("top_return"))
     return rounded(g)
 
 
-@query("p11_cut_where_many", "ticks", f"""WITH b AS (SELECT min({P}) AS a, max({P}) AS z FROM ticks) SELECT symbol, ts, seq, CAST(greatest(least(ceil(({P} - a) * 10 / (z - a)) - 1, 9), 0) AS DOUBLE) AS price, CAST(size AS DOUBLE) AS size FROM ticks, b""")
+@query("p11_cut_where_many", "ticks", f"""WITH b AS (SELECT min({P}) AS a, max({P}) AS z FROM ticks) SELECT exchange, symbol, ts, seq, CAST(greatest(least(ceil(({P} - a) * 10 / (z - a)) - 1, 9), 0) AS DOUBLE) AS price, CAST(size AS DOUBLE) AS size FROM ticks, b""")
 def p11(t):
-    x = t.select("symbol", "ts", "seq", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"))
+    x = t.select("exchange", "symbol", "ts", "seq", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"))
     return selection.cut_where_many(x, ["price", "size"], 20, 10)
 
 
-@query("p16_precision_and_scale", "ticks", f"""WITH a AS (SELECT symbol, ts, seq, {P} AS x FROM ticks), m AS (SELECT *, length(CAST(CAST(floor(x) AS BIGINT) AS VARCHAR)) AS m FROM a),
-s AS (SELECT *, length(rtrim(CAST(CAST(power(10.0, 14 - m) + floor(power(10.0, 14 - m) * (x - floor(x)) + 0.5) AS BIGINT) AS VARCHAR), '0')) - 1 AS s FROM m) SELECT symbol, ts, seq, CAST(m + s AS INT) AS "precision", CAST(s AS INT) AS scale FROM s""")
+@query("p16_precision_and_scale", "ticks", f"""WITH a AS (SELECT exchange, symbol, ts, seq, {P} AS x FROM ticks), m AS (SELECT *, length(CAST(CAST(floor(x) AS BIGINT) AS VARCHAR)) AS m FROM a),
+s AS (SELECT *, length(rtrim(CAST(CAST(power(10.0, 14 - m) + floor(power(10.0, 14 - m) * (x - floor(x)) + 0.5) AS BIGINT) AS VARCHAR), '0')) - 1 AS s FROM m) SELECT exchange, symbol, ts, seq, CAST(m + s AS INT) AS "precision", CAST(s AS INT) AS scale FROM s""")
 def p16(t):
     x = t.withColumn("x", F.col("price").cast("double"))
     p, s = scalars.precision_and_scale("x")
-    return x.select("symbol", "ts", "seq", p.cast("int").alias("precision"), s.cast("int").alias("scale"))
+    return x.select("exchange", "symbol", "ts", "seq", p.cast("int").alias("precision"), s.cast("int").alias("scale"))
 
 
-@query("p20_lineage", "ticks", "SELECT DISTINCT symbol AS asset, CAST(side AS VARCHAR) AS side, 'trade bars' AS measurement, CAST(5 + seq % 3 AS INT) AS aggwindow, 'mean' AS aggregator, CAST(3 AS INT) AS n_tags FROM ticks")
+@query("p20_lineage", "ticks", "SELECT DISTINCT symbol AS asset, CAST(side AS VARCHAR) AS side, 'deal bars' AS measurement, CAST(5 + seq % 3 AS INT) AS aggwindow, 'mean' AS aggregator, CAST(3 AS INT) AS n_tags FROM ticks")
 def p20(t):
     """Names of curves and back: tags, window, aggregator."""
     name = F.concat(F.lit("asset-"), "symbol", F.lit("|side-"), F.col("side").cast("string"), F.lit("|measurement-trade_bars|levels-5|aggWindow-"), (5 + F.col("seq") % 3).cast("string"), F.lit("|aggAggregator-mean"))
@@ -126,13 +127,13 @@ def p29(t):
     return out.withColumn("variance", F.round("variance", 4) + 0.0)
 
 
-@query("p31_timestamps", "ticks", "SELECT symbol, seq, date_trunc('millisecond', ts) AS ts, date_trunc('second', ts) AS text_ts FROM ticks")
+@query("p31_timestamps", "ticks", "SELECT exchange, symbol, seq, date_trunc('millisecond', ts) AS ts, date_trunc('second', ts) AS text_ts FROM ticks")
 def p31(t):
     """A day and its seconds, and text, as timestamps."""
     day = F.to_date("ts")
     seconds = F.unix_millis("ts") / 1000 - F.unix_seconds(day.cast("timestamp"))
     text = F.date_format("ts", "yyyy-MM-dd'D'HH:mm:ss")
-    return t.select("symbol", "seq", scalars.at_seconds(day, seconds).alias("ts"), F.to_timestamp(text, "yyyy-MM-dd'D'HH:mm:ss").alias("text_ts"))
+    return t.select("exchange", "symbol", "seq", scalars.at_seconds(day, seconds).alias("ts"), F.to_timestamp(text, "yyyy-MM-dd'D'HH:mm:ss").alias("text_ts"))
 
 
 @query("p32_feature_list", "ticks", f"SELECT CAST(size AS DOUBLE) AS size, CAST(NULL AS DOUBLE) AS absent, {P} AS price FROM ticks")
@@ -141,9 +142,9 @@ def p32(t):
     return scalars.to_features(x, ["size", "absent", "price"])
 
 
-@query("o06_sample", "ticks", f"SELECT symbol, ts, seq FROM ticks WHERE substr(md5('7' || CAST(seq AS VARCHAR)), 1, 8) < '{int(0.1 * 16**8):08x}'")
+@query("o06_sample", "ticks", f"SELECT exchange, symbol, ts, seq FROM ticks WHERE substr(md5('7' || CAST(seq AS VARCHAR)), 1, 8) < '{int(0.1 * 16**8):08x}'")
 def o06(t):
-    return selection.sampled(t, F.col("seq"), 0.1, "7").select("symbol", "ts", "seq")
+    return selection.sampled(t, F.col("seq"), 0.1, "7").select("exchange", "symbol", "ts", "seq")
 
 
 @query("t20_relative_curves", "daily", f"WITH {DAYS} SELECT {DAY}, round(c / nullif(avg(c) OVER (ORDER BY day ROWS 29 PRECEDING), 0) - 1, 6) + 0.0 AS rel, round(c - lag(c) OVER ({D}), 6) + 0.0 AS d1, round(c / nullif(lag(c, 30) OVER ({D}), 0) - 1, 6) + 0.0 AS d30 FROM a")

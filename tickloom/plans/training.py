@@ -9,22 +9,22 @@ from tickloom.operators import bars, evaluation, joins, labels, padding, windows
 from tickloom.operators.windows import ordered
 from tickloom.plans.registry import query, rounded, table_query
 
-W = "PARTITION BY symbol ORDER BY ts, seq"
+W = "PARTITION BY exchange, symbol ORDER BY ts, seq"
 _N = evaluation.horizon(0.9, 0.05)
 
 
-@query("l04_discounted_reward", "quotes", f"""WITH a AS (SELECT symbol, ts, seq, CAST(bid AS DOUBLE) AS b, CAST(ask AS DOUBLE) AS k, list(CAST(bid AS DOUBLE)) OVER ({W} ROWS BETWEEN CURRENT ROW AND {_N - 1} FOLLOWING) AS xs FROM quotes)
-SELECT symbol, ts, seq, round(list_sum(list_transform(xs, lambda x, i: power(0.9, i - 1) * (x - k) / b)) * 1e6 / {_N}, 4) + 0.0 AS reward FROM a""")
+@query("l04_discounted_reward", "quotes", f"""WITH a AS (SELECT exchange, symbol, ts, seq, CAST(bid AS DOUBLE) AS b, CAST(ask AS DOUBLE) AS k, list(CAST(bid AS DOUBLE)) OVER ({W} ROWS BETWEEN CURRENT ROW AND {_N - 1} FOLLOWING) AS xs FROM quotes)
+SELECT exchange, symbol, ts, seq, round(list_sum(list_transform(xs, lambda x, i: power(0.9, i - 1) * (x - k) / b)) * 1e6 / {_N}, 4) + 0.0 AS reward FROM a""")
 def l04(q):
     x = q.withColumns({c: F.col(c).cast("double") for c in ("bid", "ask")})
-    return x.select("symbol", "ts", "seq", (F.round(evaluation.discounted_reward("bid", "ask", 0.9, 0.05), 4) + 0.0).alias("reward"))
+    return x.select("exchange", "symbol", "ts", "seq", (F.round(evaluation.discounted_reward("bid", "ask", 0.9, 0.05), 4) + 0.0).alias("reward"))
 
 
-@query("l06_attribution_weights", "ticks", """WITH m AS (SELECT symbol, avg(CAST(price AS DOUBLE)) AS m, max(CAST(price AS DOUBLE)) AS z, min(CAST(price AS DOUBLE)) AS a FROM ticks GROUP BY symbol)
-SELECT symbol, ts, seq, round(abs(CAST(price AS DOUBLE) - m) / greatest(z - m, m - a), 6) + 0.0 AS weight FROM ticks JOIN m USING (symbol)""")
+@query("l06_attribution_weights", "ticks", """WITH m AS (SELECT exchange, symbol, avg(CAST(price AS DOUBLE)) AS m, max(CAST(price AS DOUBLE)) AS z, min(CAST(price AS DOUBLE)) AS a FROM ticks GROUP BY exchange, symbol)
+SELECT exchange, symbol, ts, seq, round(abs(CAST(price AS DOUBLE) - m) / greatest(z - m, m - a), 6) + 0.0 AS weight FROM ticks JOIN m USING (exchange, symbol)""")
 def l06(t):
-    x = t.select("symbol", "ts", "seq", F.col("price").cast("double").alias("p"))
-    return rounded(evaluation.attribution_weights(x, "p", ["symbol"]).drop("p"))
+    x = t.select("exchange", "symbol", "ts", "seq", F.col("price").cast("double").alias("p"))
+    return rounded(evaluation.attribution_weights(x, "p", ["exchange", "symbol"]).drop("p"))
 
 
 @table_query("l07_cluster_weights")
@@ -45,18 +45,18 @@ def _clustered(spark, sf_dir):
     return KMeans(k=8, seed=7).fit(v).transform(v)
 
 
-@query("l09_combined_weights", "ticks", """WITH a AS (SELECT symbol, ts, seq, exp((ln(CAST(price AS DOUBLE)) + ln(CAST(size AS DOUBLE))) / 2) AS g, (CAST(price AS DOUBLE) + CAST(size AS DOUBLE)) / 2 AS a FROM ticks)
-SELECT symbol, ts, seq, round(g / max(g) OVER (PARTITION BY symbol), 6) AS geometric, round(a / max(a) OVER (PARTITION BY symbol), 6) AS arithmetic FROM a""")
+@query("l09_combined_weights", "ticks", """WITH a AS (SELECT exchange, symbol, ts, seq, exp((ln(CAST(price AS DOUBLE)) + ln(CAST(size AS DOUBLE))) / 2) AS g, (CAST(price AS DOUBLE) + CAST(size AS DOUBLE)) / 2 AS a FROM ticks)
+SELECT exchange, symbol, ts, seq, round(g / max(g) OVER (PARTITION BY exchange, symbol), 6) AS geometric, round(a / max(a) OVER (PARTITION BY exchange, symbol), 6) AS arithmetic FROM a""")
 def l09(t):
-    x = t.select("symbol", "ts", "seq", F.col("price").cast("double").alias("a"), F.col("size").cast("double").alias("b"))
-    return rounded(evaluation.combined_weights(x, ["a", "b"], ["symbol"]).drop("a", "b"))
+    x = t.select("exchange", "symbol", "ts", "seq", F.col("price").cast("double").alias("a"), F.col("size").cast("double").alias("b"))
+    return rounded(evaluation.combined_weights(x, ["a", "b"], ["exchange", "symbol"]).drop("a", "b"))
 
 
-@query("l12_rolling_splits", "ticks", """WITH n AS (SELECT symbol, count(*) AS n FROM ticks GROUP BY symbol), b AS (SELECT *, n // 3 AS batch, greatest((n // 3) // 3, 1) AS test FROM n),
+@query("l12_rolling_splits", "ticks", """WITH n AS (SELECT exchange, symbol, count(*) AS n FROM ticks GROUP BY exchange, symbol), b AS (SELECT *, n // 3 AS batch, greatest((n // 3) // 3, 1) AS test FROM n),
 z AS (SELECT *, unnest(range(0, n - batch + n % 3, test)) AS start FROM b)
-SELECT symbol, start, start + batch - test AS test_start, CASE WHEN start >= n - batch - test THEN n ELSE start + batch END AS test_end FROM z""")
+SELECT exchange, symbol, start, start + batch - test AS test_start, CASE WHEN start >= n - batch - test THEN n ELSE start + batch END AS test_end FROM z""")
 def l12(t):
-    return evaluation.rolling_splits(t, ["symbol"], 3, 3)
+    return evaluation.rolling_splits(t, ["exchange", "symbol"], 3, 3)
 
 
 def _lagged(t):
@@ -65,7 +65,7 @@ def _lagged(t):
 
     w = ordered()
     p = F.col("price").cast("double")
-    x = t.select("symbol", "ts", "seq", *[(p / F.lag(p, n).over(w) - 1).alias(f"r{n}") for n in (1, 2, 5)], (F.lead(p).over(w) / p - 1).alias("label"))
+    x = t.select("exchange", "symbol", "ts", "seq", *[(p / F.lag(p, n).over(w) - 1).alias(f"r{n}") for n in (1, 2, 5)], (F.lead(p).over(w) / p - 1).alias("label"))
     return VectorAssembler(inputCols=["r1", "r2", "r5"], outputCol="features").transform(x.dropna())
 
 
@@ -76,7 +76,7 @@ def l14(t):
 
     x = _lagged(t)
     scored = evaluation.out_of_fold(x, GBTRegressor(maxIter=4, maxDepth=3, seed=7), F.pmod(F.datediff(F.to_date("ts"), F.lit("2000-01-01")), F.lit(3)), 3)
-    return rounded(scored.groupBy("symbol", "ts").agg(F.avg("prediction").alias("prediction"), F.count(F.lit(1)).alias("n")))
+    return rounded(scored.groupBy("exchange", "symbol", "ts").agg(F.avg("prediction").alias("prediction"), F.count(F.lit(1)).alias("n")))
 
 
 @table_query("l15_clusters_by_k")
@@ -116,13 +116,13 @@ def l21(spark, sf_dir):
     return rounded(long.groupBy("event_id").pivot("quantile", ["q10", "q50", "q90"]).agg(F.first("p")))
 
 
-@query("l24_extreme_events", "ticks", """WITH q AS (SELECT symbol, quantile_cont(CAST(price AS DOUBLE), 0.01) AS a, quantile_cont(CAST(price AS DOUBLE), 0.99) AS z FROM ticks GROUP BY symbol)
-SELECT symbol, ts, seq, round(CAST(price AS DOUBLE), 6) AS price FROM ticks JOIN q USING (symbol) WHERE CAST(price AS DOUBLE) < a OR CAST(price AS DOUBLE) > z""")
+@query("l24_extreme_events", "ticks", """WITH q AS (SELECT exchange, symbol, quantile_cont(CAST(price AS DOUBLE), 0.01) AS a, quantile_cont(CAST(price AS DOUBLE), 0.99) AS z FROM ticks GROUP BY exchange, symbol)
+SELECT exchange, symbol, ts, seq, round(CAST(price AS DOUBLE), 6) AS price FROM ticks JOIN q USING (exchange, symbol) WHERE CAST(price AS DOUBLE) < a OR CAST(price AS DOUBLE) > z""")
 def l24(t):
     """Rows outside the 1st and 99th percentile of their symbol; prices lie on a tick grid, so distinct values are bounded."""
-    x = t.select("symbol", "ts", "seq", F.col("price").cast("double").alias("price"))
-    q = x.groupBy("symbol").agg(F.percentile("price", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    return rounded(x.join(q, "symbol").where((F.col("price") < F.col("q")[0]) | (F.col("price") > F.col("q")[1])).drop("q"))
+    x = t.select("exchange", "symbol", "ts", "seq", F.col("price").cast("double").alias("price"))
+    q = x.groupBy("exchange", "symbol").agg(F.percentile("price", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    return rounded(x.join(q, ["exchange", "symbol"]).where((F.col("price") < F.col("q")[0]) | (F.col("price") > F.col("q")[1])).drop("q"))
 
 
 # ---- column filters and pair statistics -------------------------------------------------------------------
@@ -136,118 +136,118 @@ def g22(spark, sf_dir):
     return rounded(evaluation.low_variance(long, "feature", "v"))
 
 
-@query("g23_coverage", "holes", f"""WITH a AS (SELECT symbol, price, row_number() OVER ({W}) - 1 AS ix FROM holes), s AS (SELECT symbol, max(ix) FILTER (price IS NOT NULL) - min(ix) FILTER (price IS NOT NULL) AS span FROM a GROUP BY symbol)
-SELECT symbol, span, span >= (SELECT avg(span) FROM s) AS kept FROM s""")
+@query("g23_coverage", "holes", f"""WITH a AS (SELECT exchange, symbol, price, row_number() OVER ({W}) - 1 AS ix FROM holes), s AS (SELECT exchange, symbol, max(ix) FILTER (price IS NOT NULL) - min(ix) FILTER (price IS NOT NULL) AS span FROM a GROUP BY exchange, symbol)
+SELECT exchange, symbol, span, span >= (SELECT avg(span) FROM s) AS kept FROM s""")
 def g23(h):
-    return evaluation.coverage(labels.indexed(h), "symbol", "ix", "price")
+    return evaluation.coverage(labels.indexed(h), ["exchange", "symbol"], "ix", "price")
 
 
-@query("g20_correlations", "ticks", """WITH h AS (SELECT symbol, date_trunc('hour', ts) AS ts, CAST(last(price ORDER BY ts, seq) AS DOUBLE) AS p FROM ticks GROUP BY 1, 2)
-SELECT a.symbol AS a, b.symbol AS b, round(corr(a.p, b.p), 6) + 0.0 AS corr FROM h a JOIN h b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY 1, 2""")
+@query("g20_correlations", "ticks", """WITH h AS (SELECT exchange, symbol, date_trunc('hour', ts) AS ts, CAST(last(price ORDER BY ts, seq) AS DOUBLE) AS p FROM ticks GROUP BY 1, 2, 3)
+SELECT a.exchange, a.symbol AS a, b.symbol AS b, round(corr(a.p, b.p), 6) + 0.0 AS corr FROM h a JOIN h b ON a.ts = b.ts AND a.exchange = b.exchange AND a.symbol < b.symbol GROUP BY 1, 2, 3 HAVING count(*) > 2""")
 def g20(t):
     """One pivot and one aggregation for all pairs of a fixed symbol list; no join of rows."""
     names = [f"S{i}" for i in range(5)]
-    h = bars.time_bars(t, "1 hour").select("symbol", "ts", F.col("close").cast("double").alias("p"))
-    wide = h.groupBy("ts").pivot("symbol", names).agg(F.first("p"))
+    h = bars.time_bars(t, "1 hour").select("exchange", "symbol", "ts", F.col("close").cast("double").alias("p"))
+    wide = h.groupBy("exchange", "ts").pivot("symbol", names).agg(F.first("p"))
     pairs = [(a, b) for a in names for b in names if a < b]
-    one = wide.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in pairs]).alias("x"))
-    return rounded(one.select(F.inline("x")))
+    one = wide.groupBy("exchange").agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr"), F.regr_count(F.col(a), F.col(b)).alias("n")) for a, b in pairs]).alias("x"))
+    return rounded(one.select("exchange", F.inline("x")).where("n > 2").drop("n"))
 
 
-@query("g24_stationary", "ticks", f"""WITH a AS (SELECT symbol, CAST(price AS DOUBLE) AS p, lag(CAST(price AS DOUBLE)) OVER ({W}) AS q FROM ticks), s AS (SELECT symbol, regr_slope(p - q, q) AS b, regr_sxx(p - q, q) AS x, regr_syy(p - q, q) AS y, regr_count(p - q, q) AS n FROM a GROUP BY symbol)
-SELECT symbol, round(b / sqrt((y - b * b * x) / (n - 2) / x), 4) AS t, b / sqrt((y - b * b * x) / (n - 2) / x) <= -2.86 AS stationary FROM s""")
+@query("g24_stationary", "ticks", f"""WITH a AS (SELECT exchange, symbol, CAST(price AS DOUBLE) AS p, lag(CAST(price AS DOUBLE)) OVER ({W}) AS q FROM ticks), s AS (SELECT exchange, symbol, regr_slope(p - q, q) AS b, regr_sxx(p - q, q) AS x, regr_syy(p - q, q) AS y, regr_count(p - q, q) AS n FROM a GROUP BY exchange, symbol)
+SELECT exchange, symbol, round(b / sqrt((y - b * b * x) / (n - 2) / x), 4) AS t, b / sqrt((y - b * b * x) / (n - 2) / x) <= -2.86 AS stationary FROM s""")
 def g24(t):
     p = F.col("price").cast("double")
     x = t.withColumn("q", F.lag(p).over(ordered())).withColumn("d", p - F.col("q"))
-    return evaluation.dickey_fuller(x, ["symbol"], "d", "q").withColumn("t", F.round("t", 4))
+    return evaluation.dickey_fuller(x, ["exchange", "symbol"], "d", "q").withColumn("t", F.round("t", 4))
 
 
-@query("g26_ensemble_average", "ticks", """SELECT symbol, date_trunc('hour', ts) AS ts, round(avg(CAST(price AS DOUBLE)), 9) AS mean, round(CAST(sum(price * size) AS DOUBLE) / CAST(sum(size) AS DOUBLE), 9) AS weighted FROM ticks GROUP BY 1, 2""")
+@query("g26_ensemble_average", "ticks", """SELECT exchange, symbol, date_trunc('hour', ts) AS ts, round(avg(CAST(price AS DOUBLE)), 9) AS mean, round(CAST(sum(price * size) AS DOUBLE) / CAST(sum(size) AS DOUBLE), 9) AS weighted FROM ticks GROUP BY 1, 2, 3""")
 def g26(t):
     p, w = F.col("price").cast("double"), F.col("size").cast("double")
     mean, weighted = F.round(F.avg(p), 9).alias("mean"), F.round(F.sum(p * w) / F.sum(w), 9).alias("weighted")
-    return t.groupBy("symbol", F.date_trunc("hour", "ts").alias("ts")).agg(mean, weighted)
+    return t.groupBy("exchange", "symbol", F.date_trunc("hour", "ts").alias("ts")).agg(mean, weighted)
 
 
 # ---- joins for training frames ----------------------------------------------------------------------------
 
-_H = "h AS (SELECT symbol, date_trunc('hour', ts) AS ts, CAST(last(price ORDER BY ts, seq) AS DOUBLE) AS close, CAST(sum(size) AS DOUBLE) AS volume FROM ticks GROUP BY 1, 2)"
-_Q = "q AS (SELECT symbol, date_trunc('hour', ts) AS ts, CAST(last(bid ORDER BY ts, seq) AS DOUBLE) AS bid FROM quotes GROUP BY 1, 2)"
+_H = "h AS (SELECT exchange, symbol, date_trunc('hour', ts) AS ts, CAST(last(price ORDER BY ts, seq) AS DOUBLE) AS close, CAST(sum(size) AS DOUBLE) AS volume FROM ticks GROUP BY 1, 2, 3)"
+_Q = "q AS (SELECT exchange, symbol, date_trunc('hour', ts) AS ts, CAST(last(bid ORDER BY ts, seq) AS DOUBLE) AS bid FROM quotes GROUP BY 1, 2, 3)"
 
 
 def _hours(spark, sf_dir):
     t, q = (views.frame(spark, sf_dir, v) for v in (views.TICKS, views.QUOTES))
-    h = bars.time_bars(t, "1 hour").select("symbol", "ts", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"))
-    b = bars.quote_bars(q, "1 hour").select("symbol", "ts", F.col("bid_close").cast("double").alias("bid"))
+    h = bars.time_bars(t, "1 hour").select("exchange", "symbol", "ts", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"))
+    b = bars.quote_bars(q, "1 hour").select("exchange", "symbol", "ts", F.col("bid_close").cast("double").alias("bid"))
     return h, b
 
 
-@table_query("j04_features_and_label", f"""WITH {_H}, {_Q}, o AS (SELECT symbol, ts, close, bid FROM h FULL JOIN q USING (symbol, ts)),
-f AS (SELECT symbol, ts, last_value(close IGNORE NULLS) OVER w AS close, last_value(bid IGNORE NULLS) OVER w AS bid FROM o WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, ts, round(close, 6) AS close, round(bid, 6) AS bid FROM f WHERE close IS NOT NULL AND bid IS NOT NULL""")
+@table_query("j04_features_and_label", f"""WITH {_H}, {_Q}, o AS (SELECT exchange, symbol, ts, close, bid FROM h FULL JOIN q USING (exchange, symbol, ts)),
+f AS (SELECT exchange, symbol, ts, last_value(close IGNORE NULLS) OVER w AS close, last_value(bid IGNORE NULLS) OVER w AS bid FROM o WINDOW w AS (PARTITION BY exchange, symbol ORDER BY ts)) SELECT exchange, symbol, ts, round(close, 6) AS close, round(bid, 6) AS bid FROM f WHERE close IS NOT NULL AND bid IS NOT NULL""")
 def j04(spark, sf_dir):
     h, b = _hours(spark, sf_dir)
-    out = h.drop("volume").join(b, ["symbol", "ts"], "full")
+    out = h.drop("volume").join(b, ["exchange", "symbol", "ts"], "full")
     return rounded(out.withColumns({c: windows.ffill(c, order=("ts",)) for c in ("close", "bid")}).dropna())
 
 
-@table_query("j05_volatility", f"""WITH d AS (SELECT symbol, date_trunc('hour', ts) + INTERVAL 1 HOUR AS ts, stddev_samp(CAST(price AS DOUBLE)) AS v FROM ticks GROUP BY 1, 2)
-SELECT t.symbol, t.ts, t.seq, round(d.v, 6) AS volatility FROM ticks t ASOF LEFT JOIN (SELECT * FROM d WHERE v IS NOT NULL) d ON t.symbol = d.symbol AND t.ts >= d.ts""")
+@table_query("j05_volatility", f"""WITH d AS (SELECT exchange, symbol, date_trunc('hour', ts) + INTERVAL 1 HOUR AS ts, stddev_samp(CAST(price AS DOUBLE)) AS v FROM ticks GROUP BY 1, 2, 3)
+SELECT t.exchange, t.symbol, t.ts, t.seq, round(d.v, 6) AS volatility FROM ticks t ASOF LEFT JOIN (SELECT * FROM d WHERE v IS NOT NULL) d ON t.exchange = d.exchange AND t.symbol = d.symbol AND t.ts >= d.ts""")
 def j05(spark, sf_dir):
     """The volatility of the last full hour at each tick."""
     t = views.frame(spark, sf_dir, views.TICKS)
     hour = (F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")).alias("ts")
-    v = t.groupBy("symbol", hour).agg(F.stddev_samp(F.col("price").cast("double")).alias("volatility")).dropna().withColumn("seq", F.lit(0))
-    return rounded(joins.asof(t.select("symbol", "ts", "seq"), v, ["symbol"], ["volatility"]))
+    v = t.groupBy("exchange", "symbol", hour).agg(F.stddev_samp(F.col("price").cast("double")).alias("volatility")).dropna().withColumn("seq", F.lit(0))
+    return rounded(joins.asof(t.select("exchange", "symbol", "ts", "seq"), v, ["exchange", "symbol"], ["volatility"]))
 
 
-@table_query("j06_prediction_and_label", f"WITH {_H}, {_Q} SELECT symbol, ts, round(close, 6) AS close, round(bid, 6) AS bid FROM h JOIN q USING (symbol, ts)")
+@table_query("j06_prediction_and_label", f"WITH {_H}, {_Q} SELECT exchange, symbol, ts, round(close, 6) AS close, round(bid, 6) AS bid FROM h JOIN q USING (exchange, symbol, ts)")
 def j06(spark, sf_dir):
     h, b = _hours(spark, sf_dir)
-    return rounded(h.drop("volume").join(b, ["symbol", "ts"]))
+    return rounded(h.drop("volume").join(b, ["exchange", "symbol", "ts"]))
 
 
-@table_query("j17_trade_volume", f"WITH {_H}, {_Q} SELECT symbol, ts, round(bid, 6) AS bid, coalesce(volume, 0.0) AS volume FROM q LEFT JOIN h USING (symbol, ts)")
+@table_query("j17_trade_volume", f"WITH {_H}, {_Q} SELECT exchange, symbol, ts, round(bid, 6) AS bid, coalesce(volume, 0.0) AS volume FROM q LEFT JOIN h USING (exchange, symbol, ts)")
 def j17(spark, sf_dir):
     h, b = _hours(spark, sf_dir)
-    return rounded(b.join(h.drop("close"), ["symbol", "ts"], "left").withColumn("volume", F.coalesce("volume", F.lit(0.0))))
+    return rounded(b.join(h.drop("close"), ["exchange", "symbol", "ts"], "left").withColumn("volume", F.coalesce("volume", F.lit(0.0))))
 
 
-@query("j18_latest_peak_and_valley", "ticks", f"""WITH a AS (SELECT symbol, ts, seq, CAST(price AS DOUBLE) AS p, lag(CAST(price AS DOUBLE), 1) OVER w AS q, lag(CAST(price AS DOUBLE), 2) OVER w AS r FROM ticks WINDOW w AS ({W})),
+@query("j18_latest_peak_and_valley", "ticks", f"""WITH a AS (SELECT exchange, symbol, ts, seq, CAST(price AS DOUBLE) AS p, lag(CAST(price AS DOUBLE), 1) OVER w AS q, lag(CAST(price AS DOUBLE), 2) OVER w AS r FROM ticks WINDOW w AS ({W})),
 b AS (SELECT *, CASE WHEN q > p AND q > r THEN q END AS peak, CASE WHEN q < p AND q < r THEN q END AS valley FROM a)
-SELECT symbol, ts, seq, round(coalesce(last_value(peak IGNORE NULLS) OVER ({W}), 99999), 6) AS peak, round(coalesce(last_value(valley IGNORE NULLS) OVER ({W}), 0), 6) AS valley FROM b""")
+SELECT exchange, symbol, ts, seq, round(coalesce(last_value(peak IGNORE NULLS) OVER ({W}), 99999), 6) AS peak, round(coalesce(last_value(valley IGNORE NULLS) OVER ({W}), 0), 6) AS valley FROM b""")
 def j18(t):
     """A peak is known one row after it."""
     p, w = F.col("price").cast("double"), ordered()
     q, r = F.lag(p, 1).over(w), F.lag(p, 2).over(w)
     x = t.withColumns({"peak": F.when((q > p) & (q > r), q), "valley": F.when((q < p) & (q < r), q)})
     filled = {"peak": F.coalesce(windows.ffill("peak"), F.lit(99999.0)), "valley": F.coalesce(windows.ffill("valley"), F.lit(0.0))}
-    return rounded(x.withColumns(filled).select("symbol", "ts", "seq", "peak", "valley"))
+    return rounded(x.withColumns(filled).select("exchange", "symbol", "ts", "seq", "peak", "valley"))
 
 
 # ---- gapless volume bars ----------------------------------------------------------------------------------
 
 
 @query("f10_padded_bars", "ticks", f"""WITH c AS (SELECT *, CAST(floor(sum(CAST(price * size AS DECIMAL(28,4))) OVER ({W}) / 500) AS BIGINT) AS k FROM ticks),
-b AS (SELECT symbol, k, max(ts) AS ts, CAST(first(price ORDER BY ts, seq) AS DOUBLE) AS open, CAST(last(price ORDER BY ts, seq) AS DOUBLE) AS close,
-sum(CASE WHEN side > 0 THEN size ELSE 0 END) AS vb, sum(CASE WHEN side > 0 THEN 0 ELSE size END) AS vs, count(*) FILTER (side > 0) AS cb, count(*) FILTER (side <= 0) AS cs FROM c GROUP BY symbol, k),
-s AS (SELECT symbol, unnest(generate_series(min(k), max(k))) AS k FROM b GROUP BY symbol),
-j AS (SELECT s.symbol, s.k, b.* EXCLUDE (symbol, k), min(b.k) OVER (PARTITION BY s.symbol ORDER BY s.k DESC) AS island FROM s LEFT JOIN b ON b.symbol = s.symbol AND b.k = s.k),
-i AS (SELECT symbol, k, coalesce(open, max(open) OVER w) AS open, coalesce(close, max(open) OVER w) AS close, max(ts) OVER w AS ts, max(vb) OVER w AS vb, max(vs) OVER w AS vs, max(cb) OVER w AS cb, max(cs) OVER w AS cs, count(*) OVER w AS n FROM j WINDOW w AS (PARTITION BY symbol, island)),
+b AS (SELECT exchange, symbol, k, max(ts) AS ts, CAST(first(price ORDER BY ts, seq) AS DOUBLE) AS open, CAST(last(price ORDER BY ts, seq) AS DOUBLE) AS close,
+sum(CASE WHEN side > 0 THEN size ELSE 0 END) AS vb, sum(CASE WHEN side > 0 THEN 0 ELSE size END) AS vs, count(*) FILTER (side > 0) AS cb, count(*) FILTER (side <= 0) AS cs FROM c GROUP BY exchange, symbol, k),
+s AS (SELECT exchange, symbol, unnest(generate_series(min(k), max(k))) AS k FROM b GROUP BY exchange, symbol),
+j AS (SELECT s.exchange, s.symbol, s.k, b.* EXCLUDE (exchange, symbol, k), min(b.k) OVER (PARTITION BY s.exchange, s.symbol ORDER BY s.k DESC) AS island FROM s LEFT JOIN b ON b.exchange = s.exchange AND b.symbol = s.symbol AND b.k = s.k),
+i AS (SELECT exchange, symbol, k, coalesce(open, max(open) OVER w) AS open, coalesce(close, max(open) OVER w) AS close, max(ts) OVER w AS ts, max(vb) OVER w AS vb, max(vs) OVER w AS vs, max(cb) OVER w AS cb, max(cs) OVER w AS cs, count(*) OVER w AS n FROM j WINDOW w AS (PARTITION BY exchange, symbol, island)),
 r AS (SELECT *, CAST(floor(vb / n) AS BIGINT) AS b2, CAST(floor(vs / n) AS BIGINT) AS s2, CAST(CASE WHEN cb > 0 THEN floor(greatest(cb / n, 1)) ELSE 0 END AS BIGINT) AS c2, CAST(CASE WHEN cs > 0 THEN floor(greatest(cs / n, 1)) ELSE 0 END AS BIGINT) AS d2 FROM i)
-SELECT symbol, k AS volume_tick, ts, round(open, 6) AS open, round(close, 6) AS close, b2 AS volume_buy, s2 AS volume_sell, b2 + s2 AS volume, c2 + d2 AS n, round((b2 + s2) / nullif(c2 + d2, 0), 6) AS volume_mean FROM r""")
+SELECT exchange, symbol, k AS volume_tick, ts, round(open, 6) AS open, round(close, 6) AS close, b2 AS volume_buy, s2 AS volume_sell, b2 + s2 AS volume, c2 + d2 AS n, round((b2 + s2) / nullif(c2 + d2, 0), 6) AS volume_mean FROM r""")
 def f10(t):
     out = padding.pad(bars.dollar_bars(t, 500))
-    return rounded(out.select("symbol", "volume_tick", "ts", "open", "close", "volume_buy", "volume_sell", "volume", "n", "volume_mean"))
+    return rounded(out.select("exchange", "symbol", "volume_tick", "ts", "open", "close", "volume_buy", "volume_sell", "volume", "n", "volume_mean"))
 
 
 @query("f15_held_sizes", "ticks", f"""WITH c AS (SELECT *, CAST(floor(sum(CAST(price * size AS DECIMAL(28,4))) OVER ({W}) / 200) AS BIGINT) AS k FROM ticks),
-b AS (SELECT symbol, k, CAST(floor(CAST(last(price ORDER BY ts, seq) AS DOUBLE) / 20) * 20 AS DOUBLE) AS close, CAST(sum(size) AS DOUBLE) AS v FROM c GROUP BY symbol, k),
-s AS (SELECT symbol, unnest(generate_series(min(k), max(k))) AS k FROM b GROUP BY symbol), j AS (SELECT symbol, k, close, v FROM s LEFT JOIN b USING (symbol, k)),
-f AS (SELECT *, last_value(close IGNORE NULLS) OVER u AS p, first_value(close IGNORE NULLS) OVER d AS q, last_value(v IGNORE NULLS) OVER u AS fv FROM j WINDOW u AS (PARTITION BY symbol ORDER BY k), d AS (PARTITION BY symbol ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT symbol, k AS volume_tick, coalesce(v, CASE WHEN p = q THEN fv END) AS equal_gaps, fv AS all_gaps FROM f""")
+b AS (SELECT exchange, symbol, k, CAST(floor(CAST(last(price ORDER BY ts, seq) AS DOUBLE) / 20) * 20 AS DOUBLE) AS close, CAST(sum(size) AS DOUBLE) AS v FROM c GROUP BY exchange, symbol, k),
+s AS (SELECT exchange, symbol, unnest(generate_series(min(k), max(k))) AS k FROM b GROUP BY exchange, symbol), j AS (SELECT exchange, symbol, k, close, v FROM s LEFT JOIN b USING (exchange, symbol, k)),
+f AS (SELECT *, last_value(close IGNORE NULLS) OVER u AS p, first_value(close IGNORE NULLS) OVER d AS q, last_value(v IGNORE NULLS) OVER u AS fv FROM j WINDOW u AS (PARTITION BY exchange, symbol ORDER BY k), d AS (PARTITION BY exchange, symbol ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT exchange, symbol, k AS volume_tick, coalesce(v, CASE WHEN p = q THEN fv END) AS equal_gaps, fv AS all_gaps FROM f""")
 def f15(t):
     """Sizes held inside gaps: where both ends have the same price (F15), and in all gaps (F18)."""
     b = bars.dollar_bars(t, 200).withColumn("close", F.floor(F.col("close").cast("double") / 20) * 20.0)
-    rows = padding.spine(b.select("symbol", "volume_tick", "close", F.col("volume").cast("double").alias("equal_gaps"), F.col("volume").cast("double").alias("all_gaps")))
+    rows = padding.spine(b.select("exchange", "symbol", "volume_tick", "close", F.col("volume").cast("double").alias("equal_gaps"), F.col("volume").cast("double").alias("all_gaps")))
     out = padding.hold_sizes(padding.hold_sizes(rows, "close", ["equal_gaps"], True), "close", ["all_gaps"], False)
-    return out.select("symbol", "volume_tick", "equal_gaps", "all_gaps")
+    return out.select("exchange", "symbol", "volume_tick", "equal_gaps", "all_gaps")

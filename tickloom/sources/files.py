@@ -56,14 +56,14 @@ def epoch_trades(spark: SparkSession, glob: str, symbol: str) -> DataFrame:
 
 
 def series_columns(kind: str, columns: list[str]) -> list[str]:
-    """Columns of a kind of series: `bid` and `ask` by prefix, `trade` the others; ts is always among them."""
-    sides = {"bid": lambda c: c.startswith("bid_"), "ask": lambda c: c.startswith("ask_"), "trade": lambda c: not c.startswith(("bid_", "ask_"))}
+    """Columns of a kind of series: `bid` and `ask` by prefix, `deal` the others; ts is always among them."""
+    sides = {"bid": lambda c: c.startswith("bid_"), "ask": lambda c: c.startswith("ask_"), "deal": lambda c: not c.startswith(("bid_", "ask_"))}
     return ["ts"] + [c for c in columns if c != "ts" and sides[kind](c)]
 
 
 def bar_table(spark: SparkSession, glob: str, kind: str, start: str, end: str) -> DataFrame:
     """Bars of a range of days by kind of series."""
-    rows = zipped_bars(spark, glob, BAR if kind == "trade" else QUOTE_BAR, start, end)
+    rows = zipped_bars(spark, glob, BAR if kind == "deal" else QUOTE_BAR, start, end)
     return rows.select(series_columns(kind, [c for c in rows.columns if c != "day"]))
 
 
@@ -91,4 +91,4 @@ def by_day(df: DataFrame) -> DataFrame:
 def write_by_day(df: DataFrame, path: str) -> None:
     """Parquet by symbol and date; a day of a symbol that is written again replaces what was there."""
     keyed = by_day(df).repartition("symbol", "date").sortWithinPartitions("symbol", "date", "ms")
-    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "date").parquet(path)
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("exchange", "symbol", "date").parquet(path)

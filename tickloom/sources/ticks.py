@@ -55,7 +55,19 @@ def rich_trades(spark: SparkSession, glob: str, symbol: str, start: str, end: st
     return _numbered(rows, ["symbol"]).select("ts", "seq", "symbol", F.when(F.col("side") == "Buy", 1).otherwise(-1).alias("side"), *cols)
 
 
-READERS = {"plain": (trades, quotes), "rich": (rich_trades, None)}
+_RICH_QUOTES = ["timestamp", "symbol", "bidSize", "bidPrice", "askPrice", "askSize"]
+
+
+def rich_quotes(spark: SparkSession, glob: str, symbol: str, start: str, end: str) -> DataFrame:
+    """Header CSV quotes of one symbol (bid, ask and their sizes), days from `start` to the day after `end`."""
+    rows = _raw(spark, glob, _RICH_QUOTES, header=True).where(F.col("symbol") == symbol)
+    ts = F.to_timestamp(F.concat(F.substring("timestamp", 1, 10), F.lit(" "), F.substring("timestamp", 12, 15)))
+    rows = rows.withColumn("ts", ts).where(F.to_date("ts").between(F.to_date(F.lit(start)), F.date_add(F.to_date(F.lit(end)), 1)))
+    named = {"bid": "bidPrice", "ask": "askPrice", "bid_size": "bidSize", "ask_size": "askSize"}
+    return _numbered(rows, ["symbol"]).select("ts", "seq", "symbol", *[F.col(c).try_cast("double").alias(k) for k, c in named.items()])
+
+
+READERS = {"plain": (trades, quotes), "rich": (rich_trades, rich_quotes)}
 
 
 def load_trades(spark: SparkSession, sources: list[tuple[str, str, str]], start: str, end: str) -> DataFrame:

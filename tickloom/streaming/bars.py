@@ -1,52 +1,69 @@
-"""Streaming forms of the bar operators."""
+"""Streaming forms of the bar operators. A series is (exchange, symbol); folds keep its total order if its micro-batches come in order."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickloom.operators.windows import SERIES
+
+KEYS = "exchange string, symbol string"
+
 
 def time_bars(ticks: DataFrame, every: str, late: str) -> DataFrame:
     """Time bars in append mode; rows later than `late` are left out."""
     at = F.struct("ts", "seq")
     bars = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    bars = bars.groupBy("symbol", F.window("ts", every).alias("w")).agg(
+    bars = bars.groupBy(*SERIES, F.window("ts", every).alias("w")).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", at).alias("close"), F.sum("size").alias("volume"), F.count(F.lit(1)).alias("n"),
     )
-    return bars.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "n")
+    return bars.select(*SERIES, F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "n")
 
 
-def unit_bars(ticks: DataFrame, measure: str, unit: int) -> DataFrame:
-    """Volume or imbalance bars; the state of a series is its running sum in hundredths. Rows must come in order."""
+def unit_bars(ticks: DataFrame, measure: str, unit: float) -> DataFrame:
+    """Volume or imbalance bars, summed per ts as in batch (a ts that two micro-batches share gives a row in each).
+
+    The state of a series is its exact running sum, in units of 1e-10, as text: it has no largest value.
+    """
+    whole = int(Decimal(str(unit)).scaleb(10))
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, seen = state.get if state.exists else (0, False)
-        for pdf in batches:
-            out = []
-            for ts, m in pdf.sort_values(["ts", "seq"])[["ts", "m"]].itertuples(index=False):
-                before, total = total // (100 * unit), total + int(m)
-                step = total // (100 * unit) - before
-                if seen and step:
-                    out.append((key[0], ts, step))
-                seen = True
-            yield pd.DataFrame(out, columns=["symbol", "ts", "volume_size"])
-        state.update((total, seen))
-
-    rows = ticks.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", (F.expr(measure) * 100).cast("long").alias("m"))
-    return rows.groupBy("symbol").applyInPandasWithState(
-        fold, "symbol string, ts timestamp, volume_size long", "total long, seen boolean", "append", GroupStateTimeout.NoTimeout
-    )
+        total, seen = (int(state.get[0]), state.get[1]) if state.exists else (0, False)
+        made: dict = {}
+        for ts, m in _ordered(batches)[["ts", "m"]].itertuples(index=False):
+            before, total = total // whole, total + (0 if m is None else int(m.scaleb(10)))
+            if seen:
+                made[ts] = made.get(ts, 0) + total // whole - before
+            seen = True
+        state.update((str(total), seen))
+        # A ts is a row of batch form if one of its ticks passes a unit, even where they add up to 0.
+        yield pd.DataFrame([(*key, ts, n) for ts, n in made.items() if n], columns=[*SERIES, "ts", "volume_size"])
+
+    rows = ticks.select(*SERIES, F.col("ts").cast("timestamp").alias("ts"), "seq", F.expr(measure).cast("decimal(38,10)").alias("m"))
+    schema = f"{KEYS}, ts timestamp, volume_size long"
+    return rows.groupBy(*SERIES).applyInPandasWithState(fold, schema, "total string, seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def upsert_sink(stream: DataFrame, path: str, keys: list[str], partition: str, late: str):
+    """A stream into a partitioned table: rows of the same keys within `late` are taken once, and a later row of keys replaces the
+    stored one. Returns the writer, to be started with a checkpoint."""
+    from tickloom.operators.store import write_upsert
+
+    once = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return once.writeStream.foreachBatch(lambda batch, _: None if batch.isEmpty() else write_upsert(batch, path, keys, partition))
 
 
 def publish(stream: DataFrame, subscriptions: DataFrame, sink):
     """Rows of subscribed symbols as JSON, handed to `sink(batch, epoch)`."""
-    rows = stream.join(F.broadcast(subscriptions.select("symbol").distinct()), "symbol")
-    return rows.select("symbol", F.to_json(F.struct(*rows.columns)).alias("json")).writeStream.foreachBatch(sink)
+    keys = [c for c in SERIES if c in subscriptions.columns and c in stream.columns]
+    rows = stream.join(F.broadcast(subscriptions.select(*keys).distinct()), keys)  # a list of subscriptions, kept small by who makes it
+    return rows.select(*keys, F.to_json(F.struct(*rows.columns)).alias("json")).writeStream.foreachBatch(sink)
 
 
 def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -63,13 +80,13 @@ def sequence_bars(ticks: DataFrame, measure: str, unit: float) -> DataFrame:
         for ts, m in _ordered(batches)[["ts", "m"]].itertuples(index=False):
             up, down = up + max(m, 0.0), down + max(-m, 0.0)
             if up >= unit or down >= unit:
-                out.append((key[0], ts, 1 if up >= unit else -1))
+                out.append((*key, ts, 1 if up >= unit else -1))
                 up = down = 0.0
         state.update((up, down))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "sequence"])
+        yield pd.DataFrame(out, columns=[*SERIES, "ts", "sequence"])
 
-    rows = ticks.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", F.expr(measure).cast("double").alias("m"))
-    return rows.groupBy("symbol").applyInPandasWithState(fold, "symbol string, ts timestamp, sequence int", "up double, down double", "append", GroupStateTimeout.NoTimeout)
+    rows = ticks.select(*SERIES, F.col("ts").cast("timestamp").alias("ts"), "seq", F.expr(measure).cast("double").alias("m"))
+    return rows.groupBy(*SERIES).applyInPandasWithState(fold, f"{KEYS}, ts timestamp, sequence int", "up double, down double", "append", GroupStateTimeout.NoTimeout)
 
 
 def delta_sampling(ticks: DataFrame, value: str, delta: float) -> DataFrame:
@@ -81,12 +98,12 @@ def delta_sampling(ticks: DataFrame, value: str, delta: float) -> DataFrame:
         for ts, seq, v in _ordered(batches)[["ts", "seq", "v"]].itertuples(index=False):
             if last is None or abs(v - last) >= delta:
                 last = v
-                out.append((key[0], ts, seq, v))
+                out.append((*key, ts, seq, v))
         state.update((last,))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "seq", value])
+        yield pd.DataFrame(out, columns=[*SERIES, "ts", "seq", value])
 
-    rows = ticks.where(F.col(value).isNotNull()).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", F.col(value).cast("double").alias("v"))
-    return rows.groupBy("symbol").applyInPandasWithState(fold, f"symbol string, ts timestamp, seq long, {value} double", "last double", "append", GroupStateTimeout.NoTimeout)
+    rows = ticks.where(F.col(value).isNotNull()).select(*SERIES, F.col("ts").cast("timestamp").alias("ts"), "seq", F.col(value).cast("double").alias("v"))
+    return rows.groupBy(*SERIES).applyInPandasWithState(fold, f"{KEYS}, ts timestamp, seq long, {value} double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def best_prices(l2: DataFrame) -> DataFrame:
@@ -105,13 +122,13 @@ def best_prices(l2: DataFrame) -> DataFrame:
                 book[-side] = {p for p in book[-side] if (p - price) * side > 0}
             else:
                 book[side].discard(price)
-            out.append((key[0], ts, seq, max(book[1], default=None), min(book[-1], default=None)))
+            out.append((*key, ts, seq, max(book[1], default=None), min(book[-1], default=None)))
         state.update((day, sorted(book[1]), sorted(book[-1])))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "seq", "best_bid", "best_ask"]).astype({"best_bid": "float64", "best_ask": "float64"})
+        yield pd.DataFrame(out, columns=[*SERIES, "ts", "seq", "best_bid", "best_ask"]).astype({"best_bid": "float64", "best_ask": "float64"})
 
-    rows = l2.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), F.col("count").cast("int").alias("count"))
-    schema = "symbol string, ts timestamp, seq long, best_bid double, best_ask double"
-    return rows.groupBy("symbol").applyInPandasWithState(fold, schema, "day string, bids array<double>, asks array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = l2.select(*SERIES, F.col("ts").cast("timestamp").alias("ts"), "seq", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), F.col("count").cast("int").alias("count"))
+    schema = f"{KEYS}, ts timestamp, seq long, best_bid double, best_ask double"
+    return rows.groupBy(*SERIES).applyInPandasWithState(fold, schema, "day string, bids array<double>, asks array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def scored(ticks: DataFrame, every: str, late: str, edges: dict[str, list[float]], model, out: str = "prediction") -> DataFrame:
@@ -119,4 +136,4 @@ def scored(ticks: DataFrame, every: str, late: str, edges: dict[str, list[float]
     from tickloom.operators.binning import coded
 
     bars = time_bars(ticks, every, late)
-    return model.transform(coded(bars, edges)).select("symbol", "ts", *edges, out)
+    return model.transform(coded(bars, edges)).select(*SERIES, "ts", *edges, out)

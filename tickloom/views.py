@@ -8,25 +8,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 TICKS = """
-SELECT CAST(ts AS TIMESTAMP) AS ts, event_id AS seq, 'X' AS exchange,
+SELECT CAST(ts AS TIMESTAMP) AS ts, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'Y' ELSE 'X' END AS exchange,
        concat('S', CAST(user_id % 5 AS {string})) AS symbol,
        CAST(100 + value AS DECIMAL(18,2)) AS price,
-       CAST(1 + event_id % 7 AS DECIMAL(18,2)) AS size,
+       CAST((1 + event_id % 7) * CASE WHEN event_id % 11 = 0 THEN 0.004 ELSE 1 END AS DECIMAL(18,8)) AS size,
        CASE WHEN event_type IN ('purchase', 'click') THEN 1 ELSE -1 END AS side
 FROM {events}"""
 
 QUOTES = """
-SELECT ts, seq, symbol, price - 0.05 * (1 + seq % 3) AS bid, price + 0.05 * (1 + seq % 4) AS ask,
+SELECT ts, seq, exchange, symbol, price - 0.05 * (1 + seq % 3) AS bid, price + 0.05 * (1 + seq % 4) AS ask,
        10 + seq % 11 AS bid_size, 10 + seq % 13 AS ask_size
 FROM {ticks} t WHERE seq % 3 <> 0"""
 
 L2 = """
-SELECT ts, seq, symbol, 100 + 0.5 * (seq % 40) AS price,
+SELECT ts, seq, exchange, symbol, 100 + 0.5 * (seq % 40) AS price,
        CASE WHEN 100 + 0.5 * (seq % 40) < 110 THEN 1 ELSE -1 END * (1 + seq % 5) AS size, seq % 4 AS count
 FROM {ticks} t"""
 
 HOLES = """
-SELECT ts, seq, symbol, CASE WHEN seq % 5 IN (1, 2) THEN NULL ELSE CAST(price AS DOUBLE) END AS price, size, side FROM {ticks} t"""
+SELECT ts, seq, exchange, symbol, CASE WHEN seq % 5 IN (1, 2) THEN NULL ELSE CAST(price AS DOUBLE) END AS price, size, side FROM {ticks} t"""
 
 DAILY = """
 SELECT o_orderdate AS day, min_by(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
