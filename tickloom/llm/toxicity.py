@@ -77,13 +77,13 @@ def terms(text: str | None) -> list[str]:
     return sorted(words | {f"{n}:{w[:n]}" for w in words for n in HEADS if len(w) > n})
 
 
-#: The capitals beyond ASCII, as one class; str.isupper tells them, over all code points.
-_CAPITALS = re.compile("[A-Z" + "".join(map(re.escape, filter(str.isupper, map(chr, range(128, 0x20000))))) + "]")
+_ASCII_CAPITALS, _BEYOND_ASCII = re.compile("[A-Z]"), re.compile("[^\\x00-\\x7f]")
 
 
 def capitals(text: str) -> int:
     """Capital letters of a text, of any alphabet."""
-    return len(_CAPITALS.findall(text))
+    ascii_ = len(_ASCII_CAPITALS.findall(text))
+    return ascii_ if text.isascii() else ascii_ + sum(map(str.isupper, _BEYOND_ASCII.findall(text)))
 
 
 def features(text: str | None, lexicon: dict[str, float], heads: tuple[dict[str, float], ...]) -> list[float]:
