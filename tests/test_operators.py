@@ -5,6 +5,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import scalars
 from tickloom.operators import bars, labels, store, windows
 from tickloom.sources import ticks as sources
 from tickloom.streaming import bars as stream
@@ -54,6 +55,13 @@ def test_barriers_by_hand(spark):
     assert got == {0: 0, 1: 0}  # both sides are touched on one row
 
 
+def test_precision_and_scale_by_hand(spark):
+    values = {236.57: (5, 2), 100.0: (3, 0), 0.05: (3, 2), 0.0: (1, 0), 0.1 + 0.2: (2, 1), -12.5: (3, 1), 123456789012345.6: (15, 0), 1e-6: (7, 6)}
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = {r["x"]: (r["p"], r["s"]) for r in df.select("x", *[c.alias(n) for c, n in zip(scalars.precision_and_scale("x"), "ps")]).collect()}
+    assert got == values
+
+
 def test_purge_counts(spark):
     got = labels.purged_folds(frame(spark, range(10)), 5, 2).where("fold = 2 AND role = 'train'")
     assert sorted(r["ix"] for r in got.collect()) == [0, 8, 9]

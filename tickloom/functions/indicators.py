@@ -160,7 +160,7 @@ def with_directional(df: DataFrame, h: str, lo: str, c: str, n: int) -> DataFram
 
         def row(high, low, close):
             last, before[0] = before[0], (high, low, close)
-            up, down, reach = (high - last[0], last[1] - low, max(high - low, abs(high - last[2]), abs(low - last[2]))) if last else (0.0, 0.0, 0.0)
+            up, down, reach = (high - last[0], last[1] - low, max(high - low, abs(high - last[2]), abs(low - last[2]))) if last else (0.0, 0.0, high - low)
             for i, x in enumerate((up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0, reach)):
                 kept[i] = keep * kept[i] + x
             plus, minus, total, _ = kept

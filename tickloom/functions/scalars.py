@@ -59,13 +59,12 @@ def synthetic_quotes(price: str, spread: float) -> dict[str, Column]:
 
 
 def precision_and_scale(x: str, digits: int = 14) -> tuple[Column, Column]:
-    """Decimal digits of a number, all and after the point, read at `digits` digits."""
-    whole = F.floor(F.abs(x)).cast("long")
-    magnitude = F.length(whole.cast("string"))
-    unit = F.pow(F.lit(10.0), F.greatest(digits - magnitude, F.lit(0)))
-    fraction = (unit + F.floor(unit * (F.abs(x) - whole) + 0.5)).cast("long").cast("string")
-    scale = F.when(magnitude >= digits, 0).otherwise(F.length(F.rtrim(fraction, F.lit("0"))) - 1)
-    return magnitude + scale, scale
+    """Decimal digits of a number, all and after the point, of its text with `digits` significant digits and no zeros at the end."""
+    text = F.format_string(f"%.{digits - 1}e", F.abs(F.col(x).cast("double")))
+    kept = F.length(F.rtrim(F.regexp_replace(F.substring_index(text, "e", 1), r"\.", ""), F.lit("0")))
+    place = F.substring_index(text, "e", -1).cast("int")  # power of ten of the first digit
+    scale = F.greatest(kept - 1 - place, F.lit(0))
+    return F.greatest(place + 1, F.lit(1)) + scale, scale
 
 
 def lineage(name: str) -> tuple[Column, Column, Column]:

@@ -113,7 +113,7 @@ def p16(t):
 @query("p20_lineage", "ticks", "SELECT DISTINCT symbol AS asset, CAST(side AS VARCHAR) AS side, 'deal bars' AS measurement, CAST(5 + seq % 3 AS INT) AS aggwindow, 'mean' AS aggregator, CAST(3 AS INT) AS n_tags FROM ticks")
 def p20(t):
     """Names of curves and back: tags, window, aggregator."""
-    name = F.concat(F.lit("asset-"), "symbol", F.lit("|side-"), F.col("side").cast("string"), F.lit("|measurement-trade_bars|levels-5|aggWindow-"), (5 + F.col("seq") % 3).cast("string"), F.lit("|aggAggregator-mean"))
+    name = F.concat(F.lit("asset-"), "symbol", F.lit("|side-"), F.col("side").cast("string"), F.lit("|measurement-deal_bars|levels-5|aggWindow-"), (5 + F.col("seq") % 3).cast("string"), F.lit("|aggAggregator-mean"))
     tags, window, agg = scalars.lineage("name")
     x = t.select(name.alias("name")).distinct().select(tags.alias("tags"), window.alias("aggwindow"), agg.alias("aggregator"))
     return x.select(*[F.col("tags")[k].alias(k) for k in ("asset", "side", "measurement")], "aggwindow", "aggregator", F.size("tags").alias("n_tags"))
