@@ -78,10 +78,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def append(docs: DataFrame, fn, fields: list[tuple[str, str]]) -> DataFrame:
+def append(docs: DataFrame, fn, fields: list[tuple[str, str]], size: int = 0) -> DataFrame:
     """All columns of `docs` and those `fn` makes of the column `text`, one value a row, by Arrow batches.
 
-    `fn(texts)` gets a list of up to SLICE texts (None for null) and returns one list per field.
+    `fn(texts)` gets a list of up to `size` texts (SLICE unless told otherwise; None for null) and returns one list per field.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -90,12 +90,12 @@ def append(docs: DataFrame, fn, fields: list[tuple[str, str]]) -> DataFrame:
     added = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in fields))
     schema = StructType(docs.schema.fields + added.fields)
     types = [f.type for f in to_arrow_schema(added)]
-    at = docs.columns.index("text")
+    at, step = docs.columns.index("text"), size or SLICE
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
                 made = fn(part.column(at).to_pylist())
                 arrays = [pa.array(x, t) for x, t in zip(made, types)]
                 yield pa.RecordBatch.from_arrays(part.columns + arrays, names=schema.names)

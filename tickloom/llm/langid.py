@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from tickloom.llm.common import append, held_out
 
-ROWS = 256
+ROWS = 128
 ROW_CHARS = 8_000
 TEXT_CHARS = 40_000
 TOTAL_CHARS = 2_000_000
@@ -45,7 +45,8 @@ MAX_LANGS = 200
 WIDE = 128
 DENSE_BYTES = 96 << 20
 BLOCK = 512
-#: Codes parsed at once; a longer text is parsed alone.
+#: Texts taken together, and codes parsed at once (a longer text is parsed alone).
+TOGETHER = 2048
 GROUP = 1 << 22
 FLAG = 1 << 30
 PAD, GAP, OTHER = 0, 1, 2
@@ -187,14 +188,24 @@ def phrases(blocks: np.ndarray, automaton: tuple, goes_on: np.ndarray | None = N
     n = blocks.shape[1]
     count, state = np.zeros(n, dtype=np.int32), np.full(n, start, dtype=np.int32)
     flags = np.zeros(blocks.shape, dtype=np.int8)
-    for i, code in enumerate(blocks):
-        state, begins = _step(automaton, state, code)
-        state = state.astype(np.int32)
-        flags[i] = begins
-        count += begins
+    if automaton[4] is None:
+        width, moves = automaton[1], automaton[3]
+        state = state.astype(np.int32 if len(moves) < 1 << 31 else np.int64)
+        for i, code in enumerate(blocks):
+            state *= width
+            state += code
+            step = moves.take(state)
+            np.right_shift(step, 30, out=flags[i], casting="unsafe")
+            count += flags[i]
+            np.bitwise_and(step, FLAG - 1, out=state, casting="unsafe")
+    else:
+        for i, code in enumerate(blocks):
+            state, begins = _step(automaton, state, code)
+            flags[i] = begins
+            count += flags[i]
     if goes_on is None:
         return count
-    plain, alone, ends, todo = count.copy(), state, state.copy(), np.flatnonzero(goes_on)
+    plain, alone, ends, todo = count.copy(), state.astype(np.int64), state.astype(np.int64), np.flatnonzero(goes_on)
     while len(todo):
         now, at, more = ends[todo - 1], todo, np.zeros(n, dtype=np.int32)
         for i, code in enumerate(blocks):
@@ -263,4 +274,4 @@ def identify(docs: DataFrame, prefix: str = "") -> DataFrame:
     """All columns of `docs`, held_out, lang_pred, score and has_letter (the last four with `prefix`)."""
     model = docs.sparkSession.sparkContext.broadcast(learn(labelled_text(docs)))
     fields = [(f"{prefix}lang_pred", "string"), (f"{prefix}score", "double"), (f"{prefix}has_letter", "boolean")]
-    return append(docs, lambda texts: parse(texts, model.value), fields).withColumn(f"{prefix}held_out", held_out(F.col("doc_id")))
+    return append(docs, lambda texts: parse(texts, model.value), fields, TOGETHER).withColumn(f"{prefix}held_out", held_out(F.col("doc_id")))
