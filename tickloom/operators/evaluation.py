@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import leading
+from tickloom.operators.windows import SERIES, leading
 
 
 def horizon(decay: float, least: float) -> int:
@@ -18,10 +18,10 @@ def horizon(decay: float, least: float) -> int:
     return n
 
 
-def discounted_reward(entry: str, exit_: str, decay: float, least: float) -> Column:
+def discounted_reward(entry: str, exit_: str, decay: float, least: float, series=SERIES) -> Column:
     """Millionths: mean over the horizon of decay^i * (entry_(t+i) - exit_t) / entry_t; fewer terms at the tail, same divisor."""
     n = horizon(decay, least)
-    ahead = F.collect_list(F.col(entry)).over(leading(n))
+    ahead = F.collect_list(F.col(entry)).over(leading(n, series))
     terms = F.transform(ahead, lambda x, i: F.pow(F.lit(decay), i) * (x - F.col(exit_)) / F.col(entry))
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) * 1e6 / n
 

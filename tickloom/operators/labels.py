@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import SERIES, leading, ordered
+from tickloom.operators.windows import SERIES, carried, leading, near, ordered
 
 
-def triple_barrier(df: DataFrame, price: str, vol: str, n: int, target: float, stop: float) -> DataFrame:
+def triple_barrier(df: DataFrame, price: str, vol: str, n: int, target: float, stop: float, series=SERIES) -> DataFrame:
     """-1, 0 or 1 over the next n rows; barriers 1 +- vol * factor are taken at each future row.
 
     Short wins if its target is touched before its stop and before the long target; long likewise; ties give 0.
     A touch at the entry row does not count. Rows without n rows ahead are dropped.
     """
-    ahead = leading(n + 1)
+    ahead = leading(n + 1, series)
     path = F.collect_list(F.struct(F.col(price).alias("p"), F.col(vol).alias("v"))).over(ahead)
     rows = df.withColumn("__path", path).where(F.size("__path") == n + 1)
     base = F.col("__path")[0]["p"]
@@ -39,14 +39,14 @@ def triple_barrier(df: DataFrame, price: str, vol: str, n: int, target: float, s
 
 
 def changes(df: DataFrame, label: str = "label") -> DataFrame:
-    w = ordered()
-    return df.withColumn("__l", F.coalesce(F.lag(label).over(w), F.lit(0))).where(F.col(label) != F.col("__l")).drop("__l")
+    before = lambda d, s: d.withColumn("__l", F.coalesce(F.lag(label).over(ordered(s)), F.lit(0)))
+    return near(df, before, 1).where(F.col(label) != F.col("__l")).drop("__l")
 
 
-def decayed_return(ret: str, span: int) -> Column:
+def decayed_return(ret: str, span: int, series=SERIES) -> Column:
     """Product over the next `span` rows of 1 + ret * (1 - alpha)^i, alpha = 2 / (span + 1); null without all rows."""
     decay = 1 - 2 / (span + 1)
-    w = ordered().rowsBetween(1, span)
+    w = ordered(series).rowsBetween(1, span)
     rows = F.collect_list(ret).over(w)
     parts = F.transform(rows, lambda r, i: 1 + r * F.pow(F.lit(decay), i))
     return F.when(F.size(rows) == span, F.aggregate(parts, F.lit(1.0), lambda a, x: a * x))
@@ -62,9 +62,9 @@ def event_sample(df: DataFrame, value: str, k: float, most: int) -> DataFrame:
 
 def indexed(df: DataFrame, series: list[str] | None = None) -> DataFrame:
     """Row index `ix` from 0 and rows `n` of each series."""
-    series = series or ["exchange", "symbol"]
-    w = Window.partitionBy(*series)
-    return df.withColumn("ix", F.row_number().over(w.orderBy("ts", "seq")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    series = series or list(SERIES)
+    rows = carried(df, {"ix": ("sum", F.lit(1)), "n": ("total", F.lit(1))}, series=tuple(series))
+    return rows.withColumn("ix", F.col("ix") - 1)
 
 
 def holdout(df: DataFrame, share: float = 0.3) -> DataFrame:

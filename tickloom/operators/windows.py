@@ -48,17 +48,17 @@ def _small_join(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
 def carried(df: DataFrame, specs: dict[str, tuple[str, Column]], chunk: Column | None = None, series=SERIES, order=ORDER) -> DataFrame:
     """Running values from the start of a series to each row, parallel inside one series.
 
-    `specs`: name -> (kind, column); kinds are sum, max, min, last (the last non-null value) and next (the first non-null
-    value from the row on). A series is cut into chunks of time (days unless told otherwise). Each chunk is aggregated to one
+    `specs`: name -> (kind, column); kinds are sum, max, min, last (the last non-null value), next (the first non-null
+    value from the row on) and total (the sum over the whole series). A series is cut into chunks of time (days unless told otherwise). Each chunk is aggregated to one
     row; a window over those few rows gives what each chunk carries in; rows then look at their own chunk only.
     """
     chunk = F.to_date("ts") if chunk is None else chunk
     at, keys = F.struct(*order), [*series, "__c"]
     agg = {
-        "sum": F.sum, "max": F.max, "min": F.min,
+        "sum": F.sum, "total": F.sum, "max": F.max, "min": F.min,
         "last": lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), at)), "next": lambda v: F.min_by(v, F.when(F.col(v).isNotNull(), at)),
     }
-    past = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda v: F.last(v, True), "next": lambda v: F.last(v, True)}
+    past = {"sum": F.sum, "total": F.sum, "max": F.max, "min": F.min, "last": lambda v: F.last(v, True), "next": lambda v: F.last(v, True)}
     both = {
         "sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least,
         "last": lambda own, before: F.coalesce(own, before), "next": lambda own, after: F.coalesce(own, after),
@@ -69,6 +69,10 @@ def carried(df: DataFrame, specs: dict[str, tuple[str, Column]], chunk: Column |
     carry, inside = {}, {}
     for i, (kind, _) in enumerate(specs.values()):
         ahead = kind == "next"
+        if kind == "total":
+            carry[f"__in{i}"] = F.sum(f"__a{i}").over(Window.partitionBy(*series))
+            inside[list(specs)[i]] = F.col(f"__in{i}")
+            continue
         over = Window.partitionBy(*series).orderBy(F.desc("__c") if ahead else "__c").rowsBetween(START, -1)
         carry[f"__in{i}"] = past[kind](f"__a{i}").over(over)
         own = Window.partitionBy(*keys).orderBy(*(back if ahead else order)).rowsBetween(START, 0)
@@ -252,11 +256,9 @@ def fold_ordered(df: DataFrame, keys: list[str], step, schema: str, order=ORDER)
 
 
 def islands(df: DataFrame, flag: Column, series=SERIES, order=ORDER) -> DataFrame:
-    """Runs of rows where `flag` holds: first and last ts, rows."""
-    w = ordered(series, order)
-    marked = df.withColumn("__f", flag).withColumn("__g", F.row_number().over(w))
-    inside = Window.partitionBy(*series, "__f").orderBy(*order)
-    runs = marked.withColumn("__g", F.col("__g") - F.row_number().over(inside)).where("__f")
+    """Runs of rows where `flag` holds: first and last ts, rows. A null flag does not hold; a run is named by how many rows do not hold before it."""
+    marked = df.withColumn("__f", F.coalesce(flag, F.lit(False)))
+    runs = carried(marked, {"__g": ("sum", F.when(F.col("__f"), 0).otherwise(1))}, series=series, order=order).where("__f")
     return runs.groupBy(*series, "__g").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n")).drop("__g")
 
 

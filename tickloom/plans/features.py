@@ -164,13 +164,15 @@ def p14(t):
 
 @query("p19_three_classes", "ticks", f"""SELECT exchange, symbol, ts, seq, CASE WHEN x < -0.1 THEN 0 WHEN x > 0.1 THEN 2 ELSE 1 END AS label FROM (SELECT *, CAST(lead(price) OVER ({W}) AS DOUBLE) / CAST(price AS DOUBLE) - 1 AS x FROM ticks) WHERE x IS NOT NULL""")
 def p19(t):
-    x = t.withColumn("x", F.lead("price").over(ordered()).cast("double") / F.col("price").cast("double") - 1).where("x IS NOT NULL")
+    x = windows.near(t, lambda d, s: d.withColumn("x", F.lead("price").over(ordered(s)).cast("double") / F.col("price").cast("double") - 1), 0, 1).where("x IS NOT NULL")
     return x.select("exchange", "symbol", "ts", "seq", F.when(F.col("x") < -0.1, 0).when(F.col("x") > 0.1, 2).otherwise(1).alias("label"))
 
 
 @query("p22_weekday_elapsed", "ticks", f"SELECT exchange, symbol, ts, seq, CAST(isodow(ts) - 1 AS INT) AS weekday, epoch_us(ts) - epoch_us(first_value(ts) OVER ({W})) AS elapsed_us FROM ticks")
 def p22(t):
-    return t.select("exchange", "symbol", "ts", "seq", F.weekday("ts").alias("weekday"), (F.unix_micros("ts") - F.unix_micros(F.first("ts").over(ordered()))).alias("elapsed_us"))
+    begin = t.groupBy("exchange", "symbol").agg(F.min("ts").alias("begin"))
+    x = t.join(begin, ["exchange", "symbol"])
+    return x.select("exchange", "symbol", "ts", "seq", F.weekday("ts").alias("weekday"), (F.unix_micros("ts") - F.unix_micros("begin")).alias("elapsed_us"))
 
 
 # ---- labels, splits, evaluation ---------------------------------------------------------------------------
@@ -182,7 +184,7 @@ coalesce(list_position(list_transform(ps[2:11], lambda x: x / p0 <= 1 - 0.2 * 1.
 SELECT exchange, symbol, ts, seq, CASE WHEN st < ss AND st < lt THEN -1 WHEN lt < ls AND lt < st THEN 1 ELSE 0 END AS label FROM f""".replace("coalesce(list_position", "coalesce(nullif(list_position").replace(", true), 11)", ", true), 0), 11)"))
 def l01(t):
     x = t.select("exchange", "symbol", "ts", "seq", F.col("price").cast("double").alias("p"), F.lit(0.2).alias("v"))
-    return labels.triple_barrier(x, "p", "v", 10, 1.5, 1.0).select("exchange", "symbol", "ts", "seq", "label")
+    return windows.near(x, lambda d, s: labels.triple_barrier(d, "p", "v", 10, 1.5, 1.0, s), 0, 10).select("exchange", "symbol", "ts", "seq", "label")
 
 
 @query("l02_label_changes", "ticks", f"SELECT exchange, symbol, ts, seq, side FROM (SELECT *, coalesce(lag(side) OVER ({W}), 0) AS b FROM ticks) WHERE side <> b")
@@ -195,8 +197,12 @@ SELECT exchange, symbol, ts, seq, CASE WHEN len(rs) = 4 THEN round((1 + rs[1]) *
 FROM (SELECT *, list(ret) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS rs FROM a)""")
 def l03(t):
     p = F.col("price").cast("double")
-    x = t.withColumn("ret", (p - F.lag(p).over(ordered())) / p / 100)
-    return rounded(x.select("exchange", "symbol", "ts", "seq", labels.decayed_return("ret", 4).alias("forward")))
+
+    def forward(d, s):
+        d = d.withColumn("ret", (p - F.lag(p).over(ordered(s))) / p / 100)
+        return d.withColumn("forward", labels.decayed_return("ret", 4, s))
+
+    return rounded(windows.near(t, forward, 1, 4).select("exchange", "symbol", "ts", "seq", "forward"))
 
 
 @query("l05_event_sample", "ticks", """WITH s AS (SELECT exchange, symbol, stddev_samp(CAST(price AS DOUBLE) - 100) AS sd FROM ticks GROUP BY exchange, symbol),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars
-from tickloom.operators import bars, selection
+from tickloom.operators import bars, selection, windows
 from tickloom.operators.windows import ordered
 from tickloom.plans.features import DAY, DAYS, D, day_series
 from tickloom.plans.registry import query, rounded, table_query
@@ -90,7 +90,7 @@ SELECT exchange, symbol, count(*) FILTER (p >= 0.5) AS signals, round(avg(r) FIL
 def l22(t):
     """Returns after signals over a probability, and after the most confident tenth of each symbol."""
     price = F.col("price").cast("double")
-    a = t.select("exchange", "symbol", (price / 500).alias("p"), (F.lead(price).over(ordered()) / price - 1).alias("r"))
+    a = windows.near(t, lambda d, s: d.withColumn("r", F.lead(price).over(ordered(s)) / price - 1), 0, 1).select("exchange", "symbol", (price / 500).alias("p"), "r")
     q = a.groupBy("exchange", "symbol").agg(F.percentile("p", 0.9).alias("top"))
     g = a.join(q, ["exchange", "symbol"]).groupBy("exchange", "symbol", "top").agg(F.count_if(F.col("p") >= 0.5).alias("signals"), F.avg(F.when(F.col("p") >= 0.5, F.col("r"))).alias("return"), F.avg(F.when(F.col("p") >= F.col("top"), F.col("r"))).alias("top_return"))
     return rounded(g)

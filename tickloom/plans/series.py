@@ -174,7 +174,7 @@ def b04(b):
 
 @query("b05_level_distance", "l2", f"""SELECT exchange, symbol, {r('min(d)', 'step')} FROM (SELECT exchange, symbol, abs(price - lag(price) OVER ({W})) AS d FROM l2) WHERE d > 0 GROUP BY exchange, symbol""")
 def b05(b):
-    d = b.withColumn("d", F.abs(F.col("price") - F.lag("price").over(ordered())))
+    d = windows.near(b, lambda x, s: x.withColumn("d", F.abs(F.col("price") - F.lag("price").over(ordered(s)))), 1)
     return rounded(d.where("d > 0").groupBy("exchange", "symbol").agg(F.min("d").alias("step")))
 
 
@@ -381,7 +381,8 @@ def f07(h):
 b AS (SELECT *, i - row_number() OVER (PARTITION BY exchange, symbol, f ORDER BY ts, seq) AS g FROM a)
 SELECT exchange, symbol, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM b WHERE f GROUP BY exchange, symbol, g HAVING count(*) >= 5""")
 def f08(t):
-    return windows.islands(t.withColumn("same", F.col("side") == F.lag("side").over(ordered())), F.col("same")).where("n >= 5")
+    x = windows.near(t, lambda d, s: d.withColumn("same", F.col("side") == F.lag("side").over(ordered(s))), 1)
+    return windows.islands(x, F.col("same")).where("n >= 5")
 
 
 @query("f09_volume_tick_gaps", "ticks", f"""WITH c AS (SELECT exchange, symbol, CAST(floor(sum(CAST(price * size AS DECIMAL(38,10))) OVER ({W}) / 500) AS BIGINT) AS k FROM ticks),

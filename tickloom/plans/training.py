@@ -17,7 +17,8 @@ _N = evaluation.horizon(0.9, 0.05)
 SELECT exchange, symbol, ts, seq, round(list_sum(list_transform(xs, lambda x, i: power(0.9, i - 1) * (x - k) / b)) * 1e6 / {_N}, 4) + 0.0 AS reward FROM a""")
 def l04(q):
     x = q.withColumns({c: F.col(c).cast("double") for c in ("bid", "ask")})
-    return x.select("exchange", "symbol", "ts", "seq", (F.round(evaluation.discounted_reward("bid", "ask", 0.9, 0.05), 4) + 0.0).alias("reward"))
+    x = windows.near(x, lambda d, s: d.withColumn("reward", F.round(evaluation.discounted_reward("bid", "ask", 0.9, 0.05, s), 4) + 0.0), 0, _N)
+    return x.select("exchange", "symbol", "ts", "seq", "reward")
 
 
 @query("l06_attribution_weights", "ticks", """WITH m AS (SELECT exchange, symbol, avg(CAST(price AS DOUBLE)) AS m, max(CAST(price AS DOUBLE)) AS z, min(CAST(price AS DOUBLE)) AS a FROM ticks GROUP BY exchange, symbol)
@@ -63,9 +64,13 @@ def _lagged(t):
     """Returns of the last rows as features, the next return as label."""
     from pyspark.ml.feature import VectorAssembler
 
-    w = ordered()
     p = F.col("price").cast("double")
-    x = t.select("exchange", "symbol", "ts", "seq", *[(p / F.lag(p, n).over(w) - 1).alias(f"r{n}") for n in (1, 2, 5)], (F.lead(p).over(w) / p - 1).alias("label"))
+
+    def returns(d, s):
+        w = ordered(s)
+        return d.withColumns({f"r{n}": p / F.lag(p, n).over(w) - 1 for n in (1, 2, 5)} | {"label": F.lead(p).over(w) / p - 1})
+
+    x = windows.near(t, returns, 5, 1).select("exchange", "symbol", "ts", "seq", "r1", "r2", "r5", "label")
     return VectorAssembler(inputCols=["r1", "r2", "r5"], outputCol="features").transform(x.dropna())
 
 
@@ -102,7 +107,8 @@ c AS (SELECT sum(CASE WHEN g > 0 THEN 1 + g ELSE 0 END) AS tp, sum(CASE WHEN s >
 SELECT round(tp, 4) AS tp, round(fp, 4) AS fp, round(fn, 4) AS fn, round(tp / (tp + 0.5 * (fp + fn)), 6) AS f1 FROM c""")
 def l18(t):
     p = F.col("price").cast("double")
-    x = t.select(F.when(F.col("size") < 3, 0).otherwise(F.col("side")).alias("s"), (p / F.lag(p).over(ordered())).alias("l")).dropna()
+    x = windows.near(t, lambda d, s: d.withColumn("l", p / F.lag(p).over(ordered(s))), 1)
+    x = x.select(F.when(F.col("size") < 3, 0).otherwise(F.col("side")).alias("s"), "l").dropna()
     out = evaluation.weighted_f1(x, F.col("s"), F.col("l"), F.lit(1.0))
     return out.select(*[F.round(c, 4).alias(c) for c in ("tp", "fp", "fn")], F.round("f1", 6).alias("f1"))
 
@@ -158,7 +164,7 @@ def g20(t):
 SELECT exchange, symbol, round(b / sqrt((y - b * b * x) / (n - 2) / x), 4) AS t, b / sqrt((y - b * b * x) / (n - 2) / x) <= -2.86 AS stationary FROM s""")
 def g24(t):
     p = F.col("price").cast("double")
-    x = t.withColumn("q", F.lag(p).over(ordered())).withColumn("d", p - F.col("q"))
+    x = windows.near(t, lambda r, s: r.withColumn("q", F.lag(p).over(ordered(s))), 1).withColumn("d", p - F.col("q"))
     return evaluation.dickey_fuller(x, ["exchange", "symbol"], "d", "q").withColumn("t", F.round("t", 4))
 
 
@@ -217,10 +223,14 @@ b AS (SELECT *, CASE WHEN q > p AND q > r THEN q END AS peak, CASE WHEN q < p AN
 SELECT exchange, symbol, ts, seq, round(coalesce(last_value(peak IGNORE NULLS) OVER ({W}), 99999), 6) AS peak, round(coalesce(last_value(valley IGNORE NULLS) OVER ({W}), 0), 6) AS valley FROM b""")
 def j18(t):
     """A peak is known one row after it."""
-    p, w = F.col("price").cast("double"), ordered()
-    q, r = F.lag(p, 1).over(w), F.lag(p, 2).over(w)
-    x = t.withColumns({"peak": F.when((q > p) & (q > r), q), "valley": F.when((q < p) & (q < r), q)})
-    filled = {"peak": F.coalesce(windows.ffill("peak"), F.lit(99999.0)), "valley": F.coalesce(windows.ffill("valley"), F.lit(0.0))}
+
+    def turns(d, s):
+        p, w = F.col("price").cast("double"), ordered(s)
+        q, r = F.lag(p, 1).over(w), F.lag(p, 2).over(w)
+        return d.withColumns({"peak": F.when((q > p) & (q > r), q), "valley": F.when((q < p) & (q < r), q)})
+
+    x = windows.filled(windows.near(t, turns, 2), {"peak": "peak", "valley": "valley"})
+    filled = {"peak": F.coalesce("peak", F.lit(99999.0)), "valley": F.coalesce("valley", F.lit(0.0))}
     return rounded(x.withColumns(filled).select("exchange", "symbol", "ts", "seq", "peak", "valley"))
 
 
