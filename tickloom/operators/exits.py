@@ -168,6 +168,20 @@ def dip_and_return(rows: DataFrame, value: Column, level: Column, wait: int) ->
     return r.groupBy("id").agg(F.first("dip_ix").alias("dip_ix"), F.first("back_ix").alias("back_ix"), F.min_by("ix", F.when(inside, F.struct("__v", "ix"))).alias("least_ix"), F.min_by("ts", F.when(inside, F.struct("__v", "ix"))).alias("least_ts"))
 
 
+def _lowest_since_greater(x):
+    """For each value the lowest one back to it from after the last greater value before it; a stack of falling values, one pass."""
+    import numpy as np
+
+    out, stack = np.empty(len(x)), []
+    for i, v in enumerate(x.tolist()):
+        low = v
+        while stack and stack[-1][0] <= v:
+            low = min(low, stack.pop()[1])
+        out[i] = low
+        stack.append((v, low))
+    return out
+
+
 def peaks(rows: DataFrame, value: str, height: float, distance: int, prominence: float) -> DataFrame:
     """Local maxima of each deal: strict against both sides, at least `height`, the higher of two closer than `distance` rows (the later
     on ties), with a prominence of `prominence` or more. Prominence is the height over the higher of the two lowest values between the
@@ -181,15 +195,12 @@ def peaks(rows: DataFrame, value: str, height: float, distance: int, prominence:
         x = pdf["v"].to_numpy()
         at = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:]) & (x[1:-1] >= height)) + 1
         alive = np.ones(len(at), bool)
-        for i in np.lexsort((at, x[at]))[::-1]:
+        for i in np.lexsort((at, x[at]))[::-1]:  # the highest first; it ends those near it on both sides
             if alive[i]:
-                alive &= (np.abs(at - at[i]) >= distance) | (at == at[i])
-        at, out = at[alive], []
-        for p in at:
-            left, right = np.flatnonzero(x[:p] > x[p]), np.flatnonzero(x[p + 1 :] > x[p])
-            a, z = (left[-1] + 1 if len(left) else 0), (p + 1 + right[0] if len(right) else len(x))
-            out.append(x[p] - max(x[a : p + 1].min(), x[p:z].min()))
-        out = np.array(out, float)
+                alive[np.searchsorted(at, at[i] - distance, "right") : i] = False
+                alive[i + 1 : np.searchsorted(at, at[i] + distance, "left")] = False
+        at = at[alive]
+        out = x[at] - np.maximum(_lowest_since_greater(x)[at], _lowest_since_greater(x[::-1])[::-1][at])
         return pdf.iloc[at][["id", "ts", "seq", "v"]].assign(prominence=out)[out >= prominence]
 
     x = rows.where(F.col(value).isNotNull()).select("id", "ts", "seq", F.col(value).cast("double").alias("v"))
