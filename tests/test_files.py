@@ -56,3 +56,28 @@ def test_points_that_share_tags_after_retagging_become_one(spark):
     df = spark.createDataFrame(rows, "ts timestamp, value double, tags map<string,string>")
     got = store.retagged(df, "b", ["side"]).orderBy("value").collect()
     assert [(r["value"], r["tags"]) for r in got] == [(2.0, {"measurement": "b"}), (3.0, {"measurement": "c", "side": "x"})]
+
+
+def test_quotes_and_header_readers(spark, tmp_path):
+    import gzip
+
+    from tickloom.sources import ticks
+
+    def write(name, text):
+        with gzip.open(tmp_path / name, "wt") as f:
+            f.write(text)
+
+    write("20240102_quote.csv.gz", "1.5,100.25,-2,3\n2,100,4,0\nbad,1,1,1\n3,x,1,1\n")
+    q = ticks.quotes(spark, str(tmp_path / "*_quote*"), "A", "2024-01-01", "2024-01-03").orderBy("seq").collect()
+    assert [(r["ts"].second, float(r["size"]), r["count"], r["side"]) for r in q][:2] == [(1, -2.0, 3, -1), (2, 4.0, 0, 1)]
+    head = "timestamp,symbol,side,size,price,tickDirection,grossValue,homeNotional,foreignNotional\n"
+    row = "2024-01-02D00:00:0{i}.000000000,{s},{side},5,100.5,Zero,7,0.05,5\n"
+    write("20240102_rich.csv.gz", head + row.format(i=1, s="A", side="Buy") + row.format(i=2, s="B", side="Buy") + row.format(i=3, s="A", side="Sell"))
+    t = ticks.rich_trades(spark, str(tmp_path / "*_rich*"), "A", "2024-01-01", "2024-01-02").orderBy("seq").collect()
+    assert [(r["ts"].second, r["side"], r["homeNotional"]) for r in t] == [(1, 1, 0.05), (3, -1, 0.05)]
+    write("20240102_book.csv.gz", "timestamp,symbol,bidSize,bidPrice,askPrice,askSize\n2024-01-02D00:00:01.500000000,A,3,99.5,100.5,4\n2024-01-05D00:00:01.500000000,A,3,1,2,4\n")
+    b = ticks.rich_quotes(spark, str(tmp_path / "*_book*"), "A", "2024-01-01", "2024-01-02").collect()
+    assert [(r["bid"], r["ask"], r["bid_size"], r["ask_size"]) for r in b] == [(99.5, 100.5, 3.0, 4.0)]
+    write("20240102_deal.csv.gz", "1.0,100,2,Buy\n")
+    both = ticks.load_trades(spark, [("plain", str(tmp_path / "*_deal*"), "A"), ("rich", str(tmp_path / "*_rich*"), "A")], "2024-01-01", "2024-01-02")
+    assert sorted(r["exchange"] for r in both.collect()) == ["plain", "rich", "rich"]

@@ -8,12 +8,31 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.bars import delta_sampling, size_delta
+from tickloom.operators.bars import best_prices, delta_sampling, size_delta
 from tickloom.operators.windows import SERIES, carried, near
 
 SIDES = {"bid": 1, "ask": -1}
 
 
+def clean_updates(l2: DataFrame, distance: float) -> DataFrame:
+    """Level updates with the best prices after them (carried forward, then backward) and their level, `distance` apart.
+
+    Updates without price or size, or strictly between the best prices, are dropped; an update that empties a level has size 0;
+    an ask under the best ask and a bid over the best bid change sides.
+    """
+    best = best_prices(l2.where("price IS NOT NULL AND size IS NOT NULL")).select(*SERIES, "ts", "seq", "best_bid", "best_ask")
+    known = {f"__{c}_{k}": (k, F.col(c)) for c in ("best_bid", "best_ask") for k in ("last", "next")}
+    best = carried(best, known).select(*SERIES, "ts", "seq", *[F.coalesce(f"__{c}_last", f"__{c}_next").alias(c) for c in ("best_bid", "best_ask")])
+    rows = l2.join(best, [*SERIES, "ts", "seq"]).withColumn("price", F.col("price").cast("double"))
+    rows = rows.where(~F.coalesce((F.col("best_bid") < F.col("price")) & (F.col("price") < F.col("best_ask")), F.lit(False)))
+    side = F.when(F.col("size") > 0, 1).otherwise(-1)
+    wrong = F.coalesce(F.when(side > 0, F.col("price") > F.col("best_bid")).otherwise(F.col("price") < F.col("best_ask")), F.lit(False))
+    rows = rows.withColumns({"side": F.when(wrong, -side).otherwise(side), "size": F.when(F.col("count") == 0, 0).otherwise(F.col("size"))})
+    near_side = F.when(F.col("side") > 0, F.col("best_bid") - F.col("price")).otherwise(F.col("price") - F.col("best_ask"))
+    level = F.abs(F.bround(near_side / distance) + 1).cast("int")
+    return rows.select(*SERIES, "ts", "seq", "side", "price", "size", "count", "best_bid", "best_ask", level.alias("level"))
+
+
 def book_levels(updates: DataFrame, levels: int) -> DataFrame:
     """Size and count of each side's first levels at every ts (the last update of a ts), carried forward.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions import indicators as ta
-from tickloom.operators import bars, trades, windows
+from tickloom.operators import bars, book, trades, windows
 from tickloom.plans.features import DAY, DAYS, D, LEDGER, day_series, ledger
 from tickloom.plans.registry import query, rounded, table_query
 from tickloom.plans.series import W, flow, with_price
@@ -167,6 +167,17 @@ def b02(b):
     return bars.clean_book(b).select("exchange", "symbol", "ts", "seq", text("bids").alias("bids"), text("asks").alias("asks"))
 
 
+@query("b02_clean_updates", "l2", f"""WITH RECURSIVE {_BOOKS}, be AS (SELECT exchange, symbol, ts, seq, list_max(bids) AS bb, list_min(asks) AS ba FROM r WHERE i > 0),
+fb AS (SELECT exchange, symbol, ts, seq, {', '.join(f'coalesce(last_value({c} IGNORE NULLS) OVER ({W}), first_value({c} IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}' for c in ('bb', 'ba'))} FROM be),
+u AS (SELECT exchange, symbol, ts, seq, CAST(price AS DOUBLE) AS price, size, count, bb, ba, CASE WHEN size > 0 THEN 1 ELSE -1 END AS s FROM l2 JOIN fb USING (exchange, symbol, ts, seq)),
+v AS (SELECT *, CASE WHEN coalesce(CASE WHEN s > 0 THEN price > bb ELSE price < ba END, false) THEN -s ELSE s END AS side FROM u WHERE NOT coalesce(bb < price AND price < ba, false))
+SELECT exchange, symbol, ts, seq, side, price, CAST(CASE WHEN count = 0 THEN 0 ELSE size END AS BIGINT) AS size, bb AS best_bid, ba AS best_ask, CAST(abs(round_even(CASE WHEN side > 0 THEN bb - price ELSE price - ba END / 0.5, 0) + 1) AS INT) AS level FROM v""")
+def b02_updates(b):
+    """Updates between the best prices dropped, sides put right, levels counted from the best price."""
+    out = book.clean_updates(b, 0.5)
+    return out.select("exchange", "symbol", "ts", "seq", "side", "price", F.col("size").cast("long").alias("size"), "best_bid", "best_ask", "level")
+
+
 _SAR = """s0 AS MATERIALIZED (SELECT day, h, l, row_number() OVER (ORDER BY day) AS i FROM a),
 {n} AS (SELECT i, l AS bl, h AS bh, 0 AS side, 0.0::DOUBLE AS stop, 0.0::DOUBLE AS best, 0.0::DOUBLE AS share, CAST(NULL AS DOUBLE) AS v FROM s0 WHERE i = 1 UNION ALL
 SELECT i, l, h, side, least(CASE WHEN nshare > 0 THEN stop + nshare * (nbest - stop) END, CASE WHEN side > 0 THEN ol ELSE -oh END, CASE WHEN side > 0 THEN l ELSE -h END), nbest, nshare, CASE WHEN {signed} THEN stop ELSE stop * side END FROM (
