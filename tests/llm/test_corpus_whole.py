@@ -235,6 +235,8 @@ def test_pages_without_a_leak_or_a_loss():
         f"<article><h1 class='header'>One</h1><p class='legal'>{words(4)}</p><div class='more'>{words(5)}</div></article>": 10,
         f"<article>teaser</article><div><p>{words(200)}</p><p>{words(100)}</p></div>": 300,
         f"<div class='wrapper has-sidebar'>{body}</div><form>{words(9, 'x')}</form>": 40,
+        f"<div class='site-header'>{words(30, 'x')}</div><ul class='page-nav'><li>{words(9, 'x')}</ul>{body}<div class='site-footer'>{words(30, 'x')}</div>": 40,
+        f"<div class='content'><div class='post-share'>{words(9, 'x')}</div>{body}<div id='post-comments'><p>{words(60, 'x')}</p></div></div>": 40,
         f"<form id=page><nav>{words(5, 'x')}</nav><h1>One</h1>{body}</form>": 41,
         f"<article><h1>One two</h1><div class='ad'>{words(9, 'x')}</div><p>{words(300)}</p></article>": 302,
     }

@@ -52,7 +52,7 @@ TALK = frozenset("comment comments commentlist disqus reply replies respond rela
 WEAK = frozenset(
     "banner menu side aside rail bottom header discussion feedback notice notices notification alert register search more hidden privacy legal copyright complementary skip".split()
 )
-LAYOUT = frozenset("has with no is without page site layout body".split())
+LAYOUT = frozenset("has with no is without".split())
 
 _OPEN = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _STOP = re.compile(r"[>\"']")
