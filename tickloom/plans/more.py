@@ -168,12 +168,13 @@ def s22(t):
     return left.groupBy(tag("exchange").alias("exchange"), tag("asset").alias("asset"), tag("side").alias("side")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s24_wide", "ticks", f"""WITH {HOURLY} SELECT ts, max(value) FILTER (symbol = 'S0') AS "asset-S0|exchange-X|measurement-bars|side-1", max(value) FILTER (symbol = 'S1') AS "asset-S1|exchange-X|measurement-bars|side-1"
-FROM h WHERE side = '1' AND exchange = 'X' AND symbol IN ('S0', 'S1') GROUP BY ts""")
+_NAMED = ", ".join(f"max(value) FILTER (symbol = 'S{i}' AND exchange = '{x}') AS \"asset-S{i}|exchange-{x}|measurement-bars|side-1\"" for i in range(5) for x in "XY")
+
+
+@query("s24_wide", "ticks", f"WITH {HOURLY} SELECT ts, {_NAMED} FROM h WHERE side = '1' GROUP BY ts")
 def s24(t):
-    """Two series side by side; without `more` it is an error."""
-    two = hourly(t).where(F.col("tags")["asset"].isin("S0", "S1"))
-    return store.wide(two, {"measurement": "bars", "exchange": "X", "side": "1"}, more=True)
+    """All series of one side, side by side; without `more` several series are an error."""
+    return store.wide(hourly(t), {"measurement": "bars", "side": "1"}, more=True)
 
 
 @query("s41_keep_if_better", "ticks", """WITH o AS (SELECT exchange, symbol, CAST(isodow(ts) AS INT) AS day, max(CAST(price AS DOUBLE)) AS profit FROM ticks WHERE seq % 2 = 0 GROUP BY 1, 2, 3), n AS (SELECT exchange, symbol, CAST(isodow(ts) AS INT) AS day, max(CAST(price AS DOUBLE)) AS profit FROM ticks WHERE seq % 2 = 1 GROUP BY 1, 2, 3)

@@ -53,13 +53,12 @@ def w06_deviation(d):
     return days(ta.with_ewm_std(x, "x", 10, "volatility"), "volatility")
 
 
-@query("g12_volatility_weighted", "ticks", f"""WITH r AS (SELECT exchange, symbol, ts, seq, row_number() OVER ({W}) AS i, 1 + (CAST(price AS DOUBLE) - lag(CAST(price AS DOUBLE)) OVER ({W})) / CAST(price AS DOUBLE) AS x FROM ticks WHERE symbol = 'S0'),
-l AS (SELECT *, list(x) FILTER (x IS NOT NULL) OVER ({W} ROWS 600 PRECEDING) AS xs FROM r), s AS (SELECT exchange, symbol, ts, seq, xs, {_SUMS} FROM l)
+@query("g12_volatility_weighted", "ticks", f"""WITH r AS (SELECT exchange, symbol, ts, seq, row_number() OVER ({W}) AS i, 1 + (CAST(price AS DOUBLE) - lag(CAST(price AS DOUBLE)) OVER ({W})) / CAST(price AS DOUBLE) AS x FROM ticks),
+l AS (SELECT *, list(x) FILTER (x IS NOT NULL) OVER ({W} ROWS 300 PRECEDING) AS xs FROM r), s AS (SELECT exchange, symbol, ts, seq, xs, {_SUMS} FROM l)
 SELECT exchange, symbol, ts, seq, CASE WHEN len(xs) > 1 THEN {column('sqrt(greatest(q / s - power(m / s, 2), 0) * s * s / (s * s - s2))', 'x')[:-5]} END AS volatility FROM s""")
 def g12_weighted(t):
-    """The same over the ticks of one symbol; the SQL stops at 600 rows back, where weights are under 1e-50."""
-    x = with_price(t.where("symbol = 'S0'"))
-    x = windows.near(x, lambda r, s: r.withColumn("x", 1 + (F.col("p") - F.lag("p").over(windows.ordered(s))) / F.col("p")), 1)
+    """The same over all ticks; the SQL looks 300 rows back, where weights are under 1e-26."""
+    x = windows.near(with_price(t), lambda r, s: r.withColumn("x", 1 + (F.col("p") - F.lag("p").over(windows.ordered(s))) / F.col("p")), 1)
     out = ta.with_ewm_std(x, "x", 10, "volatility")
     return out.select("exchange", "symbol", "ts", "seq", (F.round("volatility", 5) + 0.0).alias("volatility"))
 
