@@ -41,6 +41,8 @@ TEXT_CHARS = 40_000
 TOTAL_CHARS = 2_000_000
 LONGEST = 200_000
 MAX_LANGS = 200
+#: Parts of a language that are ranked apart first.
+PARTS = 32
 #: Letters up to which an automaton is a full table, and bytes of all full tables together.
 WIDE = 128
 DENSE_BYTES = 96 << 20
@@ -57,8 +59,10 @@ def labelled_text(docs: DataFrame) -> dict[str, str]:
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     size, digest = F.char_length("text"), F.xxhash64("text")
     one = rows.where(size <= LONGEST).groupBy("lang", "doc_id").agg(F.min(F.struct(size.alias("n"), digest.alias("d"))).alias("t"))
-    order = Window.partitionBy("lang").orderBy(F.col("t.n") > ROW_CHARS, F.xxhash64("doc_id"), "doc_id")
-    ranked = one.withColumn("i", F.row_number().over(order)).where(F.col("i") <= ROWS)
+    order = [F.col("t.n") > ROW_CHARS, F.xxhash64("doc_id"), "doc_id"]
+    ranked = one.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
+    for keys in (("lang", "part"), ("lang",)):  # first inside parts of a language, so that one language is not one task
+        ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("i") <= ROWS)
     ids = ranked.select("lang", "doc_id", "t.n", "t.d", "i").orderBy("lang", "i").limit(ROWS * MAX_LANGS + 1).collect()
     langs = {r["lang"] for r in ids}
     if len(langs) > MAX_LANGS or len(ids) > ROWS * MAX_LANGS:
