@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.windows import SERIES, carried, leading, near, ordered
@@ -95,8 +95,9 @@ def purged_folds(df: DataFrame, k: int, purge: int) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Weights by class: flat rows sum to 0.5, long and short rows to 0.25 each."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return df.withColumn("weight", F.when(F.col(label) == 0, 0.5).otherwise(0.25) / n)
+    n = df.groupBy(F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = df.join(n, F.col(label).eqNullSafe(F.col("__l")))
+    return rows.withColumn("weight", F.when(F.col(label) == 0, 0.5).otherwise(0.25) / F.col("__n")).drop("__l", "__n")
 
 
 def pinball(y: Column, p: Column, q: float) -> Column:

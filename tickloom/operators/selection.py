@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import SERIES, ordered
+from tickloom.operators.windows import SERIES, carried
 
 
 def summaries(df: DataFrame, price: str, by: list[str], order: list[str], compat: bool = False) -> DataFrame:
@@ -71,15 +71,17 @@ def chunk_order(df: DataFrame, k: int, by=SERIES, order=("ts", "seq")) -> DataFr
     So each k-th of the new order has a chunk from the start, the middle and the end. `ix` is a row's old, `new_ix` its new position.
     """
     kk = k * k
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    rows = df.withColumns({"ix": F.row_number().over(ordered(by, order)) - 1, "__n": n})
+    rows = carried(df, {"ix": ("sum", F.lit(1)), "__n": ("total", F.lit(1))}, series=tuple(by), order=tuple(order)).withColumn("ix", F.col("ix") - 1)
     size, more, ix = F.floor(F.col("__n") / kk), F.col("__n") % kk, F.col("ix")
     long = more * (size + 1)
     chunk = F.when(ix < long, F.floor(ix / (size + 1))).otherwise(more + F.floor((ix - long) / F.nullif(size, F.lit(0)))).cast("long")
     rows = rows.withColumns({"chunk": chunk})
     rows = rows.withColumn("place", (F.floor(F.col("chunk") / k) + k * (F.col("chunk") % k)).cast("long"))
-    new = F.row_number().over(Window.partitionBy(*by).orderBy("place", "ix")) - 1
-    return rows.withColumn("new_ix", new).drop("__n")
+    # Rows before a chunk's new place: those of the chunks put before it, of which some are a row longer.
+    put = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(kk - 1).cast("long")), lambda q: q < F.col("place"))
+    longer = F.size(F.filter(put, lambda q: (q % k) * k + F.floor(q / k) < more))
+    first = F.col("chunk") * size + F.least(F.col("chunk"), more)
+    return rows.withColumn("new_ix", (F.col("place") * size + longer + ix - first).cast("long")).drop("__n")
 
 
 def sampled(df: DataFrame, key: Column, share: float, seed: str = "") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import SERIES, START, fold_ordered
+from tickloom.operators.windows import SERIES, START, carried, fold_ordered
 
 
 def round_trips(ledger: DataFrame, strategy: str, order: str, price: str, direction: str, fee: float) -> DataFrame:
@@ -57,11 +57,14 @@ def opportunity(rows: DataFrame, close: str, n: int, series=SERIES) -> DataFrame
     return rows.withColumn("to_high", F.max(close).over(w) - F.col(close)).withColumn("to_low", F.col(close) - F.min(close).over(w))
 
 
-def best_threshold(rows: DataFrame, signal: str, pnl: str, by: list[str]) -> DataFrame:
-    """Signal value at the highest cumulative P&L when trades are taken from the strongest signal down."""
-    w = Window.partitionBy(*by).orderBy(F.desc(signal), "seq").rowsBetween(START, 0)
-    cum = rows.withColumn("__c", F.sum(pnl).over(w))
-    return cum.groupBy(*by).agg(F.max_by(signal, F.struct("__c", -F.col("seq"))).alias("threshold"), F.max("__c").alias("total"))
+def best_threshold(rows: DataFrame, signal: str, pnl: str, by: list[str], step: float = 1.0) -> DataFrame:
+    """Signal value at the highest cumulative P&L when deals are taken from the strongest signal down.
+
+    The running sum is carried over chunks of `step` of the signal, so no series is one task.
+    """
+    ranked = rows.withColumn("__s", -F.col(signal))
+    cum = carried(ranked, {"__total": ("sum", F.col(pnl))}, chunk=F.floor(F.col("__s") / step), series=tuple(by), order=("__s", "seq"))
+    return cum.groupBy(*by).agg(F.max_by(signal, F.struct("__total", -F.col("seq"))).alias("threshold"), F.max("__total").alias("total"))
 
 
 def position_sizes(ledger: DataFrame, strategy: str, order: str, direction: str, timing: str) -> DataFrame:
