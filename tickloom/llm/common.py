@@ -31,10 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def owned(spark: SparkSession, name: str) -> str:
+    """A folder of the shared one that `clear` deletes."""
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}")
+    return _WRITTEN[-1]
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage is cut, lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = owned(df.sparkSession, f"{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import chat, decontaminate, divergence, html, langid, licenses, mixing, quality, repeats, simhash, toxicity
+from tickloom.llm import chat, decontaminate, divergence, html, langid, licenses, mixing, quality, repeats, simhash, spelling, tokens, toxicity
 from tickloom.llm.common import table
 
 
@@ -57,6 +57,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = tokens.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.through_files(table(spark, sf_dir, "documents"), vocabulary, by_word=True)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -70,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     named = (
         op1_quality_rules, op2_license_scan, op3_simhash, op4_chat_format, op5_decontaminate, op6_language_id,
-        op7_toxicity, op8_html_extract, op9_repeated_strings, op10_mixing, op13_source_divergence, pipeline,
+        op7_toxicity, op8_html_extract, op9_repeated_strings, op10_mixing, op11_spelling_variants, op12_token_files, op13_source_divergence, pipeline,
     )
     return {f.__name__: f for f in named}
 
@@ -80,5 +91,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality.oracle(),
         "op4_chat_format": chat.oracle(),
         "op5_decontaminate": decontaminate.oracle(),
+        "op11_spelling_variants": spelling.oracle(),
         "op13_source_divergence": divergence.oracle(),
     }
