@@ -45,7 +45,9 @@ KNOWN_BYTES = 192 << 20
 STEP = 256
 MAX_VOCAB = 32 << 20
 
-_HEADER = struct.Struct("<8sIIQQQqII")
+#: Mark, part, piece, documents, those without doc_id, ids, first doc_id, bytes of an id, 0.
+_HEADER = "<8sIIQQQqII"
+_HEAD = struct.calcsize(_HEADER)
 _MAGIC = b"tokenid1"
 
 
@@ -120,12 +122,12 @@ class TokenFile:
     """Random access to the documents of one file's bytes."""
 
     def __init__(self, data):
-        self.magic, self.part, self.piece, self.n_docs, self.n_null, self.n_ids, self.first, width, _ = _HEADER.unpack_from(data, 0)
+        self.magic, self.part, self.piece, self.n_docs, self.n_null, self.n_ids, self.first, width, _ = struct.unpack_from(_HEADER, data)
         if self.magic != _MAGIC:
             raise ValueError("not a file of token ids")
         view = memoryview(data)
-        self.all_ids = np.frombuffer(view, f"<u{width}", self.n_ids, _HEADER.size)
-        self.bounds, at = EliasFano.read(view, _HEADER.size + self.n_ids * width)
+        self.all_ids = np.frombuffer(view, f"<u{width}", self.n_ids, _HEAD)
+        self.bounds, at = EliasFano.read(view, _HEAD + self.n_ids * width)
         self.keys, _ = EliasFano.read(view, at)
 
     def offsets(self, i) -> np.ndarray:
@@ -155,7 +157,7 @@ def pack(part: int, piece: int, doc_ids: list[int | None], ids: list[bytes], wid
     bounds = np.concatenate([[0], np.cumsum([len(x) // width for x in ids], dtype=np.int64)]).astype(np.uint64)
     first = int(known[0]) if len(known) else 0
     keys = known.astype(np.uint64) - np.uint64(first & (1 << 64) - 1)
-    head = _HEADER.pack(_MAGIC, part, piece, len(doc_ids), len(doc_ids) - len(known), int(bounds[-1]), first, width, 0)
+    head = struct.pack(_HEADER, _MAGIC, part, piece, len(doc_ids), len(doc_ids) - len(known), int(bounds[-1]), first, width, 0)
     return b"".join([head, *ids, EliasFano.of(bounds).to_bytes(), EliasFano.of(keys).to_bytes()])
 
 
@@ -280,15 +282,15 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as unsigned 32-bit numbers) of all documents in the files."""
     import pyarrow as pa
 
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") >= _HEADER.size)
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") >= _HEAD)
 
     def heads(batches):
         for batch in batches:
-            found = [_HEADER.unpack(x) for x in batch.column(0).to_pylist()]
+            found = [struct.unpack(_HEADER, x) for x in batch.column(0).to_pylist()]
             columns = [pa.array([h[i] for h in found], pa.int64()) for i in (1, 2, 5)]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "piece", "n_ids"])
 
-    starts = files.select(F.substring("content", 1, _HEADER.size).alias("head")).mapInArrow(heads, "part long, piece long, n_ids long")
+    starts = files.select(F.substring("content", 1, _HEAD).alias("head")).mapInArrow(heads, "part long, piece long, n_ids long")
     before = F.sum("n_ids").over(Window.orderBy("part", "piece")) - F.col("n_ids")  # one row a file
     starts = starts.select("part", "piece", before.alias("before"))
     names = ["part", "piece", "doc_id", "at", "n_tokens", "ids_crc32"]
