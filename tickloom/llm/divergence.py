@@ -1,13 +1,14 @@
 """How the sources of a language differ in their words, by chunk factorization.
 
-1. Every document's white-space chunks (A-Z lower-cased) are counted, and the counts of a task's documents are added up before
-   anything is shuffled: a chunk of a (lang, source) group becomes one row with its occurrences, its documents, and the first and
-   the last of them.
-2. Every globally distinct chunk is cut into terms once. The terms are joined back to the chunk's rows; sums over them
-   give the occurrences of every term in every group.
+1. Every document's white-space chunks (A-Z lower-cased, ASCII signs and digits at their ends cut off) are counted, and the counts of a
+   task's documents are added up before anything is shuffled: a chunk of a (lang, source) group becomes one row with its
+   occurrences, its documents, and the first and the last of them.
+2. In its chunk's partition every globally distinct chunk is cut into terms once, at its first row, and its other rows take the
+   terms over. Sums over them give the occurrences of every term in every group, one row a term with a list of its sources.
 3. A term is kept in a language if MIN_DOCS of its documents have it. A document can have a term in several chunks, so documents
    of chunks are not added up: one chunk with MIN_DOCS documents is enough; where all chunks of a term have fewer, their first and
-   last document are all they have, and the distinct ones among these are counted.
+   last document are all they have. One that lies between the term's first and last is a third; if the sources' own first and
+   last show none, the distinct ones of all chunks are counted.
 4. With exact integers p = 1 + floor(SCALE * (count + 1) / (N + V)), two sources differ in a term by floor((p - q)^2 / q). Pairs
    are summed in blocks of terms: a block holds the p of all its terms in all sources (sources without the term have the p of
    count 0) and gives one partial sum a pair. No row is made for a pair and a term.
@@ -34,6 +35,8 @@ MIN_DOCS = 3
 SCALE = 1_000_000_000
 TOP = 200
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What is cut off at the ends of chunks: no term has it.
+ENDS = bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122))
 #: Chunks that a task counts before it passes them on.
 HELD = 400_000
 #: Numbers (terms times sources) that a block of pair sums holds, and the sources of one side of it.
@@ -55,25 +58,29 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
 
     def packed(held: dict):
         for (lang, source), chunks in held.items():
-            chunks = chunks or {b"": [0, 0, 0, 0]}
-            made = np.array(list(chunks.values()), dtype=np.int64).T
-            of = [pa.array([x] * len(chunks), pa.string()) for x in (lang, source)]
-            yield pa.RecordBatch.from_arrays([*of, pa.array(list(chunks), pa.binary()), *[pa.array(x) for x in made]], names=names)
+            if chunks:
+                made = np.array(list(chunks.values()), dtype=np.int64).T
+                of = [pa.array([x] * len(chunks), pa.string()) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(list(chunks), pa.binary()), *[pa.array(x) for x in made]], names=names)
 
     def run(batches):
         held, n = {}, 0
         for batch in batches:
             for lang, source, text, row in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 own = held.setdefault((lang, source), {})
+                n -= len(own)
                 for chunk, times in Counter(text.lower().split()).items():
+                    chunk = chunk.strip(ENDS)
                     known = own.get(chunk)
                     if known is None:
                         own[chunk] = [times, 1, row, row]
-                        n += 1
-                    else:
-                        known[0] += times
+                        continue
+                    known[0] += times
+                    if known[3] != row:  # else the same document has it with other ends
                         known[1] += 1
                         known[3] = row
+                own.pop(b"", None)
+                n += len(own)
                 if n > HELD:
                     yield from packed(held)
                     held, n = {}, 0
@@ -83,22 +90,33 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
     return made.withColumn("chunk", F.col("chunk").cast("string"))
 
 
-def term_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, source) of all groups, and lang, source, term, n of all kept terms of their languages that a group has."""
-    chunks = chunk_counts(docs).groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    chunks = materialise(chunks, "divergence-chunks")
-    groups = chunks.select("lang", "source").distinct()
-    terms = chunks.select("chunk").distinct().withColumn("terms", F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).where(F.size("terms") > 0)
-    each = terms.select("chunk", F.explode("terms").alias("term")).groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
-    rows = materialise(chunks.where("docs > 0").join(each, "chunk").select("lang", "source", "term", F.expr("n * times AS n"), "docs", "lo", "hi"), "divergence-terms")
-
-    by_lang = rows.groupBy("lang", "term").agg(F.max("docs").alias("most"), F.sum("docs").alias("all"))
-    sure = by_lang.where(F.col("most") >= MIN_DOCS).select("lang", "term")
-    open_ = by_lang.where((F.col("most") < MIN_DOCS) & (F.col("all") >= MIN_DOCS)).select("lang", "term")
+def term_counts(docs: DataFrame) -> DataFrame:
+    """lang, term, n (occurrences in the language) and items (source and n of the sources that have it) of the kept terms."""
+    sums = [F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    # Rows of a task are sums already, so they are shuffled as they are; then a chunk has one row a group.
+    chunks = chunk_counts(docs).repartition("chunk", "lang", "source").groupBy("chunk", "lang", "source").agg(*sums)
+    w = Window.partitionBy("chunk").orderBy("lang", "source")  # one row a group
+    chunks = chunks.withColumn("__at", F.row_number().over(w))
+    chunks = chunks.withColumn("__terms", F.when(F.col("__at") == 1, F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))))
+    chunks = chunks.withColumn("__terms", F.first("__terms", True).over(w))
+    rows = materialise(chunks.select("lang", "source", F.explode("__terms").alias("term"), "n", "docs", "lo", "hi"), "divergence-rows")
+
+    groups = rows.groupBy("lang", "source", "term").agg(*sums, F.max("docs").alias("most"))
+    item = F.struct("source", "n", "lo", "hi")
+    terms = groups.groupBy("lang", "term").agg(
+        F.sum("n").alias("n"), F.max("most").alias("most"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(item).alias("items")
+    )  # a list has one item a source
+    inside = lambda doc: (doc > F.col("lo")) & (doc < F.col("hi"))
+    third = F.exists("items", lambda x: inside(x["lo"]) | inside(x["hi"]))
+    sure = (F.col("most") >= MIN_DOCS) | third
+    terms = terms.where(sure | ((F.col("docs") >= MIN_DOCS) & (F.col("lo") < F.col("hi"))))
+    terms = terms.select("lang", "term", "n", F.transform("items", lambda x: F.struct(x["source"].alias("source"), x["n"].alias("n"))).alias("items"), sure.alias("sure"))
+    terms = materialise(terms, "divergence-terms")
+    open_ = terms.where("NOT sure").select("lang", "term")
     few = rows.join(open_, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.array("lo", "hi")).alias("doc")).distinct()
-    some = few.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("lang", "term")
-    counts = rows.join(sure.union(some), ["lang", "term"], "left_semi").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return groups, materialise(counts, "divergence-counts")
+    some = few.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS)
+    more = terms.where("NOT sure").join(some, ["lang", "term"], "left_semi")
+    return materialise(terms.where("sure").unionByName(more).drop("sure"), "divergence-kept")
 
 
 def _p(count, total, terms):
@@ -112,11 +130,11 @@ def _f(p, q):
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_sums(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item, value: summed differences of every two sources that share a language with kept terms.
 
-    `counts`: lang, source, term, p of what groups have; `groups`: lang, at (the source's number in it), source, p0 (p of count 0),
-    sources, terms (of the language). A block's task gets its terms' rows, and one row for each source.
+    `cells`: lang, term (a number), at, p of what groups have; `groups`: lang, at (the source's number in it), source, p0 (p of count
+    0), sources, terms (of the language). A block's task gets its terms' rows, and one row for each source.
     """
     import pandas as pd
 
@@ -126,15 +144,14 @@ def pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
     size = size.select("lang", blocks.alias("blocks"), sides.alias("sides"))
     side = F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side")
     block_of = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")
-    cells = counts.join(groups.select("lang", "source", "at"), ["lang", "source"]).join(size, "lang")
-    cells = cells.select("lang", block_of.alias("block"), "term", "at", "p", side)
-    known = groups.join(size, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("string").alias("term"), "at", F.col("p0").alias("p"), side)
+    cells = cells.join(size, "lang").select("lang", block_of.alias("block"), "term", "at", "p", side)
+    known = groups.join(size, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(-1).cast("long").alias("term"), "at", F.col("p0").alias("p"), side)
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
-        plain, own = rows[rows["term"].isna()].sort_values("at"), rows[rows["term"].notna()]
+        plain, own = rows[rows["term"] < 0].sort_values("at"), rows[rows["term"] >= 0]
         p0, lang, part = plain["p"].to_numpy(), plain["lang"].iloc[0], int(plain["side"].iloc[0])
-        term = pd.factorize(own["term"])[0]
-        p = np.repeat(p0[:, None], term.max() + 1 if len(term) else 0, axis=1)
+        known, term = np.unique(own["term"].to_numpy(), return_inverse=True)
+        p = np.repeat(p0[:, None], len(known), axis=1)
         p[own["at"].to_numpy(), term] = own["p"].to_numpy()
         out = []
         for i in range(part * SIDE, min((part + 1) * SIDE, len(p0))):
@@ -150,26 +167,28 @@ def pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank: every other source of the language (`pair`) and the leading terms (`term`) of every group."""
-    groups, counts = term_counts(docs)
-    w = Window.partitionBy("lang")
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"))
-    size = of_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n_lang").alias("total_lang"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    kept = term_counts(docs)
+    cells = kept.withColumn("number", F.monotonically_increasing_id()).select("lang", "number", "term", F.col("n").alias("n_lang"), F.explode("items").alias("x"))
+    cells = cells.select("lang", "number", "term", "n_lang", "x.source", "x.n")
+    size = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("total_lang"))
+    totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    none, w = F.lit(""), Window.partitionBy("lang")
+    groups = docs.select(F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source")).distinct()
     groups = groups.join(size, "lang", "left").join(totals, ["lang", "source"], "left")
     groups = groups.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("terms", "total", "total_lang")})
     groups = groups.withColumns({"at": F.row_number().over(w.orderBy("source")) - 1, "sources": F.count(F.lit(1)).over(w)})  # one row a group
     groups = materialise(groups, "divergence-groups")
 
-    p = counts.join(groups.select("lang", "source", "total", "terms"), ["lang", "source"]).select("lang", "source", "term", _p(F.col("n"), F.col("total"), F.col("terms")).alias("p"))
+    with_p = cells.join(groups.select("lang", "source", "at", "total", "terms", "total_lang"), ["lang", "source"])
+    with_p = with_p.withColumns({"p": _p(F.col("n"), F.col("total"), F.col("terms")), "q": _p(F.col("n_lang"), F.col("total_lang"), F.col("terms"))})
     with_terms = groups.where("terms > 0").select("lang", "source", "at", "sources", "terms", _p(F.lit(0).cast("long"), F.col("total"), F.col("terms")).alias("p0"))
-    sums = pair_sums(p, with_terms)
-    none = groups.where("terms = 0").select("lang", "source")
-    zero = none.join(none.withColumnRenamed("source", "item"), "lang").where("source <> item").withColumn("value", F.lit(0).cast("long"))
+    sums = pair_sums(with_p.select("lang", F.col("number").alias("term"), "at", "p"), with_terms)
+    without = groups.where("terms = 0").select("lang", "source")
+    zero = without.join(without.withColumnRenamed("source", "item"), "lang").where("source <> item").withColumn("value", F.lit(0).cast("long"))
     by_value = [F.desc("value"), F.asc("item")]
     pairs = sums.unionByName(zero).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*by_value)))
 
-    q = of_lang.join(size, "lang").select("lang", "term", _p(F.col("n_lang"), F.col("total_lang"), F.col("terms")).alias("q"))
-    lead = p.join(q, ["lang", "term"]).where("p > q").select("lang", "source", F.col("term").alias("item"), _f(F.col("p"), F.col("q")).alias("value"))
+    lead = with_p.where("p > q").select("lang", "source", F.col("term").alias("item"), _f(F.col("p"), F.col("q")).alias("value"))
     lead = lead.withColumn("__part", F.pmod(F.xxhash64("item"), F.lit(PARTS)))
     lead = lead.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "__part").orderBy(*by_value))).where(F.col("rank") <= top)
     lead = lead.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*by_value))).where(F.col("rank") <= top)
