@@ -10,7 +10,7 @@ from tickloom.sources import files
 
 def test_zipped_bars_of_a_range_of_days(spark, tmp_path):
     for day, rows in {"20240101": "0,1,2,0.5,1.5,10\n60000,1.5,3,1,2,5\n", "20240102": "1000,7,7,7,7,1\n", "20240103": "0,9,9,9,9,9\n"}.items():
-        with zipfile.ZipFile(tmp_path / f"{day}_trade.zip", "w") as z:
+        with zipfile.ZipFile(tmp_path / f"{day}_deal.zip", "w") as z:
             z.writestr("bars.csv", rows)
     got = files.bar_table(spark, str(tmp_path / "*.zip"), "deal", "2024-01-01", "2024-01-02").orderBy("ts").collect()
     assert [(r["ts"], r["close"]) for r in got] == [(dt.datetime(2024, 1, 1), 1.5), (dt.datetime(2024, 1, 1, 0, 1), 2.0), (dt.datetime(2024, 1, 2, 0, 0, 1), 7.0)]

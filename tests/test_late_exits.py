@@ -46,7 +46,7 @@ def test_peaks_equal_a_plain_search(spark):
 
 def test_twin_peaks_and_missing_exit(spark):
     df = held(spark, [1, 1, 9, 9, 2, 2, 7, 7, 1, 1, 0, 0], 1).unionByName(held(spark, [1, 2, 3, 4, 5, 6], 2))
-    rows = exits.trade_curves(df.withColumns({"price": F.col("v") + 100, "p0": F.lit(100.0), "direction": F.lit(1), "entry_ts": F.lit(T0)}))
+    rows = exits.deal_curves(df.withColumns({"price": F.col("v") + 100, "p0": F.lit(100.0), "direction": F.lit(1), "entry_ts": F.lit(T0)}))
     got = {r["id"]: r["exit_seq"] for r in exits.twin_peaks(rows, 2, 0.01).collect()}
     assert got == {1: 10, 2: None}
 

@@ -78,12 +78,12 @@ def test_upsert_is_idempotent(spark, tmp_path):
 
 
 def test_trades_reader_drops_corrupt_rows(spark, tmp_path):
-    with gzip.open(tmp_path / "20240102_trade.csv.gz", "wt") as f:
+    with gzip.open(tmp_path / "20240102_deal.csv.gz", "wt") as f:
         f.write("1.2345,100.5,-2,Sell\nbad,1,1,Buy\n2.0,101,3,Buy\n12345678901.0,1,1,Buy\n")
-    got = sources.trades(spark, str(tmp_path / "*_trade*"), "A", "2024-01-01", "2024-01-02").orderBy("seq").collect()
+    got = sources.trades(spark, str(tmp_path / "*_deal*"), "A", "2024-01-01", "2024-01-02").orderBy("seq").collect()
     assert [(r["side"], float(r["size"])) for r in got] == [(-1, 2.0), (1, 3.0)]
     assert got[0]["ts"] == dt.datetime(2024, 1, 2, 0, 0, 1, 234000)
-    assert sources.trades(spark, str(tmp_path / "*_trade*"), "A", "2025-01-01", "2025-01-02").isEmpty()
+    assert sources.trades(spark, str(tmp_path / "*_deal*"), "A", "2025-01-01", "2025-01-02").isEmpty()
 
 
 def test_streaming_unit_bars_equal_batch(spark, tmp_path):

@@ -51,7 +51,7 @@ def held_rows(entries: DataFrame, curve: DataFrame, by: list[str], bucket_s: int
     return rows.where((F.col("ts") > F.col("entry_ts")) & (F.col("ts") <= F.col("end"))).drop("__b")
 
 
-def trade_curves(held: DataFrame, price: str = "price") -> DataFrame:
+def deal_curves(held: DataFrame, price: str = "price") -> DataFrame:
     """Profit, relative profit, best profit so far, distance to it and minutes held, for each row a deal holds."""
     w = Window.partitionBy("id").orderBy("ts", "seq").rowsBetween(START, 0)
     rows = held.withColumn("profit", (F.col(price) - F.col("p0")) * F.col("direction"))
@@ -121,8 +121,8 @@ def sweep(rows: DataFrame, params: list[float], exit_rule) -> DataFrame:
     """
     at = F.struct("ts", "seq", "profit")
     exits = [F.coalesce(F.min(F.when(exit_rule(p), at)), F.max(at))["profit"] for p in params]
-    per_trade = rows.groupBy("id").agg(F.array(*[F.struct(F.lit(p).alias("param"), x.alias("profit")) for p, x in zip(params, exits)]).alias("__x"))
-    return per_trade.select(F.inline("__x")).groupBy("param").agg(F.sum("profit").alias("total"), F.count("profit").alias("trades"))
+    per_deal = rows.groupBy("id").agg(F.array(*[F.struct(F.lit(p).alias("param"), x.alias("profit")) for p, x in zip(params, exits)]).alias("__x"))
+    return per_deal.select(F.inline("__x")).groupBy("param").agg(F.sum("profit").alias("total"), F.count("profit").alias("trades"))
 
 
 def portfolio_side(orders: DataFrame, strategy: str, order: str, direction: str, stopped: Column) -> DataFrame:

@@ -27,7 +27,7 @@ def entries(t):
 
 def curves(t):
     curve = t.select("exchange", "symbol", "ts", "seq", F.col("price").cast("double").alias("price"), "side", "size")
-    return exits.trade_curves(exits.held_rows(entries(t), curve, ["exchange", "symbol"]))
+    return exits.deal_curves(exits.held_rows(entries(t), curve, ["exchange", "symbol"]))
 
 
 @query("x01_entries", "ticks", """WITH a AS (SELECT exchange, symbol, ts, seq, price <= 105 AS low, size >= 4 AS big, side > 0 AS buy, price >= 250 AS high FROM ticks),
@@ -47,7 +47,7 @@ def j11(t):
     return found.withColumn("strategies", F.array_join("strategies", ","))
 
 
-@query("x02_trade_curves", "ticks", f"""WITH {HELD} SELECT id, ts, seq, round(profit, 6) + 0.0 AS profit, round(profit / p0, 6) + 0.0 AS profit_rel, round(best, 6) + 0.0 AS best,
+@query("x02_deal_curves", "ticks", f"""WITH {HELD} SELECT id, ts, seq, round(profit, 6) + 0.0 AS profit, round(profit / p0, 6) + 0.0 AS profit_rel, round(best, 6) + 0.0 AS best,
 round(giveback, 6) + 0.0 AS giveback, round((epoch_us(ts) - epoch_us(entry_ts)) / 60e6, 6) + 0.0 AS elapsed FROM c""")
 def x02(t):
     return rounded(curves(t).select("id", "ts", "seq", "profit", "profit_rel", "best", "giveback", "elapsed"))

@@ -201,7 +201,7 @@ def b10(q):
     return rounded(windows.near(x, features, max(_SIZES)).select("exchange", "symbol", "ts", "seq", *names))
 
 
-@query("b11_rolling_trade_features", "ticks", "SELECT exchange, symbol, ts, seq, " + ", ".join(
+@query("b11_rolling_deal_features", "ticks", "SELECT exchange, symbol, ts, seq, " + ", ".join(
     f"count(CASE WHEN side > 0 THEN 1 END) OVER ({W} ROWS {n - 1} PRECEDING) AS buys_{n}, CAST(sum(side) OVER ({W} ROWS {n - 1} PRECEDING) AS BIGINT) AS net_count_{n}, {r(f'sum(side * size) OVER ({W} ROWS {n - 1} PRECEDING)', f'net_size_{n}')}" for n in _SIZES) + " FROM ticks")
 def b11(t):
     names = [c for n in _SIZES for c in (f"buys_{n}", f"net_count_{n}", f"net_size_{n}")]

@@ -212,7 +212,7 @@ def j06(spark, sf_dir):
     return rounded(h.drop("volume").join(b, ["exchange", "symbol", "ts"]))
 
 
-@table_query("j17_trade_volume", f"WITH {_H}, {_Q} SELECT exchange, symbol, ts, round(bid, 6) AS bid, coalesce(volume, 0.0) AS volume FROM q LEFT JOIN h USING (exchange, symbol, ts)")
+@table_query("j17_deal_volume", f"WITH {_H}, {_Q} SELECT exchange, symbol, ts, round(bid, 6) AS bid, coalesce(volume, 0.0) AS volume FROM q LEFT JOIN h USING (exchange, symbol, ts)")
 def j17(spark, sf_dir):
     h, b = _hours(spark, sf_dir)
     return rounded(b.join(h.drop("close"), ["exchange", "symbol", "ts"], "left").withColumn("volume", F.coalesce("volume", F.lit(0.0))))
