@@ -79,5 +79,6 @@ def test_quotes_and_header_readers(spark, tmp_path):
     b = ticks.rich_quotes(spark, str(tmp_path / "*_book*"), "A", "2024-01-01", "2024-01-02").collect()
     assert [(r["bid"], r["ask"], r["bid_size"], r["ask_size"]) for r in b] == [(99.5, 100.5, 3.0, 4.0)]
     write("20240102_deal.csv.gz", "1.0,100,2,Buy\n")
-    both = ticks.load_trades(spark, [("plain", str(tmp_path / "*_deal*"), "A"), ("rich", str(tmp_path / "*_rich*"), "A")], "2024-01-01", "2024-01-02")
-    assert sorted(r["exchange"] for r in both.collect()) == ["plain", "rich", "rich"]
+    sources = [("x", "plain", str(tmp_path / "*_deal*"), "A"), ("y", "rich", str(tmp_path / "*_rich*"), "A")]
+    both = ticks.load_trades(spark, sources, "2024-01-01", "2024-01-02")
+    assert sorted((r["exchange"], r["seq"]) for r in both.collect()) == [("x", 1), ("y", 1), ("y", 2)]

@@ -31,24 +31,51 @@ def window_aggregate(series: DataFrame, every: str, agg) -> DataFrame:
     return out.select("id", F.col("w.start").alias("ts"), "value")
 
 
+def _alike(df: DataFrame, keys: DataFrame, names: list[str], how: str) -> DataFrame:
+    """`left_semi` or `left_anti` join on equal keys, where null equals null."""
+    other = keys.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(names)]).distinct()
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(names)]
+    return df.join(other, on, how)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows win over existing rows of the same keys."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    """Incoming rows win over existing rows of the same keys; null keys are keys too. Columns that one side lacks are null there."""
+    return _alike(old, new, keys, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def _file_system(spark, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def has_table(spark, path: str) -> bool:
     """Whether a folder is there, by the file system of its path."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    system, where = _file_system(spark, path)
+    return system.exists(where)
+
+
+def _stored(spark, path: str, partition: str, kind=None) -> DataFrame | None:
+    """A partitioned table with its partition column as it is named on disk (text unless `kind` says otherwise); None if it has no files.
+
+    Left to itself, Spark would read the folders `01` and `1` as one number.
+    """
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    if not has_table(spark, path) or not spark.read.schema("__none int").parquet(path).inputFiles():
+        return None
+    found = spark.read.parquet(path).schema
+    fields = [StructField(partition, kind or StringType()) if f.name == partition else f for f in found.fields]
+    return spark.read.schema(StructType(fields)).parquet(path)
 
 
 def write_upsert(new: DataFrame, path: str, keys: list[str], partition: str) -> None:
-    """Upsert into a partitioned parquet table; only the partitions that `new` touches are read and rewritten."""
-    spark = new.sparkSession
-    merged = new
-    if has_table(spark, path):
-        old = spark.read.parquet(path).join(new.select(partition).distinct(), partition, "left_semi")
-        merged = upsert(old.select(new.columns), new, keys)
+    """Upsert into a partitioned parquet table; only the partitions that `new` touches are read and rewritten.
+
+    A null partition is a partition, and null keys are keys. Columns that `new` lacks are kept and null in its rows.
+    """
+    merged, stored = new, _stored(new.sparkSession, path, partition, new.schema[partition].dataType)
+    if stored is not None:
+        merged = upsert(_alike(stored, new, [partition], "left_semi"), new, keys)
     _rewrite(merged, path, partition)
 
 
@@ -60,24 +87,40 @@ def _rewrite(rows: DataFrame, path: str, partition: str) -> None:
     rows.write.parquet(staged)
     spark = rows.sparkSession
     spark.read.schema(rows.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    system, where = _file_system(spark, staged)
+    system.delete(where, True)
 
 
 def write_without(spark, path: str, partition: str, predicate: Column, start, stop) -> None:
-    """Delete the rows that match in [start, stop) from a partitioned table; a partition that loses all its rows keeps none.
+    """Delete the rows that match in [start, stop) from a partitioned table; a partition that loses all its rows is removed.
 
-    Only partitions that lose rows are rewritten.
+    Only partitions that lose rows are rewritten. A partition is told by its folder, as files name it, so null partitions and
+    names with escaped characters are partitions like others. The folders of emptied ones are listed in a file before anything
+    is rewritten and go one by one after it. The predicate sees the partition column as Spark reads it by itself.
     """
-    table = spark.read.parquet(path)
+    import uuid
+
+    stored = _stored(spark, path, partition)
+    if stored is None:
+        return
+    kind = spark.read.parquet(path).schema[partition].dataType
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    table = stored.withColumns({"__folder": folder, "__name": F.col(partition), partition: F.col(partition).cast(kind)})
     hit = F.coalesce(predicate, F.lit(False)) & (F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(stop).cast("timestamp"))
-    touched = table.where(hit).select(partition).distinct()
-    left = table.join(touched, partition, "left_semi").where(~hit)
-    gone = [r[0] for r in touched.join(left.select(partition).distinct(), partition, "left_anti").limit(100_000).collect()]
-    _rewrite(left.select(table.columns), path, partition)
-    for value in gone:  # names of emptied partitions
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{partition}={value}")
+    marked = table.withColumn("__hit", F.coalesce(hit, F.lit(False)))
+    counts = marked.groupBy("__folder").agg(F.count(F.lit(1)).alias("__n"), F.count_if("__hit").alias("__gone")).where(F.col("__gone") > 0)
+    listed = f"{path.rstrip('/')}.emptied-{uuid.uuid4().hex}"
+    counts.write.parquet(listed)
+    counts = spark.read.schema("__folder string, __n long, __gone long").parquet(listed)
+    left = marked.join(counts.where("__gone < __n"), "__folder", "left_semi").where(~F.col("__hit"))
+    rest = [c for c in stored.columns if c != partition]
+    _rewrite(left.select(*rest, F.col("__name").alias(partition)), path, partition)
+    for row in counts.where("__gone = __n").select("__folder").toLocalIterator():  # a file-system call each, none is held
+        # file_path is a URI: its escapes come on top of those of the folder's own name
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(row[0]))
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    system, where = _file_system(spark, listed)
+    system.delete(where, True)
 
 
 def dropped(series: DataFrame, want: dict[str, str] | None = None, key: str | None = None) -> DataFrame:

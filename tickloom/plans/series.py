@@ -216,12 +216,12 @@ def b11(t):
     return rounded(windows.near(t, features, max(_SIZES)).select("exchange", "symbol", "ts", "seq", *names))
 
 
-@query("b12_named_rolling_metric", "ticks", f"""SELECT exchange, symbol, ts, seq, CASE WHEN count(*) OVER w = 10 THEN {r('sum(CASE WHEN side > 0 THEN size ELSE 0 END) OVER w', 'x')[:-5]} END AS trade_volume_buy_sum_10
+@query("b12_named_rolling_metric", "ticks", f"""SELECT exchange, symbol, ts, seq, CASE WHEN count(*) OVER w = 10 THEN {r('sum(CASE WHEN side > 0 THEN size ELSE 0 END) OVER w', 'x')[:-5]} END AS deal_volume_buy_sum_10
 FROM ticks WINDOW w AS ({W} ROWS 9 PRECEDING)""")
 def b12(t):
     x = t.withColumn("v", F.when(F.col("side") > 0, F.col("size")).otherwise(0))
-    made = windows.near(x, lambda d, s: d.withColumn("trade_volume_buy_sum_10", windows.full(F.col("v"), F.sum("v"), 10, trailing(10, s))), 9)
-    return rounded(made.select("exchange", "symbol", "ts", "seq", "trade_volume_buy_sum_10"))
+    made = windows.near(x, lambda d, s: d.withColumn("deal_volume_buy_sum_10", windows.full(F.col("v"), F.sum("v"), 10, trailing(10, s))), 9)
+    return rounded(made.select("exchange", "symbol", "ts", "seq", "deal_volume_buy_sum_10"))
 
 
 # ---- windows ----------------------------------------------------------------------------------------------

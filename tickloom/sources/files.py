@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.sources.ticks import _numbered, _raw
+from tickloom.sources.ticks import _numbered, _raw, files_of_days
 
 #: Column names of headerless bar files, after the milliseconds of the day (fixed values).
 BAR = ["open", "high", "low", "close", "volume"]
@@ -17,14 +17,17 @@ QUOTE_BAR = ["bid_open", "bid_high", "bid_low", "bid_close", "bid_size", "ask_op
 def zipped_bars(spark: SparkSession, glob: str, names: list[str], start: str, end: str) -> DataFrame:
     """Zip files named yyyymmdd..., one headerless CSV each: ts from milliseconds of the day, the day, and `names` as doubles.
 
-    Zip is no codec that splits, so a file is the unit of work; days outside the range are not unpacked.
+    Zip is no codec that splits, so a file is the unit of work; files of days outside the range are not opened.
     """
     import io
     import zipfile
 
     import pandas as pd
 
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
+    chosen = files_of_days(spark, glob, start, end)
+    if not chosen:
+        return spark.createDataFrame([], "ts timestamp, day date, " + ", ".join(f"{n} double" for n in names))
+    files = spark.read.format("binaryFile").load(chosen).select("path", "content")
     files = files.withColumn("day", F.to_date(F.regexp_extract("path", r"(\d{8})[^/]*$", 1), "yyyyMMdd"))
     files = files.where(F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).select("day", "content")
 
