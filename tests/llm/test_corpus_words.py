@@ -133,7 +133,7 @@ def test_chunks_encode_as_whole_texts(vocabulary):
     from tokenizers import Tokenizer
 
     plain, words, rng = Tokenizer.from_str(vocabulary), tokens.encoder(vocabulary, 2), random.Random(2)
-    parts = list("abcXYZ's 'll'd<|>\t\n\x0b\x0c\x1c\x85\xa0 é́̀Σς0129½!?.,;:…日本‍🙂İK") + ["<|endoftext|>", " <|startoftext|> ", "don't", "WORD.", "a,", ".'s"]
+    parts = list("abcXYZ's 'll'd<|>\t\n\x0b\x0c\x1c\x85\xa0 é́̀Σς0129½!?.,;:…日本‍🙂İK") + ["<|endoftext|>", " <|startoftext|> ", "don't", "WORD.", "a,", ".'s", "Ελλάδα", "Größe", "ﬁ", "ǅ", "ª", "ʰ", "สวัสดี"]
     for _ in range(4000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
         want = plain.encode(text, add_special_tokens=False).ids
@@ -141,9 +141,19 @@ def test_chunks_encode_as_whole_texts(vocabulary):
         assert np.frombuffer(words.ids(text.encode(), False), "<u2").tolist() == want
 
 
+def test_other_tokenizers_encode_whole_texts(spark, odd):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    other = tokens.read_vocabulary(path)
+    with pytest.raises(ValueError):
+        tokens.token_ids(odd, other, by_word=True)
+    docs = odd.where("doc_id < 4").dropDuplicates(["doc_id"])
+    got = sorted(tuple(r) for r in tokens.through_files(docs, other, end_id=50_256).collect())
+    assert got == brute_tokens(other, [(r["doc_id"], r["text"]) for r in docs.collect()], 50_256)
+
+
 def test_the_cache_forgets_and_stays_right(vocabulary, monkeypatch):
-    monkeypatch.setattr(tokens, "KNOWN_BYTES", 4000)
-    words = tokens._Words(tokens.encoder(vocabulary, 2).tokenizer, "<u2")
+    monkeypatch.setattr(tokens, "KNOWN", 20)
+    words = tokens._Words(tokens.encoder(vocabulary, 2).tokenizer, 2)
     texts = [f"word{i} the and, again{i % 7}." for i in range(60)]
     for t in texts + texts:
         want = words.tokenizer.encode(t, add_special_tokens=False).ids

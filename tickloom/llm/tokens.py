@@ -11,8 +11,8 @@ FILE_BYTES, whose tasks pack them; Spark's own text writer commits the packed by
 beyond the length that the header gives), so a lost executor leaves no half file; Spark's binary reader reads them.
 `start` of a document is what the files before hold (one row a file, summed in order) and its offset in its own.
 
-Where a vocabulary drops white space and case, and never merges letters or digits with the punctuation after them (`by_word`), a text's
-ids are those of its ASCII-white-space chunks in turn; a worker remembers the ids of chunks, up to KNOWN_BYTES. Otherwise, as by
+Where a vocabulary drops white space and case, and never merges letters or digits with the punctuation after them (`by_word`, an
+error for tokenizers of other stages than `fits_words` knows), a text's ids are those of its ASCII-white-space chunks in turn; a worker remembers the ids of up to KNOWN chunks. Otherwise, as by
 default, texts are encoded whole.
 
 Defined results: null and empty texts have the end id only; documents without a doc_id come last; documents that share one are
@@ -24,11 +24,14 @@ names; an empty table gives files without documents.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import os
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,8 +42,8 @@ from tickloom.llm.common import drop_written, materialise, owned
 END_ID = 1
 #: Bytes of ids that a file holds, about.
 FILE_BYTES = 16 << 20
-#: Bytes of chunks and ids that a worker remembers.
-KNOWN_BYTES = 192 << 20
+#: Chunks (of under 64 bytes) that a worker remembers: some 200 bytes each.
+KNOWN = 500_000
 #: Every so many set bits have their place kept.
 STEP = 256
 MAX_VOCAB = 32 << 20
@@ -161,51 +164,85 @@ def pack(part: int, piece: int, doc_ids: list[int | None], ids: list[bytes], wid
     return b"".join([head, *ids, EliasFano.of(bounds).to_bytes(), EliasFano.of(keys).to_bytes()])
 
 
+# The stages of tokenizers that `by_word` is for.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A letter for each byte, as byte-level vocabularies write them: printable ones as they are, the others from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: b if b in _PLAIN else 256 + b - sum(p < b for p in _PLAIN) for b in range(256)}
+
+
+def fits_words(vocabulary: str) -> bool:
+    """Whether a tokenizer's stages are those of `by_word`: case and white space dropped, letter runs whole, byte-level BPE."""
+    found = json.loads(vocabulary)
+    normal = [n["type"] for n in (found["normalizer"] or {}).get("normalizers", [])]
+    split, *rest = (found["pre_tokenizer"] or {}).get("pretokenizers", [None])
+    return (
+        normal == _NORMAL and split is not None and split["type"] == "Split" and split["pattern"] == {"Regex": _PIECES} and split["invert"]
+        and [(r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest] == [("ByteLevel", False, False)] and found["model"]["type"] == "BPE"
+    )
+
+
 class _Words(dict):
-    """Chunk -> its ids as bytes; made by the tokenizer when first asked for. Of what is known, half of KNOWN_BYTES stays when
-    the other half is full: the chunks asked for last."""
+    """Chunk -> its ids as bytes; made by the tokenizer when first asked for. Of what is known, half of KNOWN stays when
+    the other half is full: the chunks asked for last.
+
+    A chunk of letters only is one piece of the tokenizer's, so it goes to its model at once.
+    """
 
-    def __init__(self, tokenizer, kind: str):
+    def __init__(self, tokenizer, width: int):
         super().__init__()
-        self.tokenizer, self.kind, self.bytes, self.old = tokenizer, kind, 0, {}
+        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model, {}
+        self.code = "H" if width == 2 else "I"  # little-endian hosts, as Arrow's
 
     def encode(self, text: bytes) -> bytes:
-        ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, dtype=self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def encode_chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():
+            piece = chunk.lower().decode()
+        else:
+            piece = chunk.decode("utf-8", "replace")
+            if piece.isalpha():
+                piece = self.tokenizer.normalizer.normalize_str(piece)
+            if not piece.isalpha():
+                return self.encode(chunk)
+            piece = piece.encode().decode("latin-1").translate(_LETTERS)
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
         made = self.old.get(chunk)
         if made is None:
             body = chunk.rstrip(b".,;:!?")
-            made = self[body] + self[chunk[len(body) :]] if body != chunk and body[-1:].isalnum() else self.encode(chunk)
-        if len(chunk) < 256:
-            self.bytes += 200 + len(chunk) + len(made)
+            made = self[body] + self[chunk[len(body) :]] if body != chunk and body[-1:].isalnum() else self.encode_chunk(chunk)
+        if len(chunk) < 64:
             self[chunk] = made
         return made
 
     def ids(self, text: bytes, by_word: bool) -> bytes:
         if not by_word:
             return self.encode(text)
-        if self.bytes > KNOWN_BYTES // 2:
+        if len(self) > KNOWN // 2:
             self.old = dict(self)
             self.clear()
-            self.bytes = 0
         plain = text if b"<|" in text else text.lower()
         return b"".join(map(self.__getitem__, plain.split()))
 
 
-_KNOWN: dict[str, _Words] = {}
+_ENCODERS: dict[str, _Words] = {}
 
 
 def encoder(vocabulary: str, width: int) -> _Words:
     """The encoder of a vocabulary's JSON, kept for the worker's life."""
     key = f"{hashlib.md5(vocabulary.encode()).hexdigest()}-{width}"
-    if key not in _KNOWN:
+    if key not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.freeze()  # many small tokens are made: the collector need not look through the worker's modules for each few of them
+        gc.set_threshold(50_000, 20, 20)
         from tokenizers import Tokenizer
 
-        _KNOWN[key] = _Words(Tokenizer.from_str(vocabulary), f"<u{width}")
-    return _KNOWN[key]
+        _ENCODERS[key] = _Words(Tokenizer.from_str(vocabulary), width)
+    return _ENCODERS[key]
 
 
 def read_vocabulary(path: str) -> str:
@@ -230,6 +267,8 @@ def token_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID, by_word: b
     kind = dict(docs.dtypes)["doc_id"]
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise ValueError(f"doc_id is to be an integer column, not {kind}")
+    if by_word and not fits_words(vocabulary):
+        raise ValueError("this tokenizer's texts are to be encoded whole")
     width = _width(vocabulary, end_id)
     shared, end = docs.sparkSession.sparkContext.broadcast(vocabulary), np.array([end_id], f"<u{width}").tobytes()
 
