@@ -37,10 +37,10 @@ def owned(spark: SparkSession, name: str) -> str:
     return _WRITTEN[-1]
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage is cut, lost executors cost no recomputation."""
     path = owned(df.sparkSession, f"{tag}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

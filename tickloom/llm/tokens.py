@@ -289,7 +289,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_I
     from pyspark import TaskContext
 
     width = _width(vocabulary, end_id)
-    made = materialise(token_ids(docs, vocabulary, end_id, by_word), "token-ids")
+    made = materialise(token_ids(docs, vocabulary, end_id, by_word), "token-ids", "zstd")
     total = made.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     order = [F.asc_nulls_last("doc_id"), F.asc("h"), F.asc("row")]
     rows = made.withColumns({"h": F.xxhash64("ids"), "row": F.monotonically_increasing_id()})
