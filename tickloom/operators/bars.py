@@ -7,9 +7,9 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.chains import Drift, Runs, chain
 from tickloom.operators.windows import ORDER, SERIES, carried, filled, fold_ordered, near, ordered
 
-
 #: Sums that are floored: sizes have up to eight decimals, notionals ten.
 EXACT = "decimal(38,10)"
 
@@ -119,33 +119,31 @@ def imbalance_per_move(ticks: DataFrame, measure: Column) -> DataFrame:
 KEYS = "exchange string, symbol string"
 
 
-def sequence_bars(ticks: DataFrame, measure: Column, unit: float) -> DataFrame:
+def sequence_bars(ticks: DataFrame, measure: Column, unit: float, rows: int = 0) -> DataFrame:
     """Run bars: two one-sided sums; the side that reaches the unit first emits +1 or -1 and both restart at that row.
 
-    The restart depends on both sides, so this is an ordered fold over each series; its state is two numbers.
+    Sums are exact (ten decimals), so where they restart does not depend on how rows are cut into blocks.
     """
+    goal = int(Decimal(str(unit)).scaleb(10))
 
-    def step(state, row):
-        up, down = state or (0.0, 0.0)
-        up, down = up + max(row[4], 0.0), down + max(-row[4], 0.0)
-        if up >= unit or down >= unit:
-            return (0.0, 0.0), (*row[:3], 1 if up >= unit else -1)
-        return (up, down), None
-
-    rows = ticks.select(*SERIES, *ORDER, F.coalesce(measure.cast("double"), F.lit(0.0)).alias("m"))
-    made = fold_ordered(rows, list(SERIES), step, f"{KEYS}, ts timestamp, sequence int")
+    class Made(Runs):
+        def __init__(self, pdf):
+            super().__init__([int(f"{m:.10f}".replace(".", "")) for m in pdf["m"]], goal)
+
+    exact = F.coalesce(measure.cast(EXACT), F.lit(0).cast(EXACT))
+    made = chain(ticks.select(*SERIES, *ORDER, exact.alias("m")), Made, "sequence int", rows=rows)
     return made.groupBy(*SERIES, "ts").agg(F.sum("sequence").alias("sequence")).where("sequence <> 0")
 
 
-def delta_sampling(ticks: DataFrame, value: str, delta: float) -> DataFrame:
+def delta_sampling(ticks: DataFrame, value: str, delta: float, rows: int = 0) -> DataFrame:
     """Rows where the value has drifted `delta` or more from the last row kept (the first row is kept)."""
 
-    def step(last, row):
-        keep = last is None or abs(row[4] - last) >= delta
-        return (row[4], row) if keep else (last, None)
+    class Made(Drift):
+        def __init__(self, pdf):
+            super().__init__(pdf["v"].to_numpy(dtype=float), delta)
 
-    rows = ticks.where(F.col(value).isNotNull()).select(*SERIES, *ORDER, F.col(value).cast("double").alias("v"))
-    return fold_ordered(rows, list(SERIES), step, f"{KEYS}, ts timestamp, seq long, {value} double")
+    known = ticks.where(F.col(value).isNotNull()).select(*SERIES, *ORDER, F.col(value).cast("double").alias("v"))
+    return chain(known, Made, "__kept double", rows=rows).select(*SERIES, *ORDER, F.col("v").alias(value))
 
 
 def clean_book(l2: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import START, carried, fold_ordered, near, ordered
+from tickloom.operators.chains import Turns, chain
+from tickloom.operators.windows import START
 
 
 def select_entries(rows: DataFrame, strategies: dict[str, tuple[int, dict[str, list[Column]]]], minutes: int) -> DataFrame:
@@ -227,22 +228,15 @@ def orders_of_executions(executions: DataFrame, by: str, order: list[str], passi
     }).drop("__p", "__pp", "__q")
 
 
-def not_overlapping(rows: DataFrame, by: list[str], mark: Column | None = None) -> DataFrame:
+def not_overlapping(rows: DataFrame, by: list[str], mark: Column | None = None, block_rows: int = 0) -> DataFrame:
     """The deals of a strategy (ts, id, end) that are taken one after another: each starts after the end of the last one taken;
-    rows before `mark` are left out.
+    rows before `mark` are left out. A deal without an end ends where it starts."""
 
-    Deals that overlap nothing before them start a new island; the ordered fold runs inside islands only and holds one time,
-    so a strategy is as parallel as it has pauses and a long island costs no memory.
-    """
-    rows = rows if mark is None else rows.where(F.col("ts") >= mark)
-    order, names = ("ts", "id"), rows.columns
-    top = carried(rows, {"__top": ("max", F.col("end"))}, series=tuple(by), order=order)
-    before = near(top, lambda x, key: x.withColumn("__before", F.lag("__top").over(ordered(key, order))), 1, series=tuple(by))
-    new = F.coalesce(F.col("ts") > F.col("__before"), F.lit(True)).cast("int")
-    island = carried(before, {"__island": ("sum", new)}, series=tuple(by), order=order).select(*names, "__island")
-    ts, end = names.index("ts"), names.index("end")
+    class Made(Turns):
+        def __init__(self, pdf):
+            micros = lambda c: pdf[c].to_numpy(dtype="datetime64[us]").astype("int64")
+            super().__init__(micros("ts"), micros("__end"))
 
-    def step(free, row):
-        return (row[end], row[: len(names)]) if free is None or row[ts] > free else (free, None)
-
-    return fold_ordered(island, [*by, "__island"], step, rows.schema.toDDL(), order)
+    rows = rows if mark is None else rows.where(F.col("ts") >= mark)
+    taken = chain(rows.withColumn("__end", F.coalesce("end", "ts")), Made, "__free long", tuple(by), ("ts", "id"), block_rows)
+    return taken.select(rows.columns)

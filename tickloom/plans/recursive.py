@@ -127,8 +127,8 @@ _ROWS = f"i AS MATERIALIZED (SELECT *, row_number() OVER ({W}) AS i FROM {{view}
 _NEXT = "JOIN i ON i.exchange = r.exchange AND i.symbol = r.symbol AND i.i = r.i + 1"
 
 
-@query("g07_sequence_bars", "ticks", f"""WITH RECURSIVE i AS MATERIALIZED (SELECT exchange, symbol, ts, CAST(side * size AS DOUBLE) AS m, row_number() OVER ({W}) AS i FROM ticks),
-r AS (SELECT exchange, symbol, ts, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS s FROM i WHERE i = 1 UNION ALL
+@query("g07_sequence_bars", "ticks", f"""WITH RECURSIVE i AS MATERIALIZED (SELECT exchange, symbol, ts, CAST(side * size AS DECIMAL(38,10)) AS m, row_number() OVER ({W}) AS i FROM ticks),
+r AS (SELECT exchange, symbol, ts, CAST(0 AS BIGINT) AS i, 0::DECIMAL(38,10) AS up, 0::DECIMAL(38,10) AS down, 0 AS s FROM i WHERE i = 1 UNION ALL
 SELECT i.exchange, i.symbol, i.ts, i.i, CASE WHEN u >= 20 OR d >= 20 THEN 0 ELSE u END, CASE WHEN u >= 20 OR d >= 20 THEN 0 ELSE d END, CASE WHEN u >= 20 THEN 1 WHEN d >= 20 THEN -1 ELSE 0 END
 FROM (SELECT i.exchange, i.symbol, i.ts, i.i, r.up + greatest(m, 0) AS u, r.down + greatest(-m, 0) AS d FROM r {_NEXT}) i)
 SELECT exchange, symbol, ts, CAST(sum(s) AS INT) AS sequence FROM r WHERE i > 0 GROUP BY exchange, symbol, ts HAVING sum(s) <> 0""")
