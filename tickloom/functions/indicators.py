@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import SERIES, fold_ordered, full, ordered, running, trailing
+from tickloom.operators.recurrences import mean, recurrence, scan
+from tickloom.operators.windows import SERIES, _small_join, fold_ordered, full, near, ordered, running, trailing
 
 
 def _roll(agg: Column, value: str, n: int) -> Column:
@@ -152,235 +154,220 @@ def regression(y: str, x: str, n: int) -> tuple[Column, Column]:
     return F.when(ready, slope), F.when(ready, base + slope * F.col(x))
 
 
-def with_directional(df: DataFrame, h: str, lo: str, c: str, n: int) -> DataFrame:
-    """Directional movement by smoothing with 1/n from 0: plus_dm, minus_dm, plus_di, minus_di, dx, adx, adxr; null in the first n rows."""
+def _with_last(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Columns of the row before (name -> source)."""
+    return near(df, lambda d, key: d.withColumns({k: F.lag(v).over(ordered(key)) for k, v in columns.items()}), 1)
 
-    def new():
-        keep, before, kept, past = (n - 1) / n, [None], [0.0, 0.0, 0.0, 0.0], []
 
-        def row(high, low, close):
-            last, before[0] = before[0], (high, low, close)
-            up, down, reach = (high - last[0], last[1] - low, max(high - low, abs(high - last[2]), abs(low - last[2]))) if last else (0.0, 0.0, high - low)
-            for i, x in enumerate((up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0, reach)):
-                kept[i] = keep * kept[i] + x
-            plus, minus, total, _ = kept
-            dx = 100 * abs(plus - minus) / (plus + minus) if total and plus + minus else 0.0
-            kept[3] = keep * kept[3] + dx / n
-            past.append(kept[3])
-            old = past.pop(0) if len(past) == n else None
-            if len(past) < n - 1 or row.count < n:
-                row.count += 1
-                return (None,) * 7
-            share = (100 * plus / total, 100 * minus / total) if total else (None, None)
-            return plus, minus, *share, dx, kept[3], None if old is None else (kept[3] + old) / 2
+def _range(h: str, lo: str, last: str) -> Column:
+    return F.greatest(F.col(h) - F.col(lo), F.abs(F.col(h) - F.col(last)), F.abs(F.col(lo) - F.col(last)))
 
-        row.count = 0
-        return row
 
-    return recursive(df, [h, lo, c], _doubles("plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx", "adxr"), new)
+def with_directional(df: DataFrame, h: str, lo: str, c: str, n: int, rows: int = 0) -> DataFrame:
+    """Directional movement by smoothing with 1/n from 0: plus_dm, minus_dm, plus_di, minus_di, dx, adx, adxr; null in the first n rows.
 
-
-class Mean:
-    """Exponential mean of the values pushed, None until there are `start` (n unless told otherwise).
-
-    It starts with the mean of the n values up to there; then y = a * y + (1 - a) * x with a = 1 - 2 / (n + 1), or 1 - 1 / n
-    with `wilder`. None is no value.
-    """
-
-    def __init__(self, n: int, wilder: bool = False, start: int = 0, seed: int = 0):
-        self.a, self.start, self.seed = 1 - (1 / n if wilder else 2 / (n + 1)), start or n, seed or n
-        self.first: list[float] = []
-        self.y: float | None = None
-
-    def push(self, x: float | None) -> float | None:
-        if x is None:
-            return None
-        if self.y is not None:
-            self.y = self.a * self.y + (1 - self.a) * x
-            return self.y
-        self.first.append(x)
-        if len(self.first) == self.start:
-            self.y = sum(self.first[-self.seed :]) / len(self.first[-self.seed :])
-            self.first = []
-        return self.y
-
-
-def recursive(df: DataFrame, inputs: list[str], made: dict[str, str], new) -> DataFrame:
-    """Columns `made` (name -> type) of an ordered fold: `new()` gives a function of the `inputs` of a row, with what it remembers.
-
-    For recurrences of recurrences, which have no short associative form. Rows stream through in the order Spark's shuffle
-    sorted them, so memory is what the function remembers; a series is one task, so it is meant for bars.
+    Two recurrences, one on what comes of the other.
     """
-    at = [df.columns.index(c) for c in inputs]
+    keep = (n - 1) / n
+    up, down = F.col(h) - F.col("__h"), F.col("__l") - F.col(lo)
+    moved = lambda x, y: F.when(F.col("__h").isNull(), 0.0).otherwise(F.when((x > y) & (x > 0), x).otherwise(0.0))
+    x = _with_last(df, {"__h": h, "__l": lo, "__p": c})
+    x = x.withColumns({"__up": moved(up, down), "__down": moved(down, up), "__reach": F.when(F.col("__p").isNull(), F.col(h) - F.col(lo)).otherwise(_range(h, lo, "__p"))})
 
-    def step(state, row):
-        state = state or new()
-        return state, (*row, *state(*(row[i] for i in at)))
+    def sums(x, state, zero):
+        state = np.zeros(4) if state is None else state
+        out = [scan(keep, v * (not zero), s) for v, s in zip(x, state)] + [state[3] + np.arange(1, len(x[0]) + 1) * (not zero)]
+        return out, [v[-1] for v in out]
 
-    return fold_ordered(df, list(SERIES), step, ", ".join([df.schema.toDDL(), *(f"{k} {v}" for k, v in made.items())]))
+    def smooth(x, state, zero):
+        out = scan(keep, x[0] / n * (not zero), 0.0 if state is None else state[0])
+        return [out], [out[-1]]
 
+    made = ["plus_dm", "minus_dm", "__total", "__i"]
+    x = recurrence(x, ["__up", "__down", "__reach"], made, sums, 4, rows=rows)
+    both = F.col("plus_dm") + F.col("minus_dm")
+    x = x.withColumn("dx", F.when((F.col("__total") != 0) & (both != 0), 100 * F.abs(F.col("plus_dm") - F.col("minus_dm")) / both).otherwise(0.0))
+    x = recurrence(x, ["dx"], ["adx"], smooth, 1, rows=rows)
+    x = near(x, lambda d, key: d.withColumn("__old", F.lag("adx", n - 1).over(ordered(key))), n - 1)
+    share = lambda c: 100 * F.col(c) / F.nullif(F.col("__total"), F.lit(0.0))
+    values = {"plus_di": share("plus_dm"), "minus_di": share("minus_dm"), "adxr": (F.col("adx") + F.col("__old")) / 2} | {k: F.col(k) for k in ("plus_dm", "minus_dm", "dx", "adx")}
+    return x.withColumns({k: F.when(F.col("__i") > n, v) for k, v in values.items()}).drop("__h", "__l", "__p", "__up", "__down", "__reach", "__total", "__i", "__old")
 
-def _doubles(*names: str) -> dict[str, str]:
-    return dict.fromkeys(names, "double")
 
+def with_mean(df: DataFrame, x: str, n: int, name: str, rows: int = 0) -> DataFrame:
+    """Exponential mean that begins with the mean of the first n values."""
 
-def with_mean(df: DataFrame, x: str, n: int, name: str) -> DataFrame:
-    def new():
-        mean = Mean(n)
-        return lambda v: (mean.push(v),)
+    def run(x, state, zero):
+        out = mean(x[0] * (not zero), n, None if state is None else state[0])
+        return [out], [out[-1]]
 
-    return recursive(df, [x], _doubles(name), new)
+    return recurrence(df, [x], [name], run, 1, n, rows=rows)
 
 
-def with_ema_family(df: DataFrame, x: str, n: int) -> DataFrame:
+def with_ema_family(df: DataFrame, x: str, n: int, rows: int = 0) -> DataFrame:
     """ema, dema, tema, trix and t3 (factor 0.7) of n rows: means of means, up to six deep."""
     v = 0.7
     weights = (1 + 3 * v + v**3 + 3 * v**2, -6 * v**2 - 3 * v - 3 * v**3, 3 * v**2 + 3 * v**3, -(v**3))
 
-    def new():
-        means, before = [Mean(n) for _ in range(6)], [None]
+    def run(x, state, zero):
+        e, value = [], x[0] * (not zero)
+        for k in range(6):
+            value = mean(value, n, None if state is None else state[k])
+            e.append(value)
+        last = np.append(np.nan if state is None else state[2], e[2][:-1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            trix = 100 * (e[2] / last - 1)
+        t3 = sum(w * y for w, y in zip(weights, e[2:]))
+        return [e[0], 2 * e[0] - e[1], 3 * e[0] - 3 * e[1] + e[2], trix, t3], [y[-1] for y in e]
 
-        def row(value):
-            e = []
-            for m in means:
-                value = m.push(value)
-                e.append(value)
-            last, before[0] = before[0], e[2]
-            return (
-                e[0], None if e[1] is None else 2 * e[0] - e[1], None if e[2] is None else 3 * e[0] - 3 * e[1] + e[2],
-                None if last is None else 100 * (e[2] / last - 1), None if e[5] is None else sum(w * y for w, y in zip(weights, e[2:])),
-            )
+    return recurrence(df, [x], ["ema", "dema", "tema", "trix", "t3"], run, 6, 6 * n, rows=rows)
 
-        return row
 
-    return recursive(df, [x], _doubles("ema", "dema", "tema", "trix", "t3"), new)
+def with_macd(df: DataFrame, x: str, fast: int, slow: int, signal: int, rows: int = 0, names: tuple[str, str, str] = ("macd", "signal", "hist")) -> DataFrame:
+    """macd (fast mean less slow mean, both from row `slow` on), its `signal` mean and their difference `hist`."""
 
+    def run(x, state, zero):
+        state = [None] * 3 if state is None else state
+        value = x[0] * (not zero)
+        quick, long = mean(value, fast, state[0], start=slow), mean(value, slow, state[1])
+        line = mean(quick - long, signal, state[2])
+        return [np.where(np.isnan(long), np.nan, quick - long), line, quick - long - line], [quick[-1], long[-1], line[-1]]
 
-def with_macd(df: DataFrame, x: str, fast: int, slow: int, signal: int) -> DataFrame:
-    """macd (fast mean less slow mean, both from row `slow` on), its `signal` mean and their difference `hist`."""
+    return recurrence(df, [x], list(names), run, 3, slow + signal, rows=rows)
 
-    def new():
-        quick, long, mean = Mean(fast, start=slow), Mean(slow), Mean(signal)
 
-        def row(value):
-            a, b = quick.push(value), long.push(value)
-            macd = None if b is None else a - b
-            s = mean.push(macd)
-            return macd, s, None if s is None else macd - s
+def with_macdfix(df: DataFrame, x: str, signal: int = 9, rows: int = 0) -> DataFrame:
+    """macdfix, macdfix_signal, macdfix_hist: as `with_macd` with fixed means that keep 1 - 0.15 and 1 - 0.075 of what was."""
 
-        return row
+    def run(x, state, zero):
+        state = [None] * 3 if state is None else state
+        value = x[0] * (not zero)
+        parts = []
+        for keep, n, before in ((0.85, 12, state[0]), (0.925, 26, state[1])):
+            if before is None:
+                out = np.full(len(value), np.nan)
+                if len(value) >= 26:
+                    out[25] = value[26 - n : 26].mean()
+                    out[26:] = scan(keep, (1 - keep) * value[26:], out[25])
+            else:
+                out = scan(keep, (1 - keep) * value, before)
+            parts.append(out)
+        macd = parts[0] - parts[1]
+        line = mean(macd, signal, state[2])
+        return [macd, line, macd - line], [parts[0][-1], parts[1][-1], line[-1]]
 
-    return recursive(df, [x], _doubles("macd", "signal", "hist"), new)
+    return recurrence(df, [x], ["macdfix", "macdfix_signal", "macdfix_hist"], run, 3, 26 + signal, rows=rows)
 
 
-def with_kama(df: DataFrame, x: str, n: int, fast: int = 2, slow: int = 30, name: str = "kama") -> DataFrame:
+def with_macdext(df: DataFrame, x: str, fast: int, slow: int, signal: int) -> DataFrame:
+    """macdext, macdext_signal, macdext_hist with simple means in place of exponential ones."""
+    line = lambda d, key: d.withColumn("macdext", full(F.col(x), F.avg(x), fast, trailing(fast, key)) - full(F.col(x), F.avg(x), slow, trailing(slow, key)))
+    rows = near(df, line, slow - 1).withColumn("macdext", F.when(F.col("macdext").isNotNull(), F.col("macdext")))
+    mean_ = lambda d, key: d.withColumn("macdext_signal", full(F.col("macdext"), F.avg("macdext"), signal, trailing(signal, key)))
+    return near(rows, mean_, signal - 1).withColumn("macdext_hist", F.col("macdext") - F.col("macdext_signal"))
+
+
+def with_kama(df: DataFrame, x: str, n: int, fast: int = 2, slow: int = 30, name: str = "kama", rows: int = 0) -> DataFrame:
     """Adaptive mean: it moves towards the price by the square of a share between those of the fast and the slow mean, by how
     straight the last n steps are. It starts at the price of row n and is null up to there."""
     hi, lo = 2 / (fast + 1), 2 / (slow + 1)
 
-    def new():
-        past, y = [], [None]
-
-        def row(value):
-            past.append(value)
-            if len(past) <= n:
-                y[0] = value
-                return (None,)
-            way = sum(abs(b - a) for a, b in zip(past, past[1:]))
-            share = ((abs(value - past.pop(0)) / way if way else 1.0) * (hi - lo) + lo) ** 2
-            y[0] += share * (value - y[0])
-            return (y[0],)
-
-        return row
+    def shares(d: DataFrame, key) -> DataFrame:
+        w = ordered(key)
+        d = d.withColumn("__d", F.abs(F.col(x) - F.lag(x).over(w)))
+        way = F.sum("__d").over(trailing(n, key))
+        straight = F.coalesce(F.abs(F.col(x) - F.lag(x, n).over(w)) / F.nullif(way, F.lit(0.0)), F.lit(1.0))
+        return d.withColumn("__share", F.pow(straight * (hi - lo) + lo, F.lit(2))).drop("__d")
+
+    def run(x, state, zero):
+        value, share = x
+        if state is not None:
+            out = scan(1 - share, share * value * (not zero), state[0])
+        else:
+            out = np.full(len(value), np.nan)
+            if len(value) > n:
+                out[n:] = scan(1 - share[n:], share[n:] * value[n:], value[n - 1])
+        return [out], [out[-1]]
 
-    return recursive(df, [x], _doubles(name), new)
+    return recurrence(near(df, shares, n), [x, "__share"], [name], run, 1, n + 1, rows=rows).drop("__share")
 
 
-def with_rsi(df: DataFrame, x: str, n: int) -> DataFrame:
+def with_rsi(df: DataFrame, x: str, n: int, rows: int = 0) -> DataFrame:
     """rsi and cmo of n rows: Wilder means of gains and losses, null in the first n rows; 0 where nothing moves."""
 
-    def new():
-        gains, losses, before = Mean(n, wilder=True), Mean(n, wilder=True), [None]
+    def run(x, state, zero):
+        state = [None] * 2 if state is None else state
+        d = x[0] * (not zero)
+        up, down = mean(np.maximum(d, 0.0), n, state[0], wilder=True), mean(np.maximum(-d, 0.0), n, state[1], wilder=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            still = up + down == 0
+            return [np.where(still, 0.0, 100 * up / (up + down)), np.where(still, 0.0, 100 * (up - down) / (up + down))], [up[-1], down[-1]]
 
-        def row(value):
-            d, before[0] = None if before[0] is None else value - before[0], value
-            up, down = gains.push(None if d is None else max(d, 0.0)), losses.push(None if d is None else max(-d, 0.0))
-            if up is None:
-                return None, None
-            return (100 * up / (up + down), 100 * (up - down) / (up + down)) if up + down else (0.0, 0.0)
-
-        return row
-
-    return recursive(df, [x], _doubles("rsi", "cmo"), new)
+    moved = _with_last(df, {"__p": x}).withColumn("__d", F.col(x) - F.col("__p"))
+    return recurrence(moved, ["__d"], ["rsi", "cmo"], run, 2, n, rows=rows).drop("__p", "__d")
 
 
 def with_stochrsi(df: DataFrame, x: str, n: int, k: int, d: int) -> DataFrame:
     """stochrsi_k: where the rsi stands between its extremes of k rows, in percent; stochrsi_d, its mean of d rows."""
-    rows, w = with_rsi(df, x, n).drop("cmo"), trailing(k)
-    top, low = F.max("rsi").over(w), F.min("rsi").over(w)
-    value = F.when(top != low, 100 * (F.col("rsi") - low) / (top - low)).otherwise(0.0)
-    rows = rows.withColumn("stochrsi_k", F.when(F.count("rsi").over(w) == k, value))
-    return rows.withColumn("stochrsi_d", full(F.col("stochrsi_k"), F.avg("stochrsi_k"), d, trailing(d)))
 
+    def stood(r: DataFrame, key) -> DataFrame:
+        w = trailing(k, key)
+        top, low = F.max("rsi").over(w), F.min("rsi").over(w)
+        value = F.when(top != low, 100 * (F.col("rsi") - low) / (top - low)).otherwise(0.0)
+        return r.withColumn("stochrsi_k", F.when(F.count("rsi").over(w) == k, value))
 
-def with_atr(df: DataFrame, h: str, lo: str, c: str, n: int) -> DataFrame:
-    """atr, the Wilder mean of the true range from the second row on, and natr, in percent of the close."""
+    rows = near(with_rsi(df, x, n).drop("cmo"), stood, k - 1)
+    return near(rows, lambda r, key: r.withColumn("stochrsi_d", full(F.col("stochrsi_k"), F.avg("stochrsi_k"), d, trailing(d, key))), d - 1)
 
-    def new():
-        mean, before = Mean(n, wilder=True), [None]
 
-        def row(high, low, close):
-            last, before[0] = before[0], close
-            atr = mean.push(None if last is None else max(high - low, abs(high - last), abs(low - last)))
-            return atr, None if atr is None else 100 * atr / close
+def with_atr(df: DataFrame, h: str, lo: str, c: str, n: int, rows: int = 0) -> DataFrame:
+    """atr, the Wilder mean of the true range from the second row on, and natr, in percent of the close."""
 
-        return row
+    def run(x, state, zero):
+        out = mean(x[0] * (not zero), n, None if state is None else state[0], wilder=True)
+        return [out], [out[-1]]
 
-    return recursive(df, [h, lo, c], _doubles("atr", "natr"), new)
+    ranges = _with_last(df, {"__p": c}).withColumn("__r", F.when(F.col("__p").isNotNull(), _range(h, lo, "__p")))
+    return recurrence(ranges, ["__r"], ["atr"], run, 1, n, rows=rows).withColumn("natr", 100 * F.col("atr") / F.col(c)).drop("__p", "__r")
 
 
-def with_adosc(df: DataFrame, h: str, lo: str, c: str, volume: str, fast: int, slow: int) -> DataFrame:
+def with_adosc(df: DataFrame, h: str, lo: str, c: str, volume: str, fast: int, slow: int, rows: int = 0) -> DataFrame:
     """Fast less slow exponential mean of the accumulation line, both starting at its first value; null until the slow one is full."""
 
-    def new():
-        means, seen = (Mean(fast, start=1), Mean(slow, start=1)), [0, 0.0]
-
-        def row(high, low, close, v):
-            seen[0] += 1
-            seen[1] += ((close - low) - (high - close)) / (high - low) * v if high != low else 0.0
-            a, b = (m.push(seen[1]) for m in means)
-            return (a - b if seen[0] >= slow else None,)
-
-        return row
+    def run(x, state, zero):
+        before = [0.0, None, None] if state is None else state
+        line = before[0] + np.cumsum(x[0] * (not zero))
+        a, b = (mean(line, n, s, start=1) for n, s in ((fast, before[1]), (slow, before[2])))
+        out = a - b
+        if state is None:
+            out[: slow - 1] = np.nan
+        return [out], [line[-1], a[-1], b[-1]]
 
-    return recursive(df, [h, lo, c, volume], _doubles("adosc"), new)
+    return recurrence(df.withColumn("__a", ad_step(h, lo, c, volume)), ["__a"], ["adosc"], run, 3, slow, rows=rows).drop("__a")
 
 
-def with_ewm_std(df: DataFrame, x: str, span: int, name: str) -> DataFrame:
+def with_ewm_std(df: DataFrame, x: str, span: int, name: str, rows: int = 0) -> DataFrame:
     """Exponentially weighted standard deviation, weights by age (the first row weighs too) and without bias; null for one value.
 
-    It remembers the sums of weights and of squared weights, the mean and the squared deviations. A null value has no weight
-    but ages the others.
+    It comes from the sums of weights, of squared weights, of values and of squared values, taken from the middle of the series' extremes.
+    A null value has no weight but ages the others.
     """
     a = 1 - 2 / (span + 1)
 
-    def new():
-        kept = [0.0, 0.0, 0.0, 0.0]
-
-        def row(value):
-            w, w2, mean, dev = kept[0] * a, kept[1] * a * a, kept[2], kept[3] * a
-            if value is not None:
-                w, w2 = w + 1.0, w2 + 1.0
-                step = value - mean
-                mean += step / w
-                dev += step * (value - mean)
-            kept[:] = w, w2, mean, dev
-            free = w * w - w2
-            return (None if value is None or free <= 1e-12 * w * w else (dev / w * w * w / free) ** 0.5,)
-
-        return row
-
-    return recursive(df, [x], _doubles(name), new)
+    def run(x, state, zero):
+        there = ~np.isnan(x[0])
+        value = np.where(there, x[0], 0.0) * (not zero)
+        weight = there * (0.0 if zero else 1.0)
+        parts = ((a, weight), (a * a, weight), (a, value), (a, value * value))
+        w, w2, s, q = sums = [scan(k, v, before) for (k, v), before in zip(parts, np.zeros(4) if state is None else state)]
+        free = w * w - w2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dev = np.sqrt(np.maximum(q - s * s / w, 0.0) * w / free)
+        return [np.where(there & (free > 1e-12 * w * w), dev, np.nan)], [y[-1] for y in sums]
+
+    middle = df.groupBy(*SERIES).agg(((F.min(x) + F.max(x)) / 2).alias("__m"))
+    shifted = _small_join(df, middle, list(SERIES)).withColumn("__x", F.col(x) - F.col("__m"))
+    return recurrence(shifted, ["__x"], [name], run, 4, nulls=True, rows=rows).drop("__m", "__x")
 
 
 def with_sar(df: DataFrame, h: str, lo: str, step: float = 0.02, most: float = 0.2, signed: bool = False, name: str = "sar") -> DataFrame:
