@@ -38,7 +38,7 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: What is cut off at the ends of chunks: no term has it.
 ENDS = bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122))
 #: Chunks that a task counts before it passes them on.
-HELD = 400_000
+HELD = 700_000
 #: Numbers (terms times sources) that a block of pair sums holds, and the sources of one side of it.
 CELLS, SIDE = 1 << 20, 512
 #: Parts in which the terms of a group are ranked first.
@@ -120,10 +120,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def _p(count, total, terms):
-    """1 + floor(SCALE * (count + 1) / (total + terms)), exact for any counts."""
+    """1 + floor(SCALE * (count + 1) / (total + terms)), exact for any counts: in decimals where 64 bits do not hold the product."""
     wide = lambda c: c.cast("decimal(38,0)")
-    up = wide(F.lit(SCALE)) * (count + 1).cast("decimal(20,0)")
-    return F.lit(1) + F.call_function("div", up, wide(total + terms))
+    far = F.call_function("div", wide(F.lit(SCALE)) * (count + 1).cast("decimal(20,0)"), wide(total + terms))
+    near = F.call_function("div", F.lit(SCALE).cast("long") * (count + 1), total + terms)
+    return F.lit(1) + F.when(count < (1 << 63) // SCALE - 1, near).otherwise(far)
 
 
 def _f(p, q):
