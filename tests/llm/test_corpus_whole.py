@@ -365,7 +365,12 @@ def test_pipeline_equals_plain_version(spark):
     for name, stage in cp.STAGES:
         now = stage(spark, now, SF)
         assert cp.STAGES[-1][1] is stage or now.columns == docs.columns, name
+        if name == "language ID":
+            held = now.collect()
+            assert {r["lang"] for r in held} <= {r["lang"] for r in docs.collect()} and len(held) == len([r for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")])
     assert sorted((str(r["doc_id"]), r["size"]) for r in now.collect()) == want
+    assert sorted((str(r["doc_id"]), r["text"], r["source"]) for r in now.collect()) == sorted((str(r["doc_id"]), r["text"], r["source"]) for r in rows)
+    assert set(now.columns) == {f"document_{c}" if c in ("size",) else c for c in docs.columns} | {"size", "source_size", "target", "taken", "position", "positions"}
     assert sum(r["taken"] for r in now.collect()) == pytest.approx(1.5 * sum(n for _, n in want), abs=3)
 
 
@@ -376,3 +381,45 @@ def test_stages_of_empty_tables(spark):
     for name, stage in cp.STAGES:
         assert stage(spark, none, SF).count() == 0, name
     assert langid.identify(none, prefix="x_").count() == 0
+
+
+def test_mixing_carries_whole_documents(spark):
+    rows = [(i % 3, "one two three", "a") for i in range(9)] + [(None, "four", None), (5, None, "b"), (5, "six", "b")]
+    docs = documents(spark, rows).withColumn("taken", F.lit("clash")).withColumn("n", F.col("doc_id") * 2)
+    got, plain = mixing.mix(docs, whole=True), mixing.mix(docs)
+    digest = lambda df: sorted(str((r["doc_id"], r["source"], r["size"])) for r in df.collect())
+    assert digest(got) == digest(plain) and sum(r["taken"] for r in got.collect()) == sum(r["taken"] for r in plain.collect())
+    assert sorted(str((r["doc_id"], r["text"], r["source"], r["document_taken"], r["n"])) for r in got.collect()) == sorted(str((a, b, c, "clash", None if a is None else 2 * a)) for a, b, c in rows)
+
+
+def test_many_copies_of_a_row(spark):
+    """Rows alike in doc_id and text: all of a long one goes, a short one stays, and work grows with their number."""
+    rng = random.Random(4)
+    long, other = some(rng, 900), some(rng, 300)
+    rows = [(7, long, "a")] * 3000 + [(8, "short", "a")] * 50 + [(9, other + long[300:900], "a"), (10, other[:300] + some(rng, 90), "b"), (None, None, "a"), (None, None, "a")]
+    got = [tuple(r) for r in repeats.repeated_strings(documents(spark, rows)).collect()]
+    want = Counter((d, len((t or "").encode())) for d, t, _ in rows)
+    assert Counter(g[:2] for g in got) == want
+    assert {g[2:4] for g in got if g[0] == 7} == {(len(long), 1)} and {g[2:4] for g in got if g[0] in (8, None)} == {(0, 0)}
+    assert {g[:4] for g in got if g[0] == 9} == {(9, len(other) + 600, 900, 2)}
+    assert {g[2] for g in got if g[0] == 10} == {300}
+    kept = repeats.without_repeats(documents(spark, rows)).collect()
+    assert {r["text"] for r in kept if r["doc_id"] == 7} == {""} and sum(r["text"] is None for r in kept) == 2
+
+
+def test_decontamination_with_a_column_named_state(spark):
+    docs = documents(spark, [(1, "nothing here", "a")]).withColumn("state", F.lit(1)).withColumn("state_row", F.lit(2)).withColumn("items", F.lit(3))
+    bench = spark.createDataFrame([(1, "nothing here"), (2, "else")], "item_id long, text string")
+    for size in (1 << 20, 1):
+        got = decontaminate.decontaminate(docs, bench, table_bytes=size).collect()
+        assert len(got) == 1 and got[0]["contaminated"] and got[0]["state"] == 1
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rows = [(str(i), "xx", f"{chr(0x430 + i)} " * (150_000 + i)) for i in range(2, 8)] + [(str(i), "yy", "words " * 200) for i in range(10, 30)]
+    texts = langid.labelled_text(spark.createDataFrame(rows, "doc_id string, lang string, text string"))
+    from tickloom.llm.common import held_out
+
+    free = {r[0] for r in spark.createDataFrame(rows, "doc_id string, lang string, text string").where(~held_out(F.col("doc_id"))).collect()}
+    shortest = min(int(i) for i, lang, _ in rows if lang == "xx" and i in free)
+    assert len(texts["xx"]) == 2 * (150_000 + shortest) and texts["yy"]

@@ -13,7 +13,7 @@ benchmark's size.
 
 Defined results: null text has no words and is clean; an item without words matches nothing; a null item_id makes a
 document contaminated but is no item; windows shared by items count for each; repeated rows give repeated rows; very long
-texts are searched whole; all columns of the documents stay (the operator's own names get `prefix`); an empty benchmark
+texts are searched whole; all columns of the documents stay, whatever their names but for `__leaks_*` (those that the operator adds get `prefix`); an empty benchmark
 leaves every document clean; empty tables give no rows.
 """
 
@@ -132,7 +132,7 @@ def _search(docs: DataFrame, shared, name: str) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, prefix: str = "", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """All columns of `docs` with n_words, n_hit, n_items, items_sha256, contaminated (names get `prefix`)."""
-    sc, base, at, row = docs.sparkSession.sparkContext, docs.columns, f"{prefix}state", f"{prefix}state_row"
+    sc, base, at, row = docs.sparkSession.sparkContext, docs.columns, f"__leaks_{prefix}state", f"__leaks_{prefix}row"
     known = materialise(patterns(benchmark), "bench-patterns")
     cost = F.lit(PATTERN_BYTES) + 3 * F.octet_length("pattern") + 60 * F.size("items")
     blocks = max(1, -(-(known.agg(F.sum(cost)).first()[0] or 0) // table_bytes))

@@ -15,9 +15,9 @@ character, and a block's first phrases are then parsed again from the state the
 parses begin a phrase at one place (`phrases`).
 
 Learning is bounded by documented parameters: whole texts of up to ROWS documents a language and ROW_CHARS characters
-each, in the order of a hash of doc_id, from rows that are not held out (one text of a repeated doc_id), up to
+each, in the order of a hash of doc_id (longer ones after these, the shortest first), from rows that are not held out (one text of a repeated doc_id), up to
 TOTAL_CHARS / languages and TEXT_CHARS characters a language; MAX_LANGS languages. A language whose texts are all
-longer is learned from one of up to LONGEST characters, or not at all.
+longer is learned from the shortest of them, whole.
 
 Defined results: null text and text without a letter give `und` and score 0; with nothing learned every text is
 `und` (has_letter tells the two apart); repeated rows give repeated rows; lang and source are never read for predictions; other
@@ -39,7 +39,6 @@ ROWS = 128
 ROW_CHARS = 8_000
 TEXT_CHARS = 40_000
 TOTAL_CHARS = 2_000_000
-LONGEST = 200_000
 MAX_LANGS = 200
 #: Parts of a language that are ranked apart first.
 PARTS = 32
@@ -58,8 +57,8 @@ def labelled_text(docs: DataFrame) -> dict[str, str]:
     """language -> bounded labelled text, from rows that are not held out."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     size, digest = F.char_length("text"), F.xxhash64("text")
-    one = rows.where(size <= LONGEST).groupBy("lang", "doc_id").agg(F.min(F.struct(size.alias("n"), digest.alias("d"))).alias("t"))
-    order = [F.col("t.n") > ROW_CHARS, F.xxhash64("doc_id"), "doc_id"]
+    one = rows.groupBy("lang", "doc_id").agg(F.min(F.struct(size.alias("n"), digest.alias("d"))).alias("t"))
+    order = [F.greatest(F.col("t.n"), F.lit(ROW_CHARS)), F.xxhash64("doc_id"), "doc_id"]
     ranked = one.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
     for keys in (("lang", "part"), ("lang",)):  # first inside parts of a language, so that one language is not one task
         ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("i") <= ROWS)

@@ -17,7 +17,7 @@ The prefix sums run in two levels (chunks of a source, then documents of a chunk
 third of all rows is spread over many tasks.
 
 Defined results: null text has size 0 and takes nothing; null source is a source; repeated rows are separate
-documents; other columns of the input are ignored; an empty table gives no rows.
+documents; other columns of the input are ignored, or carried along on demand; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,9 +60,17 @@ def plan(sizes: dict, weights=WEIGHTS, rate: float = RATE, repeat: int = REPEAT)
     return {s: (float(target[s]), slope[s]) for s in order}
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, position, positions; range-sorted by position."""
+OWN = ("size", "source_size", "target", "taken", "position", "positions")
+
+
+def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken, position, positions; range-sorted by position.
+
+    With `whole` the documents' other columns come with them; those named like one of the above (but doc_id and source) get
+    `document_` before their name. Rows alike in all columns are brought back to their texts as one.
+    """
     spark = docs.sparkSession
+    row = F.xxhash64(*[f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]) if whole else F.lit(0).cast("long")
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = materialise(
         docs.select(
@@ -70,6 +78,7 @@ def mix(docs: DataFrame) -> DataFrame:
             "source",
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
             F.xxhash64(F.col("doc_id"), F.lit("mix"), F.col("source"), F.col("text")).alias("h"),
+            row.alias("__mix_row"),
         ),
         "mix-sizes",
     )
@@ -88,7 +97,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rank = F.shiftrightunsigned("h", 33).cast("double") / float(1 << 31)
     # Rows alike in doc_id, source and text are one row with a count until they are placed: no chunk holds them all.
     sized = sized.withColumn("chunk", F.floor(rank * chunks).cast("int"))
-    alike = sized.groupBy("source", "chunk", "h", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    alike = sized.groupBy("source", "chunk", "h", "doc_id", "size", "__mix_row").agg(F.count(F.lit(1)).alias("n"))
     by_chunk = sized.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     before = by_chunk.select(
         F.col("source").alias("s"),
@@ -96,7 +105,7 @@ def mix(docs: DataFrame) -> DataFrame:
         (F.sum("words").over(Window.partitionBy("source").orderBy("chunk")) - F.col("words")).alias("before"),
     )
     # Level two: words before each document inside its chunk.
-    inside = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "size", "__mix_row").rowsBetween(Window.unboundedPreceding, -1)
     some = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1), F.lit(CHUNK_ROWS)))
     each = F.explode(F.sequence("from", F.least(F.col("n"), F.col("from") + CHUNK_ROWS) - 1))
     placed = (
@@ -119,10 +128,18 @@ def mix(docs: DataFrame) -> DataFrame:
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.col("slope") == 0, share).otherwise(root) + 0.0))
 
     positions = F.array_compact(F.array(*[F.when(n > 0, place(x)) for n, x in zip(taken, starts)]))
-    return placed.select(
+    mixed = placed.select(
         "doc_id", "size", "source", "source_size", "target", sum(taken[1:], taken[0]).cast("long").alias("taken"),
-        place(starts[0]).alias("position"), positions.alias("positions"),
-    ).orderBy("position", "doc_id")
+        place(starts[0]).alias("position"), positions.alias("positions"), "__mix_row",
+    )
+    if not whole:
+        return mixed.drop("__mix_row").orderBy("position", "doc_id")
+    rows = docs.withColumn("__mix_key", row).withColumnsRenamed({c: f"document_{c}" for c in docs.columns if c in OWN})
+    if not alike.where("n > 1").isEmpty():
+        rows = rows.dropDuplicates(["__mix_key", "doc_id"])
+    same = (F.col("__mix_row") == F.col("__mix_key")) & F.col("doc_id").eqNullSafe(F.col("__mix_id"))
+    both = rows.join(mixed.drop("source").withColumnRenamed("doc_id", "__mix_id"), same)
+    return both.select(*[c for c in rows.columns if c != "__mix_key"], *OWN).orderBy("position", "doc_id")
 
 
 def passes(mixed: DataFrame) -> DataFrame:

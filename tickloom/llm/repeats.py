@@ -18,7 +18,7 @@ No pair of documents or segments is ever formed; hot anchors are split by aggreg
 by skewed-join handling. Strings are told apart by two independent 64-bit hashes (of the gram, and of the
 covered bytes), not byte by byte: the result is exact but for a collision of both at once.
 
-Defined results: null and empty texts have no bytes and one digest of nothing; repeated rows are copies of each other;
+Defined results: null and empty texts have no bytes and one digest of nothing; repeated rows are copies of each other (searched once, whatever their number);
 very long texts are read whole, in pieces of PIECE bytes that overlap; other columns are ignored, whatever their names (but for
 `__repeats_*`); an empty table gives no rows. Bytes are judged on the input, overlaps count.
 """
@@ -195,12 +195,12 @@ def _refine(block: int):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with a 64-bit row key k: doc_id where it names rows, else a hash of doc_id and text."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """`docs` with a 64-bit row key: doc_id where it names rows, else a hash of doc_id and text; and whether it names rows."""
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named"), F.countDistinct("doc_id").alias("ids")).first()
     if ids["n"] == ids["named"] == ids["ids"] and dict(docs.dtypes)["doc_id"] in ("bigint", "int"):
-        return docs.withColumn("__repeats_row", F.col("doc_id").cast("long"))
-    return docs.withColumn("__repeats_row", F.xxhash64("doc_id", "text"))
+        return docs.withColumn("__repeats_row", F.col("doc_id").cast("long")), True
+    return docs.withColumn("__repeats_row", F.xxhash64("doc_id", "text")), False
 
 
 #: A segment's place packed into one long: first start, offset of the anchor from it, number of starts.
@@ -273,9 +273,9 @@ def runs_of(packed: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner[new], first[new] & low, reach[last] & low
 
 
-def _cut(texts: list, spans) -> list[tuple[bytes, int, int, int]]:
-    """(kept bytes, bytes, removed bytes, removed runs) of each text; spans: an Arrow list column of packed ranges."""
-    out = [(t or b"", len(t or b""), 0, 0) for t in texts]
+def _cut(texts: list, spans, again) -> list[tuple[bytes, int, int, int]]:
+    """(kept bytes, bytes, removed bytes, removed runs) of each text; spans: an Arrow list column of packed ranges; again: whether the row is there again."""
+    out = [(b"", len(t), len(t), 1) if whole and len(t or b"") >= LENGTH else (t or b"", len(t or b""), 0, 0) for t, whole in zip(texts, again.to_pylist())]
     values = spans.flatten().to_numpy(zero_copy_only=False)
     if not len(values):
         return out
@@ -294,10 +294,25 @@ def _cut(texts: list, spans) -> list[tuple[bytes, int, int, int]]:
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    keyed = _keyed(docs)
-    found = materialise(spans(keyed), "repeat-spans")
+    """`docs` with the spans of each row, and `__repeats_all` where the row is there again.
+
+    Rows alike in doc_id and text are one row to the search, and each of them is a repeat of the others as a whole.
+    """
+    keyed, named = _keyed(docs)
+    texts = keyed.select("__repeats_row", "text")
+    if named:
+        found = spans(texts).withColumn("all", F.lit(False))
+    else:
+        again = texts.groupBy("__repeats_row").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("__repeats_row").alias("k"))
+        again = materialise(again, "repeat-rows")
+        same = F.col("__repeats_row") == F.col("k")
+        one = texts.join(again, same, "left_anti").unionByName(texts.join(again, same, "left_semi").dropDuplicates(["__repeats_row"]))
+        found = spans(one).join(again, "k", "left_anti").withColumn("all", F.lit(False))
+        found = found.unionByName(again.select("k", F.lit(None).cast("array<bigint>").alias("spans"), F.lit(True).alias("all")))
+    found = materialise(found, "repeat-spans")
     release(docs.sparkSession)
-    return keyed.join(found.withColumnRenamed("k", "__repeats_of").withColumnRenamed("spans", "__repeats_spans"), F.col("__repeats_row") == F.col("__repeats_of"), "left")
+    found = found.select(F.col("k").alias("__repeats_of"), F.col("spans").alias("__repeats_spans"), F.col("all").alias("__repeats_all"))
+    return keyed.join(found, F.col("__repeats_row") == F.col("__repeats_of"), "left")
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
@@ -308,7 +323,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                rows = _cut(_bytes(part.column(1)), part.column(2))
+                rows = _cut(_bytes(part.column(1)), part.column(2), part.column(3))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -319,7 +334,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    joined = _joined(docs.select("doc_id", "text")).select("doc_id", "text", "__repeats_spans")
+    joined = _joined(docs.select("doc_id", "text")).select("doc_id", "text", "__repeats_spans", "__repeats_all")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -335,10 +350,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 texts = _bytes(part.column(at))
-                rows = _cut(texts, part.column(len(names)))
+                rows = _cut(texts, part.column(len(names)), part.column(len(names) + 1))
                 kept = [None if t is None else r[0] if not r[3] else r[0].decode("utf-8", "ignore").encode() for t, r in zip(texts, rows)]
                 columns = part.columns[: len(names)]
                 columns[at] = pa.array(kept, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _joined(docs).select(*names, "__repeats_spans").mapInArrow(run, docs.schema)
+    return _joined(docs).select(*names, "__repeats_spans", "__repeats_all").mapInArrow(run, docs.schema)
