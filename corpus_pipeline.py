@@ -16,9 +16,15 @@ _OWN = "__pipeline_"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, empty or letterless text) go, whether or not a language could be learned."""
-    found = langid.identify(docs, prefix=_OWN)
-    return found.where(f"{_OWN}has_letter").select(docs.columns)
+    """Documents without a language (null, empty or letterless text) go; `lang` of the others is the one found in their text.
+
+    Where no language could be learned, documents with letters stay as they are.
+    """
+    found = langid.identify(docs, prefix=_OWN).where(f"{_OWN}has_letter")
+    if "lang" not in docs.columns:
+        return found.select(docs.columns)
+    known = F.when(F.col(f"{_OWN}lang_pred") != "und", F.col(f"{_OWN}lang_pred")).otherwise(F.col("lang"))
+    return found.withColumn("lang", known).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +45,9 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is kept, mixed to the target weights, in training order; null texts take nothing, null is a source."""
-    return mixing.mix(docs)
+    """What is kept, whole documents mixed to the target weights, in training order: all their columns, and how many words the mix
+    takes of each, and where; null texts take nothing, null is a source."""
+    return mixing.mix(docs, whole=True)
 
 
 STAGES = [
