@@ -245,6 +245,48 @@ def test_pages_without_a_leak_or_a_loss():
         assert len(text.split()) == n and "x0" not in text.split(), page[:80]
 
 
+def test_names_say_what_their_last_word_says():
+    body, more = f"<p>{words(40)}</p>", f"<p>{words(50, 'x')}</p>"
+    for name in ("user-responses", "readerOpinions", "article__comments--list", "post-share", "cookie-notice", "notice", "related-posts", "ad-unit"):
+        assert html.main_text(f"<article>{body}<div class='{name}'>{more}</div>{body}</article>", WEIGHTS).split() == words(40).split() * 2, name
+    assert len(html.main_text(f"<article>{body}<section class=discussion>{more}</section></article>", WEIGHTS).split()) == 40
+    for page in (
+        f"<article>{body}<p class='ad-hoc'>{words(9)}</p></article>", f"<article>{body}<div class='navigation-systems'><p>{words(9)}</p></div></article>",
+        f"<article>{body}<p class='sharing-economy'>{words(9)}</p></article>", f"<article>{body}<p class=notice>{words(9)}</p></article>",
+    ):
+        assert len(html.main_text(page, WEIGHTS).split()) == 49, page[-80:]
+    for line in ("&copy; 2024 Some House", "Copyright 2024 Some House. All rights reserved.", "(c) 2024 us"):
+        for page in (f"<article>{body}<p>{line}</p></article>", f"<div>{body}<div>{line}</div></div>"):
+            assert len(html.main_text(page, WEIGHTS).split()) == 40, line
+
+
+def bare(page, rng):
+    """A page without what names and elements say."""
+    page = re.sub(r'class="[^"]*"', lambda m: 'class="' + "".join(rng.choice("bcdfgkz") for _ in range(6)) + '"', page)
+    for name in ("article", "nav", "footer"):
+        page = page.replace(f"<{name}", "<div").replace(f"</{name}", "</div")
+    return page
+
+
+def test_weights_and_scan_find_the_text_of_pages_without_names(monkeypatch):
+    import pandas
+
+    pages, rng = list(pandas.read_parquet("/root/testdata/sf0.01/pages.parquet")["html"]), random.Random(1)
+
+    def measured(weights):
+        good = n_got = n_want = 0
+        for page in pages:
+            want, got = (Counter(t.split()) for t in (html.main_text(page, WEIGHTS), html.main_text(bare(page, rng), weights)))
+            good, n_got, n_want = good + (got & want).total(), n_got + got.total(), n_want + want.total()
+        return good / n_got, good / n_want
+
+    precision, recall = measured(WEIGHTS)
+    assert precision > 0.99 and recall > 0.99
+    assert measured({})[0] < precision - 0.01
+    monkeypatch.setattr(html, "best_region", lambda scores: (0, len(scores)))
+    assert measured(WEIGHTS)[0] < precision - 0.01
+
+
 def test_the_region_is_the_best_one():
     rng = random.Random(11)
     for _ in range(300):

@@ -2,16 +2,21 @@
 
 A page is a sequence of text chunks and tags. Words score positive and tags negative; the weights are log odds of
 standing inside the main element (`article` or `main`), counted on Spark over pages that have one, from at most
-SAMPLE pages (by hash of page_id). Words are told apart by the block they stand in and the chunk's length, links
-have their own weight, and a run of boilerplate (navigation, page header and footer, asides, forms, adverts,
+SAMPLE pages (by hash of page_id). Words are told apart by the block they stand in, the chunk's length, whether they are a link and
+whether they begin with a copyright sign, never by names: so menus, teasers and imprints that nothing marks have weights of their own,
+below 0 where they stand outside. A run of marked boilerplate (navigation, page header and footer, asides, forms, adverts,
 notices, comments ...: elements or names) costs RUN at most, so text on both sides of it stays together. One linear
 scan finds the contiguous region with the highest sum (the first on ties). Boilerplate in it is left out; the rest is
-decoded, spaces joined, blocks put together by line feeds.
+decoded, spaces joined, blocks put together by line feeds. Where the region holds under TRUST of the page's words that are
+neither links nor marked (a page unlike those learned from), all words score above 0 and the scan is done again.
 
 A page's own main element counts if it holds TRUST or more of the words of the best region found without it; then
 words outside of it have the learned weight of such words, and tags and boilerplate inside it score 0. A teaser in
 an `article` so does not hide the text beside it.
 
+A name marks boilerplate if its last word does (`post-share`), words of place and layout at its end aside (`comment-body`): in `ad-hoc` or
+`sharing-economy` the last word says something else.
+
 Defined results: null, empty and tag-only pages give the empty text; broken markup is read leniently (unclosed
 comments and scripts run to the end, a `<` that no `>` follows is text, and after a quotation that swallows the rest of
 the page quotes no longer count), in time linear in the page's length; very long pages are read whole; repeated rows
@@ -43,21 +48,28 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li td dd dt figcaption".sp
 MAIN = frozenset(("article", "main"))
 BOILERPLATE = frozenset("nav footer aside form button menu dialog head".split())
 KNOWN = BLOCKS | VOID | RAW | frozenset("a b i em strong span u small sub sup code img q cite mark abbr time label".split())
-# Words in class, id and role. STRONG ones mark boilerplate anywhere, TALK ones even around a main element,
-# WEAK ones only containers outside of the main element; LAYOUT words before one say that a page has it, not that this is it.
+# Words in class, id and role. STRONG ones mark boilerplate anywhere, TALK ones even around a main element, NOTICES
+# containers, WEAK ones only containers outside of the main element; LAYOUT words before one say that a page has it, not that this is it.
 STRONG = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promoted promotion nav navbar navigation menubar breadcrumb breadcrumbs sidebar footer masthead topbar cookie cookies consent newsletter subscribe subscription signup login share sharing social popup modal overlay gdpr toolbar pagination pager widget widgets contentinfo".split()
 )
-TALK = frozenset("comment comments commentlist disqus reply replies respond related recommended recommendations".split())
-WEAK = frozenset(
-    "banner menu side aside rail bottom header discussion feedback notice notices notification alert register search more hidden privacy legal copyright complementary skip".split()
+TALK = frozenset(
+    "comment comments commentlist disqus reply replies respond response responses reaction reactions discussion discussions feedback opinions related recommended recommendations".split()
+)
+WEAK = frozenset("banner menu side aside rail bottom header register search more hidden privacy legal copyright complementary skip".split())
+NOTICES = frozenset("notice notices notification notifications alert alerts disclaimer".split())
+# Words of place and layout that may stand at the end of a name.
+PLACE = frozenset(
+    "area bar block body bottom box button buttons card column container content count entry footer form frame group header heading holder icon icons image inner item items label left link links list main module number outer page pane panel primary region right row secondary section slot space text thread title toggle top unit wrap wrapper zone posts post articles stories".split()
 )
 LAYOUT = frozenset("has with no is without".split())
+_MARKS = STRONG | TALK | WEAK | NOTICES
 
 _OPEN = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s/]|$))", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
+_SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
+_IMPRINT = re.compile(r"\s*(?:©|\(c\)\s*\d|copyright\s*(?:©|\(c\)|\d))", re.I)
 _CLOSE = {name: re.compile(f"</{name}(?![a-zA-Z0-9:-])", re.I) for name in RAW}
 
 
@@ -125,14 +137,19 @@ def _mark(name: str, attributes: str) -> int:
             return 4
         if key == "style":
             continue
-        for one in value.strip("\"'").lower().split():
-            words = [w for w in _SPLIT.split(one) if w]
-            for i, w in enumerate(words):
+        for one in value.strip("\"'").split():
+            words = [w.lower() for w in _SPLIT.split(one) if w]
+            last = len(words)
+            while last and words[last - 1] not in _MARKS and words[last - 1] in PLACE:
+                last -= 1
+            if not last or words[last - 1] not in _MARKS:
+                continue
+            for i, w in enumerate(words[:last]):
                 if i and words[i - 1] in LAYOUT:
                     continue
                 if w in TALK:
                     found = max(found, 3)
-                elif w in STRONG:
+                elif w in STRONG or w in NOTICES and name not in PROSE:
                     found = max(found, 2)
                 elif w in WEAK and name not in PROSE:
                     found = max(found, 1)
@@ -197,16 +214,16 @@ def items(page: str | None):
     return [(kind, value, boiler[e], main[e], link[e], block[e]) for kind, value, e in tokens]
 
 
-def _kind(kind: str, value: str, boiler: bool, link: bool, block: str, n: int) -> str:
+def _kind(kind: str, value: str, link: bool, block: str, n: int) -> str:
     """The token kind that has a weight of its own."""
-    if boiler:
-        return "boilerplate" if kind == "text" else "<boilerplate>"
     if kind != "text":
         return f"<{value}>" if value in KNOWN else "<other>"
     if link:
         return "link"
+    if _IMPRINT.match(entities.unescape(value[:80])):
+        return "imprint"
     place = "heading" if block in HEADINGS else block if block in PROSE else "other"
-    return f"{place} {'short' if n < 4 else 'middle' if n < 12 else 'long'}"
+    return f"{place} {'short' if n < 4 else 'middle' if n < 15 else 'long'}"
 
 
 def counts(page: str | None) -> dict[tuple[str, bool], int]:
@@ -215,7 +232,7 @@ def counts(page: str | None) -> dict[tuple[str, bool], int]:
     for kind, value, boiler, main, link, block in items(page):
         n = len(value.split()) if kind == "text" else 1
         inside = main and not boiler
-        for key in (_kind(kind, value, boiler, link, block, n), *(() if main else ("outside" if kind == "text" else "<outside>",))):
+        for key in (_kind(kind, value, link, block, n), *(() if main else ("outside" if kind == "text" else "<outside>",))):
             out[key, inside] = out.get((key, inside), 0) + n
     return out if any(inside for _, inside in out) else {}
 
@@ -251,8 +268,8 @@ def log_odds(seen: dict[str, list[int]]) -> dict[str, float]:
     return {k: math.log((v[1] + 0.5) / into) - math.log((v[0] + 0.5) / out) for k, v in seen.items()}
 
 
-def gains(tokens: list, weights: dict[str, float], trusted: bool) -> list[float]:
-    """The score of every token; `trusted`: the page's main element counts."""
+def gains(tokens: list, weights: dict[str, float], trusted: bool, plain: bool = False) -> list[float]:
+    """The score of every token; `trusted`: the page's main element counts; `plain`: words score above 0."""
     out, run = [], 0.0
     link = min(-LEAST, max(-MOST, weights.get("link", -1.0)))
     outside = min(-LEAST, max(-MOST, weights.get("outside", -1.0)))
@@ -267,11 +284,12 @@ def gains(tokens: list, weights: dict[str, float], trusted: bool) -> list[float]
         elif trusted and not main:
             gain = outside * n
         elif kind == "tag":
-            gain = 0.0 if inside else min(-LEAST, max(-MOST, weights.get(_kind(kind, value, boiler, linked, block, n), -0.3)))
+            gain = 0.0 if inside else min(-LEAST, max(-MOST, weights.get(_kind(kind, value, linked, block, n), -0.3)))
         elif linked and not inside:
             gain = link * n
         else:
-            gain = n * min(MOST, max(LEAST if linked else 0.3, weights.get(_kind(kind, value, boiler, linked, block, n), 1.0)))
+            least = LEAST if linked else 0.3 if inside or plain else -MOST
+            gain = n * min(MOST, max(least, weights.get(_kind(kind, value, linked, block, n), 1.0)))
         out.append(gain)
     return out
 
@@ -292,6 +310,8 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     tokens = items(page)
     size = lambda some: sum(len(t[1].split()) for t in some if t[0] == "text" and not t[2] and not t[4])
     first, end = best_region(gains(tokens, weights, False))
+    if size(tokens[first:end]) < TRUST * size(tokens):
+        first, end = best_region(gains(tokens, weights, False, True))
     own = size(t for t in tokens if t[3])
     trusted = own > 0 and own >= TRUST * size(tokens[first:end])
     if trusted:
@@ -305,7 +325,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             blocks.append("".join(block))
             block = []
     blocks.append("".join(block))
-    return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
+    return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x and not _IMPRINT.match(x))
 
 
 def extract(pages: DataFrame) -> DataFrame:
