@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialise
+from tickloom.llm.common import drop_written, materialise, release
 
 #: Documents of a language that a kept term is in. The first and last document of a chunk are all it has only below 3.
 MIN_DOCS = 3
@@ -100,6 +100,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
     chunks = chunks.withColumn("__terms", F.when(F.col("__at") == 1, F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))))
     chunks = chunks.withColumn("__terms", F.first("__terms", True).over(w))
     rows = materialise(chunks.select("lang", "source", F.explode("__terms").alias("term"), "n", "docs", "lo", "hi"), "divergence-rows")
+    del chunks  # its shuffle files can go
+    release(docs.sparkSession)
 
     groups = rows.groupBy("lang", "source", "term").agg(*sums, F.max("docs").alias("most"))
     item = F.struct("source", "n", "lo", "hi")
@@ -112,11 +114,15 @@ def term_counts(docs: DataFrame) -> DataFrame:
     terms = terms.where(sure | ((F.col("docs") >= MIN_DOCS) & (F.col("lo") < F.col("hi"))))
     terms = terms.select("lang", "term", "n", F.transform("items", lambda x: F.struct(x["source"].alias("source"), x["n"].alias("n"))).alias("items"), sure.alias("sure"))
     terms = materialise(terms, "divergence-terms")
+    del groups
+    release(docs.sparkSession)
     open_ = terms.where("NOT sure").select("lang", "term")
     few = rows.join(open_, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.array("lo", "hi")).alias("doc")).distinct()
     some = few.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS)
     more = terms.where("NOT sure").join(some, ["lang", "term"], "left_semi")
-    return materialise(terms.where("sure").unionByName(more).drop("sure"), "divergence-kept")
+    kept = materialise(terms.where("sure").unionByName(more).drop("sure"), "divergence-kept")
+    drop_written(rows, terms)
+    return kept
 
 
 def _p(count, total, terms):
