@@ -53,7 +53,7 @@ def carried(df: DataFrame, specs: dict[str, tuple[str, Column]], chunk: Column |
     row; a window over those few rows gives what each chunk carries in; rows then look at their own chunk only.
     """
     chunk = F.to_date("ts") if chunk is None else chunk
-    at, keys = F.struct(*order), [*series, "__c"]
+    at = F.struct(*order)
     agg = {
         "sum": F.sum, "total": F.sum, "max": F.max, "min": F.min,
         "last": lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), at)), "next": lambda v: F.min_by(v, F.when(F.col(v).isNotNull(), at)),
@@ -63,23 +63,29 @@ def carried(df: DataFrame, specs: dict[str, tuple[str, Column]], chunk: Column |
         "sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least,
         "last": lambda own, before: F.coalesce(own, before), "next": lambda own, after: F.coalesce(own, after),
     }
-    keyed = df.withColumns({f"__v{i}": column for i, (_, column) in enumerate(specs.values())}).withColumn("__c", chunk)
-    small = keyed.groupBy(*keys).agg(*[agg[kind](f"__v{i}").alias(f"__a{i}") for i, (kind, _) in enumerate(specs.values())])
+    # Join and window keys are the same columns and never null, so rows are shuffled once, by (series, chunk).
+    named = {f"__k{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(series)}
+    nulls = F.concat(F.lit(""), *[F.when(F.col(c).isNull(), "1").otherwise("0") for c in series])
+    whole, keys = [*named, "__kn"], [*named, "__kn", "__kc"]
+    values = {f"__v{i}": column for i, (_, column) in enumerate(specs.values())}
+    keyed = df.withColumns(values).withColumns(named | {"__kn": nulls, "__c": chunk}).withColumn("__kc", F.coalesce(F.col("__c").cast("string"), F.lit("")))
+    small = keyed.groupBy(*keys, "__c").agg(*[agg[kind](f"__v{i}").alias(f"__a{i}") for i, (kind, _) in enumerate(specs.values())])
     back = [F.desc(c) for c in order]
     carry, inside = {}, {}
     for i, (kind, _) in enumerate(specs.values()):
         ahead = kind == "next"
         if kind == "total":
-            carry[f"__in{i}"] = F.sum(f"__a{i}").over(Window.partitionBy(*series))
+            carry[f"__in{i}"] = F.sum(f"__a{i}").over(Window.partitionBy(*whole))
             inside[list(specs)[i]] = F.col(f"__in{i}")
             continue
-        over = Window.partitionBy(*series).orderBy(F.desc("__c") if ahead else "__c").rowsBetween(START, -1)
+        over = Window.partitionBy(*whole).orderBy(F.desc("__c") if ahead else "__c").rowsBetween(START, -1)
         carry[f"__in{i}"] = past[kind](f"__a{i}").over(over)
         own = Window.partitionBy(*keys).orderBy(*(back if ahead else order)).rowsBetween(START, 0)
         inside[list(specs)[i]] = both[kind](past[kind](f"__v{i}").over(own), F.col(f"__in{i}"))
     names = [f"__in{i}" for i in range(len(specs))]
-    out = _small_join(keyed, small.withColumns(carry).select(*keys, *names), keys).withColumns(inside)
-    return out.drop("__c", *names, *[f"__v{i}" for i in range(len(specs))])
+    carries = small.withColumns(carry).select(*keys, *names)
+    out = keyed.join(carries, keys).withColumns(inside)
+    return out.drop("__c", *keys, *names, *values)
 
 
 def cumsum_chunked(df: DataFrame, value: Column, name: str, chunk: Column | None = None, series=SERIES, order=ORDER) -> DataFrame:
@@ -100,18 +106,25 @@ def block_plan(df: DataFrame, before: int = 0, after: int = 0, series=SERIES, ro
     hours = hours.withColumn("__block", F.floor(F.col("__first") / size))
     if not before and not after:
         return hours.select(*series, "__c", "__block", F.lit(True).alias("__own"))
-    v = Window.partitionBy(*series).orderBy("__block")
-    blocks = hours.groupBy(*series, "__block").agg(F.min("__first").alias("__from"), F.max(F.col("__first") + F.col("__n")).alias("__to"))
-    near_by = {}
-    for k in (1, 2):
-        near_by |= {f"__up{k}": F.lead(F.struct("__block", "__from"), k).over(v), f"__down{k}": F.lag(F.struct("__block", "__to"), k).over(v)}
-    hours = _small_join(hours, blocks.withColumns(near_by).drop("__from", "__to"), [*series, "__block"])
+    # The two blocks before and after, from the first hours of blocks: no join of the hours with their blocks.
+    begins = F.coalesce(F.lag("__block").over(w) != F.col("__block"), F.lit(True))
+    hours = hours.withColumns({"__new": begins, "__prev": F.lag("__block").over(w)})
+    at_start = lambda c: F.last(F.when(F.col("__new"), c), True)
+    upto, behind = w.rowsBetween(START, 0), Window.partitionBy(*series).orderBy(F.desc("__c")).rowsBetween(START, -1)
+    if before:
+        hours = hours.withColumn("__up1", at_start(F.struct("__block", F.col("__first").alias("__from"))).over(behind))
+        hours = hours.withColumn("__up2", at_start(F.col("__up1")).over(behind))
+    if after:
+        down = F.when(F.col("__prev").isNotNull(), F.struct(F.col("__prev").alias("__block"), F.col("__first").alias("__to")))
+        hours = hours.withColumn("__down1", at_start(down).over(upto))
+        hours = hours.withColumn("__down0", F.lag("__down1").over(w)).withColumn("__down2", at_start(F.col("__down0")).over(upto))
     goes = [F.struct("__block", F.lit(True).alias("__own"))]
     for k in (1, 2):
-        up, down = F.col(f"__up{k}"), F.col(f"__down{k}")
         if before:
+            up = F.col(f"__up{k}")
             goes.append(F.when(F.col("__first") + F.col("__n") > up["__from"] - before, F.struct(up["__block"].alias("__block"), F.lit(False).alias("__own"))))
         if after:
+            down = F.col(f"__down{k}")
             goes.append(F.when(F.col("__first") < down["__to"] + after, F.struct(down["__block"].alias("__block"), F.lit(False).alias("__own"))))
     return hours.select(*series, "__c", F.inline(F.array_compact(F.array(*goes))))
 
