@@ -43,7 +43,7 @@ END_ID = 1
 #: Bytes of ids that a file holds, about.
 FILE_BYTES = 16 << 20
 #: Chunks (of under 64 bytes) that a worker remembers: some 200 bytes each.
-KNOWN = 500_000
+KNOWN = 400_000
 #: Every so many set bits have their place kept.
 STEP = 256
 MAX_VOCAB = 32 << 20
