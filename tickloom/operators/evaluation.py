@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import SERIES, leading
+from tickloom.operators.recurrences import scan
+from tickloom.operators.windows import SERIES, near_frames
 
 
 def horizon(decay: float, least: float) -> int:
@@ -18,12 +20,25 @@ def horizon(decay: float, least: float) -> int:
     return n
 
 
-def discounted_reward(entry: str, exit_: str, decay: float, least: float, series=SERIES) -> Column:
-    """Millionths: mean over the horizon of decay^i * (entry_(t+i) - exit_t) / entry_t; fewer terms at the tail, same divisor."""
+def with_discounted_reward(df: DataFrame, entry: str, exit_: str, decay: float, least: float, name: str = "reward", series=SERIES, rows: int = 0) -> DataFrame:
+    """Millionths: mean over the horizon of decay^i * (entry_(t+i) - exit_t) / entry_t; fewer terms at the tail, same divisor.
+
+    The sum is separable: what a suffix scan holds at a row, less what it holds n rows on, decayed n times. A row costs the same for any
+    horizon. A null entry adds no term but takes its place.
+    """
     n = horizon(decay, least)
-    ahead = F.collect_list(F.col(entry)).over(leading(n, series))
-    terms = F.transform(ahead, lambda x, i: F.pow(F.lit(decay), i) * (x - F.col(exit_)) / F.col(entry))
-    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) * 1e6 / n
+
+    def reward(columns, own):
+        e, x = columns
+        there = ~np.isnan(e)
+        back = lambda v: scan(decay, v[::-1], 0.0)[::-1]
+        base = e[there][0] if there.any() else 0.0  # sums of differences keep more digits than differences of sums
+        value, weight = back(np.where(there, e - base, 0.0)), back(there.astype(float))
+        far = lambda v: v - decay**n * np.append(v[n:], np.zeros(min(n, len(v))))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return [(far(value) - (x - base) * far(weight)) / e * 1e6 / n]
+
+    return near_frames(df, reward, f"{name} double", [entry, exit_], 0, n - 1, series, rows=rows)
 
 
 def attribution_weights(df: DataFrame, label: str, by: list[str]) -> DataFrame:

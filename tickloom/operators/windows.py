@@ -143,6 +143,26 @@ def near(df: DataFrame, fn, before: int = 0, after: int = 0, series=SERIES, rows
     return fn(placed.drop("__c"), (*series, "__block")).where("__own").drop("__block", "__own")
 
 
+def near_frames(df: DataFrame, fn, made: str, inputs: list[str], before: int = 0, after: int = 0, series=SERIES, order=ORDER, rows: int = 0) -> DataFrame:
+    """As `near`, for what no window expresses: `fn(arrays, own)` gets the inputs of a block and its halos as float arrays in order (not
+    a number for null) and gives an array for each of the columns `made` (names and types), whose own rows are kept."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.types import StructType
+
+    keys, columns, added = [*series, "__block"], df.columns, StructType.fromDDL(made)
+    placed = _small_join(df.withColumn("__c", hour_of("ts")), block_plan(df, before, after, series, rows), [*series, "__c"]).drop("__c")
+    names = [f.name for f in added.fields]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order))
+        own = pdf["__own"].to_numpy(dtype=bool)
+        made_ = fn([pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in inputs], own)
+        return pdf.loc[own, columns].assign(**{n: v[own] for n, v in zip(names, made_)})
+
+    return placed.groupBy(*keys).applyInPandas(run, StructType(df.schema.fields + added.fields))
+
+
 def ffill(value: str | Column, series=SERIES, order=ORDER) -> Column:
     return F.last(value, ignorenulls=True).over(running(series, order))
 

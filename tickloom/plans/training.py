@@ -17,8 +17,8 @@ _N = evaluation.horizon(0.9, 0.05)
 SELECT exchange, symbol, ts, seq, round(list_sum(list_transform(xs, lambda x, i: power(0.9, i - 1) * (x - k) / b)) * 1e6 / {_N}, 4) + 0.0 AS reward FROM a""")
 def l04(q):
     x = q.withColumns({c: F.col(c).cast("double") for c in ("bid", "ask")})
-    x = windows.near(x, lambda d, s: d.withColumn("reward", F.round(evaluation.discounted_reward("bid", "ask", 0.9, 0.05, s), 4) + 0.0), 0, _N)
-    return x.select("exchange", "symbol", "ts", "seq", "reward")
+    x = evaluation.with_discounted_reward(x, "bid", "ask", 0.9, 0.05)
+    return x.select("exchange", "symbol", "ts", "seq", (F.round("reward", 4) + 0.0).alias("reward"))
 
 
 @query("l06_attribution_weights", "ticks", """WITH m AS (SELECT exchange, symbol, avg(CAST(price AS DOUBLE)) AS m, max(CAST(price AS DOUBLE)) AS z, min(CAST(price AS DOUBLE)) AS a FROM ticks GROUP BY exchange, symbol)
