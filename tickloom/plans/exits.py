@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom import views
-from tickloom.operators import bars, exits, trades
+from tickloom.operators import bars, exits, held, trades
 from tickloom.plans.features import LEDGER, TRIPS, ledger
 from tickloom.plans.registry import query, rounded, table_query
 
@@ -25,6 +25,14 @@ def entries(t):
     return found.select(F.col("seq").alias("id"), "exchange", "symbol", "ts", "end", p.cast("double").alias("p0"), "direction")
 
 
+def curve_of(t):
+    return t.select("exchange", "symbol", "ts", "seq", F.col("price").cast("double").alias("price"), "side", F.col("size").cast("double").alias("size"))
+
+
+def found(t, rules, left_out=None):
+    return held.exits_in_blocks(entries(t), curve_of(t), ["exchange", "symbol"], rules, left_out)
+
+
 def curves(t):
     curve = t.select("exchange", "symbol", "ts", "seq", F.col("price").cast("double").alias("price"), "side", "size")
     return exits.deal_curves(exits.held_rows(entries(t), curve, ["exchange", "symbol"]))
@@ -59,24 +67,23 @@ g AS (SELECT *, least(a, b, c, z) AS x FROM f)
 SELECT id, target_ts, stop_ts, trail_ts, x[1] AS exit_ts, x[2] AS exit_seq, CASE WHEN a = x THEN 'target' WHEN b = x THEN 'stop' WHEN c = x THEN 'trail' ELSE 'timeout' END AS reason FROM g""")
 def x03(t):
     """First-touch exits, with the timeout (X09) and the reason by order of rules (X12)."""
-    return exits.first_exits(curves(t), {"target": F.col("profit") >= 40, "stop": F.col("profit") <= -25, "trail": F.col("giveback") >= 30})
+    rules = {"target": lambda d: d.at_least(40.0), "stop": lambda d: d.at_most(-25.0), "trail": lambda d: d.gives_back(30.0)}
+    return held.earliest(found(t, rules), list(rules))
 
 
 @query("x04_vetoed_exits", "ticks", f"""WITH {HELD}, v AS (SELECT * FROM c WHERE NOT (side = direction AND size >= 5))
 SELECT id, min(ts) FILTER (profit <= -25) AS stop_ts, coalesce(min(ts) FILTER (profit <= -25), max(ts)) AS exit_ts FROM v GROUP BY id""")
 def x04(t):
     """Large flow in the deal's direction vetoes an exit at its row."""
-    rows = exits.vetoed(curves(t), (F.col("side") == F.col("direction")) & (F.col("size") >= 5))
-    return exits.first_exits(rows, {"stop": F.col("profit") <= -25}).select("id", "stop_ts", "exit_ts")
+    veto = lambda rows, direction: (rows["side"] == direction) & (rows["size"] >= 5)
+    return held.earliest(found(t, {"stop": lambda d: d.at_most(-25.0)}, veto), ["stop"]).select("id", "stop_ts", "exit_ts")
 
 
 @query("x05_compound_exits", "ticks", f"""WITH {HELD}, m AS (SELECT *, min(profit) OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) AS low FROM c)
 SELECT id, min(ts) FILTER (low >= 0) AS safe_ts, min(ts) FILTER (best >= 20 AND profit <= best / 2) AS given_back_ts FROM m GROUP BY id""")
 def x05(t):
-    c = curves(t)
-    c = c.withColumn("safe", exits.never_negative_again(c))
-    half = (F.col("best") >= 20) & (F.col("profit") <= F.col("best") / 2)
-    return exits.first_exits(c, {"safe": F.col("safe"), "given_back": half}).select("id", "safe_ts", "given_back_ts")
+    rules = {"safe": lambda d: d.stays_above_water(), "given_back": lambda d: d.halves(20.0)}
+    return held.earliest(found(t, rules), list(rules)).select("id", "safe_ts", "given_back_ts")
 
 
 def _minute_bars(spark, sf_dir):
@@ -146,7 +153,10 @@ def x22(spark, sf_dir):
 f AS (SELECT param, id, arg_min(profit, (ts, seq)) FILTER (profit >= param) AS hit, arg_max(profit, (ts, seq)) AS final FROM c, p GROUP BY param, id)
 SELECT param, round(sum(coalesce(hit, final)), 4) + 0.0 AS total, count(*) AS trades FROM f GROUP BY param""")
 def x25(t):
-    out = exits.sweep(curves(t), [20.0, 40.0, 60.0, 80.0], lambda p: F.col("profit") >= p)
+    params = [20.0, 40.0, 60.0, 80.0]
+    rows = found(t, {f"p{i}": (lambda d, p=p: d.at_least(p)) for i, p in enumerate(params)})
+    each = F.array(*[F.struct(F.lit(p).alias("param"), F.coalesce(F.col(f"p{i}")["profit"], F.col("last")["profit"]).alias("profit")) for i, p in enumerate(params)])
+    out = rows.select(F.inline(each)).groupBy("param").agg(F.sum("profit").alias("total"), F.count("profit").alias("trades"))
     return out.select("param", (F.round("total", 4) + 0.0).alias("total"), "trades")
 
 
