@@ -93,3 +93,32 @@ def test_sums_beyond_64_bits():
 def test_empty_tables(spark):
     none = series(spark, 5).where("false")
     assert bars.sequence_bars(none, F.col("m"), 1.0).isEmpty() and bars.delta_sampling(none, "v", 1.0).isEmpty()
+
+
+@pytest.mark.parametrize("rows", [1, 60, 1 << 16])
+def test_books_in_blocks_equal_a_fold(spark, rows):
+    rng, updates = random.Random(6), []
+    for symbol, n in (("A", 1500), (None, 5)):
+        middle = 100.0
+        for i in range(n):
+            middle += rng.choice([-0.5, 0, 0, 0.5])
+            side = rng.choice([1, -1])
+            price = middle - side * 0.5 * rng.randint(-1, 6)
+            updates.append(("X", symbol, AT + dt.timedelta(seconds=80 * i), i, price, float(side * rng.randint(1, 9)), rng.choice([0, 1, 2, None])))
+    df = spark.createDataFrame(updates, "exchange string, symbol string, ts timestamp, seq long, price double, size double, count int")
+    best = {(r["symbol"], r["seq"]): (r["best_bid"], r["best_ask"]) for r in bars.best_prices(df, rows).collect()}
+    levels = {(r["symbol"], r["seq"]): tuple([(x["price"], x["size"]) for x in r[s]] for s in ("bids", "asks")) for r in bars.clean_book(df, rows).collect()}
+    assert len(best) == len(updates)
+    book, day = None, None
+    for _, symbol, ts, seq, price, size, count in updates:
+        if (symbol, ts.date()) != day:
+            book, day = ({}, {}), (symbol, ts.date())
+        own, other = book if size > 0 else book[::-1]
+        if count:
+            own[price] = abs(size)
+            for p in [p for p in other if (p <= price if size > 0 else p >= price)]:
+                del other[p]
+        else:
+            own.pop(price, None)
+        assert best[(symbol, seq)] == (max(book[0], default=None), min(book[1], default=None))
+        assert levels[(symbol, seq)] == (sorted(book[0].items()), sorted(book[1].items()))

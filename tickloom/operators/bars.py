@@ -7,8 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.chains import Drift, Runs, chain
-from tickloom.operators.windows import ORDER, SERIES, carried, filled, fold_ordered, near, ordered
+from tickloom.operators.chains import Drift, Runs, chain, folded
+from tickloom.operators.windows import ORDER, SERIES, carried, filled, near, ordered
 
 #: Sums that are floored: sizes have up to eight decimals, notionals ten.
 EXACT = "decimal(38,10)"
@@ -146,27 +146,44 @@ def delta_sampling(ticks: DataFrame, value: str, delta: float, rows: int = 0) ->
     return chain(known, Made, "__kept double", rows=rows).select(*SERIES, *ORDER, F.col("v").alias(value))
 
 
-def clean_book(l2: DataFrame) -> DataFrame:
-    """Each level update of a day with what it does to the book: the levels of both sides after it.
+class Book:
+    """Levels of both sides, price -> size. An update with a count sets its level (size > 0: bid) and drops crossed levels of the other
+    side; without, it removes it."""
 
-    An update with a count sets its level (size > 0: bid) and drops crossed levels of the other side; without, it removes it.
-    """
+    def __init__(self, bids: dict | None = None, asks: dict | None = None):
+        self.bids, self.asks = dict(bids or {}), dict(asks or {})
 
-    def step(state, row):
-        bids, asks = state or ({}, {})
-        price, size, count = row[5:]
-        own, other, sign = (bids, asks, 1) if size > 0 else (asks, bids, -1)
+    def update(self, price: float, size: float, count: int) -> None:
+        own, other, sign = (self.bids, self.asks, 1) if size > 0 else (self.asks, self.bids, -1)
         if count:
             own[price] = abs(size)
             for p in [p for p in other if (p - price) * sign <= 0]:
                 del other[p]
         else:
             own.pop(price, None)
-        named = lambda book: [{"price": p, "size": s} for p, s in sorted(book.items())]
-        return (bids, asks), (*row[:2], *row[3:5], named(bids), named(asks))
 
-    level = "array<struct<price:double,size:double>>"
-    return fold_ordered(_updates(l2), [*SERIES, "d"], step, f"{KEYS}, ts timestamp, seq long, bids {level}, asks {level}")
+    @staticmethod
+    def summary(updates: list[tuple[float, float, int]]):
+        """What updates do to any book: levels of it last unless they are named or crossed; what they leave of their own is added."""
+        book, named, crossed = Book(), (set(), set()), [float("inf"), float("-inf")]
+        for price, size, count in updates:
+            bid = size > 0
+            named[0 if bid else 1].add(price)
+            if count and bid:
+                crossed[1] = max(crossed[1], price)
+            elif count:
+                crossed[0] = min(crossed[0], price)
+            book.update(price, size, count)
+        return named, crossed, (book.bids, book.asks)
+
+    @staticmethod
+    def after(summary, state):
+        (bids, asks), (low, high), (own_bids, own_asks) = summary
+        old_bids, old_asks = state or ({}, {})
+        return (
+            {p: s for p, s in old_bids.items() if p not in bids and p < low} | own_bids,
+            {p: s for p, s in old_asks.items() if p not in asks and p > high} | own_asks,
+        )
 
 
 def _updates(l2: DataFrame) -> DataFrame:
@@ -174,18 +191,32 @@ def _updates(l2: DataFrame) -> DataFrame:
     return l2.select(*SERIES, F.to_date("ts").alias("d"), *ORDER, *cols)
 
 
-def best_prices(l2: DataFrame) -> DataFrame:
-    """Best bid and ask after each level update of a day; crossed opposite levels are dropped."""
+def _books(l2: DataFrame, made: str, state_of, rows: int) -> DataFrame:
+    """Columns `made` that `state_of(book)` gives after each update. A day starts with an empty book; its hours are folded in blocks,
+    so one day of one series is many tasks."""
+    import pandas as pd
 
-    def step(state, row):
-        bids, asks = state or (set(), set())
-        price, size, count = row[5:]
-        own, other, sign = (bids, asks, 1) if size > 0 else (asks, bids, -1)
-        if count:
-            own.add(price)
-            other -= {p for p in other if (p - price) * sign <= 0}
-        else:
-            own.discard(price)
-        return (bids, asks), (*row[:2], *row[3:5], max(bids, default=None), min(asks, default=None))
+    changes = lambda pdf: list(zip(pdf["price"].tolist(), pdf["size"].tolist(), pdf["count"].fillna(0).tolist()))
+    names = [part.split()[0] for part in made.split(", ") if " " in part]
+
+    def run(pdf, state):
+        book, out = Book(*(state or ())), []
+        for update in changes(pdf):
+            book.update(*update)
+            out.append(state_of(book))
+        return pd.concat([pdf[[*SERIES, *ORDER]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
-    return fold_ordered(_updates(l2), [*SERIES, "d"], step, f"{KEYS}, ts timestamp, seq long, best_bid double, best_ask double")
+    schema = f"{KEYS}, ts timestamp, seq long, {made}"
+    return folded(_updates(l2), lambda pdf: Book.summary(changes(pdf)), Book.after, run, schema, (*SERIES, "d"), rows=rows)
+
+
+def clean_book(l2: DataFrame, rows: int = 0) -> DataFrame:
+    """The levels of both sides after each level update of a day."""
+    level = "array<struct<price:double,size:double>>"
+    named = lambda side: [{"price": p, "size": s} for p, s in sorted(side.items())]
+    return _books(l2, f"bids {level}, asks {level}", lambda b: (named(b.bids), named(b.asks)), rows)
+
+
+def best_prices(l2: DataFrame, rows: int = 0) -> DataFrame:
+    """Best bid and ask after each level update of a day; crossed opposite levels are dropped."""
+    return _books(l2, "best_bid double, best_ask double", lambda b: (max(b.bids, default=None), min(b.asks, default=None)), rows)

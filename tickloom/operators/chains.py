@@ -139,10 +139,11 @@ class Turns:
         return rows, self.end[rows].tolist()
 
 
-def chain(df: DataFrame, make, value: str, series=SERIES, order=("ts", "seq"), rows: int = 0) -> DataFrame:
-    """The rows of `df` on each series' path, with the column `value` (name and type) that the chain gives them.
+def folded(df: DataFrame, summarise, after, run, schema, series=SERIES, order=("ts", "seq"), rows: int = 0) -> DataFrame:
+    """An ordered fold over each series in parallel blocks of whole hours.
 
-    `make(rows)` gives a chain such as those above, of the sorted rows of a block (a pandas frame); `rows`: of a block, about.
+    `summarise(rows)` gives what a block (a sorted pandas frame) does to any state; `after(summary, state)` the state after it (None before
+    the first block); `run(rows, state)` the block's output, of `schema`. Only summaries are taken in order.
     """
     import pickle
 
@@ -152,24 +153,37 @@ def chain(df: DataFrame, make, value: str, series=SERIES, order=("ts", "seq"), r
     keys = [*series, "__block"]
     placed = _small_join(df.withColumn("__c", hour_of("ts")), block_plan(df, series=series, rows=rows).drop("__own"), [*series, "__c"]).drop("__c")
     of = placed.select(*keys).schema.fields
-    after = make.after
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[keys].head(1).assign(__state=pickle.dumps(make(pdf.sort_values(list(order))).summary()))
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[keys].head(1).assign(__state=pickle.dumps(summarise(pdf.sort_values(list(order)))))
 
     def step(state, row):
         known = state or (None,)
         return (after(pickle.loads(row[-1]), known[0]),), (*row[:-1], pickle.dumps(known[0]))
 
-    schema = StructType(of).add("__state", "binary")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    states = fold_ordered(placed.groupBy(*keys).applyInPandas(summarise, schema), list(series), step, ddl, ("__block",))
-    out, name = StructType(list(df.schema.fields)), value.split()[0]
+    kept = StructType(of).add("__state", "binary")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
+    states = fold_ordered(placed.groupBy(*keys).applyInPandas(summary, kept), list(series), step, ddl, ("__block",))
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order))
-        at, values = make(pdf).kept(pickle.loads(pdf["__state"].iloc[0]))
-        return pdf.iloc[at][df_columns].assign(**{name: values})
+        return run(pdf, pickle.loads(pdf["__state"].iloc[0]))
+
+    return _small_join(placed, states, keys).groupBy(*keys).applyInPandas(follow, schema)
+
+
+def chain(df: DataFrame, make, value: str, series=SERIES, order=("ts", "seq"), rows: int = 0) -> DataFrame:
+    """The rows of `df` on each series' path, with the column `value` (name and type) that the chain gives them.
+
+    `make(rows)` gives a chain such as those above, of the sorted rows of a block (a pandas frame); `rows`: of a block, about.
+    """
+    from pyspark.sql.types import StructType
+
+    columns, name = df.columns, value.split()[0]
+
+    def run(pdf, state):
+        at, values = make(pdf).kept(state)
+        return pdf.iloc[at][columns].assign(**{name: values})
 
-    df_columns = df.columns
-    return _small_join(placed, states, keys).groupBy(*keys).applyInPandas(follow, StructType(out.fields + StructType.fromDDL(value).fields))
+    schema = StructType(df.schema.fields + StructType.fromDDL(value).fields)
+    return folded(df, lambda pdf: make(pdf).summary(), make.after, run, schema, series, order, rows)
