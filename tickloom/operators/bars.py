@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.chains import Drift, Runs, chain, folded
-from tickloom.operators.windows import ORDER, SERIES, carried, filled, near, ordered
+from tickloom.operators.windows import ORDER, SERIES, carried, filled, near, ordered, spine
 
 #: Sums that are floored: sizes have up to eight decimals, notionals ten.
 EXACT = "decimal(38,10)"
@@ -60,8 +60,7 @@ def last_filled(ticks: DataFrame, every: str, value: str) -> DataFrame:
     """Last value per interval on a gapless spine of intervals, carried forward through empty ones."""
     bars = time_bars(ticks, every, price=value).select(*SERIES, "ts", F.col("close").alias(value))
     ends = bars.groupBy(*SERIES).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    spine = ends.select(*SERIES, F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {every}"))).alias("ts"))
-    rows = spine.join(bars, [*SERIES, "ts"], "left")
+    rows = spine(ends, every).join(bars, [*SERIES, "ts"], "left")
     return carried(rows, {value: ("last", F.col(value))}, order=("ts",))
 
 

@@ -9,17 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import bfill, ffill
+from tickloom.operators.windows import bfill, carried, ffill
 
 ORDER = ("volume_tick",)
+#: Tick numbers that are made, and carried over, together.
+CHUNK = 4096
 
 
 def spine(bars: DataFrame) -> DataFrame:
     """Every tick number from the first to the last of a symbol; bars where there are some, nulls in gaps."""
     ends = bars.groupBy("exchange", "symbol").agg(F.min("volume_tick").alias("a"), F.max("volume_tick").alias("z"))
-    every = ends.select("exchange", "symbol", F.explode(F.sequence("a", "z")).alias("volume_tick"))
+    chunks = ends.select("exchange", "symbol", "z", F.explode(F.sequence("a", "z", F.lit(CHUNK).cast("long"))).alias("a"))
+    every = chunks.select("exchange", "symbol", F.explode(F.sequence("a", F.least(F.col("z"), F.col("a") + CHUNK - 1))).alias("volume_tick"))
     full = every.join(bars.withColumn("__bar", F.col("volume_tick")), ["exchange", "symbol", "volume_tick"], "left")
-    return full.withColumn("gap", F.col("__bar").isNull()).withColumn("island", bfill("__bar", order=ORDER)).drop("__bar")
+    full = carried(full, {"island": ("next", F.col("__bar"))}, chunk=F.floor(F.col("volume_tick") / CHUNK), order=ORDER)
+    return full.withColumn("gap", F.col("__bar").isNull()).drop("__bar")
 
 
 def next_open(df: DataFrame) -> DataFrame:

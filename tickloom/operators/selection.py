@@ -32,14 +32,63 @@ def best_per_key(df: DataFrame, key: str, by: list[Column], screen: Column) -> D
     return best.select(key, "__b.*").where(screen)
 
 
+#: Value ranges that `percentiles` counts at once.
+RANGES = 4096
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], ranges: int = RANGES) -> DataFrame:
+    """by and `q`: the exact percentiles of each group, interpolated between ranks; nulls have no rank, a group of nulls has none.
+
+    Rows are counted in equal ranges of a group's values, then in equal ranges of the ranges that hold a wanted rank, and only what is
+    in one of those is put in order, as values with counts. No group's values are held or sorted, whatever their number.
+    """
+    keys, null_safe = [f"__g{i}" for i in range(len(by))] or ["__g"], [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by] or [F.lit("")]
+    nulls = F.concat(F.lit(""), *[F.when(F.col(c).isNull(), "1").otherwise("0") for c in by])
+    keys = [*keys, "__n"]
+    rows = df.select(*by, *[c.alias(k) for c, k in zip([*null_safe, nulls], keys)], F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    ends = rows.groupBy(*by, *keys).agg(F.min("__v").alias("__a"), F.max("__v").alias("__z"), F.count(F.lit(1)).alias("__c"))
+    width = lambda a, z, x: F.when(z > a, F.least(F.floor((x - a) / (z - a) * ranges), F.lit(ranges - 1))).otherwise(0).cast("int")
+    inside = rows.drop(*by).join(ends.select(*keys, "__a", "__z"), keys).withColumn("__r1", width(F.col("__a"), F.col("__z"), F.col("__v")))
+
+    place = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("s")) for i, s in enumerate(shares)])).alias("__p")
+    at = ends.select(*by, *keys, "__c", place).withColumn("__at", (F.col("__c") - 1) * F.col("__p.s"))
+    ranks = F.array_distinct(F.array(F.floor("__at").cast("long"), F.ceil("__at").cast("long")))
+    wanted = at.select(*keys, F.explode(ranks).alias("__k")).distinct()
+
+    def narrowed(wanted: DataFrame, rows: DataFrame, by_range: list[str], name: str) -> DataFrame:
+        """The range that holds each rank, and its rank there; one row a range is put in order."""
+        counts = rows.groupBy(*keys, *by_range, name).agg(F.count(F.lit(1)).alias("__in"))
+        before = F.sum("__in").over(Window.partitionBy(*keys, *by_range).orderBy(name)) - F.col("__in")
+        found = wanted.join(counts.withColumn("__before", before), [*keys, *by_range])
+        rank = "__rank" if "__rank" in wanted.columns else "__k"
+        found = found.where((F.col(rank) >= F.col("__before")) & (F.col(rank) < F.col("__before") + F.col("__in")))
+        return found.withColumn("__rank", F.col(rank) - F.col("__before")).drop("__in", "__before")
+
+    first = narrowed(wanted, inside, [], "__r1")
+    some = inside.join(first.select(*keys, "__r1").distinct(), [*keys, "__r1"], "left_semi")
+    span = some.groupBy(*keys, "__r1").agg(F.min("__v").alias("__a2"), F.max("__v").alias("__z2"))
+    some = some.join(span, [*keys, "__r1"]).withColumn("__r2", width(F.col("__a2"), F.col("__z2"), F.col("__v")))
+    second = narrowed(first, some, ["__r1"], "__r2")
+    few = some.join(second.select(*keys, "__r1", "__r2").distinct(), [*keys, "__r1", "__r2"], "left_semi")
+    last = narrowed(second, few, ["__r1", "__r2"], "__v").select(*keys, "__k", "__v")
+
+    low, high = last.toDF(*keys, "__lo", "__x"), last.toDF(*keys, "__hi", "__y")
+    both = at.withColumns({"__lo": F.floor("__at").cast("long"), "__hi": F.ceil("__at").cast("long")}).join(low, [*keys, "__lo"]).join(high, [*keys, "__hi"])
+    q = F.col("__x") + (F.col("__y") - F.col("__x")) * (F.col("__at") - F.col("__lo"))
+    made = both.select(*by, *keys, F.struct(F.col("__p.i").alias("i"), q.alias("q")).alias("__q"))
+    return made.groupBy(*by, *keys).agg(F.transform(F.array_sort(F.collect_list("__q")), lambda x: x["q"]).alias("q")).drop(*keys)
+
+
 def joint_percentile(df: DataFrame, columns: list[str], more_than: int) -> DataFrame:
     """The highest whole percentile above which more than `more_than` rows lie in every column at once; 1 if there is none.
 
     One row of 99 thresholds a column; each row then has the highest level it passes in all columns, and levels are counted.
     A z-score does not change the order of a column, so it changes no level.
     """
-    ps = F.array(*[F.lit(p / 100) for p in range(1, 100)])
-    cuts = df.agg(*[F.percentile(c, ps).alias(f"__{c}") for c in columns])
+    cuts = None
+    for c in columns:
+        own = percentiles(df, [], c, [p / 100 for p in range(1, 100)]).withColumnRenamed("q", f"__{c}")
+        cuts = own if cuts is None else cuts.crossJoin(own)  # one row each
     under = lambda c: F.filter(f"__{c}", lambda t: t < F.col(c))
     passed = [F.size(under(c)) for c in columns]
     level = F.least(*passed) if len(passed) > 1 else passed[0]

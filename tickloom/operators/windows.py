@@ -163,6 +163,79 @@ def near_frames(df: DataFrame, fn, made: str, inputs: list[str], before: int = 0
     return placed.groupBy(*keys).applyInPandas(run, StructType(df.schema.fields + added.fields))
 
 
+def frames(x, n: int) -> dict:
+    """count, sum, mean, dev (sum of squared deviations), max and min of the last n values of each row (as many as there are), without what
+    is not a number. Frames of 1, 2, 4 ... values are put together by the binary digits of n: log2(n) steps, whatever n is."""
+    import numpy as np
+
+    there = ~np.isnan(x)
+    part = [there.astype(float), np.where(there, x, 0.0), np.zeros(len(x)), np.where(there, x, -np.inf), np.where(there, x, np.inf)]
+    none = (0.0, 0.0, 0.0, -np.inf, np.inf)
+
+    def back(p, k):
+        return [np.concatenate([np.full(min(k, len(x)), e), v[: max(len(x) - k, 0)]]) for v, e in zip(p, none)]
+
+    def both(a, b):  # counts, means, deviations, extremes of two frames next to each other
+        n_ = a[0] + b[0]
+        share = np.divide(b[0], n_, out=np.zeros(len(x)), where=n_ > 0)
+        step = b[1] - a[1]
+        return [n_, np.where(a[0] > 0, a[1] + step * share, b[1]), a[2] + b[2] + step * step * a[0] * share, np.maximum(a[3], b[3]), np.minimum(a[4], b[4])]
+
+    made, taken, k = [np.full(len(x), e) for e in none], 0, 1
+    while k <= n:
+        if n & k:
+            made, taken = both(back(part, taken), made), taken + k
+        part, k = both(back(part, k), part), 2 * k
+    count, mean, dev, most, least = made
+    return {"count": count, "sum": count * mean, "mean": mean, "dev": dev, "max": most, "min": least}
+
+
+def with_zscore(df: DataFrame, value: str, n: int, name: str = "z", series=SERIES, rows: int = 0) -> DataFrame:
+    """Population z-score over n rows; 0 until there are n, null where they are equal."""
+    import numpy as np
+
+    def score(columns, own):
+        x = columns[0]
+        f = frames(x, n)
+        spread = np.sqrt(f["dev"] / n)
+        flat = f["max"] == f["min"]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return [np.where(f["count"] < n, 0.0, np.where(flat, np.nan, (x - f["mean"]) / spread))]
+
+    return near_frames(df, score, f"{name} double", [value], n - 1, series=series, rows=rows)
+
+
+def with_rolling(df: DataFrame, made: dict[str, tuple[str, str, int]], full_only: bool = False, series=SERIES, rows: int = 0) -> DataFrame:
+    """Rolling aggregates of any length: name -> (count, sum, mean, max or min; column; rows); with `full_only` null until all rows have a value."""
+    import numpy as np
+
+    inputs = list(dict.fromkeys(c for _, c, _ in made.values()))
+
+    def roll(columns, own):
+        of = dict(zip(inputs, columns))
+        known = {key: frames(of[key[0]], key[1]) for key in dict.fromkeys((c, n) for _, c, n in made.values())}
+        out = []
+        for agg, c, n in made.values():
+            f = known[c, n]
+            least = n if full_only else 0 if agg == "count" else 1
+            out.append(np.where(f["count"] >= least, f[agg], np.nan))
+        return out
+
+    most = max(n for _, _, n in made.values())
+    return near_frames(df, roll, ", ".join(f"{name} double" for name in made), inputs, most - 1, series=series, rows=rows)
+
+
+def spine(ends: DataFrame, every: str) -> DataFrame:
+    """Rows of `ends` (a and b, and what names them) once for each interval from a to b: by days first, so no array holds a series."""
+    step, names = F.expr(f"INTERVAL {every}"), [c for c in ends.columns if c not in ("a", "b")]
+    each = F.unix_micros(F.col("a") + step) - F.unix_micros("a")
+    chunk = F.greatest(F.floor(F.lit(86_400_000_000) / each), F.lit(1)).cast("long")
+    rows = ends.withColumns({"__each": each, "__n": F.floor((F.unix_micros("b") - F.unix_micros("a")) / each).cast("long"), "__chunk": chunk})
+    rows = rows.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n"), F.col("__chunk"))))
+    rows = rows.withColumn("__i", F.explode(F.sequence("__from", F.least(F.col("__n"), F.col("__from") + F.col("__chunk") - 1))))
+    return rows.select(*names, F.timestamp_micros(F.unix_micros("a") + F.col("__i") * F.col("__each")).alias("ts"))
+
+
 def ffill(value: str | Column, series=SERIES, order=ORDER) -> Column:
     return F.last(value, ignorenulls=True).over(running(series, order))
 
@@ -205,13 +278,6 @@ def upsample(df: DataFrame, value: str, windows: list[int], aggs=("sum", "avg",
     return near(df.where(F.col(value).isNotNull()), doubled, most - 1)
 
 
-def zscore(value: str, n: int, series=SERIES) -> Column:
-    """Population z-score over n rows; 0 until there are n."""
-    w = trailing(n, series)
-    z = (F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0))
-    return F.when(F.count(value).over(w) == n, z).otherwise(0.0)
-
-
 def chunks_of(df: DataFrame, chunk: Column | None = None, series=SERIES) -> int:
     """The most chunks that a series has."""
     own = df.select(*series, (F.to_date("ts") if chunk is None else chunk).alias("__c")).distinct().groupBy(*series).count()
@@ -324,15 +390,22 @@ def started(df: DataFrame, columns: list[str], series=SERIES) -> DataFrame:
 def filled_bars(bars: DataFrame, every: str) -> DataFrame:
     """Bars on a gapless spine: a missing one has the last close in all four prices and volume 0."""
     ends = bars.groupBy(*SERIES).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    spine = ends.select(*SERIES, F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {every}"))).alias("ts"))
-    x = spine.join(bars, [*SERIES, "ts"], "left").withColumn("close", ffill("close", order=("ts",)))
+    x = carried(spine(ends, every).join(bars, [*SERIES, "ts"], "left"), {"close": ("last", F.col("close"))}, order=("ts",))
     return x.withColumns({c: F.coalesce(c, "close") for c in ("open", "high", "low")} | {"volume": F.coalesce("volume", F.lit(0))})
 
 
-def touches_ahead(value: str, n: int, move: float, series=SERIES) -> Column:
+def with_touches_ahead(df: DataFrame, value: str, n: int, move: float, name: str, series=SERIES, rows: int = 0) -> DataFrame:
     """1 where one of the next n rows is `move` or more above this one, else 0; rows after the last count for nothing."""
-    ahead = ordered(series).rowsBetween(1, n)
-    return F.coalesce((F.max(value).over(ahead) >= F.col(value) + move).cast("int"), F.lit(0))
+    import numpy as np
+
+    from tickloom.operators.searches import Tops
+
+    def touches(columns, own):
+        x, at = columns[0], np.arange(len(columns[0]))
+        found = Tops(x).first(at + 1, np.where(np.isnan(x), np.inf, x + move))
+        return [((found <= at + n) & (found < len(x))).astype(float)]
+
+    return near_frames(df, touches, f"{name} double", [value], 0, n, series, rows=rows).withColumn(name, F.col(name).cast("int"))
 
 
 def extended(entry: Column, n: int, series=SERIES) -> Column:

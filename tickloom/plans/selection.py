@@ -91,7 +91,7 @@ def l22(t):
     """Returns after signals over a probability, and after the most confident tenth of each symbol."""
     price = F.col("price").cast("double")
     a = windows.near(t, lambda d, s: d.withColumn("r", F.lead(price).over(ordered(s)) / price - 1), 0, 1).select("exchange", "symbol", (price / 500).alias("p"), "r")
-    q = a.groupBy("exchange", "symbol").agg(F.percentile("p", 0.9).alias("top"))
+    q = selection.percentiles(a, ["exchange", "symbol"], "p", [0.9]).select("exchange", "symbol", F.col("q")[0].alias("top"))
     g = a.join(q, ["exchange", "symbol"]).groupBy("exchange", "symbol", "top").agg(F.count_if(F.col("p") >= 0.5).alias("signals"), F.avg(F.when(F.col("p") >= 0.5, F.col("r"))).alias("return"), F.avg(F.when(F.col("p") >= F.col("top"), F.col("r"))).alias("top_return"))
     return rounded(g)
 

@@ -193,34 +193,27 @@ _SIZES = (2, 6, 16)
 def b10(q):
     x = q.withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
     names = [c for n in _SIZES for c in (f"mid_delta_{n}", f"bid_sum_{n}")]
-
-    def features(d, s):
-        mids = {f"mid_delta_{n}": F.col("mid") - F.lag("mid", n).over(ordered(s)) for n in _SIZES}
-        return d.withColumns(mids | {f"bid_sum_{n}": F.sum("bid_size").over(trailing(n, s)).cast("long") for n in _SIZES})
-
-    return rounded(windows.near(x, features, max(_SIZES)).select("exchange", "symbol", "ts", "seq", *names))
+    x = windows.near(x, lambda d, s: d.withColumns({f"mid_delta_{n}": F.col("mid") - F.lag("mid", n).over(ordered(s)) for n in _SIZES}), max(_SIZES))
+    x = windows.with_rolling(x, {f"bid_sum_{n}": ("sum", "bid_size", n) for n in _SIZES})
+    x = x.withColumns({f"bid_sum_{n}": F.round(f"bid_sum_{n}").cast("long") for n in _SIZES})
+    return rounded(x.select("exchange", "symbol", "ts", "seq", *names))
 
 
 @query("b11_rolling_deal_features", "ticks", "SELECT exchange, symbol, ts, seq, " + ", ".join(
     f"count(CASE WHEN side > 0 THEN 1 END) OVER ({W} ROWS {n - 1} PRECEDING) AS buys_{n}, CAST(sum(side) OVER ({W} ROWS {n - 1} PRECEDING) AS BIGINT) AS net_count_{n}, {r(f'sum(side * size) OVER ({W} ROWS {n - 1} PRECEDING)', f'net_size_{n}')}" for n in _SIZES) + " FROM ticks")
 def b11(t):
     names = [c for n in _SIZES for c in (f"buys_{n}", f"net_count_{n}", f"net_size_{n}")]
-
-    def features(d, s):
-        made = {}
-        for n in _SIZES:
-            w = trailing(n, s)
-            made |= {f"buys_{n}": F.count_if(F.col("side") > 0).over(w), f"net_count_{n}": F.sum("side").over(w), f"net_size_{n}": F.sum(flow()).over(w)}
-        return d.withColumns(made)
-
-    return rounded(windows.near(t, features, max(_SIZES)).select("exchange", "symbol", "ts", "seq", *names))
+    x = t.select("exchange", "symbol", "ts", "seq", F.when(F.col("side") > 0, 1).alias("buy"), "side", flow().cast("double").alias("flow"))
+    of = {"buys": ("count", "buy"), "net_count": ("sum", "side"), "net_size": ("sum", "flow")}
+    x = windows.with_rolling(x, {f"{name}_{n}": (*what, n) for n in _SIZES for name, what in of.items()})
+    return rounded(x.select("exchange", "symbol", "ts", "seq", *[F.round(c).cast("long").alias(c) if "size" not in c else F.col(c) for c in names]))
 
 
 @query("b12_named_rolling_metric", "ticks", f"""SELECT exchange, symbol, ts, seq, CASE WHEN count(*) OVER w = 10 THEN {r('sum(CASE WHEN side > 0 THEN size ELSE 0 END) OVER w', 'x')[:-5]} END AS deal_volume_buy_sum_10
 FROM ticks WINDOW w AS ({W} ROWS 9 PRECEDING)""")
 def b12(t):
-    x = t.withColumn("v", F.when(F.col("side") > 0, F.col("size")).otherwise(0))
-    made = windows.near(x, lambda d, s: d.withColumn("deal_volume_buy_sum_10", windows.full(F.col("v"), F.sum("v"), 10, trailing(10, s))), 9)
+    x = t.select("exchange", "symbol", "ts", "seq", F.when(F.col("side") > 0, F.col("size")).otherwise(0).cast("double").alias("v"))
+    made = windows.with_rolling(x, {"deal_volume_buy_sum_10": ("sum", "v", 10)}, full_only=True)
     return rounded(made.select("exchange", "symbol", "ts", "seq", "deal_volume_buy_sum_10"))
 
 
@@ -251,7 +244,7 @@ def w04(t):
 @query("w05_zscore", "ticks", f"""SELECT exchange, symbol, ts, seq, CASE WHEN count(p) OVER w = 50 THEN round((p - avg(p) OVER w) / nullif(stddev_pop(p) OVER w, 0), 6) + 0.0 ELSE 0 END AS z
 FROM (SELECT *, CAST(price AS DOUBLE) AS p FROM ticks) WINDOW w AS ({W} ROWS 49 PRECEDING)""")
 def w05(t):
-    x = windows.near(with_price(t), lambda d, s: d.withColumn("z", windows.zscore("p", 50, s)), 49)
+    x = windows.with_zscore(with_price(t), "p", 50)
     return rounded(x.select("exchange", "symbol", "ts", "seq", "z"))
 
 

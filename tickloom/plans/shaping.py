@@ -182,7 +182,7 @@ def p05(q):
 
 @query("w12_touches_ahead", "ticks", f"SELECT exchange, symbol, ts, seq, CAST(coalesce(max({P}) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) >= {P} + 50, false) AS INT) AS touched FROM ticks")
 def w12(t):
-    return windows.near(priced(t), lambda d, s: d.withColumn("touched", windows.touches_ahead("price", 20, 50.0, s)), 0, 20).select("exchange", "symbol", "ts", "seq", "touched")
+    return windows.with_touches_ahead(priced(t), "price", 20, 50.0, "touched").select("exchange", "symbol", "ts", "seq", "touched")
 
 
 @query("w21_extended_entries", "ticks", f"SELECT exchange, symbol, ts, seq FROM (SELECT *, max(CAST(price >= 280 AS INT)) OVER ({W} ROWS 4 PRECEDING) AS k FROM ticks) WHERE k = 1")

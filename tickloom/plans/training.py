@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom import views
-from tickloom.operators import bars, evaluation, joins, labels, padding, windows
+from tickloom.operators import bars, evaluation, joins, labels, padding, selection, windows
 from tickloom.operators.windows import ordered
 from tickloom.plans.registry import query, rounded, table_query
 
@@ -125,9 +125,9 @@ def l21(spark, sf_dir):
 @query("l24_extreme_events", "ticks", """WITH q AS (SELECT exchange, symbol, quantile_cont(CAST(price AS DOUBLE), 0.01) AS a, quantile_cont(CAST(price AS DOUBLE), 0.99) AS z FROM ticks GROUP BY exchange, symbol)
 SELECT exchange, symbol, ts, seq, round(CAST(price AS DOUBLE), 6) AS price FROM ticks JOIN q USING (exchange, symbol) WHERE CAST(price AS DOUBLE) < a OR CAST(price AS DOUBLE) > z""")
 def l24(t):
-    """Rows outside the 1st and 99th percentile of their symbol; prices lie on a tick grid, so distinct values are bounded."""
+    """Rows outside the 1st and 99th percentile of their symbol."""
     x = t.select("exchange", "symbol", "ts", "seq", F.col("price").cast("double").alias("price"))
-    q = x.groupBy("exchange", "symbol").agg(F.percentile("price", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    q = selection.percentiles(x, ["exchange", "symbol"], "price", [0.01, 0.99])
     return rounded(x.join(q, ["exchange", "symbol"]).where((F.col("price") < F.col("q")[0]) | (F.col("price") > F.col("q")[1])).drop("q"))
 
 
