@@ -46,6 +46,41 @@ def test_best_prices_start_anew_each_day(spark, tmp_path):
     assert clean(got) == clean(bars.best_prices(df).collect())
 
 
+def shuffled(spark, tmp_path, df, make, name, files=6):
+    """The rows of a stream whose files hold its rows in no order, and a last file that moves the watermark beyond them."""
+    parts = df.withColumn("__f", F.pmod(F.xxhash64("symbol", "seq"), F.lit(files)))
+    for i in range(files):
+        parts.where(F.col("__f") == i).drop("__f").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    late = df.limit(1).withColumns({"symbol": F.lit("end"), "ts": F.lit(T0 + dt.timedelta(days=90))}).select(df.columns)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = make(source).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    return sorted((r for r in spark.table(name).collect() if r["symbol"] != "end"), key=str)
+
+
+def test_rows_in_no_order_give_the_batch_result(spark, tmp_path):
+    df, late = frame(spark), "10 days"
+    assert shuffled(spark, tmp_path / "a", df, lambda s: stream.sequence_bars(s, "m", 9.0, late), "late_runs") == sorted(bars.sequence_bars(df, F.col("m"), 9.0).collect(), key=str)
+    assert shuffled(spark, tmp_path / "b", df, lambda s: stream.delta_sampling(s, "m", 4.0, late), "late_drift") == sorted(bars.delta_sampling(df, "m", 4.0).collect(), key=str)
+    clean = lambda rows: sorted(str([None if x != x else x for x in r]) for r in rows)
+    assert clean(shuffled(spark, tmp_path / "c", df, lambda s: stream.best_prices(s, late), "late_best")) == clean(bars.best_prices(df).collect())
+    tied = df.withColumn("ts", F.date_trunc("day", "ts"))
+    assert shuffled(spark, tmp_path / "d", tied, lambda s: stream.unit_bars(s, "m", 2, late), "late_bars") == sorted(bars.unit_bars(tied, F.col("m"), 2).where("volume_size <> 0").collect(), key=str)
+
+
+def test_rows_beyond_the_watermark_are_left_out(spark, tmp_path):
+    df = frame(spark, 60)
+    for rows in (df.where("seq >= 30"), df.where("seq < 2"), df.where("seq = 59").withColumn("ts", F.lit(T0 + dt.timedelta(days=9)))):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream.delta_sampling(source, "m", 0.0, "1 hour").writeStream.format("memory").queryName("too_late").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["seq"] for r in spark.table("too_late").collect() if r["symbol"] == "A") == list(range(30, 60))
+
+
 def test_scored_bars(spark, tmp_path):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
