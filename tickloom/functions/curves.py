@@ -37,6 +37,16 @@ def _mean(x: str, key, n: int) -> Column:
     return full(F.col(x), F.avg(x), n, trailing(n, key))
 
 
+@block("stddev", lambda n: n)
+def _stddev(x: str, key, n: int) -> Column:
+    return full(F.col(x), F.stddev_pop(x), n, trailing(n, key))
+
+
+@block("var", lambda n: n)
+def _var(x: str, key, n: int) -> Column:
+    return full(F.col(x), F.var_pop(x), n, trailing(n, key))
+
+
 @block("top", lambda n: n)
 def _top(x: str, key, n: int) -> Column:
     return full(F.col(x), F.max(x), n, trailing(n, key))

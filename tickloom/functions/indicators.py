@@ -61,6 +61,15 @@ def midpoint(x: str, n: int) -> Column:
     return F.when(F.count(x).over(w) == n, (F.max(x).over(w) + F.min(x).over(w)) / 2)
 
 
+def stddev(x: str, n: int, k: float = 1.0) -> Column:
+    """Population deviation of n rows, k times."""
+    return k * _roll(F.stddev_pop(x), x, n)
+
+
+def variance(x: str, n: int) -> Column:
+    return _roll(F.var_pop(x), x, n)
+
+
 def bbands(x: str, n: int, k: float) -> tuple[Column, Column, Column]:
     mid, dev = sma(x, n), _roll(F.stddev_pop(x), x, n)
     return mid + k * dev, mid, mid - k * dev

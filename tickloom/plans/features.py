@@ -55,6 +55,8 @@ indicator("t03_extremes", f"SELECT {DAY}, {ready(30, f'max(c) {win(30)}')} AS mx
           total=lambda: windows.full(F.col("close"), F.sum("close"), 30, windows.trailing(30)))
 indicator("t04_bands", f"SELECT {DAY}, {ready(20, f'avg(c) {win(20)} + 2 * stddev_pop(c) {win(20)}')} AS upper, {ready(20, f'avg(c) {win(20)} - 2 * stddev_pop(c) {win(20)}')} AS lower FROM a",
           upper=lambda: ta.bbands("close", 20, 2)[0], lower=lambda: ta.bbands("close", 20, 2)[2])
+indicator("t04_deviations", f"SELECT {DAY}, {ready(5, f'2 * stddev_pop(c) {win(5)}')} AS stddev, {ready(5, f'var_pop(c) {win(5)} / 1e6')} AS var FROM a",
+          stddev=lambda: ta.stddev("close", 5, 2.0), var=lambda: ta.variance("close", 5) / 1e6)
 indicator("t05_aroon", f"""SELECT {DAY}, CASE WHEN n = 15 THEN round(100.0 * (14 - (i - list_max(list_transform(list_filter(range(1, 16), lambda k: hs[k] = list_max(hs)), lambda k: k + i - 15)))) / 14, 6) + 0.0 END AS up,
 CASE WHEN n = 15 THEN round(100.0 * (14 - (i - list_max(list_transform(list_filter(range(1, 16), lambda k: ls[k] = list_min(ls)), lambda k: k + i - 15)))) / 14, 6) + 0.0 END AS down
 FROM (SELECT day, row_number() OVER ({D}) AS i, list(h) {win(15)} AS hs, list(l) {win(15)} AS ls, count(*) {win(15)} AS n FROM a)""",

@@ -70,6 +70,18 @@ def t14(d):
     return days(x, "ema12", "macd", "signal", "hist")
 
 
+_FIX = "list_reduce(list_prepend(list_avg(xs[{first}:26]), xs[27:]), lambda y, v: {keep} * y + {rest} * v)"
+
+
+@query("t14_macd_variants", "daily", f"""WITH {DAYS}, x AS (SELECT day, c, list(c) OVER ({D}) AS xs FROM a), f AS (SELECT day, CASE WHEN len(xs) >= 26 THEN {_FIX.format(first=15, keep=0.85, rest=0.15)} - {_FIX.format(first=1, keep=0.925, rest=0.075)} END AS fix,
+CASE WHEN len(xs) >= 26 THEN avg(c) OVER ({D} ROWS 11 PRECEDING) - avg(c) OVER ({D} ROWS 25 PRECEDING) END AS ext FROM x)
+SELECT {DAY}, {column('fix', 'macdfix')}, {column('ext', 'macdext')}, CASE WHEN count(ext) OVER ({D} ROWS 8 PRECEDING) = 9 THEN {column(f'avg(ext) OVER ({D} ROWS 8 PRECEDING)', 'x')[:-5]} END AS macdext_signal FROM f""")
+def t14_variants(d):
+    """MACD of fixed means, and of simple ones."""
+    x = ta.with_macdext(ta.with_macdfix(day_series(d), "close"), "close", 12, 26, 9)
+    return days(x, "macdfix", "macdext", "macdext_signal")
+
+
 _SIX = smooth([(f"e{k}", f"e{k - 1}" if k > 1 else "c", 5, False, 5) for k in range(1, 7)])
 _T3 = "-0.343 * e6 + (3 * 0.49 + 3 * 0.343) * e5 + (-6 * 0.49 - 3 * 0.7 - 3 * 0.343) * e4 + (1 + 3 * 0.7 + 0.343 + 3 * 0.49) * e3"
 
