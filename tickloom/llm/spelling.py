@@ -38,6 +38,7 @@ LEAST, OFTEN, RATIO, SLIPS = 7, 2, 10, 31
 KEY = 3
 #: Code points of the words of a block, about.
 BLOCK_CHARS = 1 << 18
+MOST_TASKS = 100_000
 #: Words that search at the same time.
 TOGETHER = 4096
 #: Words that a task counts before it passes them on.
@@ -208,7 +209,8 @@ def near_words(words: DataFrame, block_chars: int = 0) -> DataFrame:
     total = keys.agg(F.sum("chars")).first()[0] or 0
     keys = keys.withColumn("parts", F.ceil(F.col("chars") / size).cast("int")).drop("chars")
     own = F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")
-    slot = F.when(F.col("parts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // size)))).cast("string"))
+    blocks = max(1, -(-total // size))
+    slot = F.when(F.col("parts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("string"))
     cell = lambda index, query, is_index, is_query: F.struct(index.alias("i"), query.alias("j"), is_index.alias("index"), is_query.alias("query"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     as_index = F.transform(every, lambda j: cell(F.col("own"), j, F.lit(True), j == F.col("own")))
@@ -221,7 +223,8 @@ def near_words(words: DataFrame, block_chars: int = 0) -> DataFrame:
         found = block_search(of["word"].tolist(), of["n"].to_numpy(), pdf["word"][pdf["query"]].tolist(), bool(pdf["back"].iloc[0])) if len(of) else []
         return pd.DataFrame(found, columns=["word", "n_near", "best_n", "best_word"])
 
-    found = placed.groupBy("back", "slot", "i", "j").applyInPandas(search, "word string, n_near long, best_n long, best_word string")
+    cells = ["back", "slot", "i", "j"]  # a block a task: its work is far more than its bytes say
+    found = placed.repartition(min(2 * blocks, MOST_TASKS), *cells).groupBy(*cells).applyInPandas(search, "word string, n_near long, best_n long, best_word string")
     best = F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best_word").alias("word")))
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best"))
 
