@@ -37,7 +37,7 @@ LENGTH = 200
 GRAM = 40
 BLOCKS = (16, 1)
 #: Bytes hashed at once; longer texts are cut into pieces that overlap by LENGTH - 1.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _RANDOM = np.random.default_rng(20240607)
 _CODES = [_RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
