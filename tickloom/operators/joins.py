@@ -19,8 +19,8 @@ def outer_on_ts(parts: dict[str, DataFrame], value: str) -> DataFrame:
 
 def common_ts(df: DataFrame, by: str) -> DataFrame:
     """Timestamps that every value of `by` has."""
-    n = df.select(by).distinct().count()
-    return df.groupBy("ts").agg(F.count_distinct(by).alias("n")).where(F.col("n") == n).select("ts")
+    every = df.agg(F.count_distinct(by).alias("__n"))  # one row
+    return df.groupBy("ts").agg(F.count_distinct(by).alias("n")).join(F.broadcast(every), F.col("n") == F.col("__n")).select("ts")
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

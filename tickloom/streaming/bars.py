@@ -93,7 +93,7 @@ def upsert_sink(stream: DataFrame, path: str, keys: list[str], partition: str, l
 def publish(stream: DataFrame, subscriptions: DataFrame, sink):
     """Rows of subscribed symbols as JSON, handed to `sink(batch, epoch)`."""
     keys = [c for c in SERIES if c in subscriptions.columns and c in stream.columns]
-    rows = stream.join(F.broadcast(subscriptions.select(*keys).distinct()), keys)  # a list of subscriptions, kept small by who makes it
+    rows = stream.join(subscriptions.select(*keys).distinct(), keys)
     return rows.select(*keys, F.to_json(F.struct(*rows.columns)).alias("json")).writeStream.foreachBatch(sink)
 
 
