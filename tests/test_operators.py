@@ -95,3 +95,13 @@ def test_streaming_unit_bars_equal_batch(spark, tmp_path):
     q.stop()
     got = sorted(tuple(r) for r in spark.table("unit_bars").collect())
     assert got == sorted(tuple(r) for r in bars.unit_bars(df, F.col("m"), 5).collect())
+
+
+def test_intervals_with_the_same_end_give_the_first_one(spark):
+    from tickloom.operators import joins
+
+    t = [dt.datetime(2024, 1, 1, 0, i) for i in range(4)]
+    ends = spark.createDataFrame([("X", "a", t[2], k) for k in (9, 7, 8)] + [("X", "a", t[0], 5)], "exchange string, symbol string, ts timestamp, k long")
+    rows = spark.createDataFrame([("X", "a", at, i) for i, at in enumerate(t)], "exchange string, symbol string, ts timestamp, seq long")
+    got = joins.interval_bin(rows, ends.repartition(3), ["exchange", "symbol"], "k").orderBy("seq").collect()
+    assert [(r["seq"], r["k"]) for r in got] == [(0, 5), (1, 7), (2, 7)]

@@ -37,10 +37,11 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], columns: list[str]) -
 
 
 def interval_bin(rows: DataFrame, ends: DataFrame, by: list[str], label: str) -> DataFrame:
-    """The label of the interval (previous end, end] that holds each row; rows after the last end are left out."""
+    """The label of the interval (previous end, end] that holds each row, the least of those with the same end; rows after the last end
+    are left out."""
     e = ends.select(*by, "ts", F.col(label).alias("__l")).withColumn("__o", F.lit(1))
     both = rows.withColumn("__o", F.lit(0)).unionByName(e, allowMissingColumns=True)
-    out = carried(both, {label: ("next", F.col("__l"))}, series=tuple(by), order=("ts", "__o"))
+    out = carried(both, {label: ("next", F.col("__l"))}, series=tuple(by), order=("ts", "__o", "__l"))
     return out.where(F.col("__o") == 0).where(F.col(label).isNotNull()).select(*rows.columns, label)
 
 
