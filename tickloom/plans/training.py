@@ -237,7 +237,7 @@ def j18(t):
 # ---- gapless volume bars ----------------------------------------------------------------------------------
 
 
-@query("f10_padded_bars", "ticks", f"""WITH c AS (SELECT *, CAST(floor(sum(CAST(price * size AS DECIMAL(28,4))) OVER ({W}) / 500) AS BIGINT) AS k FROM ticks),
+@query("f10_padded_bars", "ticks", f"""WITH c AS (SELECT *, CAST(floor(sum(CAST(price * size AS DECIMAL(38,10))) OVER ({W}) / 500) AS BIGINT) AS k FROM ticks),
 b AS (SELECT exchange, symbol, k, max(ts) AS ts, CAST(first(price ORDER BY ts, seq) AS DOUBLE) AS open, CAST(last(price ORDER BY ts, seq) AS DOUBLE) AS close,
 sum(CASE WHEN side > 0 THEN size ELSE 0 END) AS vb, sum(CASE WHEN side > 0 THEN 0 ELSE size END) AS vs, count(*) FILTER (side > 0) AS cb, count(*) FILTER (side <= 0) AS cs FROM c GROUP BY exchange, symbol, k),
 s AS (SELECT exchange, symbol, unnest(generate_series(min(k), max(k))) AS k FROM b GROUP BY exchange, symbol),
@@ -250,7 +250,7 @@ def f10(t):
     return rounded(out.select("exchange", "symbol", "volume_tick", "ts", "open", "close", "volume_buy", "volume_sell", "volume", "n", "volume_mean"))
 
 
-@query("f15_held_sizes", "ticks", f"""WITH c AS (SELECT *, CAST(floor(sum(CAST(price * size AS DECIMAL(28,4))) OVER ({W}) / 200) AS BIGINT) AS k FROM ticks),
+@query("f15_held_sizes", "ticks", f"""WITH c AS (SELECT *, CAST(floor(sum(CAST(price * size AS DECIMAL(38,10))) OVER ({W}) / 200) AS BIGINT) AS k FROM ticks),
 b AS (SELECT exchange, symbol, k, CAST(floor(CAST(last(price ORDER BY ts, seq) AS DOUBLE) / 20) * 20 AS DOUBLE) AS close, CAST(sum(size) AS DOUBLE) AS v FROM c GROUP BY exchange, symbol, k),
 s AS (SELECT exchange, symbol, unnest(generate_series(min(k), max(k))) AS k FROM b GROUP BY exchange, symbol), j AS (SELECT exchange, symbol, k, close, v FROM s LEFT JOIN b USING (exchange, symbol, k)),
 f AS (SELECT *, last_value(close IGNORE NULLS) OVER u AS p, first_value(close IGNORE NULLS) OVER d AS q, last_value(v IGNORE NULLS) OVER u AS fv FROM j WINDOW u AS (PARTITION BY exchange, symbol ORDER BY k), d AS (PARTITION BY exchange, symbol ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
