@@ -58,7 +58,7 @@ l AS (SELECT *, list(x) FILTER (x IS NOT NULL) OVER ({W} ROWS 300 PRECEDING) AS
 SELECT exchange, symbol, ts, seq, CASE WHEN len(xs) > 1 THEN {column('sqrt(greatest(q / s - power(m / s, 2), 0) * s * s / (s * s - s2))', 'x')[:-5]} END AS volatility FROM s""")
 def g12_weighted(t):
     """The same over all ticks; the SQL looks 300 rows back, where weights are under 1e-26."""
-    x = windows.near(with_price(t), lambda r, s: r.withColumn("x", 1 + (F.col("p") - F.lag("p").over(windows.ordered(s))) / F.col("p")), 1)
+    x = windows.near(with_price(t).select("exchange", "symbol", "ts", "seq", "p"), lambda r, s: r.withColumn("x", 1 + (F.col("p") - F.lag("p").over(windows.ordered(s))) / F.col("p")), 1).drop("p")
     out = ta.with_ewm_std(x, "x", 10, "volatility")
     return out.select("exchange", "symbol", "ts", "seq", (F.round("volatility", 5) + 0.0).alias("volatility"))
 
