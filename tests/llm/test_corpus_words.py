@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -252,6 +254,39 @@ def test_documents_of_a_term_are_told_apart(spark):
     assert {r["term"] for r in divergence.term_counts(documents(spark, rows)).collect()} == {"bar"} >= got
 
 
+@pytest.mark.parametrize("held, size", [(1, 1), (40, 100), (1 << 20, 1 << 24)])
+def test_chunks_are_counted_as_bytes(spark, monkeypatch, held, size):
+    monkeypatch.setattr(divergence, "HELD", held)
+    monkeypatch.setattr(divergence, "BYTES", size)
+    rng = random.Random(3)
+    parts = ["A", "b", "\u00c9", "\u00a0", "\x1c", "\x00", "\x0b", " ", " \n", ".", "7", "x-", "\U0001f600"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.choice([0, 3, 40]))), rng.choice("de"), rng.choice([None, "s"])) for i in range(120)]
+    want = {}
+    for _, text, lang, source in rows:
+        own = Counter(x.strip(divergence.ENDS.encode()) for x in text.encode().lower().split())
+        for chunk, n in own.items():
+            if chunk:
+                k = (lang, source or "", chunk.decode())
+                want[k] = (want.get(k, (0, 0))[0] + n, want.get(k, (0, 0))[1] + 1)
+    got = divergence.chunk_counts(documents(spark, rows)).groupBy("lang", "source", "chunk").agg({"n": "sum", "docs": "sum", "lo": "min", "hi": "max"}).collect()
+    assert {(r["lang"], r["source"], r["chunk"]): (r["sum(n)"], r["sum(docs)"]) for r in got} == want
+    assert all((r["min(lo)"] == r["max(hi)"]) == (r["sum(docs)"] == 1) for r in got)
+
+
+def test_divergence_shuffles_chunks_once_and_drops_the_files(spark, odd):
+    plan = divergence.term_rows(odd)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {p for d in manager.localDirsString() for p in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    divergence.term_counts(odd)
+    for _ in range(50):  # executors are told, not waited for
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+
+
 def test_empty_tables(spark, odd, vocabulary):
     none = odd.where("false")
     assert spelling.variants(none).count() == 0

@@ -2,7 +2,7 @@
 
 1. Every document's white-space chunks (A-Z lower-cased, ASCII signs and digits at their ends cut off) are counted, and the counts of a
    task's documents are added up before anything is shuffled: a chunk of a (lang, source) group becomes one row with its
-   occurrences, its documents, and the first and the last of them.
+   occurrences, its documents, and the first and the last of them. Rows are shuffled by chunk, once.
 2. In its chunk's partition every globally distinct chunk is cut into terms once, at its first row, and its other rows take the
    terms over. Sums over them give the occurrences of every term in every group, one row a term with a list of its sources.
 3. A term is kept in a language if MIN_DOCS of its documents have it. A document can have a term in several chunks, so documents
@@ -22,13 +22,13 @@ ignored, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import drop_written, materialise, release
+from tickloom.llm.common import drop_written, materialise
 
 #: Documents of a language that a kept term is in. The first and last document of a chunk are all it has only below 3.
 MIN_DOCS = 3
@@ -36,74 +36,125 @@ SCALE = 1_000_000_000
 TOP = 200
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: What is cut off at the ends of chunks: no term has it.
-ENDS = bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122))
-#: Chunks that a task counts before it passes them on.
-HELD = 700_000
+ENDS = "".join(chr(b) for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122))
+#: Chunks of groups that a task counts before it passes them on, bytes of text that it cuts at once, and rows of a record batch.
+HELD, BYTES, ROWS = 2_000_000, 1 << 24, 1 << 17
 #: Numbers (terms times sources) that a block of pair sums holds, and the sources of one side of it.
 CELLS, SIDE = 1 << 20, 512
 #: Parts in which the terms of a group are ranked first.
 PARTS = 64
 
 
+def slices(batch):
+    """Whole rows of a batch with about BYTES of text, one row at least."""
+    lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(lengths) - lengths) // BYTES
+    begins = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for i, j in zip(begins, [*begins[1:], len(part)]):
+        yield batch.slice(i, j - i)
+
+
+def counted(batch, known: dict) -> tuple:
+    """Chunks of the groups of some documents: chunk, number of the group in `known`, occurrences, documents, first and last document."""
+    text = batch.column("text")
+    text = text.view(pa.large_string() if pa.types.is_large_binary(text.type) else pa.string())  # bytes, none of which is decoded
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    words = lists.flatten().dictionary_encode()
+    chunks = pc.ascii_trim(words.dictionary, characters=ENDS).dictionary_encode()
+    code = chunks.indices.to_numpy()[words.indices.to_numpy()].astype(np.int64)
+    # Documents are numbered group by group, so one sort puts a chunk's documents of a group together, the first one first.
+    pairs = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
+    group = np.array([known.setdefault(x, len(known)) for x in pairs], dtype=np.int64)
+    order = np.argsort(group, kind="stable")
+    at = np.empty(len(order), dtype=np.int64)
+    at[order] = np.arange(len(order))
+    key = code * len(order) + np.repeat(at, pc.list_value_length(lists).to_numpy())
+    empty = pc.index(chunks.dictionary, "").as_py()
+    key = np.sort(key[code != empty] if empty >= 0 else key)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+    times, (code, doc) = np.diff(np.append(first, len(key))), np.divmod(key[first], len(order))
+    group, row = group[order][doc], batch.column("row").to_numpy()[order][doc]
+    new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (group[1:] != group[:-1]))) if len(key) else first
+    last = np.append(new[1:], len(code)) - 1
+    n = np.add.reduceat(times, new) if len(new) else times
+    return chunks.dictionary.take(pa.array(code[new])), group[new], n, last + 1 - new, row[new], row[last[: len(new)]]
+
+
+def added(parts: list[tuple]) -> tuple:
+    """Such counts of further documents added up."""
+    if len(parts) == 1:
+        return parts[0]
+    chunks = pa.chunked_array([x[0] for x in parts]).combine_chunks().dictionary_encode()
+    group, n, docs, lo, hi = (np.concatenate([x[k] for x in parts]) for k in range(1, 6))
+    key = chunks.indices.to_numpy().astype(np.int64) * (group.max(initial=0) + 1) + group
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+    total = lambda f, x: f.reduceat(x[order], new) if len(new) else x
+    code, own = np.divmod(key[new], group.max(initial=0) + 1)
+    return chunks.dictionary.take(pa.array(code)), own, total(np.add, n), total(np.add, docs), total(np.minimum, lo), total(np.maximum, hi)
+
+
+def packed(made: tuple, known: dict):
+    """Counts as record batches."""
+    chunk, group, *numbers = made
+    names = [pa.array([x[k] for x in known], pa.string()) for k in (0, 1)]
+    for i in range(0, len(group), ROWS):
+        own = pa.array(group[i : i + ROWS])
+        columns = [*[x.take(own) for x in names], chunk[i : i + ROWS].cast(pa.binary()), *[pa.array(x[i : i + ROWS]) for x in numbers]]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "chunk", "n", "docs", "lo", "hi"])
+
+
 def chunk_counts(docs: DataFrame) -> DataFrame:
     """lang, source, chunk, n (occurrences), docs (documents), lo and hi (first and last of them); partial sums, one a task or more."""
-    import pyarrow as pa
-
     none = F.lit("")
     rows = docs.select(
         F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"),
         F.coalesce("text", none).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"),
     )
-    names = ["lang", "source", "chunk", "n", "docs", "lo", "hi"]
 
-    def packed(held: dict):
-        for (lang, source), chunks in held.items():
-            if chunks:
-                made = np.array(list(chunks.values()), dtype=np.int64).T
-                of = [pa.array([x] * len(chunks), pa.string()) for x in (lang, source)]
-                yield pa.RecordBatch.from_arrays([*of, pa.array(list(chunks), pa.binary()), *[pa.array(x) for x in made]], names=names)
+    def full(held: list[tuple], share: int) -> bool:
+        return sum(len(x[0]) for x in held) > HELD // share or sum(x[0].nbytes for x in held) > 8 * BYTES // share
 
     def run(batches):
-        held, n = {}, 0
+        known, held = {}, []
         for batch in batches:
-            for lang, source, text, row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                own = held.setdefault((lang, source), {})
-                n -= len(own)
-                for chunk, times in Counter(text.lower().split()).items():
-                    chunk = chunk.strip(ENDS)
-                    known = own.get(chunk)
-                    if known is None:
-                        own[chunk] = [times, 1, row, row]
-                        continue
-                    known[0] += times
-                    if known[3] != row:  # else the same document has it with other ends
-                        known[1] += 1
-                        known[3] = row
-                own.pop(b"", None)
-                n += len(own)
-                if n > HELD:
-                    yield from packed(held)
-                    held, n = {}, 0
-        yield from packed(held)
+            for part in slices(batch):
+                held.append(counted(part, known))
+                if not full(held, 1):
+                    continue
+                held = [added(held)]
+                if full(held, 2):
+                    yield from packed(held[0], known)
+                    known, held = {}, []
+        if held:
+            yield from packed(added(held), known)
 
     made = rows.mapInArrow(run, "lang string, source string, chunk binary, n long, docs long, lo long, hi long")
     return made.withColumn("chunk", F.col("chunk").cast("string"))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, term, n (occurrences in the language) and items (source and n of the sources that have it) of the kept terms."""
-    sums = [F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    # Rows of a task are sums already, so they are shuffled as they are; then a chunk has one row a group.
-    chunks = chunk_counts(docs).repartition("chunk", "lang", "source").groupBy("chunk", "lang", "source").agg(*sums)
+def _sums() -> list:
+    return [F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+
+
+def term_rows(docs: DataFrame) -> DataFrame:
+    """lang, source, term, n, docs, lo, hi: a row for each term of each chunk of a group."""
+    # Rows of a task are sums already, so they are shuffled as they are, once: adding up a chunk's rows of a group (one a task at most)
+    # and handing its terms over both find them in the chunk's partition.
+    chunks = chunk_counts(docs).repartition("chunk").groupBy("chunk", "lang", "source").agg(*_sums())
     w = Window.partitionBy("chunk").orderBy("lang", "source")  # one row a group
     chunks = chunks.withColumn("__at", F.row_number().over(w))
     chunks = chunks.withColumn("__terms", F.when(F.col("__at") == 1, F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))))
     chunks = chunks.withColumn("__terms", F.first("__terms", True).over(w))
-    rows = materialise(chunks.select("lang", "source", F.explode("__terms").alias("term"), "n", "docs", "lo", "hi"), "divergence-rows")
-    del chunks  # its shuffle files can go
-    release(docs.sparkSession)
+    return chunks.select("lang", "source", F.explode("__terms").alias("term"), "n", "docs", "lo", "hi")
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """lang, term, n (occurrences in the language) and items (source and n of the sources that have it) of the kept terms."""
+    rows = materialise(term_rows(docs), "divergence-rows", drop_shuffles=True)
 
-    groups = rows.groupBy("lang", "source", "term").agg(*sums, F.max("docs").alias("most"))
+    groups = rows.groupBy("lang", "source", "term").agg(*_sums(), F.max("docs").alias("most"))
     item = F.struct("source", "n", "lo", "hi")
     terms = groups.groupBy("lang", "term").agg(
         F.sum("n").alias("n"), F.max("most").alias("most"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(item).alias("items")
@@ -113,14 +164,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
     sure = (F.col("most") >= MIN_DOCS) | third
     terms = terms.where(sure | ((F.col("docs") >= MIN_DOCS) & (F.col("lo") < F.col("hi"))))
     terms = terms.select("lang", "term", "n", F.transform("items", lambda x: F.struct(x["source"].alias("source"), x["n"].alias("n"))).alias("items"), sure.alias("sure"))
-    terms = materialise(terms, "divergence-terms")
-    del groups
-    release(docs.sparkSession)
+    terms = materialise(terms, "divergence-terms", drop_shuffles=True)
     open_ = terms.where("NOT sure").select("lang", "term")
     few = rows.join(open_, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.array("lo", "hi")).alias("doc")).distinct()
     some = few.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS)
     more = terms.where("NOT sure").join(some, ["lang", "term"], "left_semi")
-    kept = materialise(terms.where("sure").unionByName(more).drop("sure"), "divergence-kept")
+    kept = materialise(terms.where("sure").unionByName(more).drop("sure"), "divergence-kept", drop_shuffles=True)
     drop_written(rows, terms)
     return kept
 
@@ -184,7 +233,7 @@ def audit(docs: DataFrame, top: int = TOP) -> DataFrame:
     groups = groups.join(size, "lang", "left").join(totals, ["lang", "source"], "left")
     groups = groups.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("terms", "total", "total_lang")})
     groups = groups.withColumns({"at": F.row_number().over(w.orderBy("source")) - 1, "sources": F.count(F.lit(1)).over(w)})  # one row a group
-    groups = materialise(groups, "divergence-groups")
+    groups = materialise(groups, "divergence-groups", drop_shuffles=True)
 
     with_p = cells.join(groups.select("lang", "source", "at", "total", "terms", "total_lang"), ["lang", "source"])
     with_p = with_p.withColumns({"p": _p(F.col("n"), F.col("total"), F.col("terms")), "q": _p(F.col("n_lang"), F.col("total_lang"), F.col("terms"))})
