@@ -8,6 +8,8 @@ from decimal import Decimal
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tickloom.operators import bars, chains, exits
 
@@ -122,3 +124,19 @@ def test_books_in_blocks_equal_a_fold(spark, rows):
             own.pop(price, None)
         assert best[(symbol, seq)] == (max(book[0], default=None), min(book[1], default=None))
         assert levels[(symbol, seq)] == (sorted(book[0].items()), sorted(book[1].items()))
+
+
+def test_books_come_in_bounded_batches(spark, monkeypatch):
+    """A block's books are never held at once, and the state that comes in is a row of a block, not a column of all its rows."""
+    n = 5000
+    updates = [("X", "A", AT + dt.timedelta(seconds=i), i, 100.0 + i % 300, 1.0, 1) for i in range(n)]
+    df = spark.createDataFrame(updates, "exchange string, symbol string, ts timestamp, seq long, price double, size double, count int")
+    plan = bars.clean_book(df)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and plan.count("Join") == 2  # rows with their blocks, here and for the states
+    monkeypatch.setattr(bars, "BATCH_ROWS", 512)
+    monkeypatch.setattr(bars, "BATCH_LEVELS", 6000)
+    schema = to_arrow_schema(StructType.fromDDL(f"{bars.KEYS}, ts timestamp, seq long, {bars.Levels.made}"))
+    batches = bars.book_batches(df.toArrow(), bars.Book(), bars.Levels, schema)
+    sizes = [(b.num_rows, len(b["bids"].flatten())) for b in batches]
+    assert sum(x for x, _ in sizes) == n and max(x for x, _ in sizes) <= 512 and max(x for _, x in sizes) < 6300
+    assert sum(x for _, x in sizes) == sum(min(i + 1, 300) for i in range(n))

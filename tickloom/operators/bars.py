@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.chains import Drift, Runs, chain, folded
+from tickloom.operators.chains import Drift, Runs, block_states, chain
 from tickloom.operators.windows import ORDER, SERIES, carried, filled, near, ordered, spine
 
 #: Sums that are floored: sizes have up to eight decimals, notionals ten.
@@ -190,32 +193,102 @@ def _updates(l2: DataFrame) -> DataFrame:
     return l2.select(*SERIES, F.to_date("ts").alias("d"), *ORDER, *cols)
 
 
-def _books(l2: DataFrame, made: str, state_of, rows: int) -> DataFrame:
-    """Columns `made` that `state_of(book)` gives after each update. A day starts with an empty book; its hours are folded in blocks,
-    so one day of one series is many tasks."""
-    import pandas as pd
+#: Rows and levels of a batch of books: a block's books are made and passed on batch by batch.
+BATCH_ROWS, BATCH_LEVELS = 1 << 13, 1 << 18
 
-    changes = lambda pdf: list(zip(pdf["price"].tolist(), pdf["size"].tolist(), pdf["count"].fillna(0).tolist()))
-    names = [part.split()[0] for part in made.split(", ") if " " in part]
 
-    def run(pdf, state):
-        book, out = Book(*(state or ())), []
-        for update in changes(pdf):
+def _changes(rows) -> list[tuple[float, float, int]]:
+    """Price, size and count (0 where unknown) of the rows of an Arrow table."""
+    floats = (rows[c].to_numpy().tolist() for c in ("price", "size"))
+    return list(zip(*floats, rows["count"].fill_null(0).to_pylist()))
+
+
+class Levels:
+    """All levels of both sides, as Arrow lists."""
+
+    made = "bids array<struct<price:double,size:double>>, asks array<struct<price:double,size:double>>"
+
+    def __init__(self):
+        self.sides = [([0], [], []) for _ in range(2)]
+
+    def add(self, book: Book) -> None:
+        for (ends, prices, sizes), side in zip(self.sides, (book.bids, book.asks)):
+            own = sorted(side)
+            prices += own
+            sizes += map(side.__getitem__, own)
+            ends.append(len(prices))
+
+    def held(self) -> int:
+        return sum(len(prices) for _, prices, _ in self.sides)
+
+    def columns(self, types: list) -> list:
+        flat = lambda x: pa.array(x, pa.float64())
+        made = lambda e, p, s, t: pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.StructArray.from_arrays([flat(p), flat(s)], fields=list(t.value_type)), type=t)
+        return [made(*side, t) for side, t in zip(self.sides, types)]
+
+
+class Best:
+    """The best price of each side."""
+
+    made = "best_bid double, best_ask double"
+
+    def __init__(self):
+        self.bids, self.asks = [], []
+
+    def add(self, book: Book) -> None:
+        self.bids.append(max(book.bids, default=None))
+        self.asks.append(min(book.asks, default=None))
+
+    def held(self) -> int:
+        return 0
+
+    def columns(self, types: list) -> list:
+        return [pa.array(x, t) for x, t in zip((self.bids, self.asks), types)]
+
+
+def book_batches(rows, book: Book, make, schema):
+    """Record batches of what `make` (`Levels`, `Best`) gives of the book after each of `rows`, an ordered Arrow table of updates."""
+    keys = [*SERIES, *ORDER]
+    for start in range(0, rows.num_rows, BATCH_ROWS):
+        part = rows.slice(start, BATCH_ROWS)
+        made, begin = make(), 0
+        for i, update in enumerate(_changes(part), 1):
             book.update(*update)
-            out.append(state_of(book))
-        return pd.concat([pdf[[*SERIES, *ORDER]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+            made.add(book)
+            if i == part.num_rows or made.held() >= BATCH_LEVELS:
+                own = part.select(keys).slice(begin, i - begin).combine_chunks()
+                columns = [pa.concat_arrays(own[c].chunks).cast(schema.field(c).type) for c in keys]
+                yield pa.RecordBatch.from_arrays([*columns, *made.columns(schema.types[len(keys) :])], schema=schema)
+                made, begin = make(), i
+
+
+def _books(l2: DataFrame, make, rows: int) -> DataFrame:
+    """What `make` gives of the book after each update. A day starts with an empty book; its hours are folded in blocks, so one day of
+    one series is many tasks. The book that comes into a block is one row more of it; blocks give their rows in batches."""
+    import pickle
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    changes = lambda pdf: list(zip(pdf["price"].tolist(), pdf["size"].tolist(), pdf["count"].fillna(0).tolist()))
+    placed, states, keys = block_states(_updates(l2), lambda pdf: Book.summary(changes(pdf)), Book.after, (*SERIES, "d"), rows=rows)
+    schema = StructType.fromDDL(f"{KEYS}, ts timestamp, seq long, {make.made}")
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        state = pickle.loads(pc.drop_null(table["__state"])[0].as_py())
+        table = table.filter(pc.is_null(table["__state"])).drop_columns("__state").sort_by([(c, "ascending") for c in ORDER])
+        yield from book_batches(table, Book(*(state or ())), make, target)
 
-    schema = f"{KEYS}, ts timestamp, seq long, {made}"
-    return folded(_updates(l2), lambda pdf: Book.summary(changes(pdf)), Book.after, run, schema, (*SERIES, "d"), rows=rows)
+    return placed.unionByName(states, allowMissingColumns=True).groupBy(*keys).applyInArrow(run, schema)
 
 
 def clean_book(l2: DataFrame, rows: int = 0) -> DataFrame:
     """The levels of both sides after each level update of a day."""
-    level = "array<struct<price:double,size:double>>"
-    named = lambda side: [{"price": p, "size": s} for p, s in sorted(side.items())]
-    return _books(l2, f"bids {level}, asks {level}", lambda b: (named(b.bids), named(b.asks)), rows)
+    return _books(l2, Levels, rows)
 
 
 def best_prices(l2: DataFrame, rows: int = 0) -> DataFrame:
     """Best bid and ask after each level update of a day; crossed opposite levels are dropped."""
-    return _books(l2, "best_bid double, best_ask double", lambda b: (max(b.bids, default=None), min(b.asks, default=None)), rows)
+    return _books(l2, Best, rows)

@@ -139,11 +139,11 @@ class Turns:
         return rows, self.end[rows].tolist()
 
 
-def folded(df: DataFrame, summarise, after, run, schema, series=SERIES, order=("ts", "seq"), rows: int = 0) -> DataFrame:
-    """An ordered fold over each series in parallel blocks of whole hours.
+def block_states(df: DataFrame, summarise, after, series=SERIES, order=("ts", "seq"), rows: int = 0) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The rows of `df` with their block, the state (`__state`, pickled) that comes into each block, and the keys of a block.
 
     `summarise(rows)` gives what a block (a sorted pandas frame) does to any state; `after(summary, state)` the state after it (None before
-    the first block); `run(rows, state)` the block's output, of `schema`. Only summaries are taken in order.
+    the first block). Only summaries are taken in order.
     """
     import pickle
 
@@ -163,7 +163,17 @@ def folded(df: DataFrame, summarise, after, run, schema, series=SERIES, order=("
 
     kept = StructType(of).add("__state", "binary")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
-    states = fold_ordered(placed.groupBy(*keys).applyInPandas(summary, kept), list(series), step, ddl, ("__block",))
+    return placed, fold_ordered(placed.groupBy(*keys).applyInPandas(summary, kept), list(series), step, ddl, ("__block",)), keys
+
+
+def folded(df: DataFrame, summarise, after, run, schema, series=SERIES, order=("ts", "seq"), rows: int = 0) -> DataFrame:
+    """An ordered fold over each series in parallel blocks of whole hours: `block_states`, and `run(rows, state)` gives the block's output,
+    of `schema`. For small states and outputs: every row has its block's state, and a block's output is one frame."""
+    import pickle
+
+    import pandas as pd
+
+    placed, states, keys = block_states(df, summarise, after, series, order, rows)
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order))
