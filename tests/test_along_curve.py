@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import exits, held
@@ -40,9 +41,17 @@ def test_peaks_of_one_row_come_together(spark):
     assert runs([r["seq"] for r in rows]) <= 2 * 1500  # once a direction; once a row before
 
 
-@pytest.mark.parametrize("name, most", [("x07_peaks", 4.0)])
+def test_curves_of_one_row_come_together(spark):
+    curve, entries = tables(spark, drawn(1500))
+    rows = held.curves_in_blocks(entries, curve, BY, ["ts", "seq"], ["gain"]).select("seq", "gain").collect()
+    assert len(rows) > 500_000
+    assert runs([r["seq"] for r in rows]) <= 1500
+    assert runs([r["gain"] for r in rows]) < len(rows) / 50
+
+
+@pytest.mark.parametrize("name, most", [("x07_peaks", 4.0), ("x20_tick_profit", 2.0)])
 def test_dense_results_take_few_bytes(spark, name, most, tmp_path):
-    """One symbol at 24 times its density: 5.1 bytes a row when peaks came deal by deal."""
+    """One symbol at 24 times its density: 5.1 and 3.6 bytes a row when rows came deal by deal."""
     e = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id % 5 = 0").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
     day = F.floor(F.unix_micros("ts") / 86_400_000_000).cast("long")
     dense = e.where(day < 19723 + 24).withColumn("ts", F.timestamp_micros(F.unix_micros("ts") - (day - 19723) * 86_400_000_000)).where("ts < TIMESTAMP'2024-01-01 16:00:00'")
@@ -101,3 +110,16 @@ def test_batches_are_bounded_and_lose_no_row(batch, monkeypatch):
         count[who] += own
         last = z
     assert (count == stop - first).all()
+
+
+def test_curves_of_many_batches_equal_windows(spark):
+    prices = drawn(1200)
+    curve, entries = tables(spark, prices, 2, 100)
+    curve = curve.withColumn("price", F.when(F.col("seq") % 53 != 9, F.col("price")))
+    w = Window.partitionBy("id").orderBy("ts", "seq")
+    c = exits.deal_curves(exits.held_rows(entries, curve, BY)).withColumn("gain", F.col("profit") - F.coalesce(F.lag("profit").over(w), F.lit(0.0)))
+    c = c.withColumn("final", F.max_by("profit", F.struct("ts", "seq")).over(Window.partitionBy("id")))
+    names = ["id", "seq", *held.CURVES]
+    want, got = c.select(*names).persist(), held.curves_in_blocks(entries, curve, BY, ["seq"], list(held.CURVES)).select(*names).persist()
+    assert want.count() == got.count() > 2 * held.BATCH
+    assert want.exceptAll(got).isEmpty()
