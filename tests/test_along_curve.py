@@ -49,13 +49,18 @@ def test_curves_of_one_row_come_together(spark):
     assert runs([r["gain"] for r in rows]) < len(rows) / 50
 
 
+def dense(spark, folder):
+    """16 hours of one symbol, 24 days of it laid over one another."""
+    e = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id % 5 = 0").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000).cast("long")
+    e = e.where(day < 19723 + 24).withColumn("ts", F.timestamp_micros(F.unix_micros("ts") - (day - 19723) * 86_400_000_000)).where("ts < TIMESTAMP'2024-01-01 16:00:00'")
+    e.coalesce(1).write.parquet(f"{folder}/events.parquet")
+
+
 @pytest.mark.parametrize("name, most", [("x07_peaks", 4.0), ("x20_tick_profit", 2.0)])
 def test_dense_results_take_few_bytes(spark, name, most, tmp_path):
     """One symbol at 24 times its density: 5.1 and 3.6 bytes a row when rows came deal by deal."""
-    e = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id % 5 = 0").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
-    day = F.floor(F.unix_micros("ts") / 86_400_000_000).cast("long")
-    dense = e.where(day < 19723 + 24).withColumn("ts", F.timestamp_micros(F.unix_micros("ts") - (day - 19723) * 86_400_000_000)).where("ts < TIMESTAMP'2024-01-01 16:00:00'")
-    dense.coalesce(1).write.parquet(f"{tmp_path}/in/events.parquet")
+    dense(spark, f"{tmp_path}/in")
     out = catalog.queries()[name](spark, f"{tmp_path}/in")
     out.coalesce(1).write.parquet(f"{tmp_path}/out")
     size = sum(os.path.getsize(f"{tmp_path}/out/{f}") for f in os.listdir(f"{tmp_path}/out") if f.endswith(".parquet"))
@@ -63,6 +68,14 @@ def test_dense_results_take_few_bytes(spark, name, most, tmp_path):
     assert n > 20_000 and size / n < most, (n, size / n)
 
 
+@pytest.mark.parametrize("name", ["x02_deal_curves"])
+def test_rows_of_one_tick_come_together(spark, name, tmp_path):
+    dense(spark, f"{tmp_path}/in")
+    seq = [r["seq"] for r in catalog.queries()[name](spark, f"{tmp_path}/in").select("seq").collect()]
+    assert len(seq) > 400_000
+    assert runs(seq) < len(seq) / 10
+
+
 def test_runs_that_deals_cut_are_those_of_held_rows(spark):
     """Every second row a peak: one run as long as the block, which each deal cuts at both ends."""
     curve, entries = tables(spark, zigzag(), 3, 30)
