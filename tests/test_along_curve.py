@@ -68,7 +68,7 @@ def test_dense_results_take_few_bytes(spark, name, most, tmp_path):
     assert n > 20_000 and size / n < most, (n, size / n)
 
 
-@pytest.mark.parametrize("name", ["x02_deal_curves"])
+@pytest.mark.parametrize("name", ["x02_deal_curves", "j19_deal_features"])
 def test_rows_of_one_tick_come_together(spark, name, tmp_path):
     dense(spark, f"{tmp_path}/in")
     seq = [r["seq"] for r in catalog.queries()[name](spark, f"{tmp_path}/in").select("seq").collect()]
